@@ -93,3 +93,22 @@ def binned_sums(dist: DataFrame, group: str, count_col: str, bins,
     """Re-aggregate a distribution into labelled bins (B7 + E6)."""
     return (dist.withColumn(bin_col, C.bin_count(count_col, bins))
             .groupBy(group, bin_col).agg(F.sum(n).cast("bigint").alias(name)))
+
+
+def detected_zero_filled(df: DataFrame, id_col: str, group: str, key: str, value: str,
+                         required: Sequence[str], cutoff: float, name: str = "n",
+                         above: str = "Above") -> DataFrame:
+    """Per complete subject, the number of analytes labelled Above, 0 when
+    none is (H5: label -> count -> spread -> gather -> fill 0 -> keep Above).
+
+    The complete-case step and the count share the (id, group) partitioning,
+    so the second aggregation adds no exchange.  Unlike the reference, a data
+    set where nobody is Above gives zeros rather than an empty table.
+    """
+    from .reshape import complete_cases
+    cc = complete_cases(df.filter(F.col(group).isNotNull()), [id_col, group], key, value,
+                        required)
+    lab = C.label_above(value, cutoff)
+    return (cc.filter(lab.isNotNull())
+            .groupBy(id_col, group)
+            .agg(F.count(F.when(lab == above, F.lit(1))).cast("bigint").alias(name)))

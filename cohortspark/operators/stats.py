@@ -226,3 +226,13 @@ def stat_label(df: DataFrame, r: str, p: str, coef_name: str = "R",
         .otherwise(F.concat(F.lit("p = "), _num_text(F.col(p), p_digits)))
     return df.withColumn(name, F.concat(F.lit(f"{coef_name} = "), _num_text(F.col(r), r_digits),
                                         F.lit(", "), p_txt))
+
+
+def select_pairs(tests: DataFrame, pairs: Sequence[tuple[str, str]],
+                 g1: str = "group1", g2: str = "group2") -> DataFrame:
+    """Pick test rows by their (group1, group2) names instead of by position."""
+    cond = None
+    for a, b in pairs:
+        e = (F.col(g1) == a) & (F.col(g2) == b)
+        cond = e if cond is None else cond | e
+    return tests.filter(cond)
