@@ -96,7 +96,8 @@ def mid_ranks(df: DataFrame, strata: Sequence[str], value: str,
 
 
 def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],
-                  out: str = "position", partitions: int | None = None) -> DataFrame:
+                  out: str = "position", partitions: int | None = None,
+                  materialize: bool = True) -> DataFrame:
     """1-based position of each row inside its stratum, ordered by ``order``
     (ties broken by the later columns; the full key must be unique).
 
@@ -106,6 +107,9 @@ def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],
     """
     strata, order = list(strata), list(order)
     first, rest = order[0], order[1:]
+    if materialize and rest:
+        # read once per order column and once more for the join back
+        df = cut_lineage(df)
     if not rest:
         hist = df.groupBy(*strata, first).agg(F.count(F.lit(1)).cast("bigint").alias("c"))
         cum = with_cumulative(hist, strata, first, partitions=partitions) \
@@ -115,7 +119,8 @@ def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],
     hist = df.groupBy(*strata, first).agg(F.count(F.lit(1)).cast("bigint").alias("c"))
     cum = with_cumulative(hist, strata, first, partitions=partitions) \
         .select(*strata, first, F.col("cum_before").alias("__before"))
-    inner = row_positions(df, strata + [first], rest, out="__inner", partitions=partitions)
+    inner = row_positions(df, strata + [first], rest, out="__inner", partitions=partitions,
+                          materialize=False)
     joined = join_null_safe(inner, cum, strata + [first], "left")
     return (joined.withColumn(out, F.col("__before") + F.col("__inner"))
             .drop("__before", "__inner"))

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pvalues as P
+from ..session import cut_lineage
 from .joins import join_null_safe
-from .ranks import mid_ranks, ranked_histogram
+from .ranks import ranked_histogram
 from .reshape import spread_columns
 
 
@@ -181,19 +182,36 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str,
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
-             name: str = "rho") -> DataFrame:
-    """Spearman's rho per group: Pearson on mid-ranks (ties averaged)."""
+             name: str = "rho", materialize: bool = True) -> DataFrame:
+    """Spearman's rho per group: Pearson on mid-ranks (ties averaged).
+
+    Both variables are ranked in one pass: the (x, y) points are stacked
+    into (variable, value) rows and a single ranked histogram is built over
+    (keys, variable).  The points are read three times (stack, and one join
+    back per variable), so they are written once first unless the caller
+    already did (``materialize=False``).
+    """
     keys = list(keys)
+    keys_r = keys or ["__all"]
     src = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if not keys:
-        src = src.withColumn("__all", F.lit(1))
-        keys_r = ["__all"]
-    else:
-        keys_r = keys
-    rx = mid_ranks(src, keys_r, x, out="__rx")
-    rxy = mid_ranks(rx, keys_r, y, out="__ry")
-    out = pearson(rxy, keys_r, "__rx", "__ry", name)
-    return out.drop("__all") if not keys else out
+    src = src.select(*(keys if keys else [F.lit(1).alias("__all")]),
+                     F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    if materialize:
+        src = cut_lineage(src)
+    stacked = src.select(*keys_r, F.explode(F.array(
+        F.struct(F.lit("x").alias("__var"), F.col("__x").alias("__v")),
+        F.struct(F.lit("y").alias("__var"), F.col("__y").alias("__v")))).alias("__s")) \
+        .select(*keys_r, "__s.__var", "__s.__v")
+    ranked = ranked_histogram(stacked, keys_r + ["__var"], "__v") \
+        .select(*keys_r, "__var", "__v", "mid_rank")
+    rx = ranked.filter(F.col("__var") == "x").select(
+        *keys_r, F.col("__v").alias("__x"), F.col("mid_rank").alias("__rx"))
+    ry = ranked.filter(F.col("__var") == "y").select(
+        *keys_r, F.col("__v").alias("__y"), F.col("mid_rank").alias("__ry"))
+    j = join_null_safe(join_null_safe(src, rx, keys_r + ["__x"], "inner"), ry,
+                       keys_r + ["__y"], "inner")
+    out = pearson(j, keys_r, "__rx", "__ry", name)
+    return out if keys else out.drop("__all")
 
 
 def add_correlation_pvalue(df: DataFrame, r: str, n: str = "n",

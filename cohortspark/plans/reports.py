@@ -25,6 +25,7 @@ from ..operators import stats as S
 from ..operators import summary as M
 from ..operators.joins import attach, semi_join
 from ..sources.fixture import FIXTURE_CUTOFF
+from ..session import cut_lineage
 from .context import Inputs, r6
 
 SEROPOSITIVE3 = [EXPOSED_SEROPOSITIVE, PCR_SEROPOSITIVE, PCR_SERONEGATIVE]
@@ -45,7 +46,9 @@ def detection_table(inp: Inputs, group: str = "group5", panel: Sequence[str] = P
     dist = dist.withColumn("prop", r6("prop"))
     if not with_sizes:
         return dist
-    sizes = K.cohort_sizes(a, "lab_id", group, "antigen", "value", panel)
+    # complete-case sizes are the column sums of the (tiny) distribution, so
+    # the sizes side of the join never rescans the assay table
+    sizes = dist.groupBy(group).agg(F.sum("n").alias("n_ind"))
     out = attach(dist, sizes, [group])
     return (out.withColumn("detected_level", F.col("detected").cast("string"))
             .withColumn("group_label", C.size_label(C.relabel(group, labels), "n_ind", " ")))
@@ -68,10 +71,12 @@ def fig3b_strip(inp: Inputs, group: str = "group5", panel: Sequence[str] = PANEL
     """Per complete subject: detected count, cohort size, facet label and the
     subject's position in its facet ordered by count (Fig. 3B strip)."""
     a = inp.assay()
-    per = K.subject_panel(a, "lab_id", group, "antigen", "value", panel,
-                          FIXTURE_CUTOFF, detected="n")
-    sizes = K.cohort_sizes(a, "lab_id", group, "antigen", "value", panel)
-    ranked = M.rank_strip(per, group, "n", "lab_id")
+    # one row per complete subject, written once: the rank steps below and the
+    # cohort sizes all read it instead of re-deriving it from the assay table
+    per = cut_lineage(K.subject_panel(a, "lab_id", group, "antigen", "value", panel,
+                                      FIXTURE_CUTOFF, detected="n"))
+    sizes = M.count_by(per, [group], "n_ind")
+    ranked = M.rank_strip(per, group, "n", "lab_id", materialize=False)
     out = attach(ranked, sizes, [group])
     return out.withColumn("group_label",
                           C.size_label(C.relabel(group, COHORT_PLOT_LABELS), "n_ind", " "))
@@ -234,15 +239,17 @@ def spearman_table(inp: Inputs, group: str = "group5", groups=SEROPOSITIVE3,
                    titre: str = "roche", pooled: bool = False) -> DataFrame:
     pts = detected_with_titre(inp, group, groups, titre)
     keys = [] if pooled else [group]
-    out = S.spearman(pts, keys, "x", "titre")
+    out = S.spearman(pts.select(group, "x", "titre"), keys, "x", "titre")
     return out.select(*keys, "n", r6("rho").alias("rho"))
 
 
 def fig4b_spearman(inp: Inputs, group: str = "group5", groups=SEROPOSITIVE3,
                    titre: str = "roche") -> DataFrame:
-    pts = detected_with_titre(inp, group, groups, titre)
-    per = S.spearman(pts, [group], "x", "titre").withColumnRenamed(group, "group")
-    allg = S.spearman(pts, [], "x", "titre").withColumn("group", F.lit("all"))
+    pts = cut_lineage(detected_with_titre(inp, group, groups, titre)
+                      .select(group, "x", "titre"))
+    per = S.spearman(pts, [group], "x", "titre", materialize=False) \
+        .withColumnRenamed(group, "group")
+    allg = S.spearman(pts, [], "x", "titre", materialize=False).withColumn("group", F.lit("all"))
     out = per.unionByName(allg.select(*per.columns))
     out = S.add_correlation_pvalue(out, "rho")
     return S.stat_label(out, "rho", "p", "rho")

@@ -29,6 +29,7 @@ def build_session(master: str | None = None, app: str = "cohortspark",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", os.environ.get("COHORTSPARK_DRIVER_MEMORY", "8g")))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
