@@ -900,3 +900,22 @@ def q_category_order(inp):
 SELECT a.antigen AS group1, b.antigen AS group2 FROM c a JOIN c b ON a.antigen < b.antigen"""))
 def q_category_pairs(inp):
     return T.category_pairs(inp)
+
+
+# ------------------------------------------- inference helpers (I3, I4, I9) --
+
+@register("bonferroni")
+def q_bonferroni(inp):
+    return R.rank_sum_by_stratum(inp, with_p=True).select(
+        "antigen", "group1", "group2", "p", "p_adj")
+
+
+@register("significance")
+def q_significance(inp):
+    return R.rank_sum_by_stratum(inp, with_p=True).select(
+        "antigen", "group1", "group2", "p", "p_signif", "p_adj", "p_adj_signif")
+
+
+@register("stat_label")
+def q_stat_label(inp):
+    return R.fig4b_spearman(inp).select("group", "n", "rho", "p", "label")

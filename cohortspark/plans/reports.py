@@ -186,8 +186,13 @@ def signed_rank_pairs(inp: Inputs, with_p: bool = False) -> DataFrame:
         out = S.add_rank_pvalue(out, "signed_rank", n1="n", n2=None)
         out = S.bonferroni(out, "p")
         out = S.add_significance(out, "p_adj", "p_adj_signif")
-        return out.select("group1", "group2", "n", "statistic", "z", "exact", "p",
-                          "p_adj", "p_adj_signif")
+        # group names as on the figure's axis: "M\n(n=123)"
+        sizes = analyte_sizes(inp).select("antigen", "antigen_label").distinct()
+        for g in ("group1", "group2"):
+            out = out.join(sizes.withColumnRenamed("antigen", g)
+                           .withColumnRenamed("antigen_label", f"{g}_label"), g, "left")
+        return out.select("group1", "group2", "group1_label", "group2_label", "n", "zeros",
+                          "statistic", "z", "exact", "p", "p_adj", "p_adj_signif")
     return out.select("group1", "group2", "n", r6("statistic").alias("statistic"),
                       r6("z").alias("z"))
 
