@@ -60,11 +60,16 @@ def assay_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     map side.
     """
     li = read_table(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_orderkey").alias("lab_id"),
-                       _map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL).alias("antigen_raw"))
-            .agg(F.max(F.when(F.col("l_tax") < VALUE_TAX_LIMIT,
-                              F.col("l_extendedprice") * F.col("l_discount"))).alias("value"),
-                 F.min("l_shipdate").cast("date").alias("visit_date")))
+    # group on the integer line number (cheap to hash) and label afterwards;
+    # filters on the label still reach below the aggregation, since they
+    # only use a grouping column
+    agg = (li.groupBy(F.col("l_orderkey").alias("lab_id"), "l_linenumber")
+           .agg(F.max(F.when(F.col("l_tax") < VALUE_TAX_LIMIT,
+                             F.col("l_extendedprice") * F.col("l_discount"))).alias("value"),
+                F.min("l_shipdate").cast("date").alias("visit_date")))
+    return agg.select("lab_id",
+                      _map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL).alias("antigen_raw"),
+                      "value", "visit_date")
 
 
 def assay_long(spark: SparkSession, sf_dir: str,
