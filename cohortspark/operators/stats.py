@@ -90,8 +90,9 @@ def signed_rank(pairs_df: DataFrame, strata: Sequence[str] = ("group1", "group2"
     v = F.col("__rpos") - F.col("zeros") * F.col("__npos")
     centre = F.col("statistic") - n * (n + 1) / 4.0
     sigma = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0)
+    # no non-zero difference (or all tied): z is undefined -> NULL, not an error
     out = (agg.withColumn("statistic", v.cast("double"))
-           .withColumn("z", (centre - F.signum(centre) * 0.5) / sigma)
+           .withColumn("z", F.try_divide(centre - F.signum(centre) * 0.5, sigma))
            .withColumn("exact", (F.col("n") < 50) & (F.col("ties") == 0) & (F.col("zeros") == 0)))
     return out.select(*strata, F.col("n").cast("bigint").alias("n"), "statistic", "z",
                       "exact", F.col("ties").cast("double").alias("ties"),
@@ -116,10 +117,11 @@ def rank_sum(df: DataFrame, strata: Sequence[str], group: str, value: str,
     n2 = F.col("n2").cast("double")
     nn = n1 + n2
     centre = F.col("statistic") - n1 * n2 / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.col("ties") / (nn * (nn - 1))))
+    sigma = F.sqrt(n1 * n2 / 12.0 * ((nn + 1) - F.try_divide(F.col("ties"), nn * (nn - 1))))
+    # all values tied, or an empty sample: z is undefined -> NULL
     out = (agg.withColumn("n2", F.col("__n") - F.col("n1"))
            .withColumn("statistic", F.col("__r1") - n1 * (n1 + 1) / 2.0)
-           .withColumn("z", (centre - F.signum(centre) * 0.5) / sigma)
+           .withColumn("z", F.try_divide(centre - F.signum(centre) * 0.5, sigma))
            .withColumn("exact", (F.col("n1") < 50) & (F.col("n2") < 50) & (F.col("ties") == 0)))
     return out.select(*strata, F.lit(g1).alias("group1"), F.lit(g2).alias("group2"),
                       F.col("n1").cast("bigint").alias("n1"),
@@ -158,11 +160,12 @@ def chi_square_yates(counts: DataFrame, a: str, b: str, c: str, d: str,
     A, B, Cc, D = (F.col(x).cast("double") for x in (a, b, c, d))
     n = A + B + Cc + D
     cells = [(A, A + B, A + Cc), (B, A + B, B + D), (Cc, Cc + D, A + Cc), (D, Cc + D, B + D)]
-    exp = [(o, r * s / n) for o, r, s in cells]
+    exp = [(o, F.try_divide(r * s, n)) for o, r, s in cells]
     yates = F.least(F.lit(0.5), *[F.abs(o - e) for o, e in exp])
     stat = None
     for o, e in exp:
-        term = F.pow(F.abs(o - e) - yates, 2) / e
+        # an empty row or column gives an undefined statistic (NULL)
+        term = F.try_divide(F.pow(F.abs(o - e) - yates, 2), e)
         stat = term if stat is None else stat + term
     return counts.withColumn(name, stat).withColumn("df", F.lit(1).cast("bigint"))
 

@@ -157,3 +157,22 @@ def test_pvalue_functions():
     assert abs(P.ranksum_cdf(20, 6, 7) - (1 - P.ranksum_cdf(42 - 21, 6, 7))) < 1e-12
     # Figure 4B labels: rho .62 with n 16 gives p ~ .011
     assert abs(P.correlation_p(0.62, 16) - 0.0104) < 1e-3
+
+
+def test_degenerate_inputs_give_null_not_errors(spark):
+    # all values tied, a one-element sample, all-zero differences, empty row
+    df = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 1.0), ("s", "b", 1.0),
+                                ("t", "a", 2.0), ("t", "b", 3.0)], "st string, g string, v double")
+    t = {r.st: r for r in S.add_rank_pvalue(S.rank_sum(df, ["st"], "g", "v", ("a", "b")),
+                                            "rank_sum").collect()}
+    assert t["s"].z is None and t["s"].statistic == 1.0 and t["s"].p is None  # R: NA
+    assert t["t"].exact and t["t"].n1 == 1 and t["t"].n2 == 1
+    pairs = spark.createDataFrame([(1, "x", "y", 0.0), (2, "x", "y", 0.0)],
+                                  "lab_id long, group1 string, group2 string, d double")
+    sr = S.signed_rank(pairs).collect()[0]
+    assert sr.n == 0 and sr.zeros == 2 and sr.z is None
+    cells = spark.createDataFrame([(0, 0, 3, 4)], "a long, b long, c long, d long")
+    assert S.chi_square_yates(cells, "a", "b", "c", "d").collect()[0].chi2 is None
+    d2 = spark.createDataFrame([("k", 1.0, 1.0), ("k", 1.0, 2.0), ("j", 1.0, 2.0)],
+                               "k string, x double, y double")
+    assert {r.k: r.n for r in S.spearman(d2, ["k"], "x", "y").collect()} == {"k": 2, "j": 1}
