@@ -180,8 +180,14 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str,
             name: str = "r") -> DataFrame:
     """(keys..., n, r) over rows where both x and y are present."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return df.groupBy(*keys).agg(F.count(F.when(both, F.lit(1))).alias("n"),
-                                 F.corr(x, y).alias(name))
+    # r = cov / (sd_x sd_y) from the same co-moment aggregates as ``corr``;
+    # a constant x or y gives NULL (R: NA) instead of an ANSI divide error
+    out = df.groupBy(*keys).agg(F.count(F.when(both, F.lit(1))).alias("n"),
+                                F.covar_samp(x, y).alias("__cov"),
+                                F.var_samp(F.when(both, F.col(x))).alias("__vx"),
+                                F.var_samp(F.when(both, F.col(y))).alias("__vy"))
+    return out.select(*keys, "n", F.try_divide(
+        F.col("__cov"), F.sqrt(F.col("__vx") * F.col("__vy"))).alias(name))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
