@@ -36,10 +36,10 @@ def _partitions(df: DataFrame) -> int:
 
 def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str,
                     weight: str = "c", out: str = "cum_before",
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, keep_slice: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over rows of the same strata whose
     ``order`` value is smaller.  ``(strata, order)`` must be unique in
-    ``hist``."""
+    ``hist``.  ``keep_slice`` keeps the range-slice id (for inspection)."""
     strata = list(strata)
     parts = partitions or _partitions(hist)
     ranged = (hist.repartitionByRange(parts, *[F.col(s) for s in strata], F.col(order))
@@ -58,8 +58,10 @@ def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str,
                                      .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__offset"))
     joined = join_null_safe(local, offsets, strata + ["__slice"], "inner")
-    return (joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
-            .drop("__slice", "__local", "__slice_total", "__offset"))
+    joined = joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
+    if keep_slice:
+        joined = joined.withColumnRenamed("__slice", "slice")
+    return joined.drop("__slice", "__local", "__slice_total", "__offset")
 
 
 def ranked_histogram(df: DataFrame, strata: Sequence[str], value: str,

@@ -63,3 +63,15 @@ def test_median_log2_is_geometric_mean_of_middle(spark):
                                "s string, v double")
     got = {r.s: r.median for r in median_log2(df, ["s"], "v").collect()}
     assert abs(got["x"] - 2.0) < 1e-12 and abs(got["y"] - 3.0) < 1e-12
+
+
+def test_hot_stratum_is_split_over_many_slices(spark):
+    """One stratum holding every row is cut into ordered slices (tasks)."""
+    from cohortspark.operators.ranks import with_cumulative
+    hist = spark.range(0, 5000).select(F.lit("only").alias("s"), F.col("id").cast("double").alias("v"),
+                                       F.lit(1).cast("bigint").alias("c"))
+    out = with_cumulative(hist, ["s"], "v", partitions=8, keep_slice=True)
+    per_slice = out.groupBy("slice").agg(F.count("*").alias("n"), F.min("v").alias("lo")).collect()
+    assert len(per_slice) >= 6
+    assert max(r.n for r in per_slice) < 5000 / 2
+    assert out.filter(F.col("cum_before") != F.col("v")).count() == 0
