@@ -71,15 +71,19 @@ def distribution(per_subject: DataFrame, group: str, count_col: str,
 
 
 def percent_of_group(df: DataFrame, group: str, n: str = "n",
-                     name: str = "prop") -> DataFrame:
-    """``n / sum(n) * 100`` inside each group (G1).
+                     name: str = "prop", total: str | None = None) -> DataFrame:
+    """``n / sum(n) * 100`` inside each group (G1); ``total`` also keeps the
+    group sum as a column.
 
     The input is a distribution table (groups x distinct counts), so the
     window per group is small; the per-subject rows never reach it.
     """
     from pyspark.sql import Window
-    w = Window.partitionBy(group)
-    return df.withColumn(name, F.col(n) / F.sum(n).over(w) * F.lit(100.0))
+    s = F.sum(n).over(Window.partitionBy(group))
+    if total:
+        df = df.withColumn(total, s)
+        s = F.col(total)
+    return df.withColumn(name, F.col(n) / s * F.lit(100.0))
 
 
 def label_counts(df: DataFrame, ids: Sequence[str], label: str,

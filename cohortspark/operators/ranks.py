@@ -99,30 +99,21 @@ def mid_ranks(df: DataFrame, strata: Sequence[str], value: str,
 
 def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],
                   out: str = "position", partitions: int | None = None,
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = False) -> DataFrame:
     """1-based position of each row inside its stratum, ordered by ``order``
     (ties broken by the later columns; the full key must be unique).
 
-    Composite orders are handled one column at a time: the rows before a row
-    are those with a smaller first column (from a histogram of that column),
-    plus those with an equal first column and a smaller rest (recursively).
+    The composite order becomes one struct column (structs sort
+    lexicographically), and since every (strata, order) key is unique each
+    row is its own histogram bin with weight 1: one ranged pass, no join
+    back.  ``materialize`` writes the input first when it is expensive to
+    recompute (it is read by the range sampling and by the pass itself).
     """
     strata, order = list(strata), list(order)
-    first, rest = order[0], order[1:]
-    if materialize and rest:
-        # read once per order column and once more for the join back
+    if materialize:
         df = cut_lineage(df)
-    if not rest:
-        hist = df.groupBy(*strata, first).agg(F.count(F.lit(1)).cast("bigint").alias("c"))
-        cum = with_cumulative(hist, strata, first, partitions=partitions) \
-            .select(*strata, first, F.col("cum_before").alias("__before"))
-        joined = join_null_safe(df, cum, strata + [first], "left")
-        return joined.withColumn(out, F.col("__before") + F.lit(1)).drop("__before")
-    hist = df.groupBy(*strata, first).agg(F.count(F.lit(1)).cast("bigint").alias("c"))
-    cum = with_cumulative(hist, strata, first, partitions=partitions) \
-        .select(*strata, first, F.col("cum_before").alias("__before"))
-    inner = row_positions(df, strata + [first], rest, out="__inner", partitions=partitions,
-                          materialize=False)
-    joined = join_null_safe(inner, cum, strata + [first], "left")
-    return (joined.withColumn(out, F.col("__before") + F.col("__inner"))
-            .drop("__before", "__inner"))
+    keyed = df.withColumn("__order", F.struct(*[F.col(c) for c in order])) \
+        .withColumn("__w", F.lit(1).cast("bigint"))
+    ranked = with_cumulative(keyed, strata, "__order", "__w", out="__before",
+                             partitions=partitions)
+    return ranked.withColumn(out, F.col("__before") + F.lit(1)).drop("__order", "__w", "__before")

@@ -78,7 +78,7 @@ def category_order(df: DataFrame, category: str, position: str,
 
 
 def rank_strip(df: DataFrame, group: str, n: str, id_col: str,
-               name: str = "position", materialize: bool = True) -> DataFrame:
+               name: str = "position", materialize: bool = False) -> DataFrame:
     """Position of each subject inside its group ordered by ``n`` then id
     (``reorder(id, n)`` per facet; G2), computed without a per-group task."""
     return row_positions(df, [group], [n, id_col], out=name, materialize=materialize)

@@ -42,14 +42,15 @@ def detection_table(inp: Inputs, group: str = "group5", panel: Sequence[str] = P
     tables): (group, detected, n, prop[, n_ind, detected_level, group_label])."""
     a = inp.assay(mapping)
     panel_df = K.subject_panel(a, "lab_id", group, "antigen", "value", panel, cutoff)
-    dist = K.percent_of_group(K.distribution(panel_df, group, "detected"), group)
+    dist = K.percent_of_group(K.distribution(panel_df, group, "detected"), group,
+                              total="n_ind" if with_sizes else None)
     dist = dist.withColumn("prop", r6("prop"))
     if not with_sizes:
         return dist
-    # complete-case sizes are the column sums of the (tiny) distribution, so
-    # the sizes side of the join never rescans the assay table
-    sizes = dist.groupBy(group).agg(F.sum("n").alias("n_ind"))
-    out = attach(dist, sizes, [group])
+    # the complete-case cohort size (the study's separately computed n.ind,
+    # joined back by group) is the group total of this distribution: it comes
+    # out of the same small window, with no second scan and no join
+    out = dist
     return (out.withColumn("detected_level", F.col("detected").cast("string"))
             .withColumn("group_label", C.size_label(C.relabel(group, labels), "n_ind", " ")))
 
