@@ -60,15 +60,24 @@ def _memo(spark: SparkSession, key: tuple, paths: tuple, build):
     Building and analysing the fixture plan costs more driver time than
     running it on small inputs."""
     sig = tuple(_signature(p) for p in paths)
-    k = (id(spark._jsparkSession), key)
+    k = (id(spark), key)
     hit = _PLANS.get(k)
-    if hit is not None and hit[0] == sig:
-        return hit[1]
+    # the entry holds the session itself, so its id cannot be reused while
+    # cached; a stopped session's plans are never handed out
+    if hit is not None and hit[0] is spark and hit[1] == sig and _alive(spark):
+        return hit[2]
     df = build()
-    _PLANS[k] = (sig, df)
+    _PLANS[k] = (spark, sig, df)
     return df
 
 
+def _alive(spark: SparkSession) -> bool:
+    try:
+        return not spark.sparkContext._jsc.sc().isStopped()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session has no context
+        return True
+
+
 def _path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
