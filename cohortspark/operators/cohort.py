@@ -116,3 +116,35 @@ def detected_zero_filled(df: DataFrame, id_col: str, group: str, key: str, value
     return (cc.filter(lab.isNotNull())
             .groupBy(id_col, group)
             .agg(F.count(F.when(lab == above, F.lit(1))).cast("bigint").alias(name)))
+
+
+def subject_summary(df: DataFrame, id_col: str, group: str | None, key: str, value: str,
+                    panels: dict[str, Sequence[str]], cutoff: float,
+                    names: dict[str, str] | None = None) -> DataFrame:
+    """One row per subject with every analyte of every panel, and per panel
+    ``complete_<p>`` and ``detected_<p>`` (NULL when incomplete).
+
+    A single aggregation serves all figures that read complete-case panels;
+    written once (e.g. with :func:`cohortspark.session.cut_lineage`), it can
+    feed several of them without re-reading the assay table.
+    """
+    analytes = sorted({a for p in panels.values() for a in p})
+    names = names or {a: a for a in analytes}
+    src = df.filter(F.col(key).isin(analytes))
+    ids = [id_col] + ([group] if group else [])
+    if group:
+        src = src.filter(F.col(group).isNotNull())
+    wide = src.groupBy(*ids).agg(*spread_columns(key, value, analytes,
+                                                 [names[a] for a in analytes]))
+    cols = [F.col(c) for c in wide.columns]
+    for p, members in panels.items():
+        complete = None
+        hits = None
+        for a in members:
+            nn = F.col(names[a]).isNotNull()
+            complete = nn if complete is None else complete & nn
+            h = C.flag_above(names[a], cutoff)
+            hits = h if hits is None else hits + h
+        cols.append(complete.alias(f"complete_{p}"))
+        cols.append(F.when(complete, hits.cast("bigint")).alias(f"detected_{p}"))
+    return wide.select(*cols)

@@ -74,7 +74,8 @@ def category_order(df: DataFrame, category: str, position: str,
     firsts = df.groupBy(category).agg(F.min(position).alias("first_position"))
     o = F.col("first_position").desc() if reverse else F.col("first_position").asc()
     # one row per category: a small table, so a global window is fine here
-    return firsts.withColumn(name, F.row_number().over(Window.orderBy(o, F.col(category))))
+    return firsts.withColumn(name, F.row_number().over(Window.orderBy(o, F.col(category)))
+                             .cast("bigint"))
 
 
 def rank_strip(df: DataFrame, group: str, n: str, id_col: str,

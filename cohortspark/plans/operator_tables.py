@@ -225,7 +225,7 @@ def category_order(inp: Inputs) -> DataFrame:
     a = inp.assay_long().filter(F.col("antigen").isNotNull())
     o = M.category_order(a, "antigen", "lab_id")
     return o.withColumn("level_rev", F.row_number().over(
-        Window.orderBy(F.col("first_position").desc(), F.col("antigen").desc())))
+        Window.orderBy(F.col("first_position").desc(), F.col("antigen").desc())).cast("bigint"))
 
 
 def category_pairs(inp: Inputs) -> DataFrame:
@@ -282,3 +282,10 @@ def rank_sum_events(inp: Inputs, with_p: bool = False) -> DataFrame:
                         "exact", "p", "p_adj", "p_adj_signif")
     return t.select("event_type", "group1", "group2", "n1", "n2",
                     r6("statistic").alias("statistic"), r6("z").alias("z"))
+
+
+def subject_summary(inp: Inputs) -> DataFrame:
+    """Per-subject table behind Figures 3A/3B/4B."""
+    return K.subject_summary(inp.assay(), "lab_id", "group5", "antigen", "value",
+                             {"k3": PANEL3, "k4": PANEL4}, FIXTURE_CUTOFF,
+                             names={"NC": "nc", "M": "m", "SCT": "sct", "SNT": "snt"})

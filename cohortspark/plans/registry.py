@@ -919,3 +919,27 @@ def q_significance(inp):
 @register("stat_label")
 def q_stat_label(inp):
     return R.fig4b_spearman(inp).select("group", "n", "rho", "p", "label")
+
+
+@register("subject_summary", with_fixture(f""", w AS (
+  SELECT lab_id, group5,
+    max(CASE WHEN antigen = 'M' THEN value END) AS m,
+    max(CASE WHEN antigen = 'NC' THEN value END) AS nc,
+    max(CASE WHEN antigen = 'SCT' THEN value END) AS sct,
+    max(CASE WHEN antigen = 'SNT' THEN value END) AS snt
+  FROM assay WHERE group5 IS NOT NULL AND antigen IN {in_list(PANEL4)}
+  GROUP BY lab_id, group5
+)
+SELECT *,
+  (nc IS NOT NULL AND m IS NOT NULL AND sct IS NOT NULL) AS complete_k3,
+  CASE WHEN nc IS NOT NULL AND m IS NOT NULL AND sct IS NOT NULL THEN
+    CAST(CAST(nc > {CUT!r} AS INTEGER) + CAST(m > {CUT!r} AS INTEGER)
+         + CAST(sct > {CUT!r} AS INTEGER) AS BIGINT) END AS detected_k3,
+  (nc IS NOT NULL AND m IS NOT NULL AND sct IS NOT NULL AND snt IS NOT NULL) AS complete_k4,
+  CASE WHEN nc IS NOT NULL AND m IS NOT NULL AND sct IS NOT NULL AND snt IS NOT NULL THEN
+    CAST(CAST(nc > {CUT!r} AS INTEGER) + CAST(m > {CUT!r} AS INTEGER)
+         + CAST(sct > {CUT!r} AS INTEGER) + CAST(snt > {CUT!r} AS INTEGER) AS BIGINT) END
+    AS detected_k4
+FROM w"""))
+def q_subject_summary(inp):
+    return T.subject_summary(inp)
