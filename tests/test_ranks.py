@@ -75,3 +75,21 @@ def test_hot_stratum_is_split_over_many_slices(spark):
     assert len(per_slice) >= 6
     assert max(r.n for r in per_slice) < 5000 / 2
     assert out.filter(F.col("cum_before") != F.col("v")).count() == 0
+
+
+from hypothesis import given, settings, HealthCheck
+from hypothesis import strategies as st
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 6)), min_size=1, max_size=60),
+       st.integers(1, 5))
+def test_cumulative_counts_property(spark, rows, parts):
+    """Cumulative counts equal the brute-force count of smaller values in the
+    same stratum, for any data and any number of range slices."""
+    from cohortspark.operators.ranks import ranked_histogram
+    df = spark.createDataFrame([(s, float(v)) for s, v in rows], "s string, v double")
+    got = {(r.s, r.v): (r.c, r.cum_before) for r in ranked_histogram(df, ["s"], "v", partitions=parts).collect()}
+    for (s, v), (c, before) in got.items():
+        assert c == sum(1 for a, b in rows if a == s and b == v)
+        assert before == sum(1 for a, b in rows if a == s and b < v)

@@ -176,3 +176,16 @@ def test_degenerate_inputs_give_null_not_errors(spark):
     d2 = spark.createDataFrame([("k", 1.0, 1.0), ("k", 1.0, 2.0), ("j", 1.0, 2.0)],
                                "k string, x double, y double")
     assert {r.k: r.n for r in S.spearman(d2, ["k"], "x", "y").collect()} == {"k": 2, "j": 1}
+
+
+def test_signed_rank_swapped_sides_sum(spark):
+    """V(x - y) + V(y - x) = n(n+1)/2 (no zero differences)."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, 120)
+    y = x + rng.normal(0.2, 1, 120)
+    rows = [(i, "x", float(a)) for i, a in enumerate(x)] + [(i, "y", float(b)) for i, b in enumerate(y)]
+    df = spark.createDataFrame(rows, "lab_id long, k string, v double")
+    p = S.paired_differences(df, "lab_id", "k", "v", [("x", "y"), ("y", "x")])
+    got = {(r.group1, r.group2): r for r in S.signed_rank(p).collect()}
+    n = got[("x", "y")].n
+    assert got[("x", "y")].statistic + got[("y", "x")].statistic == n * (n + 1) / 2
