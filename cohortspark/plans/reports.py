@@ -251,12 +251,14 @@ def spearman_table(inp: Inputs, group: str = "group5", groups=SEROPOSITIVE3,
 
 def fig4b_spearman(inp: Inputs, group: str = "group5", groups=SEROPOSITIVE3,
                    titre: str = "roche") -> DataFrame:
-    pts = cut_lineage(detected_with_titre(inp, group, groups, titre)
-                      .select(group, "x", "titre"))
-    per = S.spearman(pts, [group], "x", "titre", materialize=False) \
-        .withColumnRenamed(group, "group")
-    allg = S.spearman(pts, [], "x", "titre", materialize=False).withColumn("group", F.lit("all"))
-    out = per.unionByName(allg.select(*per.columns))
+    pts = detected_with_titre(inp, group, groups, titre).select(group, "x", "titre")
+    # per-group and pooled coefficients in one ranking pass: the pooled copy
+    # of the points is one more stratum (scope 'all', group NULL)
+    both = pts.select(F.lit("group").alias("scope"), F.col(group).alias("group"), "x", "titre") \
+        .unionByName(pts.select(F.lit("all").alias("scope"),
+                                F.lit(None).cast("string").alias("group"), "x", "titre"))
+    out = S.spearman(both, ["scope", "group"], "x", "titre")
+    out = out.withColumn("group", F.coalesce("group", F.lit("all"))).drop("scope")
     out = S.add_correlation_pvalue(out, "rho")
     return S.stat_label(out, "rho", "p", "rho")
 
