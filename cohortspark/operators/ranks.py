@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import join_null_safe
+from .joins import broadcast_if_small, join_null_safe
 
 
 def _partitions(df: DataFrame) -> int:
@@ -57,7 +57,9 @@ def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str,
         F.coalesce(F.sum("__t").over(Window.partitionBy(*strata).orderBy("__slice")
                                      .rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("__offset"))
-    joined = join_null_safe(local, offsets, strata + ["__slice"], "inner")
+    # offsets hold one row per (stratum, slice): at most partitions + strata
+    # rows, counted before broadcasting
+    joined = join_null_safe(local, broadcast_if_small(offsets), strata + ["__slice"], "inner")
     joined = joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
     if keep_slice:
         joined = joined.withColumnRenamed("__slice", "slice")
@@ -94,7 +96,9 @@ def mid_ranks(df: DataFrame, strata: Sequence[str], value: str,
     strata = list(strata)
     ranked = ranked_histogram(df, strata, value, partitions=partitions) \
         .select(*strata, value, F.col("mid_rank").alias(out))
-    return join_null_safe(df, ranked, strata + [value], "left")
+    # few distinct values (heavy ties) -> a small rank table, broadcast after
+    # counting it; otherwise a shuffle join (AQE splits hot values)
+    return join_null_safe(df, broadcast_if_small(ranked), strata + [value], "left")
 
 
 def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],

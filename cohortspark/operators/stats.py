@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import pvalues as P
 from ..session import cut_lineage
-from .joins import join_null_safe
+from .joins import broadcast_if_small, join_null_safe
 from .ranks import ranked_histogram
 from .reshape import spread_columns
 
@@ -217,8 +217,10 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
         *keys_r, F.col("__v").alias("__x"), F.col("mid_rank").alias("__rx"))
     ry = ranked.filter(F.col("__var") == "y").select(
         *keys_r, F.col("__v").alias("__y"), F.col("mid_rank").alias("__ry"))
-    j = join_null_safe(join_null_safe(src, rx, keys_r + ["__x"], "inner"), ry,
-                       keys_r + ["__y"], "inner")
+    # a count-valued variable has few distinct values: its rank table is then
+    # broadcast (after counting it) instead of a join keyed by a few hot values
+    j = join_null_safe(join_null_safe(src, broadcast_if_small(rx), keys_r + ["__x"], "inner"),
+                       broadcast_if_small(ry), keys_r + ["__y"], "inner")
     out = pearson(j, keys_r, "__rx", "__ry", name)
     return out if keys else out.drop("__all")
 

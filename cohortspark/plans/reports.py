@@ -78,7 +78,7 @@ def fig3b_strip(inp: Inputs, group: str = "group5", panel: Sequence[str] = PANEL
                                       FIXTURE_CUTOFF, detected="n"))
     sizes = M.count_by(per, [group], "n_ind")
     ranked = M.rank_strip(per, group, "n", "lab_id", materialize=False)
-    out = attach(ranked, sizes, [group])
+    out = attach(ranked, sizes, [group], check_broadcast=True)
     return out.withColumn("group_label",
                           C.size_label(C.relabel(group, COHORT_PLOT_LABELS), "n_ind", " "))
 
