@@ -144,7 +144,9 @@ def bonferroni(tests: DataFrame, p: str = "p", family: Sequence[str] = (),
     """min(1, p * m), m = number of non-NULL p in the family (the test table
     has one row per test, so the window is small)."""
     w = Window.partitionBy(*family) if family else Window.partitionBy()
-    return tests.withColumn(name, F.least(F.lit(1.0), F.col(p) * F.count(p).over(w)))
+    # least() skips NULLs: guard so an undefined p stays undefined
+    return tests.withColumn(name, F.when(F.col(p).isNotNull(),
+                                         F.least(F.lit(1.0), F.col(p) * F.count(p).over(w))))
 
 
 def add_significance(tests: DataFrame, p: str = "p", name: str | None = None) -> DataFrame:

@@ -266,8 +266,10 @@ def chi_square_labels(inp: Inputs, with_p: bool = False) -> DataFrame:
     out = out.select(F.col("c00").alias("a"), F.col("c01").alias("b"), F.col("c10").alias("c"),
                      F.col("c11").alias("d"),
                      (F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")).alias("n"),
-                     r6("chi2").alias("chi2"), "df")
-    return S.add_chi2_pvalue(out) if with_p else out
+                     "chi2", "df")
+    if with_p:
+        out = S.add_chi2_pvalue(out).withColumn("p", r6("p"))
+    return out.withColumn("chi2", r6("chi2"))
 
 
 def rank_sum_events(inp: Inputs, with_p: bool = False) -> DataFrame:
@@ -278,8 +280,9 @@ def rank_sum_events(inp: Inputs, with_p: bool = False) -> DataFrame:
         t = S.add_rank_pvalue(t, "rank_sum")
         t = S.bonferroni(t, "p")
         t = S.add_significance(t, "p_adj", "p_adj_signif")
-        return t.select("event_type", "group1", "group2", "n1", "n2", "statistic", "z",
-                        "exact", "p", "p_adj", "p_adj_signif")
+        return t.select("event_type", "group1", "group2", "n1", "n2",
+                        r6("statistic").alias("statistic"), r6("z").alias("z"), "exact",
+                        r6("p").alias("p"), r6("p_adj").alias("p_adj"), "p_adj_signif")
     return t.select("event_type", "group1", "group2", "n1", "n2",
                     r6("statistic").alias("statistic"), r6("z").alias("z"))
 

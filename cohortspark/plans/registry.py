@@ -22,8 +22,9 @@ from . import operator_tables as T
 from . import reports as R
 from .context import Inputs
 from .reports import NONCONTROL4, SEROPOSITIVE3
-from .sqltext import (case_map, col_name, floor_expr, in_list, log2_expr, mid_rank_expr,
-                      panel_cte, plot_label, size_label)
+from .sqltext import (adjusted_expr, case_map, col_name, erfc_expr, floor_expr, in_list,
+                      correlation_p_cte, log2_expr, mid_rank_expr, normal_p_expr, panel_cte,
+                      plot_label, signif_expr, size_label, stat_label_expr)
 from .sqltext import q as sq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,7 +150,7 @@ binned AS (
 )"""
 
 
-def _chi2_sql(row_cte: str) -> str:
+def _chi2_sql(row_cte: str, with_p: bool = False) -> str:
     """Yates chi-square over a CTE ``cells(a, b, c, d)``."""
     ea = "((a + b) * (a + c) / n)"
     eb = "((a + b) * (b + d) / n)"
@@ -158,18 +159,22 @@ def _chi2_sql(row_cte: str) -> str:
     y = f"least(0.5, abs(a - {ea}), abs(b - {eb}), abs(c - {ec}), abs(d - {ed}))"
     terms = " + ".join(f"pow(abs({o} - {e}) - {y}, 2) / {e}"
                        for o, e in (("a", ea), ("b", eb), ("c", ec), ("d", ed)))
+    pcol = (", round(CASE WHEN x IS NOT NULL THEN "
+            + erfc_expr("sqrt(greatest(x, 0.0) / 2.0)") + " END, 6) AS p") if with_p else ""
     return row_cte + f""", cellsd AS (
   SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c,
          CAST(d AS DOUBLE) AS d, CAST(a + b + c + d AS DOUBLE) AS n,
          a AS ai, b AS bi, c AS ci, d AS di
   FROM cells
+), chi AS (
+  SELECT ai, bi, ci, di, {terms} AS x FROM cellsd
 )
 SELECT ai AS a, bi AS b, ci AS c, di AS d, CAST(ai + bi + ci + di AS BIGINT) AS n,
-       round({terms}, 6) AS chi2, CAST(1 AS BIGINT) AS df
-FROM cellsd"""
+       round(x, 6) AS chi2, CAST(1 AS BIGINT) AS df{pcol}
+FROM chi"""
 
 
-def _chi2_assay_sql(group: str) -> str:
+def _chi2_assay_sql(group: str, with_p: bool = False) -> str:
     cells = _contingency_cte(group) + f""", cells AS (
   SELECT CAST(coalesce(max(CASE WHEN {group} = 'Controls' THEN less_than_2 END), 0) AS BIGINT) AS a,
          CAST(coalesce(max(CASE WHEN {group} = 'Controls' THEN more_than_2 END), 0) AS BIGINT) AS b,
@@ -177,7 +182,7 @@ def _chi2_assay_sql(group: str) -> str:
          CAST(coalesce(max(CASE WHEN {group} = 'Exposed Seronegative' THEN more_than_2 END), 0) AS BIGINT) AS d
   FROM contingency
 )"""
-    return with_fixture(_chi2_sql(cells))
+    return with_fixture(_chi2_sql(cells, with_p))
 
 
 @register("contingency_2x2", with_fixture(_contingency_cte("group5") + "\nSELECT * FROM contingency"))
@@ -201,16 +206,25 @@ def q_regrouped_chi_square_yates(inp):
     return R.chi_square(inp, "group5b")
 
 
-@register("fig3_chi_square")
+@register("fig3_chi_square", _chi2_assay_sql("group5", True))
 def q_fig3_chi_square(inp):
     return R.chi_square(inp, with_p=True)
 
 
-@register("regrouped_fig3_chi_square")
+@register("regrouped_fig3_chi_square", _chi2_assay_sql("group5b", True))
 def q_regrouped_fig3_chi_square(inp):
     return R.chi_square(inp, "group5b", with_p=True)
 
 
+_LABEL_CELLS = """, cells AS (
+  SELECT count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS a,
+         count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS b,
+         count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS c,
+         count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS d
+  FROM labels
+)""".replace(", cells AS", "WITH cells AS", 1)
+
+
 @register("chi_square_labels", _chi2_sql(""", cells AS (
   SELECT count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS a,
          count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS b,
@@ -222,7 +236,7 @@ def q_chi_square_labels(inp):
     return T.chi_square_labels(inp)
 
 
-@register("chi_square_labels_pvalue")
+@register("chi_square_labels_pvalue", _chi2_sql(_LABEL_CELLS, True))
 def q_chi_square_labels_pvalue(inp):
     return T.chi_square_labels(inp, with_p=True)
 
@@ -340,11 +354,18 @@ def _pairs_cte() -> str:
   SELECT group1, group2, CAST(count(*) AS DOUBLE) AS n,
          sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS v
   FROM rk GROUP BY 1, 2
-), srt AS (
-  SELECT agg.group1, agg.group2, CAST(n AS BIGINT) AS n, round(v, 6) AS statistic,
-         round(((v - n * (n + 1) / 4.0) - sign(v - n * (n + 1) / 4.0) * 0.5)
-               / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) AS z
+), zer AS (
+  SELECT group1, group2, count(CASE WHEN d = 0 THEN 1 END) AS zeros
+  FROM pairs WHERE d IS NOT NULL GROUP BY 1, 2
+), sraw AS (
+  SELECT agg.group1, agg.group2, n, v, ties, zer.zeros,
+         ((v - n * (n + 1) / 4.0) - sign(v - n * (n + 1) / 4.0) * 0.5)
+           / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z
   FROM agg JOIN tie ON agg.group1 = tie.group1 AND agg.group2 = tie.group2
+           JOIN zer ON agg.group1 = zer.group1 AND agg.group2 = zer.group2
+), srt AS (
+  SELECT group1, group2, CAST(n AS BIGINT) AS n, round(v, 6) AS statistic, round(z, 6) AS z
+  FROM sraw
 )"""
 
 
@@ -363,7 +384,21 @@ def q_selected_comparisons(inp):
     return S.select_pairs(R.signed_rank_pairs(inp), _PICKED)
 
 
-@register("fig2b_tests")
+@register("fig2b_tests", with_fixture(_pairs_cte() + f""", pv AS (
+  SELECT *, {normal_p_expr('z')} AS p FROM sraw
+), adj AS (
+  SELECT *, {adjusted_expr('p')} AS p_adj FROM pv
+), s AS (
+  SELECT antigen FROM assay
+  WHERE {_S3} AND antigen IN {in_list(PANEL4)} AND value IS NOT NULL
+), lab AS (
+  SELECT antigen, {size_label('antigen', 'count(*)', '')} AS antigen_label FROM s GROUP BY 1
+)
+SELECT adj.group1, adj.group2, l1.antigen_label AS group1_label, l2.antigen_label AS group2_label,
+       CAST(n AS BIGINT) AS n, CAST(zeros AS BIGINT) AS zeros, round(v, 6) AS statistic,
+       round(z, 6) AS z, (n < 50 AND ties = 0 AND zeros = 0) AS exact,
+       round(p, 6) AS p, round(p_adj, 6) AS p_adj, {signif_expr('p_adj')} AS p_adj_signif
+FROM adj LEFT JOIN lab l1 ON adj.group1 = l1.antigen LEFT JOIN lab l2 ON adj.group2 = l2.antigen"""))
 def q_fig2b_tests(inp):
     return R.signed_rank_pairs(inp, with_p=True)
 
@@ -425,12 +460,23 @@ def q_regression_titre2(inp):
     return R.regression_log_log(inp, "igg")
 
 
-@register("fig4a_correlation")
+def _fig4a_sql(titre: str) -> str:
+    return with_fixture(_loglog_cte(titre) + """, cor AS (
+  SELECT antigen, count(CASE WHEN lx IS NOT NULL AND ly IS NOT NULL THEN 1 END) AS n,
+         corr(ly, lx) AS r, regr_slope(ly, lx) AS slope, regr_intercept(ly, lx) AS intercept
+  FROM pts GROUP BY 1
+)""" + correlation_p_cte("cor", "r", "n") + f"""
+SELECT antigen, n, round(r, 6) AS r, round(p, 6) AS p, round(slope, 6) AS slope,
+       round(intercept, 6) AS intercept, {stat_label_expr('r', 'p', 'R')} AS label
+FROM cp""")
+
+
+@register("fig4a_correlation", _fig4a_sql("roche"))
 def q_fig4a_correlation(inp):
     return R.fig4a_correlation(inp)
 
 
-@register("fig4a_titre2")
+@register("fig4a_titre2", _fig4a_sql("igg"))
 def q_fig4a_titre2(inp):
     return R.fig4a_correlation(inp, "igg")
 
@@ -469,17 +515,36 @@ def q_regrouped_spearman_igg(inp):
     return R.spearman_table(inp, "group5b", NONCONTROL4, "igg")
 
 
-@register("fig4b_spearman")
+def _fig4b_sql(group: str, groups, titre: str, cols: str | None = None) -> str:
+    cols = cols or f"grp AS \"group\", n, round(rho, 6) AS rho, round(p, 6) AS p, " \
+                   f"{stat_label_expr('rho', 'p', 'rho')} AS label"
+    return with_fixture(panel_cte("panel", group, PANEL4, CUT, detected="n") + _TITRES + f""", pts AS (
+  SELECT p.{group} AS grp, CAST(p.n AS DOUBLE) AS x, t.{titre} AS y
+  FROM panel p LEFT JOIN titres t ON p.lab_id = t.lab_id
+  WHERE p.{group} IN {in_list(groups)} AND t.{titre} > 0
+), rk AS (
+  SELECT grp, {mid_rank_expr('grp', 'x')} AS rx, {mid_rank_expr('grp', 'y')} AS ry FROM pts
+), rk_all AS (
+  SELECT {mid_rank_expr('', 'x')} AS rx, {mid_rank_expr('', 'y')} AS ry FROM pts
+), rho AS (
+  SELECT grp, count(*) AS n, corr(rx, ry) AS rho FROM rk GROUP BY 1
+  UNION ALL
+  SELECT 'all' AS grp, count(*) AS n, corr(rx, ry) AS rho FROM rk_all
+)""" + correlation_p_cte("rho", "rho", "n") + f"""
+SELECT {cols} FROM cp""")
+
+
+@register("fig4b_spearman", _fig4b_sql("group5", SEROPOSITIVE3, "roche"))
 def q_fig4b_spearman(inp):
     return R.fig4b_spearman(inp)
 
 
-@register("regrouped_fig4b")
+@register("regrouped_fig4b", _fig4b_sql("group5b", NONCONTROL4, "roche"))
 def q_regrouped_fig4b(inp):
     return R.fig4b_spearman(inp, "group5b", NONCONTROL4, "roche")
 
 
-@register("regrouped_fig4c")
+@register("regrouped_fig4c", _fig4b_sql("group5b", NONCONTROL4, "igg"))
 def q_regrouped_fig4c(inp):
     return R.fig4b_spearman(inp, "group5b", NONCONTROL4, "igg")
 
@@ -511,21 +576,42 @@ def _rank_sum_sql(src_cte: str, stratum: str, group: str, g1: str, g2: str) -> s
 ), w AS (
   SELECT agg.{stratum}, n1, n2, r1 - n1 * (n1 + 1) / 2 AS stat, ties
   FROM agg JOIN tie ON agg.{stratum} = tie.{stratum}
+), rsraw AS (
+  SELECT {stratum}, {sq(g1)} AS group1, {sq(g2)} AS group2, n1, n2, stat, ties,
+         ((stat - n1 * n2 / 2) - sign(stat - n1 * n2 / 2) * 0.5)
+           / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z
+  FROM w
+), rsp AS (
+  SELECT *, {normal_p_expr('z')} AS p FROM rsraw
+), rsa AS (
+  SELECT *, {adjusted_expr('p')} AS p_adj, (n1 < 50 AND n2 < 50 AND ties = 0) AS exact FROM rsp
 )
-SELECT {stratum}, {sq(g1)} AS group1, {sq(g2)} AS group2,
-       CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(stat, 6) AS statistic,
-       round(((stat - n1 * n2 / 2) - sign(stat - n1 * n2 / 2) * 0.5)
-             / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z
-FROM w"""
+SELECT {stratum}, group1, group2, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
+       round(stat, 6) AS statistic, round(z, 6) AS z{{extra}}
+FROM rsa"""
 
 
-@register("rank_sum_by_stratum", with_fixture(_rank_sum_sql(_WT, "antigen", "sero_igg",
-                                                             "Negative", "Positive")))
+_P_COLS = (", exact, round(p, 6) AS p, round(p_adj, 6) AS p_adj, "
+           + signif_expr("p_adj") + " AS p_adj_signif")
+_S1_SQL = _rank_sum_sql(_WT, "antigen", "sero_igg", "Negative", "Positive")
+
+
+def _with_cols(sql: str, extra: str = "", select: str | None = None) -> str:
+    sql = sql.replace("{extra}", extra)
+    if select is not None:
+        head, _, _ = sql.rpartition("SELECT ")
+        sql = head + select + "\nFROM rsa"
+    return sql
+
+
+@register("rank_sum_by_stratum", with_fixture(_with_cols(_S1_SQL)))
 def q_rank_sum_by_stratum(inp):
     return R.rank_sum_by_stratum(inp)
 
 
-@register("figS1_rank_sum")
+@register("figS1_rank_sum", with_fixture(_with_cols(_S1_SQL, (
+    ", exact, round(p, 6) AS p, " + signif_expr("p") + " AS p_signif, round(p_adj, 6) AS p_adj, "
+    + signif_expr("p_adj") + " AS p_adj_signif"))))
 def q_figS1_rank_sum(inp):
     return R.rank_sum_by_stratum(inp, with_p=True)
 
@@ -550,12 +636,15 @@ _EVENTS = """WITH wt AS (
 )"""
 
 
-@register("rank_sum_events", _rank_sum_sql(_EVENTS, "event_type", "half", "even", "odd"))
+_EV_SQL = _rank_sum_sql(_EVENTS, "event_type", "half", "even", "odd")
+
+
+@register("rank_sum_events", _with_cols(_EV_SQL))
 def q_rank_sum_events(inp):
     return T.rank_sum_events(inp)
 
 
-@register("rank_sum_events_pvalues")
+@register("rank_sum_events_pvalues", _with_cols(_EV_SQL, _P_COLS))
 def q_rank_sum_events_pvalues(inp):
     return T.rank_sum_events(inp, with_p=True)
 
@@ -904,19 +993,22 @@ def q_category_pairs(inp):
 
 # ------------------------------------------- inference helpers (I3, I4, I9) --
 
-@register("bonferroni")
+@register("bonferroni", with_fixture(_with_cols(
+    _S1_SQL, select="SELECT antigen, group1, group2, round(p, 6) AS p, round(p_adj, 6) AS p_adj")))
 def q_bonferroni(inp):
     return R.rank_sum_by_stratum(inp, with_p=True).select(
         "antigen", "group1", "group2", "p", "p_adj")
 
 
-@register("significance")
+@register("significance", with_fixture(_with_cols(_S1_SQL, select=(
+    "SELECT antigen, group1, group2, round(p, 6) AS p, " + signif_expr("p") + " AS p_signif, "
+    "round(p_adj, 6) AS p_adj, " + signif_expr("p_adj") + " AS p_adj_signif"))))
 def q_significance(inp):
     return R.rank_sum_by_stratum(inp, with_p=True).select(
         "antigen", "group1", "group2", "p", "p_signif", "p_adj", "p_adj_signif")
 
 
-@register("stat_label")
+@register("stat_label", _fig4b_sql("group5", SEROPOSITIVE3, "roche"))
 def q_stat_label(inp):
     return R.fig4b_spearman(inp).select("group", "n", "rho", "p", "label")
 

@@ -107,8 +107,10 @@ def chi_square(inp: Inputs, group: str = "group5",
                 cell(g2, "less_than_2").alias("c"), cell(g2, "more_than_2").alias("d"))
     out = S.chi_square_yates(row, "a", "b", "c", "d")
     out = out.select("a", "b", "c", "d", (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("n"),
-                     r6("chi2").alias("chi2"), "df")
-    return S.add_chi2_pvalue(out) if with_p else out
+                     "chi2", "df")
+    if with_p:
+        out = S.add_chi2_pvalue(out).withColumn("p", r6("p"))
+    return out.withColumn("chi2", r6("chi2"))
 
 
 def status_in_cohort(inp: Inputs, group: str = "group5",
@@ -193,7 +195,8 @@ def signed_rank_pairs(inp: Inputs, with_p: bool = False) -> DataFrame:
             out = out.join(sizes.withColumnRenamed("antigen", g)
                            .withColumnRenamed("antigen_label", f"{g}_label"), g, "left")
         return out.select("group1", "group2", "group1_label", "group2_label", "n", "zeros",
-                          "statistic", "z", "exact", "p", "p_adj", "p_adj_signif")
+                          r6("statistic").alias("statistic"), r6("z").alias("z"), "exact",
+                          r6("p").alias("p"), r6("p_adj").alias("p_adj"), "p_adj_signif")
     return out.select("group1", "group2", "n", r6("statistic").alias("statistic"),
                       r6("z").alias("z"))
 
@@ -224,8 +227,9 @@ def fig4a_correlation(inp: Inputs, titre: str = "roche") -> DataFrame:
     r = S.pearson(pts, ["antigen"], "lx", "ly")
     r = S.add_correlation_pvalue(r, "r")
     line = S.fit_line(pts, ["antigen"], "lx", "ly").drop("n")
-    out = r.join(line, "antigen")
-    return S.stat_label(out, "r", "p", "R")
+    out = S.stat_label(r.join(line, "antigen"), "r", "p", "R")
+    return out.select("antigen", "n", r6("r").alias("r"), r6("p").alias("p"),
+                      r6("slope").alias("slope"), r6("intercept").alias("intercept"), "label")
 
 
 def detected_with_titre(inp: Inputs, group: str, groups: Sequence[str], titre: str) -> DataFrame:
@@ -259,8 +263,8 @@ def fig4b_spearman(inp: Inputs, group: str = "group5", groups=SEROPOSITIVE3,
                                 F.lit(None).cast("string").alias("group"), "x", "titre"))
     out = S.spearman(both, ["scope", "group"], "x", "titre")
     out = out.withColumn("group", F.coalesce("group", F.lit("all"))).drop("scope")
-    out = S.add_correlation_pvalue(out, "rho")
-    return S.stat_label(out, "rho", "p", "rho")
+    out = S.stat_label(S.add_correlation_pvalue(out, "rho"), "rho", "p", "rho")
+    return out.select("group", "n", r6("rho").alias("rho"), r6("p").alias("p"), "label")
 
 
 # ----------------------------------------------------------- Figure S1 -----
@@ -281,8 +285,9 @@ def rank_sum_by_stratum(inp: Inputs, with_p: bool = False) -> DataFrame:
         t = S.add_significance(t, "p", "p_signif")
         t = S.bonferroni(t, "p")
         t = S.add_significance(t, "p_adj", "p_adj_signif")
-        return t.select("antigen", "group1", "group2", "n1", "n2", "statistic", "z", "exact",
-                        "p", "p_signif", "p_adj", "p_adj_signif")
+        return t.select("antigen", "group1", "group2", "n1", "n2",
+                        r6("statistic").alias("statistic"), r6("z").alias("z"), "exact",
+                        r6("p").alias("p"), "p_signif", r6("p_adj").alias("p_adj"), "p_adj_signif")
     return t.select("antigen", "group1", "group2", "n1", "n2",
                     r6("statistic").alias("statistic"), r6("z").alias("z"))
 
