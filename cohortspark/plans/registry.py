@@ -994,18 +994,19 @@ def q_category_pairs(inp):
 # ------------------------------------------- inference helpers (I3, I4, I9) --
 
 @register("bonferroni", with_fixture(_with_cols(
-    _S1_SQL, select="SELECT antigen, group1, group2, round(p, 6) AS p, round(p_adj, 6) AS p_adj")))
+    _S1_SQL, select="SELECT antigen, group1, group2, exact, round(p, 6) AS p, "
+                    "round(p_adj, 6) AS p_adj")))
 def q_bonferroni(inp):
     return R.rank_sum_by_stratum(inp, with_p=True).select(
-        "antigen", "group1", "group2", "p", "p_adj")
+        "antigen", "group1", "group2", "exact", "p", "p_adj")
 
 
 @register("significance", with_fixture(_with_cols(_S1_SQL, select=(
-    "SELECT antigen, group1, group2, round(p, 6) AS p, " + signif_expr("p") + " AS p_signif, "
+    "SELECT antigen, group1, group2, exact, round(p, 6) AS p, " + signif_expr("p") + " AS p_signif, "
     "round(p_adj, 6) AS p_adj, " + signif_expr("p_adj") + " AS p_adj_signif"))))
 def q_significance(inp):
     return R.rank_sum_by_stratum(inp, with_p=True).select(
-        "antigen", "group1", "group2", "p", "p_signif", "p_adj", "p_adj_signif")
+        "antigen", "group1", "group2", "exact", "p", "p_signif", "p_adj", "p_adj_signif")
 
 
 @register("stat_label", _fig4b_sql("group5", SEROPOSITIVE3, "roche"))
