@@ -1,8 +1,9 @@
 """Query registry: every implemented query with its DuckDB oracle.
 
 ``QUERIES[key](spark, sf_dir) -> DataFrame``; ``ORACLES[key]`` is the SQL
-text DuckDB runs on the same parquet tables (absent for rows-only keys whose
-columns include p-values, which SQL engines cannot compute).
+text DuckDB runs on the same parquet tables, written independently of the
+Spark plan (windows and self-joins where Spark uses distributed histograms;
+series and continued fractions where Spark calls library distributions).
 """
 
 from __future__ import annotations
@@ -712,11 +713,6 @@ def q_rename_analytes(inp):
 
 
 @register("recode_antigen", with_fixture("""
-SELECT r.lab_id, r.antigen_raw, l.antigen
-FROM assay_raw r JOIN assay_long l ON r.lab_id = l.lab_id AND r.value IS NOT DISTINCT FROM l.value
- AND r.visit_date = l.visit_date AND r.antigen_raw IS NOT DISTINCT FROM r.antigen_raw
-WHERE false
-UNION ALL
 SELECT lab_id, antigen_raw, """ + case_map("antigen_raw", dict(zip(_RAW6, _ANALYTES6))) +
                                           " AS antigen FROM assay_raw"))
 def q_recode_antigen(inp):
