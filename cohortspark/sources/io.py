@@ -59,3 +59,18 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     if fmt == "csv":
         options.setdefault("header", "true")
     writer.options(**options).save(path)
+
+
+def write_bucketed(df: DataFrame, table: str, by: list[str], buckets: int,
+                   path: str | None = None, mode: str = "overwrite") -> None:
+    """Write ``df`` as a catalog table bucketed (and sorted) by ``by``.
+
+    The long assay table is read by every per-subject aggregation; stored
+    bucketed by the subject key, those aggregations (and joins with a subject
+    table bucketed the same way) read co-located buckets instead of
+    shuffling.  ``path`` should point at shared storage on a cluster.
+    """
+    w = df.write.mode(mode).format("parquet").bucketBy(buckets, *by).sortBy(*by)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

@@ -36,3 +36,25 @@ def test_rowwise_on_stream_equals_batch(spark):
         io.read_assay(spark, base + "/in"), 2000.0, 0.01, ANALYTE_SHORT_NAMES))
     exp = {r.antigen: (r.n, r.n_above) for r in batch.collect()}
     assert got == exp and len(got) == 7
+
+
+def test_bucketed_assay_needs_no_shuffle_for_subject_panel(spark):
+    from cohortspark.operators import cohort as K
+    from cohortspark.sources.fixture import assay
+    path = tempfile.mkdtemp(prefix="cohortspark-bucket-") + "/assay"
+    io.write_bucketed(assay(spark, SF_SMALL).select("lab_id", "group5", "antigen", "value"),
+                      "cs_assay_bucketed", ["lab_id"], 8, path=path)
+    t = spark.table("cs_assay_bucketed")
+    panel = K.subject_panel(t, "lab_id", "group5", "antigen", "value", ["NC", "M", "SCT"], 2000.0)
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    direct = K.subject_panel(assay(spark, SF_SMALL), "lab_id", "group5", "antigen", "value",
+                             ["NC", "M", "SCT"], 2000.0)
+    assert sorted(map(tuple, panel.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_scale_settings():
+    from cohortspark.session import scale_settings
+    s = scale_settings(100 * 1024 ** 4, 8000)
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_settings(1024, 8)["spark.sql.shuffle.partitions"]) == 24
