@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .joins import join_null_safe
+from .joins import broadcast_if_small, join_null_safe
 from .ranks import ranked_histogram, row_positions
 
 
@@ -40,7 +40,9 @@ def _middle_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     ranked = ranked_histogram(df, keys, value)
     sizes = ranked.groupBy(*keys).agg(F.sum("c").alias("__n"))
-    r = join_null_safe(ranked, sizes, keys, "inner")
+    # one row per stratum, counted then broadcast: a shuffle join keyed by
+    # the stratum would put each stratum's whole histogram in one task
+    r = join_null_safe(ranked, broadcast_if_small(sizes), keys, "inner")
     k_lo = F.floor((F.col("__n") + 1) / 2)
     k_hi = F.floor(F.col("__n") / 2) + 1
     hit = lambda k: (F.col("cum_before") < k) & (k <= F.col("cum_before") + F.col("c"))
