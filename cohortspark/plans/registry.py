@@ -287,6 +287,32 @@ def q_fig2c_counts(inp):
     return R.fig2c_counts(inp)
 
 
+def _median_log2_sql(where: str, keys: str) -> str:
+    return with_fixture(f""", s AS (
+  SELECT {keys}, {floor_expr('value', PLOT_FLOOR)} AS v
+  FROM assay WHERE antigen IN {in_list(PANEL4)} AND {where} AND value IS NOT NULL
+), r AS (
+  SELECT {keys}, v,
+         row_number() OVER (PARTITION BY {keys} ORDER BY v) AS k,
+         count(*) OVER (PARTITION BY {keys}) AS n
+  FROM s
+)
+SELECT {keys},
+       round(pow(2, (ln(max(CASE WHEN k = (n + 1) // 2 THEN v END)) / ln(2)
+                  + ln(max(CASE WHEN k = n // 2 + 1 THEN v END)) / ln(2)) / 2), 6) AS median
+FROM r GROUP BY ALL""")
+
+
+@register("fig2b_medians", _median_log2_sql(f"group5 IN {in_list(SEROPOSITIVE3)}", "antigen"))
+def q_fig2b_medians(inp):
+    return R.fig2_medians(inp, SEROPOSITIVE3, by_group=False)
+
+
+@register("fig2c_medians", _median_log2_sql("group5 IS NOT NULL", "antigen, group5"))
+def q_fig2c_medians(inp):
+    return R.fig2_medians(inp, None)
+
+
 @register("median_log2", with_fixture(f""", s AS (
   SELECT antigen, group5, {floor_expr('value', PLOT_FLOOR)} AS v
   FROM assay WHERE antigen IN {in_list(PANEL4)}

@@ -154,11 +154,17 @@ def fig2c_counts(inp: Inputs) -> DataFrame:
     return zero_split_table(inp, None)
 
 
-def fig2_medians(inp: Inputs, groups: Sequence[str] = (CONTROLS, PCR_SEROPOSITIVE)) -> DataFrame:
-    """Medians drawn in Fig. 2A (log2 axis) per analyte x cohort."""
-    s = _floored(inp, list(groups), PLOT_FLOOR)
-    m = M.median_log2(s, ["antigen", "group5"], "value")
-    return m.select("antigen", "group5", r6("median").alias("median"))
+def fig2_medians(inp: Inputs, groups: Sequence[str] | None = (CONTROLS, PCR_SEROPOSITIVE),
+                 by_group: bool = True) -> DataFrame:
+    """Medians drawn on the log2 axis of Fig. 2A (per analyte x cohort),
+    2B (per analyte over the three seropositive/PCR+ cohorts) and 2C (per
+    analyte x cohort, all cohorts; subjects without a cohort are not drawn)."""
+    s = _floored(inp, list(groups) if groups else None, PLOT_FLOOR)
+    if groups is None:
+        s = s.filter(F.col("group5").isNotNull())
+    keys = ["antigen", "group5"] if by_group else ["antigen"]
+    m = M.median_log2(s, keys, "value")
+    return m.select(*keys, r6("median").alias("median"))
 
 
 def analyte_sizes(inp: Inputs) -> DataFrame:
