@@ -12,12 +12,17 @@ Wilcoxon distributions.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# The UDFs below are shipped to Python workers by value, so executors need
+# nothing but the standard library and pandas (not this package) to run them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def normal_two_sided(z: float) -> float:
     """2 * min(P(Z <= z), P(Z >= z))."""
@@ -92,7 +97,6 @@ def correlation_p(r: float, n: int) -> float:
     return t_two_sided(r * math.sqrt(df / (1.0 - r * r)), df)
 
 
-@lru_cache(maxsize=256)
 def _signrank_counts(n: int) -> tuple:
     # counts[v] = number of subsets of {1..n} whose sum is v
     top = n * (n + 1) // 2
@@ -123,7 +127,6 @@ def signrank_exact_two_sided(v: float, n: int) -> float:
     return min(2.0 * p, 1.0)
 
 
-@lru_cache(maxsize=256)
 def _ranksum_counts(m: int, n: int) -> tuple:
     # counts[w] = number of ways the first sample (size m) gets U-statistic w
     # f(i, j) over samples of size i and j, built column by column.

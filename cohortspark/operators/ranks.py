@@ -30,10 +30,6 @@ from ..session import cut_lineage
 from .joins import broadcast_if_small, join_null_safe
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str,
                     weight: str = "c", out: str = "cum_before",
                     partitions: int | None = None, keep_slice: bool = False) -> DataFrame:
@@ -41,9 +37,12 @@ def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str,
     ``order`` value is smaller.  ``(strata, order)`` must be unique in
     ``hist``.  ``keep_slice`` keeps the range-slice id (for inspection)."""
     strata = list(strata)
-    parts = partitions or _partitions(hist)
-    ranged = (hist.repartitionByRange(parts, *[F.col(s) for s in strata], F.col(order))
-              .withColumn("__slice", F.spark_partition_id()))
+    cols = [F.col(s) for s in strata] + [F.col(order)]
+    # Without an explicit count the range exchange uses the session's shuffle
+    # partitions and AQE may merge adjacent small slices; merged slices stay
+    # contiguous and in order, which is all the offsets below rely on.
+    ranged = (hist.repartitionByRange(partitions, *cols) if partitions
+              else hist.repartitionByRange(*cols)).withColumn("__slice", F.spark_partition_id())
     in_slice = Window.partitionBy(*strata, "__slice")
     local = (ranged
              .withColumn("__local", F.coalesce(
