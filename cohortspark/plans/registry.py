@@ -1058,3 +1058,16 @@ SELECT *,
 FROM w"""))
 def q_subject_summary(inp):
     return T.subject_summary(inp)
+
+
+@register("fig3_detection_tables", with_fixture(
+    panel_cte("p3", "group5", PANEL3, CUT) + panel_cte("p4", "group5", PANEL4, CUT) + """, per AS (
+  SELECT 'k3' AS panel, group5, detected FROM p3
+  UNION ALL
+  SELECT 'k4' AS panel, group5, detected FROM p4
+), dist AS (SELECT panel, group5, detected, count(*) AS n FROM per GROUP BY 1, 2, 3)
+SELECT panel, group5, detected, n, CAST(sum(n) OVER (PARTITION BY panel, group5) AS BIGINT) AS n_ind,
+       round(n / sum(n) OVER (PARTITION BY panel, group5) * 100.0, 6) AS prop
+FROM dist"""))
+def q_fig3_detection_tables(inp):
+    return R.fig3_detection_tables(inp)

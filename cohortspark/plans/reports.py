@@ -321,3 +321,20 @@ def regression_kinetics(inp: Inputs) -> DataFrame:
         .withColumn("days", C.days_between("visit_date", "test_date").cast("double"))
     f = S.fit_line(a.filter(F.col("days") > 100), ["antigen"], "days", "ly")
     return f.select("antigen", "n", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
+
+
+def fig3_detection_tables(inp: Inputs, group: str = "group5") -> DataFrame:
+    """Both Figure 3 tables (3 and 4 analytes) from ONE per-subject
+    aggregation: the summary carries each panel's completeness and count, so
+    the assay table is scanned and shuffled once for both distributions."""
+    from pyspark.sql import Window
+    summ = K.subject_summary(inp.assay(), "lab_id", group, "antigen", "value",
+                             {"k3": PANEL3, "k4": PANEL4}, FIXTURE_CUTOFF)
+    per = summ.select(group, F.explode(F.array(
+        F.struct(F.lit("k3").alias("panel"), F.col("detected_k3").alias("detected")),
+        F.struct(F.lit("k4").alias("panel"), F.col("detected_k4").alias("detected")))).alias("__p")) \
+        .select(group, "__p.panel", "__p.detected").filter(F.col("detected").isNotNull())
+    dist = per.groupBy("panel", group, "detected").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("panel", group)  # a distribution table: tiny
+    return (dist.withColumn("n_ind", F.sum("n").over(w))
+            .withColumn("prop", r6(F.col("n") / F.col("n_ind") * F.lit(100.0))))
