@@ -240,10 +240,13 @@ def spread_analytes(inp: Inputs) -> DataFrame:
 
 
 def spread_duplicates(inp: Inputs) -> DataFrame:
-    li = inp.table("lineitem").select(
-        F.col("l_orderkey").alias("lab_id"),
-        _map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL).alias("antigen_raw"))
-    return H.duplicate_keys(li, ["lab_id", "antigen_raw"])
+    """(subject, raw label) keys that occur more than once in the raw rows:
+    what the duplicate guard of ``spread`` would reject.  Counted on the
+    integer line number, labelled afterwards."""
+    li = inp.table("lineitem").select(F.col("l_orderkey").alias("lab_id"), "l_linenumber")
+    dup = H.duplicate_keys(li, ["lab_id", "l_linenumber"])
+    return dup.select("lab_id", _map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL)
+                      .alias("antigen_raw"), "n")
 
 
 def gather_analytes(inp: Inputs) -> DataFrame:
