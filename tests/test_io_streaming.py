@@ -58,3 +58,9 @@ def test_scale_settings():
     s = scale_settings(100 * 1024 ** 4, 8000)
     assert int(s["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_settings(1024, 8)["spark.sql.shuffle.partitions"]) == 24
+
+
+def test_cli_lists_and_writes(spark, capsys):
+    from cohortspark.__main__ import main
+    assert main(["list"]) == 0
+    assert "fig3a_distribution" in capsys.readouterr().out.split()
