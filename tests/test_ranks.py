@@ -93,3 +93,21 @@ def test_cumulative_counts_property(spark, rows, parts):
     for (s, v), (c, before) in got.items():
         assert c == sum(1 for a, b in rows if a == s and b == v)
         assert before == sum(1 for a, b in rows if a == s and b < v)
+
+
+def test_default_slicing_with_aqe_merging(spark):
+    """Queries leave the slice count to the session (AQE may merge adjacent
+    small slices); cumulative counts must stay exact."""
+    from cohortspark.operators.ranks import ranked_histogram
+    pdf = _data(21, 2000)
+    df = spark.createDataFrame(pdf)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        h = ranked_histogram(df, ["s"], "v").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    key = pdf["s"].fillna("<null>")
+    for _, r in h.iterrows():
+        s = r["s"] if r["s"] is not None else "<null>"
+        assert r["cum_before"] == int(((key == s) & (pdf["v"] < r["v"])).sum())
