@@ -13,8 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.text import (NON_SPACE, mix, space_words, span_hashes, text_chunks,
-                                  window_hashes, word_spans)
+from cohortspark.llm.text import (NON_SPACE, mix, prefix_sums, space_words, span_hashes,
+                                  sums_hashes, text_chunks, window_hashes, word_spans)
 
 FLUSH_WINDOWS = 1_500_000  # windows a task gathers before it deals them out
 
@@ -26,34 +26,44 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _pack_places(ids: np.ndarray, places: np.ndarray, compress) -> bytes:
-    """(id, place) pairs in ascending order as gaps, compressed."""
-    new = np.ones(len(ids), bool)
-    new[1:] = ids[1:] != ids[:-1]
+def _pack_places(columns, places: np.ndarray, compress) -> bytes:
+    """Places of documents, compressed.  ``columns`` say by place which
+    document it is in; a document's places stand together and ascend."""
+    new = np.ones(len(places), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     gaps = np.diff(places, prepend=0)
     gaps[new] = places[new]
     cuts = np.flatnonzero(new)
-    counts = np.diff(np.append(cuts, len(ids)))
-    return compress(np.uint32(len(cuts)).tobytes()
-                    + _planes(np.diff(ids[cuts].astype(np.uint64), prepend=np.uint64(0)))
-                    + _planes(counts.astype(np.uint32)) + _planes(gaps.astype(np.uint32)))
+    counts = np.diff(np.append(cuts, len(places)))
+    return compress(b"".join([
+        np.uint32(len(cuts)).tobytes(),
+        *(_planes(np.diff(c[cuts], prepend=c.dtype.type(0))) for c in columns),
+        _planes(counts.astype(np.uint32)), _planes(gaps.astype(np.uint32))]))
 
 
-def _unpack_places(blob: bytes, decompress) -> tuple[np.ndarray, np.ndarray]:
+def _unpack_places(blob: bytes, kinds, decompress):
+    """The columns, of the given types, and the places."""
     raw = np.frombuffer(decompress(blob), np.uint8)
-    n = int(raw[:4].view(np.uint32)[0])
+    n, at = int(raw[:4].view(np.uint32)[0]), 4
 
-    def taken(at, count, kind):
+    def taken(count, kind):
+        nonlocal at
         size = count * np.dtype(kind).itemsize
-        return np.ascontiguousarray(raw[at:at + size].reshape(-1, count).T).view(kind).ravel()
+        at += size
+        return np.ascontiguousarray(raw[at - size:at].reshape(-1, count).T).view(kind).ravel()
 
-    ids = np.cumsum(taken(4, n, np.uint64)).astype(np.int64)
-    counts = taken(4 + 8 * n, n, np.uint32).astype(np.int64)
-    total = int(counts.sum())
-    sums = np.cumsum(taken(4 + 12 * n, total, np.uint32), dtype=np.int64)
+    columns = [np.cumsum(taken(n, kind), dtype=kind) for kind in kinds]
+    counts = taken(n, np.uint32).astype(np.int64)
+    sums = np.cumsum(taken(int(counts.sum()), np.uint32), dtype=np.int64)
     firsts = np.cumsum(counts) - counts
     base = np.where(firsts > 0, sums[firsts - 1], 0)
-    return np.repeat(ids, counts), sums - np.repeat(base, counts)
+    return (*(np.repeat(c, counts) for c in columns), sums - np.repeat(base, counts))
+
+
+def _row_keys(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """What marks and texts of a row meet by: doc_id and the text's hash, so
+    rows without an id, or of one id, are told apart by their texts."""
+    return mix(mix(ids.astype(np.uint64)) + texts)
 
 
 def _later(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, order: np.ndarray):
@@ -77,25 +87,29 @@ def _deal(buckets: int, window: int):
     schema = pa.schema([("bucket", pa.int32()), ("at", pa.binary()), ("hashes", pa.binary()),
                         ("gone", pa.binary())])
 
-    def flush(ids, sizes, hashes):
+    def flush(ids, texts, sizes, hashes):
         pack = zstandard.ZstdCompressor(level=1).compress
-        doc_ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        doc_ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         hashes = np.concatenate(hashes)
-        ids = np.repeat(doc_ids, sizes)
+        ids, texts = np.repeat(doc_ids, sizes), np.repeat(np.concatenate(texts), sizes)
         places = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         if (doc_ids[1:] <= doc_ids[:-1]).any():
-            order = np.lexsort((places, ids))
-            ids, places, hashes = ids[order], places[order], hashes[order]
-        again = _later(ids, places, hashes, np.argsort(hashes, kind="stable"))
+            order = np.lexsort((places, texts, ids))
+            ids, texts, places, hashes = ids[order], texts[order], places[order], hashes[order]
+            order = np.lexsort((places, ids, hashes))
+        else:
+            order = np.argsort(hashes, kind="stable")
+        again = _later(ids, places, hashes, order)
         bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[b]:cuts[b + 1]]
             first, gone = at[~again[at]], at[again[at]]
-            yield (int(b), _pack_places(ids[first], places[first], pack),
+            yield (int(b), _pack_places((ids[first], texts[first]), places[first], pack),
                    hashes[first].tobytes(),
-                   _pack_places(ids[gone], places[gone], pack) if len(gone) else None)
+                   _pack_places((ids[gone], texts[gone]), places[gone], pack)
+                   if len(gone) else None)
 
     def rows(*run):
         got = []
@@ -110,91 +124,113 @@ def _deal(buckets: int, window: int):
                 [pa.array(c, f.type) for c, f in zip(zip(*got), schema)], schema=schema)
 
     def run(batches):
-        ids, sizes, hashes, held = [], [], [], 0
+        held, n = ([], [], [], []), 0
         for batch in batches:
             all_ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, firsts = word_spans(NON_SPACE[data], offsets)
-                at, h = window_hashes(span_hashes(data, starts, ends), firsts, window)
-                ids.extend(all_ids[i:j])
-                sizes.extend(np.diff(np.searchsorted(at, firsts)))
-                hashes.append(h)
-                held += len(h)
-                if held >= FLUSH_WINDOWS:
-                    yield from rows(ids, sizes, hashes)
-                    ids, sizes, hashes, held = [], [], [], 0
-        if held:
-            yield from rows(ids, sizes, hashes)
+                sums = prefix_sums(data)
+                at, h = window_hashes(sums_hashes(sums, starts, ends), firsts, window)
+                texts = sums_hashes(sums, offsets[:-1], offsets[1:]).astype(np.uint32)
+                for to, x in zip(held, (all_ids[i:j], texts,
+                                        np.diff(np.searchsorted(at, firsts)), h)):
+                    to.append(x)
+                n += len(h)
+                if n >= FLUSH_WINDOWS:
+                    yield from rows(*held)
+                    held, n = ([], [], [], []), 0
+        if n:
+            yield from rows(*held)
 
     return run
 
 
-def _count(key, table):
-    """One bucket: the windows that occur before, as marks per document id."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    pack = zstandard.ZstdCompressor(level=1).compress
-    firsts, gone, hashes = [], [], []
-    for at, h, marks in zip(*(table.column(c).to_pylist() for c in ("at", "hashes", "gone"))):
-        ids, places = _unpack_places(at, open_)
-        firsts.append((ids, places.astype(np.int32)))
-        hashes.append(np.frombuffer(h, np.uint64))
-        if marks is not None:
-            ids, places = _unpack_places(marks, open_)
-            gone.append((ids, places.astype(np.int32)))
-    ids, places = (np.concatenate(x) for x in zip(*firsts))
-    hashes = np.concatenate(hashes)
-    again = _later(ids, places, hashes, np.lexsort((places, ids, hashes)))
-    ids = np.concatenate([ids[again], *(x[0] for x in gone)])
-    places = np.concatenate([places[again], *(x[1] for x in gone)])
-    order = np.lexsort((places, ids))
-    ids, places = ids[order], places[order]
-    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1], [True]])) \
-        if len(ids) else np.zeros(1, np.int64)
-    return pa.table({"id": pa.array(ids[cuts[:-1]], pa.int64()),
-                     "marks": pa.array([_pack_places(ids[a:b], places[a:b], pack)
-                                        for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
-
-
-def _shrink(batches):
-    """Texts compressed one by one, to be dealt to their marks."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = [None if t is None else pack(t)
-                 for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        ids = batch.column("doc_id")
+def _count(parts: int):
+    """One bucket: the windows that occur before, as marks of documents, in one
+    row for each partition that they go to."""
+    def run(batches):
+        open_ = zstandard.ZstdDecompressor().decompress
+        pack = zstandard.ZstdCompressor(level=1).compress
+        kinds = (np.int64, np.uint32)
+        firsts, gone, hashes = [], [], []
+        for batch in batches:
+            for at, h, marks in zip(*(batch.column(c).to_pylist()
+                                      for c in ("at", "hashes", "gone"))):
+                ids, texts, places = _unpack_places(at, kinds, open_)
+                firsts.append((ids, texts, places.astype(np.int32)))
+                hashes.append(np.frombuffer(h, np.uint64))
+                if marks is not None:
+                    ids, texts, places = _unpack_places(marks, kinds, open_)
+                    gone.append((_row_keys(ids, texts), places.astype(np.int32)))
+        if not firsts:
+            return
+        ids, texts, places = (np.concatenate(x) for x in zip(*firsts))
+        hashes = np.concatenate(hashes)
+        again = _later(ids, places, hashes, np.lexsort((places, ids, hashes)))
+        keys = np.concatenate([_row_keys(ids[again], texts[again]), *(x[0] for x in gone)])
+        places = np.concatenate([places[again], *(x[1] for x in gone)])
+        dest = (keys % np.uint64(parts)).astype(np.int32)
+        order = np.lexsort((places, keys, dest))
+        keys, places, dest = keys[order], places[order], dest[order]
+        cuts = np.searchsorted(dest, np.arange(parts + 1))
+        to = np.flatnonzero(np.diff(cuts))
         yield pa.RecordBatch.from_arrays(
-            [ids, ids.fill_null(_NULL_ID), pa.array(texts, pa.binary()),
-             pa.nulls(len(texts), pa.binary()), pa.array([1] * len(texts), pa.int8())],
-            names=["doc_id", "id", "body", "marks", "is_text"])
+            [pa.array(to, pa.int32()),
+             pa.array([_pack_places((keys[a:b],), places[a:b], pack)
+                       for a, b in zip(cuts[to], cuts[to + 1])], pa.binary())],
+            names=["dest", "marks"])
+
+    return run
+
+
+def _shrink(parts: int):
+    """Texts compressed one by one, to be dealt to their marks."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            ids = batch.column("doc_id")
+            known = ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in text_chunks(batch.column("text")):
+                texts = span_hashes(data, offsets[:-1], offsets[1:]).astype(np.uint32)
+                keys = _row_keys(known[i:j], texts)
+                raw = data.tobytes()
+                bodies = [pack(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((keys % np.uint64(parts)).astype(np.int32)),
+                     pa.array(keys.view(np.int64)), ids.slice(i, j - i),
+                     pa.array(bodies, pa.binary())], names=["dest", "key", "doc_id", "body"])
+
+    return run
 
 
 def _cut(window: int):
-    """Marks and texts of one id, in this order -> the texts without marked windows."""
+    """A partition's marks and then its texts -> the texts without marked windows."""
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
-        held, places = None, []
+        marks, keys, places = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             out = []
-            for doc_id, key, body, marks, is_text in zip(
-                    *(batch.column(c).to_pylist()
-                      for c in ("doc_id", "id", "body", "marks", "is_text"))):
-                if key != held:
-                    held, places = key, []
-                if not is_text:
-                    places.append(_unpack_places(marks, open_)[1])
+            for key, doc_id, body, mark in zip(
+                    *(batch.column(c).to_pylist() for c in ("key", "doc_id", "body", "marks"))):
+                if body is None:
+                    marks.append(_unpack_places(mark, (np.uint64,), open_))
                     continue
-                words = space_words(open_(body)) if body is not None else []
+                if marks:  # all marks stand before the first text
+                    keys, places = (np.concatenate(x) for x in zip(*marks))
+                    order = np.argsort(keys, kind="stable")
+                    keys, places, marks = keys[order], places[order], []
+                words = space_words(open_(body))
                 n = len(words)
+                key = np.int64(key).view(np.uint64)
+                own = places[np.searchsorted(keys, key):np.searchsorted(keys, key, "right")]
                 spans = []
-                if places:
-                    delta = np.zeros(n + window + 1, np.int32)
-                    for p in places:
-                        p = p[p <= n - window]  # a shorter row of the same id
-                        np.add.at(delta, p, 1)
-                        np.add.at(delta, p + window, -1)
-                    inside = np.cumsum(delta[:n]) > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
-                    spans = edge.reshape(-1, 2).tolist()
+                if len(own):
+                    step = np.zeros(n + 1, np.int64)
+                    np.add.at(step, own, 1)
+                    np.add.at(step, own + window, -1)
+                    inside = np.cumsum(step[:n]) > 0
+                    spans = np.flatnonzero(np.diff(np.concatenate(
+                        [[False], inside, [False]]))).reshape(-1, 2).tolist()
                 kept, last = [], 0
                 for a, b in spans:
                     kept += words[last:a]
@@ -223,9 +259,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     an earlier word of the same one.  Windows are judged on the input.
 
     Defined results: a null or empty text has no words and stays as an empty
-    one; a null doc_id stands after all ids; rows that repeat a doc_id count
-    as one document at one place, so a repeated row loses nothing to its own
-    copies, and each row is returned; an empty table gives no rows.  Texts of
+    one; a null doc_id stands after all ids; rows that share a doc_id, or have
+    none, are one document, whose windows at an equal place are no earlier
+    ones, so a repeated row loses nothing to its own copies; each row is
+    returned; an empty table gives no rows.  Texts of
     any length are read whole.
 
     Returns doc_id, n_words, n_removed, kept (the words left, joined by one
@@ -241,14 +278,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
     dealt = rows.mapInArrow(_deal(buckets, window),
                             "bucket int, at binary, hashes binary, gone binary")
-    marks = (dealt.groupBy("bucket").applyInArrow(_count, "id long, marks binary")
-             .select(F.lit(None).cast("long").alias("doc_id"), "id",
-                     F.lit(None).cast("binary").alias("body"), "marks",
-                     F.lit(0).cast("tinyint").alias("is_text")))
-    texts = rows.mapInArrow(_shrink, "doc_id long, id long, body binary, marks binary, "
-                                     "is_text tinyint")
+    marks = (dealt.repartitionById(buckets, "bucket")
+             .mapInArrow(_count(buckets), "dest int, marks binary")
+             .select("dest", F.lit(None).cast("long").alias("key"),
+                     F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), "marks"))
+    texts = (rows.mapInArrow(_shrink(buckets), "dest int, key long, doc_id long, body binary")
+             .withColumn("marks", F.lit(None).cast("binary")))
     return (marks.unionByName(texts)
-            .repartition(buckets, "id").sortWithinPartitions("id", "is_text")
+            .repartitionById(buckets, "dest").sortWithinPartitions(F.col("body").isNotNull())
             .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, "
                                       "removed array<struct<first: int, end: int>>"))
 
