@@ -83,13 +83,9 @@ def bin_count(c, bins: Sequence[tuple[Iterable[int], str]]) -> Column:
 
 
 def to_number(c) -> Column:
-    """Text to double; text that is not a number becomes NULL."""
-    return F.expr(f"try_cast({_sql_name(c)} AS DOUBLE)") if isinstance(c, str) \
-        else _col(c).try_cast("double")
-
-
-def _sql_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    """Text to double; text that is not a number, 'NaN' included, becomes NULL."""
+    number = _col(c).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def na_text(c) -> Column:
@@ -115,10 +111,6 @@ def days_between(end, start) -> Column:
     return F.datediff(_col(end), _col(start))
 
 
-def zero_fill(c) -> Column:
-    return F.coalesce(_col(c), F.lit(0))
-
-
 def significance(p, scale=None) -> Column:
     """Star symbols for a p-value column; NULL p gives NULL."""
     from .labels import SIGNIFICANCE_SCALE

@@ -32,12 +32,13 @@ EXPOSED_SERONEGATIVE = "Exposed Seronegative"
 EXPOSED_SEROPOSITIVE = "Exposed Seropositive"
 PCR_SERONEGATIVE = "PCR+ Seronegative"
 PCR_SEROPOSITIVE = "PCR+ Seropositive"
-COHORTS5 = [CONTROLS, EXPOSED_SERONEGATIVE, EXPOSED_SEROPOSITIVE,
-            PCR_SERONEGATIVE, PCR_SEROPOSITIVE]
-GROUP3 = ["PCR+", "Exposed", "Controls"]
 POSITIVE = "Positive"
 NEGATIVE = "Negative"
 
+# --- fixed values: cohort sets of the figures -------------------------------
+SEROPOSITIVE3 = [EXPOSED_SEROPOSITIVE, PCR_SEROPOSITIVE, PCR_SERONEGATIVE]
+NONCONTROL4 = [PCR_SEROPOSITIVE, PCR_SERONEGATIVE, EXPOSED_SEROPOSITIVE, EXPOSED_SERONEGATIVE]
+
 # (group3, serostatus) -> cohort; Controls take any status.
 COHORT_RULES = [
     ("PCR+", POSITIVE, PCR_SEROPOSITIVE),
@@ -77,8 +78,6 @@ DETECTION_BINS = [([0, 1], BIN_LOW), ([2, 3, 4], BIN_HIGH)]
 
 # --- fixed values: study cutoffs and floors ---------------------------------
 STUDY_CUTOFF = 40.0          # IFN-gamma, strictly greater means detected
-ROCHE_CUTOFF = 0.422         # serology titre 1
-IGG_CUTOFF = 1.015           # serology titre 2
 PLOT_FLOOR = 0.01            # zero replaced for plots and the rank-sum figure
 TEST_FLOOR = 0.1             # zero replaced for paired tests, correlations
 

@@ -1,12 +1,10 @@
-"""Scalar distribution functions for the p-value step.
-
-Spark SQL has no normal, chi-square or t CDF, so the last step of every test
-(one row per test, after all heavy work ran as DataFrame plans) goes through
-the small pure-Python functions below, applied by Arrow-batched pandas UDFs.
-Only the standard library is used: ``math.erfc`` for the normal and the
-one-degree-of-freedom chi-square, a continued fraction for the regularised
-incomplete beta (Student t), and counting recursions for the exact
-Wilcoxon distributions.
+"""p-values.
+
+Normal, chi-square (one degree of freedom) and Student t tails are Spark SQL
+expressions: series and continued fractions of fixed length, folded over a
+sequence, so they need no Python.  Only the exact Wilcoxon distributions (at
+most 49 observations a sample) are counted in Python, once per sample size
+and batch, through an Arrow-batched pandas UDF on one row per test.
 """
 
 from __future__ import annotations
@@ -14,198 +12,155 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# The UDFs below are shipped to Python workers by value, so executors need
-# nothing but the standard library and pandas (not this package) to run them.
+# The UDF below is shipped to Python workers by value, so executors need
+# numpy and pandas but not this package to run it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-
-def normal_two_sided(z: float) -> float:
-    """2 * min(P(Z <= z), P(Z >= z))."""
-    if z is None or math.isnan(z):
-        return float("nan")
-    return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
-
-
-def chi2_df1_upper(x: float) -> float:
-    """P(X >= x) for chi-square with one degree of freedom."""
-    if x is None or math.isnan(x):
-        return float("nan")
-    return math.erfc(math.sqrt(max(x, 0.0) / 2.0))
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    # Lentz's continued fraction for the incomplete beta function.
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 10000):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-16:
-            break
-    return h
-
-
-def betainc_regularized(a: float, b: float, x: float) -> float:
-    """I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbeta = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(lbeta + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """2 * P(T >= |t|) for Student's t with ``df`` degrees of freedom."""
-    if t is None or df is None or math.isnan(t) or df <= 0:
-        return float("nan")
-    if math.isinf(t):
-        return 0.0
-    return min(1.0, betainc_regularized(df / 2.0, 0.5, df / (df + t * t)))
-
-
-def correlation_p(r: float, n: int) -> float:
-    """p of a correlation coefficient from t = r sqrt((n-2)/(1-r^2))."""
-    if r is None or n is None or math.isnan(r) or n < 3:
-        return float("nan")
-    if abs(r) >= 1.0:
-        return 0.0
-    df = n - 2
-    return t_two_sided(r * math.sqrt(df / (1.0 - r * r)), df)
-
-
-def _signrank_counts(n: int) -> tuple:
-    # counts[v] = number of subsets of {1..n} whose sum is v
-    top = n * (n + 1) // 2
-    counts = [0] * (top + 1)
-    counts[0] = 1
+SERIES_TERMS = 80      # of erf up to ERFC_SWITCH: the rest is below 1e-17
+FRACTION_TERMS = 60    # of erfc beyond it
+ERFC_SWITCH = 3.0
+T_EXPANSION_FROM = 2000  # degrees of freedom from which t is expanded about the normal
+
+
+def _fold(steps: Column, start, step) -> Column:
+    return F.aggregate(steps, start, step)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0; NULL for NULL.
+
+    Below the switch 1 - erf with the series of positive terms
+    exp(-x^2) sum 2^k x^(2k+1) / (1 3 5 ... (2k+1)); beyond it the continued
+    fraction, from its last term back.
+    """
+    zero = F.lit(0.0)
+    series = _fold(
+        F.sequence(F.lit(1), F.lit(SERIES_TERMS)), F.struct(x.alias("term"), x.alias("sum")),
+        lambda s, k: F.struct(
+            (s["term"] * 2 * x * x / (2 * k + 1)).alias("term"),
+            (s["sum"] + s["term"] * 2 * x * x / (2 * k + 1)).alias("sum")))["sum"]
+    small = F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * F.exp(-x * x) * series
+    fraction = _fold(F.sequence(F.lit(FRACTION_TERMS), F.lit(1), F.lit(-1)), x,
+                     lambda s, k: x + k / 2 / s)
+    large = F.exp(-x * x) / (F.lit(math.sqrt(math.pi)) * fraction)
+    return F.greatest(zero, F.when(x <= ERFC_SWITCH, small).when(x > ERFC_SWITCH, large))
+
+
+def p_normal(z: Column) -> Column:
+    """Two-sided normal p of a z value; NULL for NULL."""
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), erfc(F.abs(z) / F.lit(math.sqrt(2.0)))))
+
+
+def p_chi2_df1(x: Column) -> Column:
+    """P(X >= x) for chi-square with one degree of freedom; NULL for NULL."""
+    return F.when(x.isNotNull(), erfc(F.sqrt(F.greatest(x, F.lit(0.0)) / 2)))
+
+
+def p_student(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with a whole number of degrees of freedom.
+
+    Below T_EXPANSION_FROM the finite sums in the angle atan(t / sqrt(df));
+    from there on the expansion about the normal in 1/df up to its third
+    power, whose rest is below 1e-12.
+    """
+    t, df = F.abs(t), df.cast("double")
+    angle = F.atan(t / F.sqrt(df))
+    sin, cos2 = t / F.sqrt(df + t * t), df / (df + t * t)
+    odd = F.pmod(df, F.lit(2.0)) == 1
+    # terms of the sum: each is the one before times cos^2 and a ratio that
+    # depends on the parity of df
+    first = F.when(odd, F.when(df > 1, F.sqrt(cos2)).otherwise(0.0)).otherwise(1.0)
+    terms = F.floor((df - F.when(odd, 3.0).otherwise(2.0)) / 2).cast("int")
+    ratio = lambda k: F.when(odd, 2.0 * k / (2 * k + 1)).otherwise((2.0 * k - 1) / (2 * k))
+    steps = F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(
+        F.array().cast("array<int>"))
+    total = _fold(
+        F.when(df < T_EXPANSION_FROM, steps), F.struct(first.alias("term"), first.alias("sum")),
+        lambda s, k: F.struct((s["term"] * cos2 * ratio(k)).alias("term"),
+                              (s["sum"] + s["term"] * cos2 * ratio(k)).alias("sum")))["sum"]
+    inside = F.when(odd, (angle + sin * total) * F.lit(2 / math.pi)).otherwise(sin * total)
+    v, t2 = df, t * t
+    density = F.exp(-t2 / 2) / F.lit(math.sqrt(2 * math.pi))
+
+    def poly(*c):  # in t^2, highest power first
+        out = F.lit(float(c[0]))
+        for a in c[1:]:
+            out = out * t2 + F.lit(float(a))
+        return out
+
+    extra = (poly(1, 1) / (4 * v) + poly(3, -7, -5, -3) / (96 * v * v)
+             + poly(1, -11, 14, 6, -3, -15) / (384 * v * v * v))
+    far = erfc(t / F.lit(math.sqrt(2.0))) + 2 * t * density * extra
+    p = F.when(df < T_EXPANSION_FROM, 1 - inside).otherwise(far)
+    return F.when(t.isNotNull() & (df > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+
+
+def p_correlation(r: Column, n: Column) -> Column:
+    """p of a correlation coefficient from t = r sqrt((n-2)/(1-r^2)); NULL
+    below three points, 0 for a perfect correlation."""
+    df = n.cast("double") - 2
+    t = r * F.sqrt(F.try_divide(df, 1 - r * r))
+    return (F.when(r.isNull() | n.isNull() | (n < 3), F.lit(None).cast("double"))
+            .when(F.abs(r) >= 1, F.lit(0.0)).otherwise(p_student(t, df)))
+
+
+# ------------------------------------------------ exact Wilcoxon tails ------
+
+def signrank_cdf(n: int) -> np.ndarray:
+    """P(V <= v) for v = 0, 1, ...: the signed-rank statistic of n pairs
+    without ties and zeros (sums of subsets of 1..n)."""
+    ways = np.ones(1)
     for k in range(1, n + 1):
-        for v in range(top, k - 1, -1):
-            counts[v] += counts[v - k]
-    return tuple(counts)
-
-
-def signrank_cdf(v: float, n: int) -> float:
-    """P(V <= v) for the signed-rank statistic with n untied non-zero pairs."""
-    counts = _signrank_counts(int(n))
-    k = math.floor(v + 1e-7)
-    if k < 0:
-        return 0.0
-    return min(1.0, sum(counts[: min(k, len(counts) - 1) + 1]) / 2.0 ** n)
-
-
-def signrank_exact_two_sided(v: float, n: int) -> float:
-    if n <= 0:
-        return float("nan")
-    if v > n * (n + 1) / 4.0:
-        p = 1.0 - signrank_cdf(v - 1, n)
-    else:
-        p = signrank_cdf(v, n)
-    return min(2.0 * p, 1.0)
-
-
-def _ranksum_counts(m: int, n: int) -> tuple:
-    # counts[w] = number of ways the first sample (size m) gets U-statistic w
-    # f(i, j) over samples of size i and j, built column by column.
-    top = m * n
-    prev = [[1] + [0] * top for _ in range(n + 1)]  # i = 0: only w = 0
-    for i in range(1, m + 1):
-        cur = [[0] * (top + 1) for _ in range(n + 1)]
-        cur[0][0] = 1
-        for j in range(1, n + 1):
-            a, b = prev[j], cur[j - 1]
-            row = cur[j]
-            for w in range(top + 1):
-                s = b[w]
-                if w >= j:
-                    s += a[w - j]
-                row[w] = s
-        prev = cur
-    return tuple(prev[n])
-
-
-def ranksum_cdf(w: float, m: int, n: int) -> float:
-    counts = _ranksum_counts(int(m), int(n))
-    k = math.floor(w + 1e-7)
-    if k < 0:
-        return 0.0
-    return min(1.0, sum(counts[: min(k, len(counts) - 1) + 1]) / math.comb(m + n, m))
-
-
-def ranksum_exact_two_sided(w: float, m: int, n: int) -> float:
-    if m <= 0 or n <= 0:
-        return float("nan")
-    if w > m * n / 2.0:
-        p = 1.0 - ranksum_cdf(w - 1, m, n)
-    else:
-        p = ranksum_cdf(w, m, n)
-    return min(2.0 * p, 1.0)
-
-
-def rank_test_p(exact: bool, statistic: float, n1: int, n2: int, z: float,
-                kind: str) -> float:
-    """Two-sided p of a rank test row: exact when allowed, else normal."""
-    if exact:
-        if kind == "signed_rank":
-            return signrank_exact_two_sided(statistic, int(n1))
-        return ranksum_exact_two_sided(statistic, int(n1), int(n2))
-    return normal_two_sided(z)
-
-
-# ----------------------------------------------------------- pandas UDFs ---
-
-def _none(x):
-    return x is None or (isinstance(x, float) and math.isnan(x))
+        ways = np.append(ways, np.zeros(k)) + np.append(np.zeros(k), ways)
+    return np.cumsum(ways) / 2.0 ** n
 
 
-@F.pandas_udf(DoubleType())
-def p_normal(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: float("nan") if _none(v) else normal_two_sided(float(v)))
-
-
-@F.pandas_udf(DoubleType())
-def p_chi2_df1(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: float("nan") if _none(v) else chi2_df1_upper(float(v)))
+def ranksum_cdf(m: int, n: int) -> np.ndarray:
+    """P(W <= w) for w = 0, 1, ...: the rank-sum statistic of samples of m
+    and n without ties, by the product of (1 - q^(n+i)) / (1 - q^i)."""
+    size = m * n + 1
+    ways = np.zeros(size, object)  # whole numbers of any size
+    ways[0] = 1
+    for i in range(1, m + 1):
+        up = n + i
+        if up < size:
+            ways[up:] = ways[up:] - ways[:-up]
+        for first in range(i):
+            ways[first::i] = np.cumsum(ways[first::i])
+    return (np.cumsum(ways) / math.comb(m + n, m)).astype(float)
 
 
-@F.pandas_udf(DoubleType())
-def p_correlation(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([float("nan") if _none(a) or _none(b) else correlation_p(float(a), int(b))
-                      for a, b in zip(r, n)])
+def exact_two_sided(statistic: float, cdf: np.ndarray) -> float:
+    """Twice the smaller tail at ``statistic``, at most 1."""
+    k = math.floor(statistic + 1e-7)
+    low = cdf[min(k, len(cdf) - 1)] if k >= 0 else 0.0
+    below = cdf[min(k, len(cdf)) - 1] if k >= 1 else 0.0
+    centre = (len(cdf) - 1) / 2
+    return min(1.0, 2 * (1.0 - below if statistic > centre else low))
 
 
 @F.pandas_udf(DoubleType())
-def p_rank_test(exact: pd.Series, statistic: pd.Series, n1: pd.Series,
-                n2: pd.Series, z: pd.Series, kind: pd.Series) -> pd.Series:
-    out = []
-    for e, s, a, b, zz, k in zip(exact, statistic, n1, n2, z, kind):
-        if _none(s) or _none(a):
-            out.append(float("nan"))
-            continue
-        out.append(rank_test_p(bool(e), float(s), int(a),
-                               0 if _none(b) else int(b),
-                               float("nan") if _none(zz) else float(zz), k))
-    return pd.Series(out, dtype="float64")
+def p_exact(statistic: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """Exact two-sided p of a rank-sum row, or of a signed-rank row if n2 is
+    NULL; NULL where the statistic is (the test is not exact)."""
+    out = np.full(len(statistic), np.nan)
+    known: dict[tuple, np.ndarray] = {}  # each pair of sizes is counted once
+    for i in np.flatnonzero(statistic.notna() & (n1 > 0) & ~(n2 <= 0)):
+        sizes = (int(n1[i]),) if pd.isna(n2[i]) else (int(n1[i]), int(n2[i]))
+        if sizes not in known:
+            known[sizes] = signrank_cdf(*sizes) if len(sizes) == 1 else ranksum_cdf(*sizes)
+        out[i] = exact_two_sided(statistic[i], known[sizes])
+    return pd.Series(out)
+
+
+def p_rank_test(exact: Column, statistic: Column, n1: Column, n2: Column, z: Column) -> Column:
+    """Two-sided p of a rank test: exact where allowed, else normal."""
+    p = p_exact(F.when(exact, statistic), n1, n2)
+    return F.when(exact, F.when(~F.isnan(p), p)).otherwise(p_normal(z))

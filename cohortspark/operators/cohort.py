@@ -20,18 +20,16 @@ from .reshape import spread_columns
 
 def subject_panel(df: DataFrame, id_col: str, group: str | None, key: str,
                   value: str, required: Sequence[str], cutoff: float,
-                  detected: str = "detected", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per complete subject: (id, group, carry..., detected).
+                  detected: str = "detected") -> DataFrame:
+    """One row per complete subject: (id, group, detected).
 
     Keeps subjects with a non-NULL value for every ``required`` analyte and
     counts how many of them lie strictly above ``cutoff``.  A duplicate
-    (subject, analyte) raises, as tidyr's spread does.  ``carry`` names
-    per-subject attributes kept alongside (grouped on, like spread's id
-    columns).
+    (subject, analyte) raises, as tidyr's spread does.
     """
     required = list(required)
     cols = [f"__a{i}" for i in range(len(required))]
-    ids = [id_col] + ([group] if group else []) + list(carry)
+    ids = [id_col] + ([group] if group else [])
     src = df.filter(F.col(key).isin(required))
     if group:
         src = src.filter(F.col(group).isNotNull())

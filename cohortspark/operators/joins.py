@@ -38,38 +38,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out.drop(*tmp.values())
 
 
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it has at most
-    ``max_rows`` rows; otherwise leave it to a shuffle join.
-
-    Meant for sides that are cheap to count (aggregates of a checkpointed
-    table); the count reads at most ``max_rows + 1`` rows.  With AQE on,
-    larger sides that turn out small at run time are still broadcast by AQE.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def attach(detail: DataFrame, sizes: DataFrame, keys: Sequence[str],
-           check_broadcast: bool = False,
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``left_join(detail, sizes)`` on the named keys, NULL matching NULL.
-
-    ``check_broadcast`` counts the sizes side first and broadcasts it when
-    small: per-group sizes joined onto per-subject rows would otherwise be a
-    shuffle join keyed by group, i.e. one task per group."""
-    if check_broadcast:
-        sizes = broadcast_if_small(sizes, max_rows)
+def attach(detail: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left_join(detail, sizes)`` on the named keys, NULL matching NULL."""
     return join_null_safe(detail, sizes, keys, "left")
 
 
 def semi_join(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose keys occur in ``other`` (``x %in% other$x``)."""
-    keys = list(keys)
-    return df.join(other.select(*keys), keys, "left_semi")
+    """Rows of ``df`` whose keys occur in ``other`` (``x %in% other$x``: a
+    missing key occurs where the other side has a missing one)."""
+    return join_null_safe(df, other.select(*keys), keys, "left_semi")
 
 
 def rename_checked(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

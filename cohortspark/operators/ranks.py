@@ -6,117 +6,138 @@ value histogram instead:
 
 1. ``groupBy(strata, value).count()`` - partial aggregation folds repeated
    values (e.g. thousands of floored zeros) before the shuffle;
-2. ``repartitionByRange(P, strata, value)`` - a large stratum is cut into
-   many ordered slices, each its own task;
-3. a window per (stratum, slice) gives the running count inside the slice
-   and the slice total; the result is checkpointed so that both readers
-   below see the very same slice ids;
-4. slice totals (at most P + #strata rows) turn into offsets with a small
-   window, joined back (broadcast by AQE when measured small).
-
-``cum_before`` is then the number of rows of the same stratum with a smaller
-value, and the mid-rank (average rank of ties) is ``cum_before + (c+1)/2``.
-Tie sizes ``c`` come with the histogram, so tie corrections are plain sums.
+2. cut points over the histogram's values, taken once as a scalar subquery,
+   put every value into a slice.  A slice holds about the same number of
+   distinct values over all strata, so the part of any one stratum in a slice
+   is never larger;
+3. a window per (stratum, slice) gives the running count inside the slice;
+4. slice totals (strata x slices rows) turn into offsets with a window over
+   them, joined back.
+
+The slice depends on the value alone, so nothing is written, sampled or run
+while the plan is built.  Cut points steer the balance only; counts are exact
+whatever they are.  ``cum_before`` is the number of rows of the same stratum
+with a smaller value, and the mid-rank (average rank of ties) is
+``cum_before + (c+1)/2``.  Tie sizes ``c`` come with the histogram, so tie
+corrections are plain sums; ``stratum_n`` is the size of the whole stratum.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .joins import broadcast_if_small, join_null_safe
+from .joins import join_null_safe
 
 
-def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str,
-                    weight: str = "c", out: str = "cum_before",
-                    partitions: int | None = None, keep_slice: bool = False) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over rows of the same strata whose
-    ``order`` value is smaller.  ``(strata, order)`` must be unique in
-    ``hist``.  ``keep_slice`` keeps the range-slice id (for inspection)."""
+def slice_number(value: Column, cuts: Column, slices: int) -> Column:
+    """How many of the ascending ``cuts`` are at most ``value``, by looking at
+    every ``step``-th cut first and then at the cuts between two of those."""
+    step = max(1, math.isqrt(slices))
+    coarse = F.filter(cuts, lambda c, i: (i % step == step - 1) & (c <= value))
+    first = F.size(coarse) * step
+    fine = F.slice(cuts, first + 1, F.lit(step))
+    return first + F.size(F.filter(fine, lambda c: c <= value))
+
+
+def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str | Sequence[str],
+                    weight: str = "c", out: str = "cum_before", total: str | None = None,
+                    slices: int | None = None, slice_by: str | None = None,
+                    keep_slice: bool = False) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` over rows of the same strata that come
+    earlier by ``order``.  ``(strata, order)`` must be unique in ``hist``.
+
+    ``order`` is one column or several.  ``slice_by`` is the one of them that
+    is cut into slices (the last by default): it is numeric, and the columns
+    before it have few values, each of which is cut into slices of its own.
+    ``total`` names a column for the stratum's whole weight, ``slices`` their
+    number (the session's shuffle partitions by default), ``keep_slice`` keeps
+    the slice's number (for inspection).
+    """
     strata = list(strata)
-    cols = [F.col(s) for s in strata] + [F.col(order)]
-    # Without an explicit count the range exchange uses the session's shuffle
-    # partitions and AQE may merge adjacent small slices; merged slices stay
-    # contiguous and in order, which is all the offsets below rely on.
-    ranged = (hist.repartitionByRange(partitions, *cols) if partitions
-              else hist.repartitionByRange(*cols)).withColumn("__slice", F.spark_partition_id())
-    in_slice = Window.partitionBy(*strata, "__slice")
-    local = (ranged
-             .withColumn("__local", F.coalesce(
-                 F.sum(weight).over(in_slice.orderBy(order).rowsBetween(
-                     Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("__slice_total", F.sum(weight).over(in_slice)))
-    local = cut_lineage(local)
-    totals = local.groupBy(*strata, "__slice").agg(F.max("__slice_total").alias("__t"))
+    order = [order] if isinstance(order, str) else list(order)
+    cut = order.index(slice_by) if slice_by else len(order) - 1
+    lead, inner = order[:cut], order[cut:]
+    slices = slices or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one row in all, of a size that the number of slices sets
+    cuts = hist.agg(F.percentile_approx(
+        inner[0], [i / slices for i in range(1, slices)] or [0.5],
+        max(10_000, 10 * slices)).alias("cuts")).scalar()
+    cell = [*lead, "__slice"]
+    sliced = hist.withColumn("__cuts", cuts).withColumn(
+        "__slice", slice_number(F.col(inner[0]), F.col("__cuts"), slices)).drop("__cuts")
+    # NULL strata are values like any other: one struct, never NULL itself
+    sliced = sliced.withColumn("__cell", F.struct(*strata, *cell))
+    before = Window.partitionBy("__cell").orderBy(*inner).rowsBetween(
+        Window.unboundedPreceding, -1)
+    local = sliced.withColumn("__local", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    totals = sliced.groupBy("__cell").agg(F.sum(weight).alias("__t"))
+    totals = totals.select("__cell", "__t", *[F.col(f"__cell.{c}").alias(c)
+                                              for c in [*strata, *cell]])
+    stratum = Window.partitionBy(*strata)
+    earlier = stratum.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *strata, "__slice",
-        F.coalesce(F.sum("__t").over(Window.partitionBy(*strata).orderBy("__slice")
-                                     .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__offset"))
-    # offsets hold one row per (stratum, slice): at most partitions + strata
-    # rows, counted before broadcasting
-    joined = join_null_safe(local, broadcast_if_small(offsets), strata + ["__slice"], "inner")
+        F.col("__cell").alias("__of"),
+        F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__offset"),
+        F.sum("__t").over(stratum).alias("__n"))
+    joined = local.join(offsets, F.col("__cell") == F.col("__of"))
     joined = joined.withColumn(out, (F.col("__offset") + F.col("__local")).cast("bigint"))
+    if total:
+        joined = joined.withColumn(total, F.col("__n").cast("bigint"))
     if keep_slice:
         joined = joined.withColumnRenamed("__slice", "slice")
-    return joined.drop("__slice", "__local", "__slice_total", "__offset")
+    return joined.drop("__slice", "__cell", "__of", "__local", "__offset", "__n")
 
 
 def ranked_histogram(df: DataFrame, strata: Sequence[str], value: str,
                      counts: Mapping[str, Column] | None = None,
-                     partitions: int | None = None) -> DataFrame:
-    """(strata..., value, c, <counts>..., cum_before, mid_rank).
+                     slices: int | None = None, weight: str | None = None) -> DataFrame:
+    """(strata..., value, c, <counts>..., cum_before, stratum_n, mid_rank).
 
     NULL values are left out (as R's rank tests drop NA).  ``counts`` adds
     conditional counts per distinct value, e.g. how many of the tied rows
-    belong to the first sample.
+    belong to the first sample; ``weight`` names a column that says how many
+    rows a row stands for.
     """
     strata = list(strata)
-    aggs = [F.count(F.lit(1)).cast("bigint").alias("c")]
+    one = F.col(weight) if weight else F.lit(1)
+    aggs = [F.sum(one).cast("bigint").alias("c")]
     for name, cond in (counts or {}).items():
-        aggs.append(F.count(F.when(cond, F.lit(1))).cast("bigint").alias(name))
+        aggs.append(F.sum(F.when(cond, one).otherwise(0)).cast("bigint").alias(name))
     hist = df.filter(F.col(value).isNotNull()).groupBy(*strata, value).agg(*aggs)
-    ranked = with_cumulative(hist, strata, value, "c", partitions=partitions)
+    ranked = with_cumulative(hist, strata, value, "c", total="stratum_n", slices=slices)
     return ranked.withColumn(
         "mid_rank", F.col("cum_before").cast("double") + (F.col("c").cast("double") + 1.0) / 2.0)
 
 
 def mid_ranks(df: DataFrame, strata: Sequence[str], value: str,
-              out: str = "mid_rank", partitions: int | None = None) -> DataFrame:
+              out: str = "mid_rank", slices: int | None = None) -> DataFrame:
     """Every row of ``df`` with the average rank of its value in its stratum.
 
     Rows with a NULL value get a NULL rank.  The join back is on
-    (strata, value); a value repeated by a third of all rows is a skewed key,
-    which AQE's skew-join handling splits.
+    (strata, value); a value repeated by a third of all rows is a skewed key
+    on one side and a single row on the other, which AQE's skew-join handling
+    splits.
     """
     strata = list(strata)
-    ranked = ranked_histogram(df, strata, value, partitions=partitions) \
+    ranked = ranked_histogram(df, strata, value, slices=slices) \
         .select(*strata, value, F.col("mid_rank").alias(out))
-    # few distinct values (heavy ties) -> a small rank table, broadcast after
-    # counting it; otherwise a shuffle join (AQE splits hot values)
-    return join_null_safe(df, broadcast_if_small(ranked), strata + [value], "left")
+    return join_null_safe(df, ranked, strata + [value], "left")
 
 
 def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],
-                  out: str = "position", partitions: int | None = None,
-                  materialize: bool = False) -> DataFrame:
+                  out: str = "position", total: str | None = None,
+                  slices: int | None = None, slice_by: str | None = None) -> DataFrame:
     """1-based position of each row inside its stratum, ordered by ``order``
     (ties broken by the later columns; the full key must be unique).
 
-    The composite order becomes one struct column (structs sort
-    lexicographically), and since every (strata, order) key is unique each
-    row is its own histogram bin with weight 1: one ranged pass, no join
-    back.  ``materialize`` writes the input first when it is expensive to
-    recompute (it is read by the range sampling and by the pass itself).
+    Every (strata, order) key is unique, so each row is its own histogram bin
+    with weight 1.  See ``with_cumulative`` for what ``order`` may hold.
     """
-    strata, order = list(strata), list(order)
-    if materialize:
-        df = cut_lineage(df)
-    keyed = df.withColumn("__order", F.struct(*[F.col(c) for c in order])) \
-        .withColumn("__w", F.lit(1).cast("bigint"))
-    ranked = with_cumulative(keyed, strata, "__order", "__w", out="__before",
-                             partitions=partitions)
-    return ranked.withColumn(out, F.col("__before") + F.lit(1)).drop("__order", "__w", "__before")
+    keyed = df.withColumn("__w", F.lit(1).cast("bigint"))
+    ranked = with_cumulative(keyed, strata, order, "__w", out="__before", total=total,
+                             slices=slices, slice_by=slice_by)
+    return ranked.withColumn(out, F.col("__before") + F.lit(1)).drop("__w", "__before")

@@ -1,8 +1,8 @@
 """Statistical tests and associations.
 
 Design: everything heavy (pairing, ranking, sums of ranks, tie sizes) is
-DataFrame work that ends in **one row per test**; only that row crosses into
-Python for the p-value (:mod:`cohortspark.functions.pvalues`).
+DataFrame work that ends in **one row per test**; only that row goes on to
+the p-value (:mod:`cohortspark.functions.pvalues`).
 
 Rank tests follow the usual definitions (R's ``wilcox.test``):
 
@@ -18,13 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import pvalues as P
-from ..session import cut_lineage
-from .joins import broadcast_if_small, join_null_safe
+from .joins import join_null_safe
 from .ranks import ranked_histogram
 from .reshape import spread_columns
 
@@ -131,22 +130,25 @@ def rank_sum(df: DataFrame, strata: Sequence[str], group: str, value: str,
 
 # --------------------------------------------------- p-values, I3, I4 -----
 
-def add_rank_pvalue(tests: DataFrame, kind: str, n1: str = "n1", n2: str | None = "n2",
+def add_rank_pvalue(tests: DataFrame, n1: str = "n1", n2: str | None = "n2",
                     name: str = "p") -> DataFrame:
-    """Attach the two-sided p of each rank-test row (exact or normal)."""
+    """Attach the two-sided p of each rank-test row (exact or normal);
+    without ``n2`` it is a signed-rank test."""
     n2c = F.col(n2) if n2 else F.lit(None).cast("bigint")
     return tests.withColumn(name, P.p_rank_test(F.col("exact"), F.col("statistic"),
-                                                F.col(n1), n2c, F.col("z"), F.lit(kind)))
+                                                F.col(n1), n2c, F.col("z")))
 
 
 def bonferroni(tests: DataFrame, p: str = "p", family: Sequence[str] = (),
                name: str = "p_adj") -> DataFrame:
-    """min(1, p * m), m = number of non-NULL p in the family (the test table
-    has one row per test, so the window is small)."""
-    w = Window.partitionBy(*family) if family else Window.partitionBy()
+    """min(1, p * m), m = number of non-NULL p in the family, counted apart and
+    joined back, so that no task holds all tests."""
+    sizes = tests.groupBy(*family).agg(F.count(p).alias("__m"))
+    counted = (join_null_safe(tests, sizes, family, "inner") if family
+               else tests.withColumn("__m", sizes.scalar()))
     # least() skips NULLs: guard so an undefined p stays undefined
-    return tests.withColumn(name, F.when(F.col(p).isNotNull(),
-                                         F.least(F.lit(1.0), F.col(p) * F.count(p).over(w))))
+    return counted.withColumn(name, F.when(
+        F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("__m")))).drop("__m")
 
 
 def add_significance(tests: DataFrame, p: str = "p", name: str | None = None) -> DataFrame:
@@ -178,53 +180,55 @@ def add_chi2_pvalue(df: DataFrame, stat: str = "chi2", name: str = "p") -> DataF
 
 # ------------------------------------------------- association (I6-I9) -----
 
-def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str,
-            name: str = "r") -> DataFrame:
-    """(keys..., n, r) over rows where both x and y are present."""
+def linear_association(df: DataFrame, keys: Sequence[str], x: str, y: str,
+                       name: str = "r") -> DataFrame:
+    """(keys..., n, r, slope, intercept) in one aggregation, over rows where
+    both x and y are present."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    # r = cov / (sd_x sd_y) from the same co-moment aggregates as ``corr``;
-    # a constant x or y gives NULL (R: NA) instead of an ANSI divide error
     out = df.groupBy(*keys).agg(F.count(F.when(both, F.lit(1))).alias("n"),
                                 F.covar_samp(x, y).alias("__cov"),
                                 F.var_samp(F.when(both, F.col(x))).alias("__vx"),
-                                F.var_samp(F.when(both, F.col(y))).alias("__vy"))
-    return out.select(*keys, "n", F.try_divide(
-        F.col("__cov"), F.sqrt(F.col("__vx") * F.col("__vy"))).alias(name))
+                                F.var_samp(F.when(both, F.col(y))).alias("__vy"),
+                                F.regr_slope(y, x).alias("slope"),
+                                F.regr_intercept(y, x).alias("intercept"))
+    # r = cov / (sd_x sd_y); a constant x or y gives NULL (R: NA), no error
+    r = F.try_divide(F.col("__cov"), F.sqrt(F.col("__vx") * F.col("__vy")))
+    return out.select(*keys, "n", r.alias(name), "slope", "intercept")
+
+
+def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str,
+            name: str = "r") -> DataFrame:
+    """(keys..., n, r) over rows where both x and y are present."""
+    return linear_association(df, keys, x, y, name).drop("slope", "intercept")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
-             name: str = "rho", materialize: bool = True) -> DataFrame:
+             name: str = "rho") -> DataFrame:
     """Spearman's rho per group: Pearson on mid-ranks (ties averaged).
 
-    Both variables are ranked in one pass: the (x, y) points are stacked
-    into (variable, value) rows and a single ranked histogram is built over
-    (keys, variable).  The points are read three times (stack, and one join
-    back per variable), so they are written once first unless the caller
-    already did (``materialize=False``).
+    The points are first folded to (keys, x, y, number of points); everything
+    after works on those weights.  Each variable is ranked from the fold and
+    joined back to it once.
     """
     keys = list(keys)
-    keys_r = keys or ["__all"]
-    src = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    src = src.select(*(keys if keys else [F.lit(1).alias("__all")]),
-                     F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    if materialize:
-        src = cut_lineage(src)
-    stacked = src.select(*keys_r, F.explode(F.array(
-        F.struct(F.lit("x").alias("__var"), F.col("__x").alias("__v")),
-        F.struct(F.lit("y").alias("__var"), F.col("__y").alias("__v")))).alias("__s")) \
-        .select(*keys_r, "__s.__var", "__s.__v")
-    ranked = ranked_histogram(stacked, keys_r + ["__var"], "__v") \
-        .select(*keys_r, "__var", "__v", "mid_rank")
-    rx = ranked.filter(F.col("__var") == "x").select(
-        *keys_r, F.col("__v").alias("__x"), F.col("mid_rank").alias("__rx"))
-    ry = ranked.filter(F.col("__var") == "y").select(
-        *keys_r, F.col("__v").alias("__y"), F.col("mid_rank").alias("__ry"))
-    # a count-valued variable has few distinct values: its rank table is then
-    # broadcast (after counting it) instead of a join keyed by a few hot values
-    j = join_null_safe(join_null_safe(src, broadcast_if_small(rx), keys_r + ["__x"], "inner"),
-                       broadcast_if_small(ry), keys_r + ["__y"], "inner")
-    out = pearson(j, keys_r, "__rx", "__ry", name)
-    return out if keys else out.drop("__all")
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    fold = (df.filter(both)
+            .select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+            .groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__w")))
+    ranks = [ranked_histogram(fold, keys, v, weight="__w")
+             .select(*keys, v, F.col("mid_rank").alias(f"__r{v}")) for v in ("__x", "__y")]
+    j = join_null_safe(join_null_safe(fold, ranks[0], [*keys, "__x"], "inner"),
+                       ranks[1], [*keys, "__y"], "inner")
+    # weighted sums of ranks, centred on the mean rank (n + 1) / 2 at the end
+    w, rx, ry = F.col("__w"), F.col("__r__x"), F.col("__r__y")
+    out = j.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * rx * ry).alias("__xy"),
+                               F.sum(w * rx * rx).alias("__xx"), F.sum(w * ry * ry).alias("__yy"))
+    n = F.col("n").cast("double")
+    centre = n * (n + 1) * (n + 1) / 4
+    # all ranks tied: undefined, not an error
+    rho = F.try_divide(F.col("__xy") - centre,
+                       F.sqrt((F.col("__xx") - centre) * (F.col("__yy") - centre)))
+    return out.select(*keys, "n", rho.alias(name))
 
 
 def add_correlation_pvalue(df: DataFrame, r: str, n: str = "n",

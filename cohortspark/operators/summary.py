@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .joins import broadcast_if_small, join_null_safe
 from .ranks import ranked_histogram, row_positions
 
 
@@ -22,6 +21,12 @@ def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def with_group_total(counts: DataFrame, keys: Sequence[str], n: str, name: str) -> DataFrame:
+    """Counts with their group's total beside them: the total is the sum of a
+    group's few counts, so the rows behind them are read once."""
+    return counts.withColumn(name, F.sum(n).over(Window.partitionBy(*keys)))
+
+
 def zero_counts(df: DataFrame, keys: Sequence[str], raw_value: str,
                 zero: str = "zero", name: str = "n") -> DataFrame:
     """Rows per (keys, zero flag), the flag taken from the raw value (E2)."""
@@ -38,11 +43,7 @@ def n_per_panel(df: DataFrame, keys: Sequence[str], value: str,
 def _middle_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys..., n, lo, hi): the two middle order statistics of ``value``."""
     keys = list(keys)
-    ranked = ranked_histogram(df, keys, value)
-    sizes = ranked.groupBy(*keys).agg(F.sum("c").alias("__n"))
-    # one row per stratum, counted then broadcast: a shuffle join keyed by
-    # the stratum would put each stratum's whole histogram in one task
-    r = join_null_safe(ranked, broadcast_if_small(sizes), keys, "inner")
+    r = ranked_histogram(df, keys, value).withColumnRenamed("stratum_n", "__n")
     k_lo = F.floor((F.col("__n") + 1) / 2)
     k_hi = F.floor(F.col("__n") / 2) + 1
     hit = lambda k: (F.col("cum_before") < k) & (k <= F.col("cum_before") + F.col("c"))
@@ -69,19 +70,29 @@ def median_log2(df: DataFrame, keys: Sequence[str], value: str,
     return m.select(*keys, F.pow(F.lit(2.0), (F.log2("lo") + F.log2("hi")) / 2.0).alias(name))
 
 
-def category_order(df: DataFrame, category: str, position: str,
+def category_order(df: DataFrame, category: str, position: str | Sequence[str],
                    reverse: bool = False, name: str = "level") -> DataFrame:
     """Levels in order of first appearance (``fct_inorder``), optionally
-    reversed (``fct_rev``): (category, first_position, level)."""
-    firsts = df.groupBy(category).agg(F.min(position).alias("first_position"))
-    o = F.col("first_position").desc() if reverse else F.col("first_position").asc()
-    # one row per category: a small table, so a global window is fine here
-    return firsts.withColumn(name, F.row_number().over(Window.orderBy(o, F.col(category)))
-                             .cast("bigint"))
-
-
-def rank_strip(df: DataFrame, group: str, n: str, id_col: str,
-               name: str = "position", materialize: bool = False) -> DataFrame:
+    reversed (``fct_rev``): (category, first_position, level).
+
+    ``position`` is a numeric column, or several that together order the rows;
+    categories that first appear at the same place follow by name.
+    ``first_position`` is the first of the columns at that place.
+    """
+    cols = [position] if isinstance(position, str) else list(position)
+    firsts = df.groupBy(category).agg(F.min(F.struct(*cols)).alias("__first"))
+    firsts = firsts.select(category, F.col("__first")[cols[0]].alias("first_position"),
+                           *[F.col("__first")[c].alias(f"__p{i}") for i, c in enumerate(cols)])
+    ranked = row_positions(firsts, [], [*(f"__p{i}" for i in range(len(cols))), category],
+                           out=name, total="__size", slice_by="__p0")
+    if reverse:
+        ranked = ranked.withColumn(name, F.col("__size") + 1 - F.col(name))
+    return ranked.select(category, "first_position", F.col(name).cast("bigint").alias(name))
+
+
+def rank_strip(df: DataFrame, group: str, n: str, id_col: str, name: str = "position",
+               size: str | None = None) -> DataFrame:
     """Position of each subject inside its group ordered by ``n`` then id
-    (``reorder(id, n)`` per facet; G2), computed without a per-group task."""
-    return row_positions(df, [group], [n, id_col], out=name, materialize=materialize)
+    (``reorder(id, n)`` per facet; G2), computed without a per-group task;
+    ``size`` names a column for the group's number of subjects."""
+    return row_positions(df, [group], [n, id_col], out=name, total=size)

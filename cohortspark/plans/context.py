@@ -1,20 +1,57 @@
-"""Inputs shared by the named queries: the assay tables for one data folder."""
+"""Inputs shared by the named result tables: two tables and the parameters.
+
+``Inputs(spark, sf_dir)`` maps the test tables onto the study's data model;
+``StudyInputs`` takes an assay table and a subject table, as DataFrames or as
+paths read with the declared schemas.  Cutoff, floors and analyte panels are
+fields of either, and every result table takes them from there.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources import fixture
+from ..functions.labels import (PANEL3, PANEL3_LOCALIZED, PANEL4, PLOT_FLOOR, STUDY_CUTOFF,
+                                TEST_FLOOR)
+from ..sources import fixture, io
 
 
 @dataclass
-class Inputs:
+class Parameters:
+    """What a study sets: the detection cutoff (strictly above it counts),
+    the values that stand for zero, and the analyte panels."""
+
+    cutoff: float = STUDY_CUTOFF
+    plot_floor: float = PLOT_FLOOR
+    test_floor: float = TEST_FLOOR
+    panel3: Sequence[str] = field(default_factory=lambda: list(PANEL3))
+    panel4: Sequence[str] = field(default_factory=lambda: list(PANEL4))
+    panel3_localized: Sequence[str] = field(default_factory=lambda: list(PANEL3_LOCALIZED))
+
+
+class Tables:
+    """What both kinds of input share; they provide assay_long and subject."""
+
+    def assay(self, mapping=None) -> DataFrame:
+        return self.assay_long(mapping).join(self.subject(), "lab_id", "left")
+
+    def titres(self) -> DataFrame:
+        """(lab_id, roche, igg) with the text titre cast to a number."""
+        return self.subject().select("lab_id", "roche", C.to_number("igg_raw").alias("igg"))
+
+
+@dataclass
+class Inputs(Tables):
+    """The test tables of one folder."""
+
     spark: SparkSession
     sf_dir: str
+    parameters: Parameters = field(
+        default_factory=lambda: Parameters(cutoff=fixture.FIXTURE_CUTOFF))
 
     def table(self, name: str) -> DataFrame:
         return fixture.read_table(self.spark, self.sf_dir, name)
@@ -28,13 +65,34 @@ class Inputs:
     def subject(self) -> DataFrame:
         return fixture.subject(self.spark, self.sf_dir)
 
-    def assay(self, mapping=None) -> DataFrame:
-        return fixture.assay(self.spark, self.sf_dir, mapping)
 
-    def titres(self) -> DataFrame:
-        """(lab_id, roche, igg) with the text titre cast to a number."""
-        return self.subject().select("lab_id", "roche",
-                                     C.to_number("igg_raw").alias("igg"))
+@dataclass
+class StudyInputs(Tables):
+    """Real assay data: ``assay`` (lab_id, antigen, value, visit_date) and
+    ``subjects`` (see ``sources.io``).  NaN is missing.  A ``mapping`` given to
+    a result table recodes the antigen labels; labels outside it become NULL.
+    """
+
+    assays: DataFrame
+    subjects: DataFrame
+    parameters: Parameters = field(default_factory=Parameters)
+
+    @classmethod
+    def read(cls, spark: SparkSession, assay_path: str, subject_path: str, fmt: str = "parquet",
+             parameters: Parameters | None = None, **options) -> "StudyInputs":
+        return cls(io.read_assay(spark, assay_path, fmt, **options),
+                   io.read_subjects(spark, subject_path, fmt, **options),
+                   parameters or Parameters())
+
+    def assay_raw(self) -> DataFrame:
+        return self.assays.withColumnRenamed("antigen", "antigen_raw")
+
+    def assay_long(self, mapping=None) -> DataFrame:
+        a = io.nan_to_null(self.assays)
+        return a.withColumn("antigen", C.recode("antigen", mapping)) if mapping else a
+
+    def subject(self) -> DataFrame:
+        return io.nan_to_null(self.subjects)
 
 
 def r6(c) -> "F.Column":

@@ -4,22 +4,22 @@ assay tables so its work grows with the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.labels import (ANALYTE_LOCALIZED_NAMES, ANALYTE_SHORT_NAMES,
-                                COHORT_PLOT_LABELS, COHORT_RULES, DETECTION_BINS,
-                                PANEL3, PANEL4, PLOT_FLOOR, TEST_FLOOR)
+                                COHORT_PLOT_LABELS, COHORT_RULES, DETECTION_BINS, SEROPOSITIVE3)
 from ..operators import cohort as K
 from ..operators import reshape as H
 from ..operators import stats as S
 from ..operators import summary as M
-from ..operators.joins import attach, rename_checked
+from ..operators.joins import rename_checked
 from ..operators.ranks import mid_ranks
-from ..sources.fixture import FIXTURE_CUTOFF, LINE_TO_RAW_LABEL, _map_int
+from ..sources import fixture, io
+from ..sources.fixture import LINE_TO_RAW_LABEL, _map_int
 from .context import Inputs, r6
-from .reports import SEROPOSITIVE3, rank_sum_points
+from .reports import rank_sum_points
 
 ANALYTES6 = list(ANALYTE_SHORT_NAMES.values())
 RAW6 = list(ANALYTE_SHORT_NAMES.keys())
@@ -60,14 +60,14 @@ def combined_status(inp: Inputs) -> DataFrame:
 
 
 def regroup_cohort(inp: Inputs) -> DataFrame:
-    s = combined_status(inp).join(inp.subject().select("lab_id", "group3"), "lab_id")
+    s = inp.subject().withColumn("sero_combined", C.combine_status("sero_roche", "sero_igg"))
     return s.select("lab_id", "group3", "sero_combined",
                     C.assign_cohort("group3", "sero_combined", COHORT_RULES).alias("group5b"))
 
 
 def binned_detection(inp: Inputs) -> DataFrame:
-    per = K.detected_any(inp.assay(), "lab_id", "group5", "antigen", "value", PANEL4,
-                         FIXTURE_CUTOFF)
+    per = K.detected_any(inp.assay(), "lab_id", "group5", "antigen", "value", inp.parameters.panel4,
+                         inp.parameters.cutoff)
     return K.binned_sums(K.distribution(per, "group5", "detected"), "group5", "detected",
                          DETECTION_BINS, name="n2")
 
@@ -75,18 +75,18 @@ def binned_detection(inp: Inputs) -> DataFrame:
 def floor_zeros(inp: Inputs) -> DataFrame:
     a = inp.assay_long()
     return a.select("lab_id", "antigen", "value",
-                    C.floor_zeros("value", PLOT_FLOOR).alias("value_plot"),
-                    C.floor_zeros("value", TEST_FLOOR).alias("value_test"))
+                    C.floor_zeros("value", inp.parameters.plot_floor).alias("value_plot"),
+                    C.floor_zeros("value", inp.parameters.test_floor).alias("value_test"))
 
 
 def threshold_flag(inp: Inputs) -> DataFrame:
     return inp.assay_long().select("lab_id", "antigen", "value",
-                                   C.flag_above("value", FIXTURE_CUTOFF).alias("flag"))
+                                   C.flag_above("value", inp.parameters.cutoff).alias("flag"))
 
 
 def threshold_label(inp: Inputs) -> DataFrame:
     return inp.assay_long().select("lab_id", "antigen",
-                                   C.label_above("value", FIXTURE_CUTOFF).alias("label"))
+                                   C.label_above("value", inp.parameters.cutoff).alias("label"))
 
 
 def zero_split(inp: Inputs) -> DataFrame:
@@ -95,10 +95,10 @@ def zero_split(inp: Inputs) -> DataFrame:
 
 
 def complete_case(inp: Inputs) -> DataFrame:
-    a = inp.assay().filter(F.col("group5").isNotNull() & F.col("antigen").isin(PANEL4))
-    wide = H.spread(a, ["lab_id", "group5"], "antigen", "value", PANEL4)
+    a = inp.assay().filter(F.col("group5").isNotNull() & F.col("antigen").isin(list(inp.parameters.panel4)))
+    wide = H.spread(a, ["lab_id", "group5"], "antigen", "value", inp.parameters.panel4)
     missing = None
-    for c in PANEL4:
+    for c in inp.parameters.panel4:
         m = F.col(c).isNull()
         missing = m if missing is None else missing | m
     return wide.withColumn("complete", F.when(missing, F.lit("remove")).otherwise(F.lit("keep")))
@@ -109,7 +109,7 @@ def text_to_number(inp: Inputs) -> DataFrame:
 
 
 def cohort_label(inp: Inputs) -> DataFrame:
-    sizes = K.cohort_sizes(inp.assay(), "lab_id", "group5", "antigen", "value", PANEL3)
+    sizes = K.cohort_sizes(inp.assay(), "lab_id", "group5", "antigen", "value", inp.parameters.panel3)
     return sizes.withColumn("group_label",
                             C.size_label(C.relabel("group5", COHORT_PLOT_LABELS), "n_ind", " "))
 
@@ -117,7 +117,7 @@ def cohort_label(inp: Inputs) -> DataFrame:
 def log2_values(inp: Inputs) -> DataFrame:
     a = inp.assay_long()
     return a.select("lab_id", "antigen",
-                    r6(C.safe_log2(C.floor_zeros("value", TEST_FLOOR))).alias("log2_value"))
+                    r6(C.safe_log2(C.floor_zeros("value", inp.parameters.test_floor))).alias("log2_value"))
 
 
 def days_since_test(inp: Inputs) -> DataFrame:
@@ -127,12 +127,12 @@ def days_since_test(inp: Inputs) -> DataFrame:
 
 def detected_count_zero_filled(inp: Inputs) -> DataFrame:
     return K.detected_zero_filled(inp.assay(), "lab_id", "group5", "antigen", "value",
-                                  PANEL4, FIXTURE_CUTOFF)
+                                  inp.parameters.panel4, inp.parameters.cutoff)
 
 
 def percent_of_group(inp: Inputs) -> DataFrame:
-    per = K.detected_any(inp.assay(), "lab_id", "group5", "antigen", "value", PANEL4,
-                         FIXTURE_CUTOFF)
+    per = K.detected_any(inp.assay(), "lab_id", "group5", "antigen", "value", inp.parameters.panel4,
+                         inp.parameters.cutoff)
     dist = K.percent_of_group(K.distribution(per, "group5", "detected"), "group5")
     return dist.withColumn("prop", r6("prop"))
 
@@ -140,7 +140,7 @@ def percent_of_group(inp: Inputs) -> DataFrame:
 # ------------------------------------------------------ filters, C ---------
 
 def filter_membership(inp: Inputs) -> DataFrame:
-    a = inp.assay().filter(F.col("group5").isin(SEROPOSITIVE3) & F.col("antigen").isin(PANEL4))
+    a = inp.assay().filter(F.col("group5").isin(SEROPOSITIVE3) & F.col("antigen").isin(list(inp.parameters.panel4)))
     return a.select("lab_id", "antigen", "group5", "value")
 
 
@@ -153,13 +153,11 @@ def filter_not_null(inp: Inputs) -> DataFrame:
 # ------------------------------------------------------ joins, D -----------
 
 def attach_cohort_size(inp: Inputs) -> DataFrame:
-    """Distribution joined to group sizes where the NULL group matches."""
-    a = inp.assay().filter(F.col("antigen").isin(PANEL4) & F.col("value").isNotNull())
+    """Distribution with group sizes, the NULL group included."""
+    a = inp.assay().filter(F.col("antigen").isin(list(inp.parameters.panel4)) & F.col("value").isNotNull())
     per = a.groupBy("lab_id", "group5").agg(
-        F.sum(C.flag_above("value", FIXTURE_CUTOFF)).cast("bigint").alias("detected"))
-    dist = K.distribution(per, "group5", "detected")
-    sizes = M.count_by(per, ["group5"], "n_ind")
-    return attach(dist, sizes, ["group5"])
+        F.sum(C.flag_above("value", inp.parameters.cutoff)).cast("bigint").alias("detected"))
+    return M.with_group_total(K.distribution(per, "group5", "detected"), ["group5"], "n", "n_ind")
 
 
 def attach_titre(inp: Inputs) -> DataFrame:
@@ -168,9 +166,9 @@ def attach_titre(inp: Inputs) -> DataFrame:
 
 
 def paired_analyte_differences(inp: Inputs) -> DataFrame:
-    a = inp.assay().filter(F.col("group5").isin(SEROPOSITIVE3) & F.col("antigen").isin(PANEL4))
-    a = a.withColumn("lv", F.log2(C.floor_zeros("value", TEST_FLOOR)))
-    p = S.paired_differences(a, "lab_id", "antigen", "lv", S.all_pairs(PANEL4))
+    a = inp.assay().filter(F.col("group5").isin(SEROPOSITIVE3) & F.col("antigen").isin(list(inp.parameters.panel4)))
+    a = a.withColumn("lv", F.log2(C.floor_zeros("value", inp.parameters.test_floor)))
+    p = S.paired_differences(a, "lab_id", "antigen", "lv", S.all_pairs(inp.parameters.panel4))
     return p.select("lab_id", "group1", "group2", r6("d").alias("d"))
 
 
@@ -182,8 +180,8 @@ def count_by_group(inp: Inputs) -> DataFrame:
 
 
 def detected_per_subject(inp: Inputs) -> DataFrame:
-    return K.subject_panel(inp.assay(), "lab_id", "group5", "antigen", "value", PANEL3,
-                           FIXTURE_CUTOFF)
+    return K.subject_panel(inp.assay(), "lab_id", "group5", "antigen", "value", inp.parameters.panel3,
+                           inp.parameters.cutoff)
 
 
 def detection_distribution(inp: Inputs) -> DataFrame:
@@ -193,8 +191,8 @@ def detection_distribution(inp: Inputs) -> DataFrame:
 
 def label_counts(inp: Inputs) -> DataFrame:
     cc = H.complete_cases(inp.assay().filter(F.col("group5").isNotNull()),
-                          ["lab_id", "group5"], "antigen", "value", PANEL4)
-    lab = cc.withColumn("label", C.label_above("value", FIXTURE_CUTOFF)) \
+                          ["lab_id", "group5"], "antigen", "value", inp.parameters.panel4)
+    lab = cc.withColumn("label", C.label_above("value", inp.parameters.cutoff)) \
         .filter(F.col("label").isNotNull())
     return K.label_counts(lab, ["lab_id", "group5"], "label")
 
@@ -222,21 +220,27 @@ def mid_rank(inp: Inputs) -> DataFrame:
 # ------------------------------------------------------ ordering, F --------
 
 def category_order(inp: Inputs) -> DataFrame:
-    a = inp.assay_long().filter(F.col("antigen").isNotNull())
-    o = M.category_order(a, "antigen", "lab_id")
-    return o.withColumn("level_rev", F.row_number().over(
-        Window.orderBy(F.col("first_position").desc(), F.col("antigen").desc())).cast("bigint"))
+    """Analytes in the order of their first row (subject, then line), forward
+    and reversed."""
+    li = inp.table("lineitem").select(
+        F.col("l_orderkey").alias("lab_id"), "l_linenumber",
+        C.recode(_map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL), ANALYTE_SHORT_NAMES)
+        .alias("antigen")).filter(F.col("antigen").isNotNull())
+    place = ["lab_id", "l_linenumber"]
+    back = M.category_order(li, "antigen", place, reverse=True, name="level_rev")
+    return M.category_order(li, "antigen", place).join(
+        back.drop("first_position"), "antigen")
 
 
 def category_pairs(inp: Inputs) -> DataFrame:
-    return S.category_pairs(inp.assay_long(), "antigen", PANEL4)
+    return S.category_pairs(inp.assay_long(), "antigen", inp.parameters.panel4)
 
 
 # ------------------------------------------------------ reshape, H ---------
 
 def spread_analytes(inp: Inputs) -> DataFrame:
-    a = inp.assay().filter(F.col("group5").isNotNull() & F.col("antigen").isin(PANEL4))
-    return H.spread(a, ["lab_id", "group5"], "antigen", "value", PANEL4)
+    a = inp.assay().filter(F.col("group5").isNotNull() & F.col("antigen").isin(list(inp.parameters.panel4)))
+    return H.spread(a, ["lab_id", "group5"], "antigen", "value", inp.parameters.panel4)
 
 
 def spread_duplicates(inp: Inputs) -> DataFrame:
@@ -250,12 +254,12 @@ def spread_duplicates(inp: Inputs) -> DataFrame:
 
 
 def gather_analytes(inp: Inputs) -> DataFrame:
-    return H.gather(spread_analytes(inp), ["lab_id", "group5"], PANEL4, "antigen", "value")
+    return H.gather(spread_analytes(inp), ["lab_id", "group5"], inp.parameters.panel4, "antigen", "value")
 
 
 def complete_case_long(inp: Inputs) -> DataFrame:
     a = inp.assay().filter(F.col("group5").isNotNull())
-    return H.complete_cases(a, ["lab_id", "group5"], "antigen", "value", PANEL4)
+    return H.complete_cases(a, ["lab_id", "group5"], "antigen", "value", inp.parameters.panel4)
 
 
 # ------------------------------------------------------ tests at scale -----
@@ -280,7 +284,7 @@ def rank_sum_events(inp: Inputs, with_p: bool = False) -> DataFrame:
         "half", F.when(F.col("user_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")))
     t = S.rank_sum(ev, ["event_type"], "half", "value", ("even", "odd"))
     if with_p:
-        t = S.add_rank_pvalue(t, "rank_sum")
+        t = S.add_rank_pvalue(t)
         t = S.bonferroni(t, "p")
         t = S.add_significance(t, "p_adj", "p_adj_signif")
         return t.select("event_type", "group1", "group2", "n1", "n2",
@@ -293,5 +297,29 @@ def rank_sum_events(inp: Inputs, with_p: bool = False) -> DataFrame:
 def subject_summary(inp: Inputs) -> DataFrame:
     """Per-subject table behind Figures 3A/3B/4B."""
     return K.subject_summary(inp.assay(), "lab_id", "group5", "antigen", "value",
-                             {"k3": PANEL3, "k4": PANEL4}, FIXTURE_CUTOFF,
+                             {"k3": inp.parameters.panel3, "k4": inp.parameters.panel4}, inp.parameters.cutoff,
                              names={"NC": "nc", "M": "m", "SCT": "sct", "SNT": "snt"})
+
+
+def nan_as_missing(inp: Inputs) -> DataFrame:
+    """Some values of the test table are NaN before they are taken in: they are
+    missing in counts, flags, labels and the per-subject panel."""
+    li = inp.spark.read.parquet(f"{inp.sf_dir.rstrip('/')}/lineitem.parquet")
+    li = io.nan_to_null(li.withColumn("l_extendedprice", F.when(
+        F.col("l_partkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))))
+    a = fixture.assay_raw_of(li).select(
+        "lab_id", C.recode("antigen_raw", ANALYTE_SHORT_NAMES).alias("antigen"), "value")
+    cutoff = inp.parameters.cutoff
+    return a.filter(F.col("antigen").isNotNull()).groupBy("antigen").agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n"),
+        F.count(C.flag_above("value", cutoff)).alias("n_flagged"),
+        F.count(F.when(C.label_above("value", cutoff) == "Above", 1)).alias("n_above"),
+        r6(F.max("value")).alias("largest"))
+
+
+def rank_sum_small_strata(inp: Inputs) -> DataFrame:
+    """Rank-sum test of order values between two order states for every
+    customer: many small samples, mostly without ties, so p is exact."""
+    t = S.rank_sum(inp.table("orders"), ["o_custkey"], "o_orderstatus", "o_totalprice", ("F", "O"))
+    t = S.add_rank_pvalue(t)
+    return t.select("o_custkey", "n1", "n2", "statistic", "exact", r6("p").alias("p"))

@@ -12,28 +12,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.labels import (ANALYTE_LOCALIZED_NAMES, COHORT_GERMAN_LABELS, CONTROLS,
-                                EXPOSED_SERONEGATIVE, PANEL3, PANEL3_LOCALIZED, PANEL4,
-                                PCR_SEROPOSITIVE, PLOT_FLOOR, TEST_FLOOR)
+from ..functions.labels import (ANALYTE_LOCALIZED_NAMES, ANALYTE_SHORT_NAMES,
+                                COHORT_GERMAN_LABELS, CONTROLS, EXPOSED_SERONEGATIVE,
+                                NONCONTROL4, PANEL3, PANEL3_LOCALIZED, PANEL4,
+                                PCR_SEROPOSITIVE, PLOT_FLOOR, SEROPOSITIVE3, TEST_FLOOR)
 from ..operators import stats as S
 from ..operators.stats import all_pairs
-from ..sources.fixture import FIXTURE_CUTOFF
+from ..sources.fixture import FIXTURE_CUTOFF, LINE_TO_RAW_LABEL
 from ..sources.fixture_sql import with_fixture
 from . import operator_tables as T
 from . import reports as R
-from .context import Inputs
-from .reports import NONCONTROL4, SEROPOSITIVE3
-from .sqltext import (adjusted_expr, case_map, col_name, erfc_expr, floor_expr, in_list,
+from .context import Inputs, Tables
+from .sqltext import (adjusted_expr, case_map, col_name, erfc_expr, exact_ranksum_ctes, floor_expr, in_list,
                       correlation_p_cte, log2_expr, mid_rank_expr, normal_p_expr, panel_cte,
-                      plot_label, signif_expr, size_label, stat_label_expr)
+                      plot_label, ranksum_p_expr, signif_expr, size_label,
+                      stat_label_expr)
 from .sqltext import q as sq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
+        BUILDERS[key] = fn
         QUERIES[key] = lambda spark, sf_dir, _fn=fn: _fn(Inputs(spark, sf_dir))
         if sql is not None:
             ORACLES[key] = sql
@@ -608,10 +611,13 @@ def _rank_sum_sql(src_cte: str, stratum: str, group: str, g1: str, g2: str) -> s
          ((stat - n1 * n2 / 2) - sign(stat - n1 * n2 / 2) * 0.5)
            / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z
   FROM w
-), rsp AS (
-  SELECT *, {normal_p_expr('z')} AS p FROM rsraw
+), rse AS (
+  SELECT *, (n1 < 50 AND n2 < 50 AND ties = 0) AS exact FROM rsraw
+){exact_ranksum_ctes('rse')}, rsp AS (
+  SELECT rse.*, {ranksum_p_expr('z', 'stat')} AS p
+  FROM rse LEFT JOIN tails ON exact AND m = n1 AND n = n2 AND w = stat
 ), rsa AS (
-  SELECT *, {adjusted_expr('p')} AS p_adj, (n1 < 50 AND n2 < 50 AND ties = 0) AS exact FROM rsp
+  SELECT *, {adjusted_expr('p')} AS p_adj FROM rsp
 )
 SELECT {stratum}, group1, group2, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2,
        round(stat, 6) AS statistic, round(z, 6) AS z{{extra}}
@@ -657,7 +663,7 @@ def q_mid_rank(inp):
     return T.mid_rank(inp)
 
 
-_EVENTS = """WITH wt AS (
+_EVENTS = """WITH RECURSIVE wt AS (
   SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS half, value
   FROM events
 )"""
@@ -994,13 +1000,19 @@ def q_cohort_size_k4(inp):
     return T.cohort_size(inp, PANEL4)
 
 
-@register("category_order", with_fixture("""
-, f AS (SELECT antigen, min(lab_id) AS first_position FROM assay_long
-        WHERE antigen IS NOT NULL GROUP BY 1)
+_LINE_ANALYTE = case_map("l_linenumber", {
+    line: ANALYTE_SHORT_NAMES[raw] for line, raw in LINE_TO_RAW_LABEL.items()
+    if raw in ANALYTE_SHORT_NAMES})
+
+
+@register("category_order", f"""
+WITH f AS (
+  SELECT {_LINE_ANALYTE} AS antigen, l_linenumber, min(l_orderkey) AS first_position
+  FROM lineitem GROUP BY 2)
 SELECT antigen, first_position,
-       row_number() OVER (ORDER BY first_position, antigen) AS level,
-       row_number() OVER (ORDER BY first_position DESC, antigen DESC) AS level_rev
-FROM f"""))
+       row_number() OVER (ORDER BY first_position, l_linenumber) AS level,
+       row_number() OVER (ORDER BY first_position DESC, l_linenumber DESC) AS level_rev
+FROM f WHERE antigen IS NOT NULL""")
 def q_category_order(inp):
     return T.category_order(inp)
 
@@ -1071,3 +1083,48 @@ SELECT panel, group5, detected, n, CAST(sum(n) OVER (PARTITION BY panel, group5)
 FROM dist"""))
 def q_fig3_detection_tables(inp):
     return R.fig3_detection_tables(inp)
+
+
+# ------------------------------------------------ missing values, exact p --
+
+@register("nan_as_missing", f"""
+WITH a AS (
+  SELECT l_orderkey, {_LINE_ANALYTE} AS antigen,
+         max(CASE WHEN l_tax < 0.08 AND l_partkey % 5 <> 0
+                  THEN l_extendedprice * l_discount END) AS value
+  FROM lineitem GROUP BY 1, 2)
+SELECT antigen, count(*) AS n_rows, count(value) AS n, count(value) AS n_flagged,
+       count(CASE WHEN value > {CUT!r} THEN 1 END) AS n_above, round(max(value), 6) AS largest
+FROM a WHERE antigen IS NOT NULL GROUP BY 1""")
+def q_nan_as_missing(inp):
+    return T.nan_as_missing(inp)
+
+
+@register("rank_sum_small_strata", f"""
+WITH RECURSIVE
+src AS (
+  SELECT o_custkey, o_orderstatus = 'F' AS first_sample, o_totalprice AS v FROM orders
+  WHERE o_orderstatus IN ('F', 'O') AND o_totalprice IS NOT NULL),
+ranked AS (
+  SELECT *, {mid_rank_expr('o_custkey', 'v')} AS r,
+         count(*) OVER (PARTITION BY o_custkey, v) AS c FROM src),
+tests AS (
+  SELECT o_custkey, count(*) FILTER (first_sample) AS n1, count(*) FILTER (NOT first_sample) AS n2,
+         coalesce(sum(r) FILTER (first_sample), 0) AS r1, sum(c * c - 1.0) AS ties
+  FROM ranked GROUP BY 1),
+stat AS (
+  SELECT *, CAST(r1 - n1 * (n1 + 1) / 2.0 AS DOUBLE) AS statistic,
+         (n1 < 50 AND n2 < 50 AND ties = 0) AS exact,
+         CAST(n1 AS DOUBLE) AS a, CAST(n2 AS DOUBLE) AS b
+  FROM tests),
+zs AS (
+  SELECT *, CASE WHEN a > 0 AND b > 0 AND a + b > 1
+                      AND a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1))) > 0
+                 THEN (statistic - a * b / 2 - sign(statistic - a * b / 2) * 0.5)
+                      / sqrt(a * b / 12 * (a + b + 1 - ties / ((a + b) * (a + b - 1)))) END AS z
+  FROM stat){exact_ranksum_ctes('stat')}
+SELECT o_custkey, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, statistic, exact,
+       round({ranksum_p_expr('z', 'statistic')}, 6) AS p
+FROM zs LEFT JOIN tails ON exact AND m = n1 AND n = n2 AND w = statistic""")
+def q_rank_sum_small_strata(inp):
+    return T.rank_sum_small_strata(inp)

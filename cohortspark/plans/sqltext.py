@@ -26,7 +26,7 @@ def in_list(values: Sequence[str]) -> str:
 
 
 def case_map(col: str, mapping: Mapping[str, str]) -> str:
-    whens = " ".join(f"WHEN {q(k)} THEN {sql_text(v)}" for k, v in mapping.items())
+    whens = " ".join(f"WHEN {q(k) if isinstance(k, str) else k} THEN {sql_text(v)}" for k, v in mapping.items())
     return f"CASE {col} {whens} END"
 
 
@@ -53,22 +53,20 @@ def col_name(a: str) -> str:
 
 
 def panel_cte(name: str, group: str, panel: Sequence[str], cutoff: float,
-              source: str = "assay", detected: str = "detected",
-              carry: Sequence[str] = ()) -> str:
+              source: str = "assay", detected: str = "detected") -> str:
     """Complete-case subjects with the count of analytes above the cutoff."""
-    carry_sel = "".join(f", {c}" for c in carry)
     cols = ",\n    ".join(f"max(CASE WHEN antigen = {q(a)} THEN value END) AS {col_name(a)}"
                           for a in panel)
     nn = " AND ".join(f"{col_name(a)} IS NOT NULL" for a in panel)
     hits = " + ".join(f"CAST({col_name(a)} > {cutoff!r} AS INTEGER)" for a in panel)
     return f""", {name}_wide AS (
-  SELECT lab_id, {group}{carry_sel},
+  SELECT lab_id, {group},
     {cols}
   FROM {source}
   WHERE {group} IS NOT NULL AND antigen IN {in_list(panel)}
-  GROUP BY lab_id, {group}{carry_sel}
+  GROUP BY lab_id, {group}
 ), {name} AS (
-  SELECT lab_id, {group}{carry_sel}, CAST({hits} AS BIGINT) AS {detected}
+  SELECT lab_id, {group}, CAST({hits} AS BIGINT) AS {detected}
   FROM {name}_wide WHERE {nn}
 )"""
 
@@ -109,6 +107,34 @@ def normal_p_expr(z: str) -> str:
             f"least(1.0, {erfc_expr(f'(abs({z}) / sqrt(2.0))')}) END)")
 
 
+def exact_ranksum_ctes(tests: str) -> str:
+    """CTEs ``ways`` and ``tails`` for the exact rank-sum p of the table
+    ``tests`` (columns n1, n2, exact).  ways: how many orders of m + n values
+    give the first sample the statistic w, one value more a step; tails: the
+    shares of orders with at most and at least w."""
+    most = lambda c: f"(SELECT max({c}) FROM {tests} WHERE exact)"
+    return f""", ways(m, n, w, k) AS (
+  SELECT 0, 0, 0, CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT m, n, w, sum(k) FROM (
+    SELECT m + 1 AS m, n, w + n AS w, k FROM ways
+    UNION ALL SELECT m, n + 1 AS n, w, k FROM ways)
+  WHERE m <= {most('n1')} AND n <= {most('n2')}
+  GROUP BY m, n, w
+), tails AS (
+  SELECT m, n, w, sum(k) OVER lo / sum(k) OVER mn AS low, sum(k) OVER hi / sum(k) OVER mn AS high
+  FROM ways
+  WINDOW mn AS (PARTITION BY m, n), lo AS (PARTITION BY m, n ORDER BY w),
+         hi AS (PARTITION BY m, n ORDER BY w DESC)
+)"""
+
+
+def ranksum_p_expr(z: str, stat: str) -> str:
+    """p of a rank-sum row joined to ``tails``: exact where allowed."""
+    return (f"CASE WHEN exact THEN CASE WHEN n1 > 0 AND n2 > 0 THEN least(1.0, 2 * CASE WHEN "
+            f"{stat} > n1 * n2 / 2.0 THEN high ELSE low END) END ELSE {normal_p_expr(z)} END")
+
+
 def adjusted_expr(p: str) -> str:
     """Bonferroni over all rows of the result."""
     return f"(CASE WHEN {p} IS NOT NULL THEN least(1.0, {p} * count({p}) OVER ()) END)"

@@ -15,14 +15,13 @@ each query needs and pushes filters into the parquet reader.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.labels import (ANALYTE_SHORT_NAMES, COHORT_RULES, NEGATIVE,
                                 POSITIVE)
+from .io import nan_to_null
 
 # --- fixed values: the fixture mapping (FIXTURES.md §2) --------------------
 LINE_TO_RAW_LABEL = {
@@ -43,48 +42,10 @@ IGG_MISSING_PRIORITY = "3-MEDIUM"
 ROCHE_MISSING_PRIORITY = "5-LOW"
 
 
-_PLANS: dict = {}
-
-
-def _signature(path: str):
-    try:
-        st = os.stat(path)
-        return (st.st_mtime_ns, st.st_size)
-    except OSError:  # not a local path: rely on Spark's own file listing
-        return None
-
-
-def _memo(spark: SparkSession, key: tuple, paths: tuple, build):
-    """Reuse an already analysed DataFrame (a plan, not data) for the same
-    session, inputs and arguments; rebuilt when an input file changes.
-    Building and analysing the fixture plan costs more driver time than
-    running it on small inputs."""
-    sig = tuple(_signature(p) for p in paths)
-    k = (id(spark), key)
-    hit = _PLANS.get(k)
-    # the entry holds the session itself, so its id cannot be reused while
-    # cached; a stopped session's plans are never handed out
-    if hit is not None and hit[0] is spark and hit[1] == sig and _alive(spark):
-        return hit[2]
-    df = build()
-    _PLANS[k] = (spark, sig, df)
-    return df
-
-
-def _alive(spark: SparkSession) -> bool:
-    try:
-        return not spark.sparkContext._jsc.sc().isStopped()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session has no context
-        return True
-
-
-def _path(sf_dir: str, name: str) -> str:
-    return f"{sf_dir.rstrip('/')}/{name}.parquet"
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = _path(sf_dir, name)
-    return _memo(spark, ("scan", path), (path,), lambda: spark.read.parquet(path))
+    """A test table as it is now: the file listing is Spark's own, made anew
+    for every query.  NaN is missing, as everywhere (see ``io.nan_to_null``)."""
+    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _map_int(c, mapping):
@@ -95,18 +56,16 @@ def _map_int(c, mapping):
 
 
 def assay_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, ("assay_raw", sf_dir), (_path(sf_dir, "lineitem"),),
-                 lambda: _assay_raw(spark, sf_dir))
+    return assay_raw_of(read_table(spark, sf_dir, "lineitem"))
 
 
-def _assay_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assay_raw_of(li: DataFrame) -> DataFrame:
     """(lab_id, antigen_raw, value, visit_date); one row per subject x label.
 
     ``lineitem`` repeats (order, line) keys, so the mapping aggregates; the
     partial aggregate runs before the shuffle, so a hot key is folded on the
     map side.
     """
-    li = read_table(spark, sf_dir, "lineitem")
     # group on the integer line number (cheap to hash) and label afterwards;
     # filters on the label still reach below the aggregation, since they
     # only use a grouping column
@@ -119,15 +78,8 @@ def _assay_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "value", "visit_date")
 
 
-def assay_long(spark: SparkSession, sf_dir: str,
-               mapping=None) -> DataFrame:
+def assay_long(spark: SparkSession, sf_dir: str, mapping=None) -> DataFrame:
     """(lab_id, antigen, value, visit_date) with analyte labels recoded."""
-    key = ("assay_long", sf_dir, tuple(sorted((mapping or ANALYTE_SHORT_NAMES).items())))
-    return _memo(spark, key, (_path(sf_dir, "lineitem"),),
-                 lambda: _assay_long(spark, sf_dir, mapping))
-
-
-def _assay_long(spark: SparkSession, sf_dir: str, mapping=None) -> DataFrame:
     raw = assay_raw(spark, sf_dir)
     return raw.select("lab_id",
                       C.recode("antigen_raw", mapping or ANALYTE_SHORT_NAMES).alias("antigen"),
@@ -136,12 +88,6 @@ def _assay_long(spark: SparkSession, sf_dir: str, mapping=None) -> DataFrame:
 
 def subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per subject with groups, titres and serostatus."""
-    return _memo(spark, ("subject", sf_dir),
-                 (_path(sf_dir, "orders"), _path(sf_dir, "customer")),
-                 lambda: _subject(spark, sf_dir))
-
-
-def _subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
@@ -171,7 +117,4 @@ def _subject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assay(spark: SparkSession, sf_dir: str, mapping=None) -> DataFrame:
     """The long analysis table: assay rows with their subject's attributes."""
-    key = ("assay", sf_dir, tuple(sorted((mapping or ANALYTE_SHORT_NAMES).items())))
-    paths = tuple(_path(sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    return _memo(spark, key, paths, lambda: assay_long(spark, sf_dir, mapping).join(
-        subject(spark, sf_dir), "lab_id", "left"))
+    return assay_long(spark, sf_dir, mapping).join(subject(spark, sf_dir), "lab_id", "left")

@@ -3,64 +3,64 @@
 Every oracle query starts with :data:`FIXTURE_CTES` and reads the CTEs
 ``assay_raw``, ``assay_long``, ``subject`` and ``assay``.  The text is plain
 ANSI SQL as DuckDB runs it; it mirrors :mod:`cohortspark.sources.fixture`.
+Labels and limits come from the constants that the Spark side uses.
 """
 
-FIXTURE_CTES = """
-WITH assay_raw AS (
+from ..functions.labels import ANALYTE_SHORT_NAMES, COHORT_RULES, NEGATIVE, POSITIVE
+from ..plans.sqltext import case_map, q
+from .fixture import (IGG_MISSING_PRIORITY, IGG_POSITIVE_FROM, LINE_TO_RAW_LABEL,
+                      ROCHE_MISSING_PRIORITY, ROCHE_POSITIVE_FROM, STATUS_TO_GROUP3,
+                      VALUE_TAX_LIMIT)
+
+
+def _cohort(status: str) -> str:
+    whens = "\n              ".join(
+        f"WHEN group3 = {q(g)}" + (f" AND {status} = {q(s)}" if s else "") + f" THEN {q(name)}"
+        for g, s, name in COHORT_RULES)
+    return f"CASE {whens} END"
+
+
+def _status(value: str, positive_from: float, missing: str) -> str:
+    return (f"CASE WHEN o_orderpriority = {q(missing)} THEN NULL\n"
+            f"              WHEN {value} >= {positive_from!r} THEN {q(POSITIVE)}\n"
+            f"              WHEN {value} < {positive_from!r} THEN {q(NEGATIVE)} END")
+
+
+FIXTURE_CTES = f"""
+WITH RECURSIVE assay_raw AS (
   SELECT l_orderkey AS lab_id,
-         CASE l_linenumber WHEN 1 THEN 'Capsid sub x5' WHEN 2 THEN 'Membrane sub x5'
-              WHEN 3 THEN 'SCT sub x5' WHEN 4 THEN 'SNT sub x5'
-              WHEN 5 THEN 'grün sbu x5' WHEN 6 THEN 'yellow sub x5'
-              WHEN 7 THEN 'unlisted sub x5' END AS antigen_raw,
-         max(CASE WHEN l_tax < 0.08 THEN l_extendedprice * l_discount END) AS value,
+         {case_map('l_linenumber', LINE_TO_RAW_LABEL)} AS antigen_raw,
+         max(CASE WHEN l_tax < {VALUE_TAX_LIMIT!r} THEN l_extendedprice * l_discount END) AS value,
          CAST(min(l_shipdate) AS DATE) AS visit_date
   FROM lineitem
   GROUP BY 1, 2
 ),
 assay_long AS (
-  SELECT lab_id,
-         CASE antigen_raw WHEN 'Capsid sub x5' THEN 'NC' WHEN 'Membrane sub x5' THEN 'M'
-              WHEN 'SNT sub x5' THEN 'SNT' WHEN 'SCT sub x5' THEN 'SCT'
-              WHEN 'grün sbu x5' THEN 'Pepmix (green)'
-              WHEN 'yellow sub x5' THEN 'Pepmix (yellow)' END AS antigen,
-         value, visit_date
+  SELECT lab_id, {case_map('antigen_raw', ANALYTE_SHORT_NAMES)} AS antigen, value, visit_date
   FROM assay_raw
 ),
 subject_base AS (
   SELECT o_orderkey AS lab_id,
-         CASE o_orderstatus WHEN 'F' THEN 'PCR+' WHEN 'O' THEN 'Exposed'
-              WHEN 'P' THEN 'Controls' END AS group3,
+         {case_map('o_orderstatus', STATUS_TO_GROUP3)} AS group3,
          o_totalprice AS roche,
-         CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'n/a'
+         CASE WHEN o_orderpriority = {q(IGG_MISSING_PRIORITY)} THEN 'n/a'
               ELSE CAST(c_acctbal AS VARCHAR) END AS igg_raw,
-         CASE WHEN o_orderpriority = '5-LOW' THEN NULL
-              WHEN o_totalprice >= 250000 THEN 'Positive'
-              WHEN o_totalprice < 250000 THEN 'Negative' END AS sero_roche,
-         CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL
-              WHEN c_acctbal >= 4500 THEN 'Positive'
-              WHEN c_acctbal < 4500 THEN 'Negative' END AS sero_igg,
+         {_status('o_totalprice', ROCHE_POSITIVE_FROM, ROCHE_MISSING_PRIORITY)} AS sero_roche,
+         {_status('c_acctbal', IGG_POSITIVE_FROM, IGG_MISSING_PRIORITY)} AS sero_igg,
          CAST(o_orderdate AS DATE) AS test_date
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey
 ),
 subject_status AS (
   SELECT *,
-         CASE WHEN sero_roche = 'Positive' OR sero_igg = 'Positive' THEN 'Positive'
-              WHEN sero_roche = 'Negative' AND sero_igg = 'Negative' THEN 'Negative'
+         CASE WHEN sero_roche = {q(POSITIVE)} OR sero_igg = {q(POSITIVE)} THEN {q(POSITIVE)}
+              WHEN sero_roche = {q(NEGATIVE)} AND sero_igg = {q(NEGATIVE)} THEN {q(NEGATIVE)}
          END AS sero_combined
   FROM subject_base
 ),
 subject AS (
   SELECT lab_id, group3, roche, igg_raw, sero_roche, sero_igg, test_date,
-         CASE WHEN group3 = 'PCR+' AND sero_roche = 'Positive' THEN 'PCR+ Seropositive'
-              WHEN group3 = 'PCR+' AND sero_roche = 'Negative' THEN 'PCR+ Seronegative'
-              WHEN group3 = 'Exposed' AND sero_roche = 'Positive' THEN 'Exposed Seropositive'
-              WHEN group3 = 'Exposed' AND sero_roche = 'Negative' THEN 'Exposed Seronegative'
-              WHEN group3 = 'Controls' THEN 'Controls' END AS group5,
-         CASE WHEN group3 = 'PCR+' AND sero_combined = 'Positive' THEN 'PCR+ Seropositive'
-              WHEN group3 = 'PCR+' AND sero_combined = 'Negative' THEN 'PCR+ Seronegative'
-              WHEN group3 = 'Exposed' AND sero_combined = 'Positive' THEN 'Exposed Seropositive'
-              WHEN group3 = 'Exposed' AND sero_combined = 'Negative' THEN 'Exposed Seronegative'
-              WHEN group3 = 'Controls' THEN 'Controls' END AS group5b
+         {_cohort('sero_roche')} AS group5,
+         {_cohort('sero_combined')} AS group5b
   FROM subject_status
 ),
 assay AS (

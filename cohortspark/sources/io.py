@@ -9,8 +9,9 @@ study's commented-out ``write.csv`` calls produce) or parquet.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import (DateType, DoubleType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql import functions as F
+from pyspark.sql.types import (DateType, DoubleType, FloatType, LongType, StringType,
+                               StructField, StructType)
 
 ASSAY_LONG_SCHEMA = StructType([
     StructField("lab_id", LongType(), False),
@@ -32,15 +33,22 @@ SUBJECT_SCHEMA = StructType([
 ])
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in a floating-point column is a missing value: NULL from here on."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(df[c]), df[c]) for c in floats}) if floats else df
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
                fmt: str = "parquet", **options) -> DataFrame:
-    """Read a table with a declared schema; CSV gets a header by default."""
+    """Read a table with a declared schema; CSV gets a header by default.
+    NaN is read as missing."""
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         options.setdefault("header", "true")
-    return reader.options(**options).load(path)
+    return nan_to_null(reader.options(**options).load(path))
 
 
 def read_assay(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources.io import ASSAY_LONG_SCHEMA
+from ..sources.io import ASSAY_LONG_SCHEMA, nan_to_null
 
 
 def prepare_assay_rows(df: DataFrame, cutoff: float, floor: float,
@@ -37,7 +37,7 @@ def assay_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     r = spark.readStream.schema(ASSAY_LONG_SCHEMA).format(fmt)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return r.load(path)
+    return nan_to_null(r.load(path))
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:

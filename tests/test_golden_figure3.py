@@ -70,3 +70,39 @@ def test_figure_3b_counts(spark):
     _check(spark, FIG3B, PANEL4)
     assert sum(n for n, _ in FIG3B.values()) == 232
     assert sum(n for n, _ in FIG3A.values()) == 396
+
+
+def _study(spark, table, panel):
+    from cohortspark.plans.context import StudyInputs
+    rows = _subjects(table, panel)
+    assay = spark.createDataFrame([(lab, a, v, None) for lab, _, a, v in rows],
+                                  "lab_id long, antigen string, value double, visit_date date")
+    subjects = spark.createDataFrame(sorted({(lab, g or "") for lab, g, _, _ in rows}),
+                                     "lab_id long, g string")
+    null = lambda t: F.lit(None).cast(t)
+    subjects = subjects.select(
+        "lab_id", null("string").alias("group3"), null("double").alias("roche"),
+        null("string").alias("igg_raw"), null("string").alias("sero_roche"),
+        null("string").alias("sero_igg"), null("date").alias("test_date"),
+        F.when(F.col("g") != "", F.col("g")).alias("group5"), null("string").alias("group5b"))
+    return StudyInputs(assay, subjects)
+
+
+def test_reports_on_assay_files(spark, tmp_path):
+    """The published tables from files, through the reports at the study's cutoff."""
+    import pytest
+    from cohortspark.plans import reports
+    from cohortspark.plans.context import StudyInputs
+    from cohortspark.sources.io import write_result
+    for table, panel, report in ((FIG3A, PANEL3, reports.fig3a_distribution),
+                                 (FIG3B, PANEL4, reports.fig3b_distribution)):
+        made = _study(spark, table, panel)
+        for fmt in ("parquet", "csv"):
+            folder = str(tmp_path / f"{fmt}{len(panel)}")
+            write_result(made.assays, folder + "/assay", fmt)
+            write_result(made.subjects, folder + "/subjects", fmt)
+            inp = StudyInputs.read(spark, folder + "/assay", folder + "/subjects", fmt)
+            assert inp.parameters.cutoff == STUDY_CUTOFF
+            got = {(r.group5, r.detected): (r.n, r.prop) for r in report(inp).collect()}
+            assert got == {(g, j): (c, pytest.approx(100 * c / n, abs=1e-6))
+                           for g, (n, counts) in table.items() for j, c in enumerate(counts) if c}

@@ -23,18 +23,8 @@ def test_rename_checked_raises_on_missing(spark):
         rename_checked(df, {"zz": "b"})
 
 
-def test_broadcast_if_small_checks_the_size(spark):
-    from cohortspark.operators.joins import broadcast_if_small
-    big = spark.range(0, 1000).withColumnRenamed("id", "k")
-    small = spark.range(0, 5).withColumnRenamed("id", "k")
-    assert broadcast_if_small(big, max_rows=10) is big          # over the cap: untouched
-    hinted = broadcast_if_small(small, max_rows=10)
-    assert hinted is not small
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = big.join(hinted, "k")._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan
-        plan2 = big.join(small, "k")._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan2
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+def test_semi_join_matches_missing_keys(spark):
+    a = spark.createDataFrame([(1,), (None,), (3,)], "lab_id long")
+    b = spark.createDataFrame([(None,), (3,)], "lab_id long")
+    assert {r.lab_id for r in semi_join(a, b, ["lab_id"]).collect()} == {None, 3}
+    assert semi_join(a, b, ["lab_id"]).columns == ["lab_id"]

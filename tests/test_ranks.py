@@ -1,6 +1,8 @@
 """Distributed ranks against brute force (pandas), including a hot stratum
 holding a third of all rows, NULL strata and heavy ties."""
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ def _data(seed=7, n=3000):
 def test_mid_ranks_match_pandas(spark):
     pdf = _data()
     df = spark.createDataFrame(pdf)
-    got = mid_ranks(df, ["s"], "v", partitions=7).toPandas().sort_values("id")
+    got = mid_ranks(df, ["s"], "v", slices=7).toPandas().sort_values("id")
     exp = pdf.copy()
     exp["r"] = exp.groupby(exp["s"].fillna("<null>"))["v"].rank(method="average")
     np.testing.assert_allclose(got["mid_rank"].to_numpy(), exp.sort_values("id")["r"].to_numpy())
@@ -29,7 +31,7 @@ def test_mid_ranks_match_pandas(spark):
 def test_histogram_counts_and_ties(spark):
     pdf = _data(11, 500)
     df = spark.createDataFrame(pdf)
-    h = ranked_histogram(df, ["s"], "v", counts={"c_big": F.col("v") > 5}, partitions=3).toPandas()
+    h = ranked_histogram(df, ["s"], "v", counts={"c_big": F.col("v") > 5}, slices=3).toPandas()
     assert h["c"].sum() == len(pdf)
     assert h["c_big"].sum() == (pdf["v"] > 5).sum()
     # cum_before + c of the last value in a stratum is the stratum size
@@ -43,7 +45,7 @@ def test_row_positions_composite_order(spark):
     pdf = _data(3, 800)
     pdf["n"] = (pdf["v"] // 3).astype(int)
     df = spark.createDataFrame(pdf[["s", "n", "id"]])
-    got = row_positions(df, ["s"], ["n", "id"], partitions=5).toPandas().sort_values("id")
+    got = row_positions(df, ["s"], ["n", "id"], slices=5).toPandas().sort_values("id")
     exp = pdf.sort_values(["n", "id"]).copy()
     exp["pos"] = exp.groupby(exp["s"].fillna("<null>")).cumcount() + 1
     assert got["position"].tolist() == exp.sort_values("id")["pos"].tolist()
@@ -70,7 +72,7 @@ def test_hot_stratum_is_split_over_many_slices(spark):
     from cohortspark.operators.ranks import with_cumulative
     hist = spark.range(0, 5000).select(F.lit("only").alias("s"), F.col("id").cast("double").alias("v"),
                                        F.lit(1).cast("bigint").alias("c"))
-    out = with_cumulative(hist, ["s"], "v", partitions=8, keep_slice=True)
+    out = with_cumulative(hist, ["s"], "v", slices=8, keep_slice=True)
     per_slice = out.groupBy("slice").agg(F.count("*").alias("n"), F.min("v").alias("lo")).collect()
     assert len(per_slice) >= 6
     assert max(r.n for r in per_slice) < 5000 / 2
@@ -89,15 +91,14 @@ def test_cumulative_counts_property(spark, rows, parts):
     same stratum, for any data and any number of range slices."""
     from cohortspark.operators.ranks import ranked_histogram
     df = spark.createDataFrame([(s, float(v)) for s, v in rows], "s string, v double")
-    got = {(r.s, r.v): (r.c, r.cum_before) for r in ranked_histogram(df, ["s"], "v", partitions=parts).collect()}
+    got = {(r.s, r.v): (r.c, r.cum_before) for r in ranked_histogram(df, ["s"], "v", slices=parts).collect()}
     for (s, v), (c, before) in got.items():
         assert c == sum(1 for a, b in rows if a == s and b == v)
         assert before == sum(1 for a, b in rows if a == s and b < v)
 
 
-def test_default_slicing_with_aqe_merging(spark):
-    """Queries leave the slice count to the session (AQE may merge adjacent
-    small slices); cumulative counts must stay exact."""
+def test_default_slicing(spark):
+    """Queries leave the slice count to the session."""
     from cohortspark.operators.ranks import ranked_histogram
     pdf = _data(21, 2000)
     df = spark.createDataFrame(pdf)
@@ -111,3 +112,36 @@ def test_default_slicing_with_aqe_merging(spark):
     for _, r in h.iterrows():
         s = r["s"] if r["s"] is not None else "<null>"
         assert r["cum_before"] == int(((key == s) & (pdf["v"] < r["v"])).sum())
+
+
+def test_plan_has_two_exchanges_of_the_histogram_and_no_job_at_build(spark):
+    """The fold and the windows shuffle; nothing is range-partitioned, written
+    or run while the plan is built."""
+    df = spark.createDataFrame(_data(1, 200))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranks-build", "plan only")
+    h = ranked_histogram(df, ["s"], "v")
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert len(tracker.getJobIdsForGroup("ranks-build")) == 0
+    spark.sparkContext._jsc.clearJobGroup()
+    assert "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
+    dealt = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    rows = [line for line in dealt if "sum" not in line and "__of" not in line]
+    assert {re.search(r"partitioning\((\w+)", line)[1] for line in rows} <= {"s", "__cell"}
+
+
+def test_cut_points_do_not_change_counts(spark):
+    pdf = _data(8, 1500)
+    df = spark.createDataFrame(pdf)
+    want = None
+    for slices in (1, 2, 5, 60, 700):
+        got = sorted(map(tuple, ranked_histogram(df, ["s"], "v", slices=slices).collect()), key=repr)
+        want = want or got
+        assert got == want
+
+
+def test_positions_and_sizes_by_name_and_place(spark):
+    df = spark.createDataFrame([(i % 7, i // 3, i) for i in range(90)], "a int, b int, c int")
+    got = row_positions(df, [], ["b", "a", "c"], total="n", slices=4, slice_by="b").collect()
+    ordered = sorted(got, key=lambda r: (r.b, r.a, r.c))
+    assert [r.position for r in ordered] == list(range(1, 91)) and {r.n for r in got} == {90}

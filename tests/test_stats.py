@@ -26,7 +26,7 @@ def test_rank_sum_golden_figure_s1(spark):
         rows += [(ag, "Positive", -float(v)) for v in pos]
     df = spark.createDataFrame(rows, "antigen string, sero string, value double")
     t = S.rank_sum(df, ["antigen"], "sero", "value", ("Negative", "Positive"))
-    t = S.add_rank_pvalue(t, "rank_sum")
+    t = S.add_rank_pvalue(t)
     got = {r.antigen: r for r in t.collect()}
     for ag, (neg, pos, w, p) in S1.items():
         assert got[ag].n1 == len(neg) and got[ag].n2 == len(pos)
@@ -78,7 +78,7 @@ def test_signed_rank_exact_textbook(spark):
     rows = [(i, "x", a) for i, a in enumerate(x)] + [(i, "y", b) for i, b in enumerate(y)]
     df = spark.createDataFrame(rows, "lab_id long, k string, v double")
     t = S.signed_rank(S.paired_differences(df, "lab_id", "k", "v", [("x", "y")]))
-    t = S.add_rank_pvalue(t, "signed_rank", n1="n", n2=None).collect()[0]
+    t = S.add_rank_pvalue(t, n1="n", n2=None).collect()[0]
     assert t.statistic == 40 and t.exact
     assert abs(t.p - 0.0390625) < 1e-9
 
@@ -89,7 +89,7 @@ def test_rank_sum_exact_textbook(spark):
     y = [1.15, 0.88, 0.90, 0.74, 1.21]
     rows = [("s", "x", v) for v in x] + [("s", "y", v) for v in y]
     df = spark.createDataFrame(rows, "st string, g string, v double")
-    t = S.add_rank_pvalue(S.rank_sum(df, ["st"], "g", "v", ("x", "y")), "rank_sum").collect()[0]
+    t = S.add_rank_pvalue(S.rank_sum(df, ["st"], "g", "v", ("x", "y"))).collect()[0]
     assert t.statistic == 35 and t.exact
     assert abs(t.p - 0.2544) < 1e-4
 
@@ -146,25 +146,107 @@ def test_category_pairs(spark):
     assert got == [("M", "NC"), ("M", "SNT"), ("NC", "SNT")]
 
 
-def test_pvalue_functions():
-    assert abs(P.normal_two_sided(1.959963985) - 0.05) < 1e-9
-    assert abs(P.t_two_sided(2.306004135, 8) - 0.05) < 1e-8
-    assert abs(P.t_two_sided(12.70620474, 1) - 0.05) < 1e-8
-    assert abs(P.chi2_df1_upper(3.841458821) - 0.05) < 1e-9
-    # exact distributions sum to one and are symmetric
-    assert abs(P.signrank_cdf(10 * 11 / 2, 10) - 1.0) < 1e-12
-    assert abs(P.ranksum_cdf(6 * 7, 6, 7) - 1.0) < 1e-12
-    assert abs(P.ranksum_cdf(20, 6, 7) - (1 - P.ranksum_cdf(42 - 21, 6, 7))) < 1e-12
-    # Figure 4B labels: rho .62 with n 16 gives p ~ .011
-    assert abs(P.correlation_p(0.62, 16) - 0.0104) < 1e-3
+def _evaluate(spark, expr, rows, schema):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
+
+
+def test_normal_and_chi_square_tails(spark):
+    z = [0.0, 1e-9, 0.3, 1.959963985, 2.9, 3.0, 4.2425, 4.243, 6.0, 12.0, 30.0, -1.959963985]
+    got = _evaluate(spark, P.p_normal(F.col("z")), [(v,) for v in z], "z double")
+    for v, p in zip(z, got):
+        want = math.erfc(abs(v) / math.sqrt(2))
+        assert abs(p - want) <= 1e-9 * max(want, 1e-300) + 1e-15, (v, p, want)
+    got = _evaluate(spark, P.p_chi2_df1(F.col("x")), [(3.841458821,), (0.0,), (None,)], "x double")
+    assert abs(got[0] - 0.05) < 1e-9 and got[1:] == [1.0, None]
+    assert _evaluate(spark, P.p_normal(F.col("z")), [(None,)], "z double") == [None]
+
+
+def _student_by_integration(t, df):
+    """Simpson's rule in the angle: P(|T| > t) = 2 c int cos^(df-1)."""
+    a = math.atan(t / math.sqrt(df))
+    x = np.linspace(a, math.pi / 2, 400_001)
+    log_c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi)
+    y = np.exp(log_c + (df - 1) * np.log(np.maximum(np.cos(x), 1e-300)))
+    h = x[1] - x[0]
+    return 2 * h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
+
+
+def test_student_tail(spark):
+    rows = [(t, df) for df in (1, 2, 3, 4, 7, 8, 30, 31, 500, 1999, 2000, 2001, 5000)
+            for t in (0.0, 0.5, 1.9, 2.306004135, 6.0)]
+    got = _evaluate(spark, P.p_student(F.col("t"), F.col("df")), rows, "t double, df long")
+    for (t, df), p in zip(rows, got):
+        assert abs(p - _student_by_integration(t, df)) < 1e-9, (t, df, p)
+    # against the normal limit, which t misses by less than 1e-9 from here on
+    rows = [(t, df) for df in (10 ** 10, 10 ** 12) for t in (0.1, 1.9, 5.0)]
+    got = _evaluate(spark, P.p_student(F.col("t"), F.col("df")), rows, "t double, df long")
+    for (t, df), p in zip(rows, got):
+        assert abs(p - math.erfc(t / math.sqrt(2))) < 1e-9, (t, df, p)
+
+
+def test_correlation_p(spark):
+    got = _evaluate(spark, P.p_correlation(F.col("r"), F.col("n")),
+                    [(0.62, 16), (1.0, 5), (-1.0, 5), (0.5, 2), (None, 9), (0.0, 9)],
+                    "r double, n long")
+    # Figure 4B label: rho .62 with n 16 gives p ~ .011
+    assert abs(got[0] - 0.0104) < 1e-3 and got[1:] == [0.0, 0.0, None, None, 1.0]
+
+
+def test_exact_wilcoxon_by_enumeration(spark):
+    from itertools import combinations, product
+    for m, n in ((1, 1), (2, 5), (6, 4)):
+        sums = sorted(sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m))
+        cdf = P.ranksum_cdf(m, n)
+        assert np.allclose(cdf, [sum(s <= w for s in sums) / len(sums) for w in range(m * n + 1)])
+    for n in (1, 4, 7):
+        sums = [sum(k for k, s in zip(range(1, n + 1), signs) if s)
+                for signs in product((0, 1), repeat=n)]
+        assert np.allclose(P.signrank_cdf(n), [sum(s <= v for s in sums) / 2 ** n
+                                               for v in range(n * (n + 1) // 2 + 1)])
+    big = P.ranksum_cdf(49, 49)
+    assert np.all(np.diff(big) >= 0) and big[-1] == 1.0
+    assert abs(big[1200] + big[2401 - 1200 - 1] - 1) < 1e-12  # symmetric
+
+
+def test_nan_is_missing_after_ingest(spark):
+    from cohortspark.functions import columns as C
+    from cohortspark.operators import cohort as K
+    from cohortspark.sources.io import nan_to_null
+    nan = float("nan")
+    rows = [(1, "g", "NC", 50.0), (1, "g", "M", nan), (1, "g", "SCT", 1.0),
+            (2, "g", "NC", 50.0), (2, "g", "M", 60.0), (2, "g", "SCT", 1.0)]
+    df = nan_to_null(spark.createDataFrame(rows, "lab_id long, g string, antigen string, v double"))
+    got = df.select(C.flag_above("v", 40), C.label_above("v", 40)).collect()
+    assert [tuple(r) for r in got][1] == (None, None)
+    per = K.subject_panel(df, "lab_id", "g", "antigen", "v", ["NC", "M", "SCT"], 40.0).collect()
+    assert [(r.lab_id, r.detected) for r in per] == [(2, 2)]
+    pts = nan_to_null(spark.createDataFrame(
+        [("k", 1.0, 2.0), ("k", 2.0, 4.0), ("k", nan, 1.0), ("k", 3.0, 7.0)],
+        "k string, x double, y double"))
+    r = S.pearson(pts, ["k"], "x", "y").first()
+    assert r.n == 3 and abs(r.r - np.corrcoef([1, 2, 3], [2, 4, 7])[0, 1]) < 1e-12
+    assert S.spearman(pts, ["k"], "x", "y").first()["rho"] == 1.0
+    t = S.rank_sum(pts.withColumn("g", F.when(F.col("y") > 3, "a").otherwise("b")), ["k"], "g",
+                   "x", ("a", "b")).first()
+    assert (t.n1, t.n2) == (2, 1)
+    text = spark.createDataFrame([("NaN",), ("1.5",), ("n/a",)], "t string")
+    assert [r[0] for r in text.select(C.to_number("t")).collect()] == [None, 1.5, None]
+
+
+def test_category_order_both_ways_with_ties(spark):
+    from cohortspark.operators.summary import category_order
+    df = spark.createDataFrame([("B", 1), ("A", 1), ("C", 2), ("A", 9)], "c string, at long")
+    ahead = {r.c: r.level for r in category_order(df, "c", "at").collect()}
+    back = {r.c: r.level for r in category_order(df, "c", "at", reverse=True).collect()}
+    assert ahead == {"A": 1, "B": 2, "C": 3} and back == {"C": 1, "B": 2, "A": 3}
 
 
 def test_degenerate_inputs_give_null_not_errors(spark):
     # all values tied, a one-element sample, all-zero differences, empty row
     df = spark.createDataFrame([("s", "a", 1.0), ("s", "a", 1.0), ("s", "b", 1.0),
                                 ("t", "a", 2.0), ("t", "b", 3.0)], "st string, g string, v double")
-    t = {r.st: r for r in S.add_rank_pvalue(S.rank_sum(df, ["st"], "g", "v", ("a", "b")),
-                                            "rank_sum").collect()}
+    t = {r.st: r for r in S.add_rank_pvalue(
+        S.rank_sum(df, ["st"], "g", "v", ("a", "b"))).collect()}
     assert t["s"].z is None and t["s"].statistic == 1.0 and t["s"].p is None  # R: NA
     assert t["t"].exact and t["t"].n1 == 1 and t["t"].n2 == 1
     pairs = spark.createDataFrame([(1, "x", "y", 0.0), (2, "x", "y", 0.0)],
