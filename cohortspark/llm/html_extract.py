@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 from cohortspark.llm.text import texts_of
 
 SIGMA = 1.0        # of the Gaussian, in lines
-COVER = 0.9        # share of the clusters' text that the region must hold
+COVER = 0.9        # share of the carrying lines' text that the region must hold
 
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir
     div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html
     legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th
     thead title tr ul""".split())
+# elements that can be the region of an article
+REGIONS = frozenset("html body main article section div center td table details".split())
 VOID = frozenset("""area base br col embed hr img input link meta param source track
     wbr""".split())
 UNSEEN = frozenset("""script style noscript template head title iframe object svg math canvas
@@ -71,7 +73,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                path = tuple([e for t, e, _, _ in self.open if t in BLOCKS])
+                path = tuple([e for t, e, _, _ in self.open if t in REGIONS])
                 self.lines.append((text, self.tags, path, bool(self.open) and self.open[-1][3]))
             self.parts = []
         self.tags = 0
@@ -146,17 +148,21 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def content_clusters(ratios: np.ndarray) -> np.ndarray:
-    """Which lines lie in content clusters: smoothed ratio above the threshold
-    (the smaller of mean and standard deviation of the smoothed ratios)."""
+def content_clusters(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines lie in content clusters, their smoothed ratio above the
+    threshold (the smaller of mean and standard deviation of the smoothed
+    ratios), and which of these carry them, their own ratio above the mean."""
     reach = max(1, int(3 * SIGMA))
     kernel = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * SIGMA ** 2))
     smooth = np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
-    return smooth >= min(smooth.mean(), smooth.std() or smooth.mean())
+    limit = min(smooth.mean(), smooth.std() or smooth.mean())
+    return smooth >= limit, (smooth >= limit) & (ratios >= ratios.mean())
 
 
 def main_text(html: str) -> str:
     parser = Lines()
+    if html.find("-->", max(0, html.rfind("<!--"))) < 0 <= html.rfind("<!--"):
+        html += "-->"  # an open comment runs to the end
     parser.feed(html)
     parser.close()
     parser.cut()
@@ -164,8 +170,8 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     ratios = np.array([len(t) / max(1, n) for t, n, _, _ in lines], float)
-    content = content_clusters(ratios)
-    sizes = np.array([len(t) for t, _, _, _ in lines]) * content
+    content, carrying = content_clusters(ratios)
+    sizes = np.array([len(t) for t, _, _, _ in lines]) * carrying
     # the region: the deepest element that holds most of the clusters' text ...
     held: dict[int, int] = {}
     depth: dict[int, int] = {}

@@ -148,20 +148,21 @@ def _measure(batches):
                        "n_repeat_words", "classes", "common"])
 
 
-def _distance(p, q):
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of shares."""
-    def total(a):
-        return F.aggregate(a, F.lit(0).cast("double"), lambda s, x: s + x)
+def _distance(p, q, of_p, of_q):
+    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms, given their
+    sums; NULL if one is missing or empty."""
+    def part(a, b, of_a, of_b):  # a's half of the divergence
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(
+            x > 0, x / of_a * F.log2(2 * (x / of_a) / (x / of_a + y / of_b))).otherwise(0.0)),
+            F.lit(0.0), lambda s, x: s + x)
 
-    def part(a, b):  # a's half of the divergence
-        return total(F.zip_with(a, b, lambda x, y: F.when(
-            x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))))
+    divergence = (part(p, q, of_p, of_q) + part(q, p, of_q, of_p)) / 2
+    return F.when((of_p > 0) & (of_q > 0) & divergence.isNotNull(),
+                  F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
-    def norm(a):
-        return F.transform(a, lambda x: x / F.greatest(total(a), F.lit(1.0)))
 
-    p, q = norm(p), norm(q)
-    return F.sqrt(F.greatest(F.lit(0.0), (part(p, q) + part(q, p)) / 2))
+def _sum(histogram):
+    return F.aggregate(histogram, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
@@ -207,11 +208,15 @@ def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
                        sums("common", width).alias("ref_common"))
                   .filter(F.col("n_docs") >= MIN_DOCS).withColumnRenamed("lang", "ref_lang"))
     judged = rows.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    ref_common = F.slice("ref_common", 1, F.greatest(F.size("common"), F.lit(1)))
-    by_class = F.when(F.col("ref_lang").isNotNull() | F.col("n_docs").isNotNull(),
-                      _distance(F.col("classes"), F.col("ref_classes")))
-    by_word = F.when(F.col("n_docs").isNotNull() & (F.size("common") > 0),
-                     _distance(F.col("common"), ref_common))
+    judged = (judged
+              .withColumn("ref_common", F.slice("ref_common", 1, F.greatest(
+                  F.size("common"), F.lit(1))))
+              .withColumns({f"_{c}": _sum(F.col(c)) for c in (
+                  "classes", "common", "ref_classes", "ref_common")}))
+    by_class = _distance(*(F.col(c) for c in (
+        "classes", "ref_classes", "_classes", "_ref_classes")))
+    by_word = F.when(F.size("common") > 0, _distance(*(F.col(c) for c in (
+        "common", "ref_common", "_common", "_ref_common"))))
     strange = (((F.col("word_chars") >= MIN_CHARS) & (by_class > class_distance))
                | ((F.col("n_words") >= MIN_WORDS) & (by_word > word_distance)))
     return judged.select(

@@ -38,7 +38,7 @@ def test_automata_accept_what_the_templates_say():
                     text[k:k + 1] = rnd.choice([[], ["foo"], [text[k], "bar"]])
                 line = " " + " ".join(text) + " "
                 whole = {b for a in [pattern.match(line, 1)] if a for b in [a.end()]}
-                end = automaton.match(text, 0)
+                end = automaton.match([w.encode() for w in text], 0)
                 assert bool(whole) == (end is not None), (label, line)
 
 

@@ -45,7 +45,7 @@ def test_stages_against_brute_force(spark, checkpoints, tmp_path):
 
 
 def test_run_and_rows_without_ids(spark, checkpoints, tmp_path):
-    text = " ".join(f"plain words number {i} of a text that stays" for i in range(12))
+    text = " ".join(f"word{i} and{i} other{i}" for i in range(12))
     rows = [(None, text, "en", "s", len(text))] * 2 + [
         (1, text + " one", "en", "s", 1), (1, text + " one", "en", "s", 1), (2, None, None, None, 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "

@@ -48,9 +48,11 @@ def test_clean_documents_stay_and_junk_goes(spark, judged):
 def test_distances_are_jensen_shannon(spark, checkpoints):
     import numpy as np
     p, q = [5, 0, 3, 2], [1, 1, 1, 1]
-    df = spark.createDataFrame([(p, q), (p, p), ([1, 0, 0, 0], [0, 1, 0, 0]), (p, None)],
-                               "p array<long>, q array<long>")
-    got = [r[0] for r in df.select(quality._distance(df["p"], df["q"])).collect()]
+    df = spark.createDataFrame([(p, q), (p, p), ([1, 0, 0, 0], [0, 1, 0, 0]), (p, None),
+                                (p, [0, 0, 0, 0])], "p array<long>, q array<long>")
+    df = df.withColumns({"sp": quality._sum(df["p"]), "sq": quality._sum(df["q"])})
+    got = [r[0] for r in df.select(
+        quality._distance(df["p"], df["q"], df["sp"], df["sq"])).collect()]
 
     def js(a, b):
         a, b = np.array(a) / sum(a), np.array(b) / sum(b)
@@ -58,7 +60,7 @@ def test_distances_are_jensen_shannon(spark, checkpoints):
         return np.sqrt(sum((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum() for x in (a, b)) / 2)
 
     assert got[0] == pytest.approx(js(p, q)) and got[1] == pytest.approx(0, abs=1e-7)
-    assert got[2] == pytest.approx(1) and got[3] is None
+    assert got[2] == pytest.approx(1) and got[3:] == [None, None]
 
 
 def test_edges(edge_docs, no_docs):
