@@ -304,7 +304,7 @@ def subject_summary(inp: Inputs) -> DataFrame:
 def nan_as_missing(inp: Inputs) -> DataFrame:
     """Some values of the test table are NaN before they are taken in: they are
     missing in counts, flags, labels and the per-subject panel."""
-    li = inp.spark.read.parquet(f"{inp.sf_dir.rstrip('/')}/lineitem.parquet")
+    li = fixture.scan(inp.spark, inp.sf_dir, "lineitem")
     li = io.nan_to_null(li.withColumn("l_extendedprice", F.when(
         F.col("l_partkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))))
     a = fixture.assay_raw_of(li).select(

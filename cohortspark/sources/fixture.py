@@ -42,10 +42,27 @@ IGG_MISSING_PRIORITY = "3-MEDIUM"
 ROCHE_MISSING_PRIORITY = "5-LOW"
 
 
+# The test tables' columns, as far as they are used.
+SCHEMAS = {
+    "lineitem": "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, "
+                "l_discount double, l_tax double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey long, c_acctbal double",
+    "events": "user_id long, event_type string, value double",
+    "labels": "quality int, toxic int",
+}
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as it is now, by its declared schema: no file is opened
+    while a plan is built, and the listing is made anew for every query."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as it is now: the file listing is Spark's own, made anew
-    for every query.  NaN is missing, as everywhere (see ``io.nan_to_null``)."""
-    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A test table with NaN as missing, as everywhere (``io.nan_to_null``)."""
+    return nan_to_null(scan(spark, sf_dir, name))
 
 
 def _map_int(c, mapping):
