@@ -37,7 +37,7 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "hgroup")
 
 # Words of class, id and role that name page furniture.
 NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|
-    breadcrumbs?|sidebar|side|header|masthead|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|
+    breadcrumbs?|sidebar|side|masthead|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|
     modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|
     recommended|more|comments?|comment-?list|respond|replies|reply|discussion|disqus|form|
     complementary|contentinfo|navigation|toolbar|pager|pagination|tags|widget|skip|
@@ -45,6 +45,7 @@ NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 MARKED = FURNITURE | UNSEEN | {"html", "body", "article", "main"}
 NOTHING = ("", 0, False, False)
+HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # the page's, not an article's
 MAIN = re.compile(r"(?:^|\s)(?:main|article)(?:$|\s)", re.I)
 
 # an open element is closed by the start of one of these, up to the given ancestors
@@ -100,11 +101,12 @@ class Lines(HTMLParser):
         label = " ".join(filter(None, map(named.get, ("class", "id", "role"))))
         article = tag in ("article", "main") or bool(MAIN.search(named.get("role") or ""))
         if not furniture and tag not in ("html", "body"):
-            furniture = tag in FURNITURE and not (
-                tag == "header" and any(e in self.mains for _, e, _, _ in self.open))
+            furniture = tag in FURNITURE and tag != "header"
             if label and not furniture and tag not in HEADINGS:
                 furniture = bool(NAMES.search(label)) and not (
                     article and not self._commentary(label))
+            if not furniture and (tag == "header" or HEADER.search(label)):
+                furniture = not any(e in self.mains for _, e, _, _ in self.open)
         if tag in ("html", "body"):
             self.roots.add(self.elements)
         if article and not furniture:

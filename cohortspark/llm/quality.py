@@ -20,9 +20,9 @@ from cohortspark.session import cut_lineage
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 5         # words of a window that must not stand twice
 CLASS_DISTANCE = 0.30    # character classes: reject beyond this distance
-WORD_DISTANCE = 0.45     # common words: reject beyond this distance
+WORD_DISTANCE = 0.31     # common words: reject beyond this distance
 MIN_CHARS = 200          # guard: word characters for the class verdict
-MIN_WORDS = 100          # guard: words for the common-word verdict
+MIN_WORDS = 150          # guard: words for the common-word verdict
 MIN_DOCS = 20            # guard: documents behind a language's reference
 SHARE = 1_000_000        # histograms are shares of this, as integers: sums are exact
 

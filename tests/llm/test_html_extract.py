@@ -13,7 +13,8 @@ def test_article_between_furniture():
     page = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
       <header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
       <div class="cookie-notice">We use cookies</div><div class=ad>Buy</div>
-      <main><article><header><h1>The  title &amp; more</h1></header>
+      <div class="page-header">Slogan</div>
+      <main><article><header class="entry-header"><h1>The  title &amp; more</h1></header>
       <p>{PARAGRAPH}<b>bold</b>ly &lt;done&gt;</p><p>Short.</p><ul><li>One<li>Two &#233;</ul>
       <script>var x = "</p>";</script><!-- no --><aside>Aside</aside>
       <form><p>Sign up</p><button>Go</button></form>
