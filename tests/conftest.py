@@ -10,7 +10,8 @@ from cohortspark.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", app="cohortspark-tests", shuffle_partitions=8)
+    s = build_session("local[4]", app="cohortspark-tests", shuffle_partitions=8,
+                      extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
 
