@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.text import (NON_SPACE, mix, prefix_sums, space_words, span_hashes,
+from cohortspark.llm.text import (NON_SPACE, SECOND_BASE, mix, prefix_sums, space_words, span_hashes,
                                   sums_hashes, text_chunks, window_hashes, word_spans)
 
 FLUSH_WINDOWS = 1_500_000  # windows a task gathers before it deals them out
@@ -66,12 +66,11 @@ def _row_keys(ids: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return mix(mix(ids.astype(np.uint64)) + texts)
 
 
-def _later(ids: np.ndarray, places: np.ndarray, hashes: np.ndarray, order: np.ndarray):
-    """Which entries have an equal hash at a lower (id, place); ``order`` sorts
-    by hash, then id, then place."""
-    sorted_ = hashes[order]
+def _later(ids, places, hashes, more, order) -> np.ndarray:
+    """Which entries have an equal hash (of 64 and ``more`` of 16 bits) at a
+    lower (id, place); ``order`` sorts by hash, then id, then place."""
     new = np.ones(len(order), bool)
-    new[1:] = sorted_[1:] != sorted_[:-1]
+    new[1:] = (np.diff(hashes[order]) != 0) | (np.diff(more[order]) != 0)
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     again = np.zeros(len(order), bool)
     again[order] = (ids[order] != ids[lead]) | (places[order] != places[lead])
@@ -85,21 +84,22 @@ def _deal(buckets: int, window: int):
     the later ones are already known to go and travel as marks.
     """
     schema = pa.schema([("bucket", pa.int32()), ("at", pa.binary()), ("hashes", pa.binary()),
-                        ("gone", pa.binary())])
+                        ("more", pa.binary()), ("gone", pa.binary())])
 
-    def flush(ids, texts, sizes, hashes):
+    def flush(ids, texts, sizes, hashes, more):
         pack = zstandard.ZstdCompressor(level=1).compress
         doc_ids, sizes = np.concatenate(ids), np.concatenate(sizes)
-        hashes = np.concatenate(hashes)
+        hashes, more = np.concatenate(hashes), np.concatenate(more)
         ids, texts = np.repeat(doc_ids, sizes), np.repeat(np.concatenate(texts), sizes)
         places = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         if (doc_ids[1:] <= doc_ids[:-1]).any():
             order = np.lexsort((places, texts, ids))
-            ids, texts, places, hashes = ids[order], texts[order], places[order], hashes[order]
-            order = np.lexsort((places, ids, hashes))
+            ids, texts, places, hashes, more = (
+                x[order] for x in (ids, texts, places, hashes, more))
+            order = np.lexsort((places, ids, more, hashes))
         else:
-            order = np.argsort(hashes, kind="stable")
-        again = _later(ids, places, hashes, order)
+            order = np.lexsort((more, hashes))
+        again = _later(ids, places, hashes, more, order)
         bucket = (mix(hashes) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -107,7 +107,7 @@ def _deal(buckets: int, window: int):
             at = order[cuts[b]:cuts[b + 1]]
             first, gone = at[~again[at]], at[again[at]]
             yield (int(b), _pack_places((ids[first], texts[first]), places[first], pack),
-                   hashes[first].tobytes(),
+                   hashes[first].tobytes(), more[first].tobytes(),
                    _pack_places((ids[gone], texts[gone]), places[gone], pack)
                    if len(gone) else None)
 
@@ -124,21 +124,23 @@ def _deal(buckets: int, window: int):
                 [pa.array(c, f.type) for c, f in zip(zip(*got), schema)], schema=schema)
 
     def run(batches):
-        held, n = ([], [], [], []), 0
+        held, n = ([], [], [], [], []), 0
         for batch in batches:
             all_ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, firsts = word_spans(NON_SPACE[data], offsets)
                 sums = prefix_sums(data)
                 at, h = window_hashes(sums_hashes(sums, starts, ends), firsts, window)
+                _, more = window_hashes(span_hashes(data, starts, ends, SECOND_BASE), firsts,
+                                        window, SECOND_BASE)
                 texts = sums_hashes(sums, offsets[:-1], offsets[1:]).astype(np.uint32)
-                for to, x in zip(held, (all_ids[i:j], texts,
-                                        np.diff(np.searchsorted(at, firsts)), h)):
+                for to, x in zip(held, (all_ids[i:j], texts, np.diff(np.searchsorted(at, firsts)),
+                                        h, more.astype(np.uint16))):
                     to.append(x)
                 n += len(h)
                 if n >= FLUSH_WINDOWS:
                     yield from rows(*held)
-                    held, n = ([], [], [], []), 0
+                    held, n = ([], [], [], [], []), 0
         if n:
             yield from rows(*held)
 
@@ -152,21 +154,22 @@ def _count(parts: int):
         open_ = zstandard.ZstdDecompressor().decompress
         pack = zstandard.ZstdCompressor(level=1).compress
         kinds = (np.int64, np.uint32)
-        firsts, gone, hashes = [], [], []
+        firsts, gone, hashes, more = [], [], [], []
         for batch in batches:
-            for at, h, marks in zip(*(batch.column(c).to_pylist()
-                                      for c in ("at", "hashes", "gone"))):
+            for at, h, m, marks in zip(*(batch.column(c).to_pylist()
+                                         for c in ("at", "hashes", "more", "gone"))):
                 ids, texts, places = _unpack_places(at, kinds, open_)
                 firsts.append((ids, texts, places.astype(np.int32)))
                 hashes.append(np.frombuffer(h, np.uint64))
+                more.append(np.frombuffer(m, np.uint16))
                 if marks is not None:
                     ids, texts, places = _unpack_places(marks, kinds, open_)
                     gone.append((_row_keys(ids, texts), places.astype(np.int32)))
         if not firsts:
             return
         ids, texts, places = (np.concatenate(x) for x in zip(*firsts))
-        hashes = np.concatenate(hashes)
-        again = _later(ids, places, hashes, np.lexsort((places, ids, hashes)))
+        hashes, more = np.concatenate(hashes), np.concatenate(more)
+        again = _later(ids, places, hashes, more, np.lexsort((places, ids, more, hashes)))
         keys = np.concatenate([_row_keys(ids[again], texts[again]), *(x[0] for x in gone)])
         places = np.concatenate([places[again], *(x[1] for x in gone)])
         dest = (keys % np.uint64(parts)).astype(np.int32)
@@ -269,7 +272,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     space) and removed (maximal intervals of word numbers).
 
     Only the first occurrence of a window in a task's run of documents is
-    dealt out, as 64-bit hash and place, so a window that a third of all rows
+    dealt out, as 80-bit hash and place, so a window that a third of all rows
     share costs a bucket one entry per run.
     """
     spark = docs.sparkSession
@@ -277,7 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     dealt = rows.mapInArrow(_deal(buckets, window),
-                            "bucket int, at binary, hashes binary, gone binary")
+                            "bucket int, at binary, hashes binary, more binary, gone binary")
     marks = (dealt.repartitionById(buckets, "bucket")
              .mapInArrow(_count(buckets), "dest int, marks binary")
              .select("dest", F.lit(None).cast("long").alias("key"),

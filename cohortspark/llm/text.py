@@ -18,6 +18,7 @@ CHUNK_BYTES = 2 << 20  # text handled at once by the array code, one text at lea
 
 _WORD_BASE = 0x9E3779B97F4A7C15 | 1
 _WINDOW_BASE = 0xD1342543DE82EF95 | 1
+SECOND_BASE = 0xA0761D6478BD642F | 1  # for a hash of the same spans that differs
 
 # words [^\x20\x09-\x0D]+ : bytes that belong to a word
 NON_SPACE = np.ones(256, dtype=bool)
@@ -168,7 +169,7 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)]
 
 
-def window_hashes(words: np.ndarray, firsts: np.ndarray, k: int):
+def window_hashes(words: np.ndarray, firsts: np.ndarray, k: int, base: int = _WINDOW_BASE):
     """Rabin-Karp hashes of every window of ``k`` consecutive words of one text.
 
     Returns the windows' first word numbers and their hashes.
@@ -176,7 +177,7 @@ def window_hashes(words: np.ndarray, firsts: np.ndarray, k: int):
     n = len(words)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = _powers(_WINDOW_BASE, n + 1)
+    up, down = _powers(base, n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(words * up[:n], out=sums[1:])
     at = np.arange(n - k + 1)
