@@ -27,7 +27,7 @@ SAMPLE_DOCS = 1000          # documents the dictionary is trained on (expected)
 SAMPLE_BYTES = 32 << 10     # of each, at most
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 1 << 20       # payload of a shard; a larger document is a shard of its own
-CACHE_WORDS = 300_000       # words whose ids a worker remembers, then it starts anew
+CACHE_WORDS = 250_000       # words of a generation whose ids a worker remembers
 LEVEL = 3
 
 SHARDS = ("part int, shard int, tokens_before long, tokens long, dictionary string, "
@@ -43,28 +43,55 @@ def _tokenizer(path: str):
     return store[path]
 
 
+# Punctuation that may end a word and is then a pre-token of its own.  Not the
+# signs of the special tokens' strings, so that these stay whole.
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?%*$#&)]}\"'-")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray):
+    """The texts with fewer different words, and the spans of these.
+
+    The tokenizer lower-cases, so A-Z may come in lower case, but for a letter
+    before a byte beyond ASCII, with which it might be composed first.  A
+    letter and the punctuation that ends its word are never in one token.
+    """
+    capital = (data >= 65) & (data < 91)
+    capital[:-1] &= data[1:] < 128
+    data = data + np.uint8(32) * capital
+    starts, ends, _ = word_spans(NON_SPACE[data], offsets)
+    core = np.maximum.accumulate(np.where(_TAIL[data], 0, np.arange(1, len(data) + 1)))[ends - 1]
+    tail = core[(core > starts) & (core < ends) & _LETTER[data[core - 1]]]
+    return data, np.sort(np.concatenate([starts, tail])), np.sort(np.concatenate([tail, ends]))
+
+
 def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts and each text's first id.
 
     The tokenizer drops white space before it looks at anything else, so a
-    text's ids are those of its words; each word is encoded once per worker.
+    text's ids are those of its words.  A worker remembers words it has met of
+    late: of two generations, the older goes when the younger is full.
     """
     tokenizer = _tokenizer(path)
-    cache = worker_store("word_ids").setdefault(path, {})
-    starts, ends, firsts = word_spans(NON_SPACE[data], offsets)
+    young, old = worker_store("word_ids").setdefault(path, ({}, {}))
+    data, starts, ends = _parts(data, offsets)
+    firsts = np.searchsorted(starts, offsets)
     _, lead, back = np.unique(span_hashes(data, starts, ends), return_index=True,
                               return_inverse=True)
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())]
-    found = [cache.get(w) for w in words]
+    if len(young) + len(words) > CACHE_WORDS:
+        young, old = worker_store("word_ids")[path] = ({}, young)
+    found = [young.get(w) or old.get(w) for w in words]
     new = [k for k, x in enumerate(found) if x is None]
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
     for k, e in zip(new, tokenizer.encode_batch_fast([words[k].decode() for k in new],
                                                      add_special_tokens=False)):
-        found[k] = cache[words[k]] = np.array(e.ids, np.uint32).tobytes()
+        found[k] = np.array(e.ids, np.uint32).tobytes()
+    young.update(zip(words, found))
     flat = np.frombuffer(b"".join(found), np.uint32)
-    sizes = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
     n = sizes[back]
     before = np.concatenate([[0], np.cumsum(n)])
     return gather(flat, (np.cumsum(sizes) - sizes)[back], n), before[firsts]
