@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.llm import (decontaminate, html_extract, license_scan, piece_sampling, quality,
                              secret_scan, simhash, substring_dedup, token_count, token_files)
@@ -41,7 +41,8 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents"))
+    found = quality.quality_rules(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,116 @@ _ALNUM = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), "
 _SPACED = (r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), "
            r"lambda x: x <> '')")
 
+# Characters of each class of the quality rules, in order, as patterns.
+_CLASS_PATTERNS = [
+    "[a-z]", "[A-Z]", "[0-9]", r"[^\x00-\x7F]", r"[\x20\x09-\x0D]", r"""[.,;:!?'"()\-]""",
+    r"[#*$%&|<>@/\\=+_\[\]{}~^`]", r"[\x00-\x08\x0E-\x1F\x7F]"]
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _count_of(pattern: str) -> str:
+    return f"(length(t) - length(regexp_replace(t, {_text(pattern)}, '', 'g')))"
+
+
+_COMMON = ", ".join(f"({_text(lang)}, {i}, {_text(w)})"
+                    for lang, words in quality.COMMON_WORDS.items()
+                    for i, w in enumerate(words, 1))
+
+
+def _half(a: str, of_a: str, b: str, of_b: str) -> str:
+    p, q = f"({a} / {of_a})", f"({b} / {of_b})"
+    return f"CASE WHEN {a} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
+
+
+def _distances(histogram: str) -> str:
+    """SELECT of doc key and distance for one of the two histograms."""
+    return f"""
+  SELECT k, CASE WHEN max(of_p) > 0 AND max(of_q) > 0 THEN
+           sqrt(greatest(0, sum({_half('p', 'of_p', 'q', 'of_q')}
+                                + {_half('q', 'of_q', 'p', 'of_p')}) / 2)) END AS d
+  FROM (SELECT k, CAST(h.x AS DOUBLE) AS p, CAST(r.x AS DOUBLE) AS q,
+               CAST(sum(h.x) OVER (PARTITION BY k) AS DOUBLE) AS of_p,
+               CAST(sum(r.x) OVER (PARTITION BY k) AS DOUBLE) AS of_q
+        FROM {histogram} h JOIN ref_{histogram} r
+          ON h.lang IS NOT DISTINCT FROM r.lang AND h.i = r.i)
+  GROUP BY k"""
+
+
+_QUALITY = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, {_SPACED} AS w
+  FROM documents),
+repeats AS (
+  SELECT k, count(DISTINCT p) AS n FROM (
+    SELECT k, unnest(range(s, s + 5)) AS p FROM (
+      SELECT k, s, count(*) OVER (PARTITION BY k, words) AS c FROM (
+        SELECT k, s, array_to_string(w[s:s + 4], ' ') AS words
+        FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS s FROM docs WHERE len(w) >= 5)))
+    WHERE c > 1) GROUP BY k),
+base AS (
+  SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM (
+    SELECT docs.k, doc_id, lang, t, w, len(w) AS n_words,
+           length(array_to_string(w, '')) AS word_chars,
+           {_count_of('[#*$%&|<>]')} AS n_symbols,
+           len(list_filter(string_split(t, chr(10)),
+                           lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(string_split(t, chr(10)),
+                           lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+           coalesce(n, 0) AS n_repeat_words
+    FROM docs LEFT JOIN repeats ON docs.k = repeats.k)),
+class_counts AS (
+  SELECT k, lang, [{', '.join(map(_count_of, _CLASS_PATTERNS))}] AS c FROM base),
+classes AS (
+  SELECT k, lang, unnest(range(1, len(c) + 1)) AS i,
+         unnest(list_transform(c, lambda x: CASE WHEN list_sum(c) > 0
+                THEN x * {quality.SHARE} // CAST(list_sum(c) AS BIGINT) ELSE 0 END)) AS x
+  FROM class_counts),
+listed(lang, i, v) AS (VALUES {_COMMON}),
+met AS (
+  SELECT k, i, count(*) AS c FROM (
+    SELECT k, lang, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz') AS v FROM base)
+  JOIN listed USING (lang, v) GROUP BY k, i),
+common_counts AS (
+  SELECT k, lang, i, coalesce(c, 0) AS c, n_words
+  FROM base JOIN listed USING (lang) LEFT JOIN met USING (k, i)),
+common AS (
+  SELECT k, lang, i, CASE WHEN n_words > 0 THEN c * {quality.SHARE} // n_words ELSE 0 END AS x
+  FROM common_counts
+  UNION ALL
+  SELECT k, lang, max(i) + 1, CASE WHEN max(n_words) > 0
+         THEN CAST(max(n_words) - sum(c) AS BIGINT) * {quality.SHARE} // max(n_words) ELSE 0 END
+  FROM common_counts GROUP BY k, lang),
+behind AS (
+  SELECT k, lang FROM base
+  WHERE NOT base_failed AND word_chars >= {quality.MIN_CHARS} AND n_words >= {quality.MIN_WORDS}),
+known AS (SELECT lang FROM behind GROUP BY lang HAVING count(*) >= {quality.MIN_DOCS}),
+ref_classes AS (
+  SELECT lang, i, sum(x) AS x FROM classes WHERE k IN (SELECT k FROM behind)
+    AND EXISTS (SELECT 1 FROM known WHERE known.lang IS NOT DISTINCT FROM classes.lang)
+  GROUP BY lang, i),
+ref_common AS (
+  SELECT lang, i, sum(x) AS x FROM common WHERE k IN (SELECT k FROM behind)
+    AND EXISTS (SELECT 1 FROM known WHERE known.lang IS NOT DISTINCT FROM common.lang)
+  GROUP BY lang, i),
+by_class AS ({_distances('classes')}),
+by_word AS ({_distances('common')})
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       round(by_class.d, 6) AS class_distance, round(by_word.d, 6) AS word_distance,
+       NOT base_failed
+       AND NOT coalesce(word_chars >= {quality.MIN_CHARS}
+                        AND by_class.d > {quality.CLASS_DISTANCE!r}, false)
+       AND NOT coalesce(n_words >= {quality.MIN_WORDS}
+                        AND by_word.d > {quality.WORD_DISTANCE!r}, false) AS kept
+FROM base LEFT JOIN by_class USING (k) LEFT JOIN by_word USING (k)"""
+
 ORACLES = {
+    "op4_quality_rules": _QUALITY,
     "op3_contamination": f"""
 WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
 win AS (
