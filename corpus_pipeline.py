@@ -36,9 +36,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each SimHash group: the one with the smallest doc_id."""
     groups = simhash.simhash_groups(docs, shingle=3, distance=3)
     others = groups.filter("doc_id <> component_id").select("doc_id")
+    same_text = "_text_hash"
+    while same_text in docs.columns:
+        same_text += "_"
     return (docs.join(others, "doc_id", "left_anti").select(docs.columns)
-            .withColumn("_text_hash", F.xxhash64("text"))
-            .dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash"))
+            .withColumn(same_text, F.xxhash64("text"))
+            .dropDuplicates(["doc_id", same_text]).drop(same_text))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,24 @@ def test_run_and_rows_without_ids(spark, checkpoints, tmp_path):
     assert sorted((str(r.doc_id), r.lossless) for r in got) == [("1", True), ("None", True)]
 
 
+def test_stages_on_edge_rows(edge_docs, no_docs, spark):
+    """Every column stays, whatever its name; empty tables stay empty."""
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, edge_docs, SF_SMALL)
+        assert out.columns == edge_docs.columns, name
+        kept = out.select("doc_id", "text", "_text_hash", "row").collect()
+        assert all(r["row"] == r["_text_hash"] for r in kept)
+        ids = [r.doc_id for r in kept]
+        if name == "quality rules":
+            assert set(ids) <= {5, 6}
+        elif name == "SimHash near-dedup":
+            # one of each group, and rows without an id but for repeats
+            assert sorted(ids, key=repr) == sorted([-7, 1, 2, 5, None, None], key=repr)
+        else:
+            assert len(ids) == edge_docs.count()
+        assert stage(spark, no_docs, SF_SMALL).collect() == []
+
+
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_oracles(spark, checkpoints, key):
     con = duckdb_connect(SF_SMALL)
