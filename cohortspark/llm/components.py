@@ -25,6 +25,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .unionAll(least.select("a", F.col("m").alias("b"))).distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other at most, which points to none."""
+    again = edges.groupBy("a").count().filter("count > 1").select("a")
+    inner = edges.select("a").join(edges.select(F.col("b").alias("a")).distinct(), "a",
+                                    "left_semi")
+    return again.unionAll(inner).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge table with columns a and b.
 
@@ -32,21 +40,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     and repeated edges are ignored, an empty table gives no rows, null ends
     are dropped.  Minima are combined before each shuffle, and the joins with
     them have one row per node on one side, so Spark can split a hot node.
-    Each round is checkpointed; only a count and a checksum reach the driver.
+    Each round is checkpointed; the driver learns whether another is needed.
     """
     now = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"),
                                                     F.least("a", "b").alias("b")).distinct())
 
-    def state(e):
-        return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-
-    seen = state(now)
-    while seen[0]:
+    while not _are_stars(now):
         now = cut_lineage(_small_star(_large_star(now)))
-        new = state(now)
-        if new == seen:
-            break
-        seen = new
-    # a converged table is a set of stars: each node once, pointing to its root
+    # each star is a component, and its centre the smallest node
     return (now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

@@ -108,7 +108,7 @@ def _links(shared: int, distance: int):
 def _split(postings: DataFrame, limit: int):
     """Postings of 2 to ``limit`` fingerprints, as lists, and the rows of longer ones."""
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = postings.join(sizes, "key")
+    sized = cut_lineage(postings.join(sizes, "key"))
     short = (sized.filter(F.col("n") <= limit).groupBy("key")
              .agg(F.collect_list("fp").alias("fps")).select("fps"))
     return short, sized.filter(F.col("n") > limit).select("key", "fp")
