@@ -43,27 +43,45 @@ def _tokenizer(path: str):
     return store[path]
 
 
-# Punctuation that may end a word and is then a pre-token of its own.  Not the
-# signs of the special tokens' strings, so that these stay whole.
+def _specials(path: str) -> list[bytes]:
+    """The strings the tokenizer cuts out of the raw text, A-Z in lower case."""
+    store = worker_store("specials")
+    if path not in store:
+        store[path] = [t.content.encode().lower()
+                       for t in _tokenizer(path).get_added_tokens_decoder().values()]
+    return store[path]
+
+
+# Punctuation that may end a word and is then a pre-token of its own.
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?%*$#&)]}\"'-")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray):
+def _parts(data: np.ndarray, offsets: np.ndarray, specials: list[bytes]):
     """The texts with fewer different words, and the spans of these.
 
     The tokenizer lower-cases, so A-Z may come in lower case, but for a letter
     before a byte beyond ASCII, with which it might be composed first.  A
     letter and the punctuation that ends its word are never in one token.
+    Special tokens are matched before that, in their own case: a word that
+    holds one's string in any case stays as it is, and whole.
     """
     capital = (data >= 65) & (data < 91)
     capital[:-1] &= data[1:] < 128
-    data = data + np.uint8(32) * capital
+    own, text, data = data, data.tobytes().lower(), data + np.uint8(32) * capital
     starts, ends, _ = word_spans(NON_SPACE[data], offsets)
+    whole = np.zeros(len(starts), bool)
+    for s in specials:
+        at = text.find(s)
+        while at >= 0:
+            whole[np.searchsorted(starts, at, "right") - 1] = True
+            at = text.find(s, at + len(s))
+    for a, b in zip(starts[whole].tolist(), ends[whole].tolist()):
+        data[a:b] = own[a:b]
     core = np.maximum.accumulate(np.where(_TAIL[data], 0, np.arange(1, len(data) + 1)))[ends - 1]
-    tail = core[(core > starts) & (core < ends) & _LETTER[data[core - 1]]]
+    tail = core[(core > starts) & (core < ends) & _LETTER[data[core - 1]] & ~whole]
     return data, np.sort(np.concatenate([starts, tail])), np.sort(np.concatenate([tail, ends]))
 
 
@@ -76,7 +94,7 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     """
     tokenizer = _tokenizer(path)
     young, old = worker_store("word_ids").setdefault(path, ({}, {}))
-    data, starts, ends = _parts(data, offsets)
+    data, starts, ends = _parts(data, offsets, _specials(path))
     firsts = np.searchsorted(starts, offsets)
     _, lead, back = np.unique(span_hashes(data, starts, ends), return_index=True,
                               return_inverse=True)

@@ -62,6 +62,18 @@ def test_files_round_trip(spark, docs, tmp_path, monkeypatch):
         np.frombuffer(some.ids, "<u4").tolist()]
 
 
+def test_special_strings_in_any_case_are_the_librarys():
+    tokenizer = tokenizers.Tokenizer.from_file(WORDS)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|>", "a<|EndOfText|>B. C", "<|endoftext|>'S",
+             "X<|STARTOFTEXT|><|startoftext|>Y.", "<|EndOfTexT|>É É<|ENDOFTEXT|>", "<|END OFTEXT|>",
+             "<|endof", "text|> <|ENDOFTEXT", "<|ENDOFTEXT|>\n<|endoftext|>", "THE <| END |>."]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    ids, cuts = token_files._encode(WORDS, data, offsets)
+    for text, a, b in zip(texts, cuts, cuts[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_a_wrong_dictionary_is_noticed(spark, docs, tmp_path):
     for name in ("one", "two"):
         token_files.write_token_files(docs.filter("doc_id < 5" if name == "one" else "doc_id > 5"),
