@@ -190,9 +190,13 @@ def main_text(html: str) -> str:
         articles = {e for _, _, p, _ in lines for e in p if e in parser.mains}
         if articles:
             return "\n".join(t for t, _, p, _ in lines if articles.intersection(p))
-        return "\n".join(t for (t, _, p, _), c in zip(lines, content)
-                         if (region is None or region in p)
-                         and (c or region is not None and region not in parser.roots))
+        # or widened to all around it in the page's body, or, if it is the
+        # body itself, cut to the lines from the first cluster to the last
+        if region is None or region in parser.roots:
+            at = np.flatnonzero(content)
+            return "\n".join(t for t, _, _, _ in lines[at[0]:at[-1] + 1])
+        outer = next(e for e in path if e not in parser.roots)
+        return "\n".join(t for t, _, p, _ in lines if outer in p)
     return "\n".join(t for t, _, p, _ in lines if inside[0] in p)
 
 

@@ -32,6 +32,20 @@ def test_region_without_an_article():
     assert main_text(page).split("\n") == ["Title", PARAGRAPH.strip(), "Short.", "One"]
 
 
+def test_the_region_keeps_what_lies_around_its_clusters():
+    long = "\n".join([PARAGRAPH.strip()] * 5)
+    ps = f"<p>{PARAGRAPH}</p>" * 5
+    page = f"<div class=post><h1>T</h1><p>lead</p><div class=entry>{ps}</div><p>tail</p></div>"
+    want = f"T\nlead\n{long}\ntail"
+    assert main_text(page) == want
+    assert main_text(f"<html><body><div>Home</div>{page}</body></html>") == want
+    items = [f"Item {k}" for k in range(8)]
+    page = ps + "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" + ps
+    want = "\n".join([long, *items, long])
+    assert main_text(f"<html><body><nav>Menu</nav>{page}</body></html>") == want
+    assert main_text(page) == want
+
+
 def test_broken_and_plain_markup():
     assert main_text("plain text only") == "plain text only"
     assert main_text("<p>a<p>b") == "a\nb"
