@@ -35,17 +35,28 @@ FURNITURE = frozenset("""nav header footer aside form button select textarea inp
     fieldset""".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "hgroup")
 
+
+def _names(words: str, first_only: str = "") -> re.Pattern:
+    """Finds a class, id or role whose first or last part is one of the words;
+    not what says that the page has or lacks such a thing (has-sidebar)."""
+    either = words + ("|" + first_only if first_only else "")
+    return re.compile(rf"""(?:^|\s)(?!(?:has|no|with|without)[_-])
+        (?:[_-]*(?:{either})(?:$|[\s_-])|\S*[_-](?:{words})(?:$|\s))""", re.X | re.I)
+
+
 # Words of class, id and role that name page furniture.
-NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|
-    breadcrumbs?|sidebar|side|masthead|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|
-    modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|
-    recommended|more|comments?|comment-?list|respond|replies|reply|discussion|disqus|form|
+OTHERS = r"""related|recommended|comments?|comment-?list|respond|replies|reply|discussion|disqus"""
+NAMES = _names(OTHERS + r"""|ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|
+    breadcrumbs?|sidebar|masthead|footer|foot|cookies?|consent|gdpr|notices?|alert|popup|
+    modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|
     complementary|contentinfo|navigation|toolbar|pager|pagination|tags|widget|skip|
-    copyright)(?:$|[\s_-])""", re.X | re.I)
+    copyright""", "more|side|form")
+OTHERS = _names(OTHERS)  # the text of others, which may be longer than the article
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 MARKED = FURNITURE | UNSEEN | {"html", "body", "article", "main"}
-NOTHING = ("", 0, False, False)
-HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)  # the page's, not an article's
+NOTHING = ("", 0, False, 0)
+TAGGED = -1  # furniture by its tag
+HEADER = _names("header")  # the page's, not an article's
 MAIN = re.compile(r"(?:^|\s)(?:main|article)(?:$|\s)", re.I)
 
 # an open element is closed by the start of one of these, up to the given ancestors
@@ -62,20 +73,23 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, bool]] = []  # tag, element, unseen, furniture
+        # tag, element, unseen, furniture: TAGGED, or the innermost element around
+        # that is furniture by its name (or a form) unless its text clears it, or 0
+        self.open: list[tuple[str, int, bool, int]] = []
         self.elements = 0
-        self.mains: set[int] = set()
+        self.mains: dict[int, tuple[bool, int]] = {}  # not just an article; named one around
+        self.named: dict[int, tuple[int, bool]] = {}  # the named one around; others' text
         self.roots: set[int] = set()
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
 
     def cut(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 path = tuple([e for t, e, _, _ in self.open if t in REGIONS])
-                self.lines.append((text, self.tags, path, bool(self.open) and self.open[-1][3]))
+                self.lines.append((text, self.tags, path, self.open[-1][3] if self.open else 0))
             self.parts = []
         self.tags = 0
 
@@ -100,17 +114,23 @@ class Lines(HTMLParser):
         named = dict(attrs)
         label = " ".join(filter(None, map(named.get, ("class", "id", "role"))))
         article = tag in ("article", "main") or bool(MAIN.search(named.get("role") or ""))
-        if not furniture and tag not in ("html", "body"):
-            furniture = tag in FURNITURE and tag != "header"
-            if label and not furniture and tag not in HEADINGS:
-                furniture = bool(NAMES.search(label)) and not (
-                    article and not self._commentary(label))
-            if not furniture and (tag == "header" or HEADER.search(label)):
-                furniture = not any(e in self.mains for _, e, _, _ in self.open)
+        marked = False
+        if furniture != TAGGED and tag not in ("html", "body"):
+            marked = tag == "form" or bool(label) and tag not in HEADINGS and bool(
+                NAMES.search(label)) and not (article and not self._commentary(label))
+            if tag in FURNITURE and tag not in ("header", "form"):
+                furniture = TAGGED
+            elif tag == "header" or not marked and label and HEADER.search(label):
+                if not any(e in self.mains for _, e, _, _ in self.open):
+                    marked, furniture = True, TAGGED if tag == "header" else furniture
+            if marked and furniture != TAGGED:
+                self.named[self.elements] = furniture, bool(OTHERS.search(label))
+                furniture = self.elements
         if tag in ("html", "body"):
             self.roots.add(self.elements)
-        if article and not furniture:
-            self.mains.add(self.elements)
+        if article and not marked and furniture != TAGGED:
+            self.mains[self.elements] = (
+                tag == "main" or "main" in (named.get("role") or "").lower(), furniture)
         hidden = "hidden" in named or bool(HIDDEN.search(named.get("style") or ""))
         self.open.append((tag, self.elements, unseen or hidden or tag in UNSEEN, furniture))
 
@@ -161,6 +181,67 @@ def content_clusters(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smooth >= limit, (smooth >= limit) & (ratios >= ratios.mean())
 
 
+def _carrying(lines) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines lie in content clusters, and the lengths of those that carry them."""
+    ratios = np.array([len(t) / max(1, n) for t, n, _, _ in lines], float)
+    content, carrying = content_clusters(ratios)
+    return content, np.array([len(t) for t, _, _, _ in lines]) * carrying
+
+
+def _unnamed(parser: Lines) -> list:
+    """The lines outside furniture; leaves the mains outside furniture.
+
+    A name or a form does not make furniture of an element that holds most of
+    the page's carrying text (all of it, if the name is that of others' text),
+    a ``main``, or an article with as much text as there is outside of such
+    elements; unless an article apart from it carries text.
+    """
+    lines = [line for line in parser.lines if line[3] != TAGGED]
+    named, cleared = parser.named, {0}
+    if lines and named:
+        text = dict.fromkeys([0, *named], 0)  # carrying text by innermost named element
+        first: dict[int, tuple[int, ...]] = {}  # a path to it
+        by_main = dict.fromkeys(parser.mains, 0)
+        for (_, _, path, w), size in zip(lines, _carrying(lines)[1].tolist()):
+            text[w] += size
+            first.setdefault(w, path)
+            for m in path:
+                if m in by_main:
+                    by_main[m] += size
+        held, plain = dict(text), dict(text)  # with the elements in it; without others' text
+        article, main = dict.fromkeys(text, 0), dict.fromkeys(text, 0)
+        for m, n in by_main.items():
+            kinds, w = (main if parser.mains[m][0] else article), parser.mains[m][1]
+            kinds[w] = max(kinds[w], n)
+        for w in sorted(named, reverse=True):
+            around, others = named[w]
+            held[around] += held[w]
+            first.setdefault(around, first.get(w, ()))
+            if not others:
+                plain[around] += plain[w]
+                for kinds in (article, main):
+                    kinds[around] = max(kinds[around], kinds[w])
+        most = plain if plain[0] else held
+        outside = text[0]
+        live = {m for m, n in by_main.items() if n and not parser.mains[m][1]}
+        inner: dict[int, list[int]] = {}
+        for m, n in by_main.items():
+            if n:
+                inner.setdefault(parser.mains[m][1], []).append(m)
+        for w in sorted(named, key=lambda w: (-held[w], w)):  # an outer one before its inner ones
+            around, others = named[w]
+            if not held[w] or around not in cleared or len(live) > len(
+                    live.intersection(first[w])):
+                continue
+            if held[w] == held[0] if others else (
+                    2 * most[w] > most[0] or main[w] or article[w] and article[w] >= outside):
+                cleared.add(w)
+                outside += text[w]
+                live.update(inner.get(w, ()))
+    parser.mains = {m: x for m, x in parser.mains.items() if x[1] in cleared}
+    return [line for line in lines if line[3] in cleared]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     if html.find("-->", max(0, html.rfind("<!--"))) < 0 <= html.rfind("<!--"):
@@ -168,12 +249,10 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [line for line in parser.lines if not line[3]]
+    lines = _unnamed(parser)
     if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, n) for t, n, _, _ in lines], float)
-    content, carrying = content_clusters(ratios)
-    sizes = np.array([len(t) for t, _, _, _ in lines]) * carrying
+    content, sizes = _carrying(lines)
     # the region: the deepest element that holds most of the clusters' text ...
     held: dict[int, int] = {}
     depth: dict[int, int] = {}

@@ -46,6 +46,31 @@ def test_the_region_keeps_what_lies_around_its_clusters():
     assert main_text(page) == want
 
 
+def test_names_mark_no_wrapper_of_the_article():
+    p = f"<p>{PARAGRAPH}</p>"
+    text = "\n".join(["T", *[PARAGRAPH.strip()] * 3])
+    rest = f"<div class=sidebar><article>{p}</article></div><section id=comments>{p * 2}</section>"
+    for name in ("layout has-sidebar", "content no-sidebar", "entry-content read-more",
+                 "blog-post with-comments", "search-results", "container main-nav-open",
+                 "has-header", "content-sidebar", "site-header", "comments"):
+        for inner in (f"<h1>T</h1>{p * 3}", f"<article><h1>T</h1>{p * 3}</article>",
+                      f"<main><h1>T</h1>{p * 3}</main>"):
+            assert main_text(f"<body><div class='{name}'>{inner}</div></body>") == text, name
+            if name != "comments":
+                page = f"<body><div class='{name}'>{inner}{rest}</div></body>"
+                assert main_text(page) == text, page
+    form = f"<form action=x><div class=menu>Home</div><article><h1>T</h1>{p * 3}</article>{rest}"
+    assert main_text(f"<body>{form}</form></body>") == text
+    # others' text is none of the page's, be it longer, nor are articles in it
+    post = f"<div class=post><h1>T</h1>{p * 3}</div>"
+    for other in ("comments", "related-posts", "post-comments"):
+        for inner in (p * 20, f"<article>{p * 20}</article>"):
+            assert main_text(f"<body>{post}<div class={other}>{inner}</div></body>") == text
+    for other in ("site-footer", "main-nav", "left-sidebar", "cookie-notice"):
+        assert main_text(f"<body><div>{post}<div class={other}>{p}</div></div></body>") == text
+    assert main_text("<div class=comment>" * 3000 + PARAGRAPH) == PARAGRAPH.strip()
+
+
 def test_broken_and_plain_markup():
     assert main_text("plain text only") == "plain text only"
     assert main_text("<p>a<p>b") == "a\nb"
