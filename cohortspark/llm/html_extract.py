@@ -52,6 +52,9 @@ NAMES = _names(OTHERS + r"""|ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|me
     complementary|contentinfo|navigation|toolbar|pager|pagination|tags|widget|skip|
     copyright""", "more|side|form")
 OTHERS = _names(OTHERS)  # the text of others, which may be longer than the article
+# what may stand in the head; all else ends it
+IN_HEAD = frozenset("""base basefont bgsound head link meta noframes noscript script style template
+    title""".split())
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 MARKED = FURNITURE | UNSEEN | {"html", "body", "article", "main"}
 NOTHING = ("", 0, False, 0)
@@ -96,7 +99,13 @@ class Lines(HTMLParser):
     def updatepos(self, i, j):
         return j  # line numbers are not needed
 
+    def _end_head(self):
+        while self.open and self.open[-1][0] == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag == "br":
             self.parts.append(" ")
             return
@@ -166,6 +175,8 @@ class Lines(HTMLParser):
                 return  # a stray inline end tag closes no block
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._end_head()
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
 

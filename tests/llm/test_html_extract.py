@@ -81,6 +81,16 @@ def test_broken_and_plain_markup():
     assert main_text(deep) == PARAGRAPH.strip()
 
 
+def test_a_head_without_its_end_tag():
+    head = "<html><head>\n<meta charset=utf-8><title>T</title><style>p{}</style>\n"
+    page = f"<article><h1>A</h1><p>{PARAGRAPH}</p></article>"
+    want = f"A\n{PARAGRAPH.strip()}"
+    for between in ("", "<body>", "</head>", "</head><body>", "<img src=x>", "<noscript>n</noscript>"):
+        assert main_text(head + between + page) == want, between
+    assert main_text(f"{head}{PARAGRAPH}<p>b") == f"{PARAGRAPH.strip()}\nb"
+    assert main_text(f"{head}<template><p>t</p></template><link rel=x></head>") == ""
+
+
 def test_pages_against_their_template(spark, checkpoints):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     got = {r.page_id: r for r in html_extract.extract_main_text(pages).collect()}
