@@ -29,7 +29,19 @@ HEX_RUN = re.compile(rb"[0-9a-f]{24}")
 FORGE = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
 REGISTRY = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9_])")
 ACCOUNT = re.compile(rb"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
-CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])")
+ACCOUNT_START = re.compile(rb"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+ACCOUNT_REST = re.compile(rb"(?:\x20?[A-Z0-9])*")
+CARD_START = re.compile(rb"(?<![A-Za-z0-9])[0-9]")
+CARD = re.compile(rb"[0-9](?:[\x20-]?[0-9]){12,18}")
+
+# Characters of an account number, by country (ISO 13616 registry).
+ACCOUNT_SIZES = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()
+    for country in countries.encode().split()}
 
 # keyword -> kind; "iban" and "card" announce numbers that follow closely
 KEYWORDS = {b"password": "assign", b"passwd": "assign", b"secret": "assign", b"token": "assign",
@@ -74,14 +86,38 @@ def _automaton():
     return store["automaton"]
 
 
-def _announced(text: bytes, at: int, pattern, check) -> tuple[int, int] | None:
+def _account_ends(text: bytes, at: int):
+    """Where an account number may end: at its country's length, then as far as
+    groups go (a number of an unknown country has no other end)."""
+    size = ACCOUNT_SIZES.get(text[at:at + 2])
+    if size:
+        rest = ACCOUNT_REST.match(text, at + 4, at + 2 * size)  # a space at most before each
+        places = [p for p in range(at + 4, rest.end()) if text[p] != 32]
+        if len(places) >= size - 4:
+            end = places[size - 5] + 1
+            if not text[end:end + 1].isalnum():
+                yield end
+    if m := ACCOUNT.match(text, at):
+        yield m.end()
+
+
+def _card_ends(text: bytes, at: int):
+    """Where a card number may end: after 19 to 13 digits, before no digit."""
+    if m := CARD.match(text, at):
+        places = [p for p in range(at, m.end()) if text[p] not in b" -"]
+        for p in reversed(places[12:]):
+            if not text[p + 1:p + 2].isdigit():
+                yield p + 1
+
+
+def _announced(text: bytes, at: int, starts, ends, check) -> tuple[int, int] | None:
     """The first number after a keyword, within reach, whose checksum holds."""
-    for m in pattern.finditer(text, at, at + NEAR + 128):  # no number is longer than 128
+    for m in starts.finditer(text, at, at + NEAR + 4):
         if m.start() > at + NEAR:
             return None
-        if not text[m.start() - 1:m.start()].isalnum() and check(
-                re.sub(rb"[\x20-]", b"", m.group()).decode()):
-            return m.span()
+        for end in ends(text, m.start()):
+            if check(re.sub(rb"[\x20-]", b"", text[m.start():end]).decode()):
+                return m.start(), end
     return None
 
 
@@ -110,8 +146,9 @@ def find_secrets(text: bytes) -> list[tuple[int, int, str]]:
                 end[kind] = m.end()
                 found.append((at, m.end(), kind))
         else:
-            pattern, check = (ACCOUNT, mod97) if kind == "account" else (CARD, luhn)
-            span = _announced(text, at + size, pattern, check)
+            span = (_announced(text, at + size, ACCOUNT_START, _account_ends, mod97)
+                    if kind == "account" else
+                    _announced(text, at + size, CARD_START, _card_ends, luhn))
             if span and span[0] >= end[kind]:
                 end[kind] = span[1]
                 found.append((*span, kind))

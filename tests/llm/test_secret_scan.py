@@ -43,6 +43,21 @@ def test_checksums_decide():
                      ("4111 1111 1111 1111", "card"), ("4111 1111 1111 1111", "card")]
 
 
+def test_numbers_before_and_after_other_words():
+    card, account = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    for text, want in [
+            (f"card {card} 12/27", card), ("card: 4111111111111111 123", "4111111111111111"),
+            (f"card {card} 4", card), (f"card 7 {card}", card), (f"card no. 2024 {card} 12", card),
+            (f"card {card} 0000 1111", card), ("card 4111 1111 1111 1112 12/27", None),
+            ("card 41111111111111111111111", None), ("card x4111111111111111", None),
+            (f"IBAN {account} BIC COBADEFFXXX", account), (f"iban AB12 CD {account} EUR", account),
+            ("iban: DE89370400440532013000 EUR 500", "DE89370400440532013000"),
+            ("iban CH93 0076 2011 6238 5295 7 CHF", "CH93 0076 2011 6238 5295 7"),
+            ("iban DE88370400440532013000 EUR 500", None), (f"iban {account}X", None)]:
+        got = [text[a:b] for a, b, k in scanned(text) if k in ("card", "account")]
+        assert got == ([want] if want else []), text
+
+
 def test_documents(spark, checkpoints):
     docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet")
     got = {r.doc_id: r for r in secret_scan.secret_digest(
