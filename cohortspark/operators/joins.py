@@ -1,4 +1,4 @@
-"""Join operators: null-safe attach, semi join, checked rename."""
+"""Join operators: null-safe attach, semi join, hot-value join, checked rename."""
 
 from __future__ import annotations
 
@@ -38,6 +38,58 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return out.drop(*tmp.values())
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
+             spread: Sequence[str] | None = None, slots: int | None = None,
+             null_safe: bool = True) -> DataFrame:
+    """``left`` left-joined with ``right``, whatever share of ``left`` a key holds.
+
+    ``right`` has one row per key and says in ``count`` how many rows of
+    ``left`` hold the key (the column is not returned).  A key with more rows
+    than an even share of ``slots`` partitions (the session's shuffle
+    partitions by default) is hot.  There are at most ``slots`` hot keys, so
+    they are broadcast and answered where the rows of ``left`` are; their rows
+    go on to the shuffle under a hash of the columns ``spread`` (all columns by
+    default) instead of the key, and match nothing there.  Rows of other keys
+    meet ``right`` in the shuffle.  Only rows that are equal in all columns of
+    ``spread`` stay together.
+
+    With ``null_safe`` NULL keys match NULL keys; without it they match none.
+    """
+    keys = list(keys)
+    slots = slots or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    payload = [c for c in right.columns if c not in keys and c != count]
+    if clash := set(payload) & set(left.columns):
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
+    total = right.agg(F.sum(count)).scalar()
+    right = right.withColumn("__is_hot", F.col(count) * F.lit(slots) > total)
+
+    def side(tag: str, hot: bool) -> DataFrame:
+        return right.filter(F.col("__is_hot") == F.lit(hot)).select(
+            *[F.col(k).alias(f"__{tag}_{i}") for i, k in enumerate(keys)],
+            *[F.col(c).alias(f"__{tag}_{c}") for c in payload],
+            F.lit(True).alias(f"__{tag}"))
+
+    def meets(tag: str):
+        out = F.lit(True)
+        for i, k in enumerate(keys):
+            here, there = F.col(k), F.col(f"__{tag}_{i}")
+            out = out & (here.eqNullSafe(there) if null_safe else here == there)
+        return out
+
+    known = left.join(F.broadcast(side("hot", True)), meets("hot"), "left")
+    apart = F.col("__hot")
+    if not null_safe:
+        for k in keys:
+            apart = apart | F.col(k).isNull()
+    lane = F.when(apart, F.xxhash64(*(spread or left.columns))).otherwise(F.xxhash64(*keys))
+    rest = side("rest", False).withColumn("__to", F.xxhash64(*[f"__rest_{i}" for i in range(len(keys))]))
+    met = known.withColumn("__lane", lane).join(
+        rest, meets("rest") & (F.col("__lane") == F.col("__to")), "left")
+    return met.select(*left.columns, *[
+        F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(f"__rest_{c}")).alias(c)
+        for c in payload])
+
+
 def attach(detail: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``left_join(detail, sizes)`` on the named keys, NULL matching NULL."""
     return join_null_safe(detail, sizes, keys, "left")

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from cohortspark.operators.joins import attach, rename_checked, semi_join
+from cohortspark.operators.joins import attach, hot_join, rename_checked, semi_join
 
 
 def test_attach_matches_null_keys(spark):
@@ -28,3 +29,47 @@ def test_semi_join_matches_missing_keys(spark):
     b = spark.createDataFrame([(None,), (3,)], "lab_id long")
     assert {r.lab_id for r in semi_join(a, b, ["lab_id"]).collect()} == {None, 3}
     assert semi_join(a, b, ["lab_id"]).columns == ["lab_id"]
+
+
+@pytest.mark.parametrize("slots", [2, 8, 100])
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_hot_join_is_a_left_join(spark, slots, null_safe):
+    rows = [(None if k % 3 == 0 else k % 7, k) for k in range(300)] + [(50, 1), (51, None)]
+    left = spark.createDataFrame(rows, "g int, x int")
+    right = left.groupBy("g").agg(F.count("*").alias("n"), F.sum("x").alias("s")).filter(
+        "g is null or g <> 50")
+    right = right.withColumn("s", F.when(F.col("g") != 3, F.col("s")))  # a NULL in the payload
+    got = hot_join(left, right, ["g"], "n", slots=slots, null_safe=null_safe)
+    assert got.columns == ["g", "x", "s"]
+    sums = {r.g: r.s for r in right.collect() if null_safe or r.g is not None}
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(
+        repr((g, x, sums.get(g))) for g, x in rows)
+
+
+def test_hot_join_without_keys_on_the_right(spark):
+    left = spark.createDataFrame([(1, 2)], "g int, x int")
+    right = spark.createDataFrame([], "g int, n long, s int")
+    assert [tuple(r) for r in hot_join(left, right, ["g"], "n").collect()] == [(1, 2, None)]
+    with pytest.raises(ValueError):
+        hot_join(left, right.withColumnRenamed("s", "x"), ["g"], "n")
+
+
+def test_hot_join_balances_a_third_of_all_rows(spark):
+    """The largest task stays near the median where a value holds a third."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(30_000).select(
+            F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("g"), "id")
+        right = left.groupBy("g").agg(F.count("*").alias("n"), F.max("id").alias("s"))
+        joined = hot_join(left, right, ["g"], "n", spread=["id"])
+        sizes = sorted(r["count"] for r in joined.groupBy(
+            F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 30_000 and len(sizes) == 32
+        assert sizes[-1] < 1.3 * sizes[16]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
