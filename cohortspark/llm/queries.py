@@ -12,8 +12,9 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import (decontaminate, html_extract, license_scan, piece_sampling, quality,
-                             secret_scan, simhash, substring_dedup, token_count, token_files)
+from cohortspark.llm import (decontaminate, html_extract, importance_resampling, license_scan,
+                             line_dedup, periodic_runs, piece_sampling, quality, secret_scan,
+                             simhash, substring_dedup, token_count, token_files)
 from cohortspark.session import ensure_checkpoint_dir
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -77,9 +78,26 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), window=20))
 
 
+def op11_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(line_dedup.drop_repeated_lines(
+        _table(spark, sf_dir, "documents"), min_docs=10, min_chars=1))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.plant_periods(_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(planted, min_words=6, exponent=4))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25,
+        min_words=20, max_n=2, buckets=10_000, seed=7).drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_groups, op2_main_text, op3_contamination, op4_quality_rules, op5_token_files,
-    op6_licenses, op7_secrets, op8_token_counts, op9_piece_samples, op10_repeats)}
+    op6_licenses, op7_secrets, op8_token_counts, op9_piece_samples, op10_repeats,
+    op11_repeated_lines, op12_periodic_runs, op13_resample)}
 
 # Lower-cased words [0-9a-z and beyond ASCII] of the named text column.
 _ALNUM = (r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), "
@@ -222,6 +240,62 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""",
+    "op11_repeated_lines": r"""
+WITH line AS (
+  SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT *, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT keyed.*, k IN (SELECT k FROM common) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+    "op13_resample": f"""
+WITH bits AS (
+  SELECT i, c FROM (SELECT i, list_reduce(list_concat([i], range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits),
+docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+of_docs AS (
+  SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)),
+         lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM docs),
+of_items AS (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)),
+         lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM items),
+named AS (
+  SELECT f, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+           list_transform(range(0, octet_length(encode(f))),
+             lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT))),
+           lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f FROM of_docs UNION SELECT f FROM of_items), crc),
+doc_buckets AS (SELECT b, count(*) AS s FROM of_docs JOIN named USING (f) GROUP BY b),
+item_buckets AS (SELECT b, count(*) AS t FROM of_items JOIN named USING (f) GROUP BY b),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln(
+           CAST(coalesce(t, 0) + 1 AS DOUBLE)
+           * CAST((SELECT count(*) FROM of_docs) + 10000 AS DOUBLE)
+           / (CAST(s + 1 AS DOUBLE)
+              * CAST((SELECT count(*) FROM of_items) + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM doc_buckets LEFT JOIN item_buckets USING (b)),
+summed AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g
+  FROM of_docs JOIN named USING (f) JOIN gains USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+         CAST(coalesce((g - ((g % n) + n) % n) // n, 0) AS BIGINT) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[1:8] AS BIGINT) + 0.5)
+                                   / 4294967296.0::DOUBLE))) AS BIGINT) AS noise
+  FROM docs LEFT JOIN summed USING (doc_id)),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS of
+  FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, weight + noise AS score,
+       CASE WHEN r <= 25 * of // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)""",
     "op10_repeats": f"""
 WITH docs AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 win AS (

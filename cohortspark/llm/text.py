@@ -94,6 +94,22 @@ def word_spans(in_word: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Numbers that are equal just if the spans' bytes are, counted from 0 by
+    first appearance, and the first span of each number."""
+    sizes = ends - starts
+    bounds = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=bounds[1:])
+    spans = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(sizes),
+        [None, pa.py_buffer(bounds), pa.py_buffer(gather(data, starts, sizes))])
+    codes = spans.dictionary_encode().indices.to_numpy().astype(np.int64)
+    top = np.maximum.accumulate(codes)
+    new = np.ones(len(codes), bool)
+    new[1:] = top[1:] > top[:-1]
+    return codes, np.flatnonzero(new)
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n (kept by the worker)."""
     store = worker_store("powers")
