@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from cohortspark.llm.text import (NON_SPACE, mix, span_hashes, text_chunks, texts_of,
-                                  window_hashes, word_spans, worker_store)
+                                  window_hashes, word_hashes, word_spans, worker_store)
 from cohortspark.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
@@ -74,7 +74,7 @@ def _count_chunk(data, offsets):
     cells = np.repeat(np.arange(n) * 9, lens) + CLASS_OF[data]
     classes = np.bincount(cells, minlength=9 * n).reshape(n, 9)[:, :CLASSES]
     starts, ends, firsts = word_spans(NON_SPACE[data], offsets)
-    hashes = span_hashes(data, starts, ends)
+    hashes, _ = word_hashes(data, starts, ends)
     at, windows = window_hashes(hashes, firsts, REPEAT_WORDS)
     repeat = np.zeros(len(starts) + REPEAT_WORDS, np.int32)
     if len(at):
@@ -117,8 +117,14 @@ def _shares(counts: np.ndarray) -> np.ndarray:
     return np.where(total > 0, counts * SHARE // np.maximum(total, 1), 0)
 
 
-def _measure(batches):
+def _measure(carry: list[str]):
     """Documents -> base counts and both histograms as integer shares."""
+    def run(batches):
+        return _measured(batches, carry)
+    return run
+
+
+def _measured(batches, carry):
     words = _word_table_of_worker()[0]
     columns = {lang: [words.index(w) for w in ws] for lang, ws in COMMON_WORDS.items()}
     for batch in batches:
@@ -143,9 +149,10 @@ def _measure(batches):
                  pa.array([_duplicate_lines(t) if t else 0 for t in texts], pa.int64()),
                  pa.array(repeat, pa.int64()),
                  pa.array(_shares(classes).tolist(), pa.list_(pa.int64())),
-                 pa.array(common, pa.list_(pa.int64()))],
+                 pa.array(common, pa.list_(pa.int64())),
+                 *(batch.column(c).slice(i, j - i) for c in carry)],
                 names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                       "n_repeat_words", "classes", "common"])
+                       "n_repeat_words", "classes", "common", *carry])
 
 
 def _distance(p, q, of_p, of_q):
@@ -166,7 +173,7 @@ def _sum(histogram):
 
 
 def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
-                  word_distance: float = WORD_DISTANCE) -> DataFrame:
+                  word_distance: float = WORD_DISTANCE, key: str | None = None) -> DataFrame:
     """Count the base rules and judge each document against its language.
 
     ``docs`` needs ``doc_id`` (integer), ``text`` and ``lang``; other columns
@@ -185,15 +192,18 @@ def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
     returned each; an empty table gives no rows.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, class_distance, word_distance, kept.
+    n_repeat_words, base_failed, class_distance, word_distance, kept, and the
+    string column ``key`` of ``docs`` if one is named.
     """
+    carry = ["_key"] if key else []
     rows = cut_lineage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                     F.col("text").cast("string").alias("text"),
-                    F.col("lang").cast("string").alias("lang"))
-        .mapInArrow(_measure, "doc_id long, lang string, n_words long, word_chars long, "
+                    F.col("lang").cast("string").alias("lang"),
+                    *([F.col(key).alias("_key")] if key else []))
+        .mapInArrow(_measure(carry), "doc_id long, lang string, n_words long, word_chars long, "
                     "n_symbols long, n_dup_lines long, n_repeat_words long, "
-                    "classes array<long>, common array<long>")
+                    "classes array<long>, common array<long>" + ", _key string" * len(carry))
         .withColumn("base_failed", (F.col("n_words") < 10)
                     | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
     long_ = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
@@ -222,4 +232,5 @@ def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", by_class.alias("class_distance"), by_word.alias("word_distance"),
-        (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"))
+        (~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))).alias("kept"),
+        *(F.col(c).alias(key) for c in carry))

@@ -13,8 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from cohortspark.llm.text import (NON_SPACE, SECOND_BASE, mix, prefix_sums, space_words, span_hashes,
-                                  sums_hashes, text_chunks, window_hashes, word_spans)
+from cohortspark.llm.text import (NON_SPACE, SECOND_BASE, bytes_hashes, mix, space_words,
+                                  text_chunks, window_hashes, word_hashes, word_spans)
 
 FLUSH_WINDOWS = 1_500_000  # windows a task gathers before it deals them out
 
@@ -129,11 +129,10 @@ def _deal(buckets: int, window: int):
             all_ids = batch.column("doc_id").fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 starts, ends, firsts = word_spans(NON_SPACE[data], offsets)
-                sums = prefix_sums(data)
-                at, h = window_hashes(sums_hashes(sums, starts, ends), firsts, window)
-                _, more = window_hashes(span_hashes(data, starts, ends, SECOND_BASE), firsts,
-                                        window, SECOND_BASE)
-                texts = sums_hashes(sums, offsets[:-1], offsets[1:]).astype(np.uint32)
+                words, others = word_hashes(data, starts, ends)
+                at, h = window_hashes(words, firsts, window)
+                _, more = window_hashes(others, firsts, window, SECOND_BASE)
+                texts = bytes_hashes(data, offsets[:-1], offsets[1:])[0].astype(np.uint32)
                 for to, x in zip(held, (all_ids[i:j], texts, np.diff(np.searchsorted(at, firsts)),
                                         h, more.astype(np.uint16))):
                     to.append(x)
@@ -194,7 +193,7 @@ def _shrink(parts: int):
             ids = batch.column("doc_id")
             known = ids.fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
             for i, j, data, offsets in text_chunks(batch.column("text")):
-                texts = span_hashes(data, offsets[:-1], offsets[1:]).astype(np.uint32)
+                texts = bytes_hashes(data, offsets[:-1], offsets[1:])[0].astype(np.uint32)
                 keys = _row_keys(known[i:j], texts)
                 raw = data.tobytes()
                 bodies = [pack(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]

@@ -13,6 +13,7 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 2 << 20  # text handled at once by the array code, one text at least
 
@@ -110,6 +111,24 @@ def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return codes, np.flatnonzero(new)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """The two halves of the spans' 128-bit XXH3, made once for each different
+    span.  Unlike ``span_hashes`` no family of texts is known to collide in
+    them, so they may stand for words of any length."""
+    codes, lead = word_codes(data, starts, ends)
+    halves = bytes_hashes(data, starts[lead], ends[lead])
+    return halves[0][codes], halves[1][codes]
+
+
+def bytes_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """The two halves of each span's 128-bit XXH3."""
+    raw = data.tobytes()
+    digests = b"".join(xxhash.xxh3_128_digest(raw[a:b])
+                       for a, b in zip(starts.tolist(), ends.tolist()))
+    halves = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n (kept by the worker)."""
     store = worker_store("powers")
@@ -133,7 +152,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
                 base: int = _WORD_BASE) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans: differences of prefix sums."""
+    """64-bit polynomial hashes of byte spans: differences of prefix sums.
+
+    Long spans made for it collide (Thue-Morse words from 1,024 bytes on), so
+    these serve filters and short spans, never as the identity of a word.
+    """
     return sums_hashes(prefix_sums(data, base), starts, ends, base)
 
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cohortspark.llm.text import (NON_SPACE, gather, span_hashes, text_chunks, word_spans,
+from cohortspark.llm.text import (NON_SPACE, gather, text_chunks, word_codes, word_spans,
                                   worker_store)
 
 SAMPLE_DOCS = 1000          # documents the dictionary is trained on (expected)
@@ -96,8 +96,7 @@ def _encode(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     young, old = worker_store("word_ids").setdefault(path, ({}, {}))
     data, starts, ends = _parts(data, offsets, _specials(path))
     firsts = np.searchsorted(starts, offsets)
-    _, lead, back = np.unique(span_hashes(data, starts, ends), return_index=True,
-                              return_inverse=True)
+    back, lead = word_codes(data, starts, ends)
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[lead].tolist(), ends[lead].tolist())]
     if len(young) + len(words) > CACHE_WORDS:

@@ -17,6 +17,10 @@ ROWS = [
     (-7, "Ünïcode 日本語 \U0001F600 text\n\nwith  spaces \n", "xx", 9),
 ]
 
+# two words of 2,048 bytes that collide in polynomial hashes modulo 2^64, whatever the base
+_MORSE = [bin(i).count("1") & 1 for i in range(2048)]
+MORSE = tuple("".join("ab"[b ^ s] for b in _MORSE) for s in (0, 1))
+
 # columns whose names clash with those the operators make for themselves
 CLASHING = ("fp key row id body marks is_text part kept places words size n least root group_least "
             "component_id bucket secrets spans n_words start before ref_lang n_docs base ids "

@@ -6,7 +6,7 @@ import pytest
 
 from cohortspark.llm import line_dedup
 from tests.conftest import SF_SMALL
-from tests.llm.conftest import rows
+from tests.llm.conftest import MORSE, rows
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -66,8 +66,7 @@ def test_first_occurrence_may_stay(spark, checkpoints):
 
 def test_lines_of_equal_polynomial_hashes(spark, checkpoints):
     """Thue-Morse lines share the filters' hash, not their digest."""
-    bits = [bin(i).count("1") & 1 for i in range(2048)]
-    one, two = ("".join("ab"[b ^ s] for b in bits) for s in (0, 1))
+    one, two = MORSE
     docs = [(i, one if i % 2 else two) for i in range(6)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert all(r[2] == 0 for r in run(df, 4))

@@ -9,9 +9,7 @@ import pytest
 from cohortspark.llm import periodic_runs
 from cohortspark.llm.queries import QUERIES
 from tests.conftest import SF_SMALL
-from tests.llm.conftest import rows
-
-BITS = [bin(i).count("1") & 1 for i in range(2048)]
+from tests.llm.conftest import MORSE, rows
 
 
 def brute(words, min_words=6, exponent=4):
@@ -82,7 +80,7 @@ def test_every_text_of_two_words():
 
 
 def test_words_of_equal_polynomial_hashes(spark, checkpoints):
-    one, two = ("".join("ab"[b ^ s] for b in BITS) for s in (0, 1))
+    one, two = MORSE
     words = [one, two, one, one, two, two, one, two]
     df = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
     r = periodic_runs.find_runs(df, 3, 3).first()

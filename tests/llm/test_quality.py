@@ -5,7 +5,7 @@ import pytest
 
 from cohortspark.llm import quality
 from tests.conftest import SF_ORACLE
-from tests.llm.conftest import rows
+from tests.llm.conftest import MORSE, rows
 
 
 def brute(text):
@@ -69,3 +69,11 @@ def test_edges(edge_docs, no_docs):
         brute(r.text) for r in edge_docs.collect())
     assert all(r.class_distance is None for r in got.collect())  # no language has enough
     assert rows(quality.quality_rules(no_docs)) == []
+
+
+def test_words_of_equal_polynomial_hashes(spark, checkpoints):
+    one, two = MORSE
+    text = " ".join(f"w{i}" for i in range(6)) + f" {one} a b c d {two} a b c d"
+    df = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    r = quality.quality_rules(df).first()
+    assert tuple(r[c] for c in BASE) == brute(text) and not r.base_failed

@@ -5,7 +5,7 @@ import pytest
 
 from cohortspark.llm import substring_dedup
 from tests.conftest import SF_SMALL
-from tests.llm.conftest import rows
+from tests.llm.conftest import MORSE, rows
 
 
 def brute(docs, window):
@@ -65,3 +65,11 @@ def test_edges(edge_docs, no_docs):
     assert got == brute(docs, 20)
     assert [r[2] for r in got if r[0] == 6] == [60_000]  # a whole copy goes
     assert run(no_docs, 20) == []
+
+
+def test_words_of_equal_polynomial_hashes(spark, checkpoints):
+    one, two = MORSE
+    docs = [(1, " ".join([one] * 20)), (2, " ".join([one] * 19 + [two])), (2, one), (2, two)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = run(df, 20)
+    assert got == brute(docs, 20) and all(r[2] == 0 for r in got)

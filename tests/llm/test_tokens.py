@@ -8,7 +8,7 @@ import tokenizers
 
 from cohortspark.llm import token_count, token_files
 from tests.conftest import SF_SMALL
-from tests.llm.conftest import rows
+from tests.llm.conftest import MORSE, rows
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -16,7 +16,8 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "\n", "\n\nfoo It's WE'LL don't", "foo\n", "foo \nbar", "  x", "a\tb\r\nc  d",
        "x▁y ▁", "<s> hi </s> <unk> <0x0A>", "x<|endoftext|>y <|startoftext|>",
        "日本語 テキスト\n\U0001F600 ok ＡＢＣ Ǆ İstanbul ΣΑΣ ΑΣ",
-       "H̱ á ́b", "é" * 3000, "a\x00b c\x1cd\x85e", None]
+       "H̱ á ́b", "é" * 3000, "a\x00b c\x1cd\x85e", None,
+       " ".join(MORSE * 2), MORSE[1], MORSE[0]]
 
 
 @pytest.fixture(scope="module")
