@@ -51,7 +51,7 @@ def _windows(window: int, shingle: int):
     return run
 
 
-def _occurrences(window: int, sizes: list[int], bits: int, shared):
+def _occurrences(window: int, sizes: list[int], bits: int, shared, carry: list[str]):
     """Documents -> word counts and the places of shingles that pass the filter.
 
     A place carries the words around it, as far as a window through it could
@@ -88,7 +88,9 @@ def _occurrences(window: int, sizes: list[int], bits: int, shared):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids[i:j], pa.int64()),
                      pa.array(np.diff(firsts), pa.int64()),
-                     pa.array(places, pa.list_(place))], names=["doc_id", "n_words", "places"])
+                     pa.array(places, pa.list_(place)),
+                     *(batch.column(c).slice(i, j - i) for c in carry)],
+                    names=["doc_id", "n_words", "places", *carry])
     return run
 
 
@@ -114,7 +116,7 @@ def _shingle_filter(windows: DataFrame) -> tuple[int, bytes]:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
-                       shingle: int = SHINGLE) -> DataFrame:
+                       shingle: int = SHINGLE, key: str | None = None) -> DataFrame:
     """Mark document words that stand inside benchmark windows.
 
     ``docs`` needs ``doc_id`` (integer) and ``text``, ``benchmark`` needs
@@ -124,13 +126,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Returns one row per document row: doc_id, n_words, n_hit (words inside any
     occurrence of a window) and items (ids of the items with occurring
-    windows, as strings, sorted).  Null or empty texts have no words and no
+    windows, as strings, sorted), and the string column ``key`` of ``docs`` if
+    one is named.  Null or empty texts have no words and no
     hits; items without words have no windows; a null doc_id is kept, a null
     item_id takes no place in items though its windows hit; repeated rows are
     each returned, repeated items count once; empty tables on either side give
     no rows or no hits.
     """
     spark = docs.sparkSession
+    carry = ["_key"] if key else []
     windows = cut_lineage(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                          F.col("text").cast("string").alias("text"))
@@ -141,10 +145,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     shared = spark.sparkContext.broadcast(table)
     found = cut_lineage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                    F.col("text").cast("string").alias("text"))
-        .mapInArrow(_occurrences(window, sizes, bits, shared),
+                    F.col("text").cast("string").alias("text"),
+                    *([F.col(key).alias("_key")] if key else []))
+        .mapInArrow(_occurrences(window, sizes, bits, shared, carry),
                     "doc_id long, n_words long, places array<struct<k: int, h: long, pos: int, "
-                    "lead: int, around: string>>")
+                    "lead: int, around: string>>" + ", _key string" * len(carry))
         .withColumn("row", F.monotonically_increasing_id()))
     places = (found.select("row", F.explode("places").alias("p"))
               .select("row", "p.k", "p.h", "p.pos", "p.lead", "p.around"))
@@ -178,10 +183,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
              .join(windows.select("words", "item_id").distinct(), "words")
              .groupBy("row")
              .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
-    return (found.select("row", "doc_id", "n_words")
+    return (found.select("row", "doc_id", "n_words", *carry)
             .join(hits, "row", "left").join(items, "row", "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+                    *(F.col(c).alias(key) for c in carry)))
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm.components import connected_components
 from cohortspark.llm.text import space_words, texts_of
+from cohortspark.operators.joins import hot_join
 from cohortspark.session import cut_lineage
 
 XXH_SEED = 42
@@ -42,22 +43,26 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def _fingerprints(shingle: int):
+def _fingerprints(shingle: int, carry: list[str]):
     def run(batches):
         for batch in batches:
             prints = np.fromiter(
                 (fingerprint(space_words(t.lower()) if t else [], shingle)
                  for t in texts_of(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+                [batch.column("doc_id"), pa.array(prints.view(np.int64)),
+                 *(batch.column(c) for c in carry)], names=["doc_id", "fp", *carry])
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, key: str | None = None) -> DataFrame:
     """(doc_id, fp): the fingerprint of every text as a long; see simhash_groups."""
+    carry = ["_key"] if key else []
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                        F.col("text").cast("string").alias("text"))
-            .mapInArrow(_fingerprints(shingle), "doc_id long, fp long"))
+                        F.col("text").cast("string").alias("text"),
+                        *([F.col(key).alias("_key")] if key else []))
+            .mapInArrow(_fingerprints(shingle, carry),
+                        "doc_id long, fp long" + ", _key string" * len(carry)))
 
 
 # Any five of the eight byte positions hold three of one half.
@@ -163,7 +168,7 @@ def near_links(prints: DataFrame, distance: int = 3, limit: int = POSTING_LIMIT)
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3,
-                   limit: int = POSTING_LIMIT) -> DataFrame:
+                   limit: int = POSTING_LIMIT, key: str | None = None) -> DataFrame:
     """Group documents whose fingerprints are linked by small bit distances.
 
     ``docs`` needs ``doc_id`` (integer) and ``text``; other columns are not
@@ -177,18 +182,27 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3,
     component_id, the smallest doc_id reachable over links of at most
     ``distance`` differing bits.  A null doc_id is never the smallest; if a
     group has no other, its component_id is null.  Repeated rows are each
-    returned.  An empty table gives no rows.
+    returned.  An empty table gives no rows.  If a string column ``key`` of
+    ``docs`` is named, it is returned too, with group: the same number for the
+    rows of a group and for no others, also where ids repeat or are missing.
 
-    Equal fingerprints are one node, so exact copies cost one posting entry.
+    Equal fingerprints are one node, so exact copies cost one posting entry,
+    and rows learn of their group through ``hot_join``.  Postings above
+    ``limit`` are not compared member by member: see ``_ball_links``.
     """
-    prints = cut_lineage(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = cut_lineage(fingerprints(docs, shingle, key))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
     roots = connected_components(near_links(nodes.select("fp"), distance, limit))
     roots = roots.withColumnRenamed("node", "fp")
     named = roots.join(nodes, "fp")
     groups = named.groupBy("root").agg(F.min("least").alias("group_least"))
-    linked = named.join(groups, "root").select("fp", "group_least")
+    linked = named.join(groups, "root").select("fp", "root", "group_least")
+    # a group without links is its own fingerprint; one whose ids are all missing has no least
     labels = nodes.join(linked, "fp", "left").select(
-        "fp", F.coalesce("group_least", "least").alias("component_id"))
-    return prints.join(labels, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "fp", "n_rows", F.coalesce("root", "fp").alias("group"), F.when(
+            F.col("root").isNull(), F.col("least")).otherwise(F.col("group_least"))
+        .alias("component_id"))
+    out = hot_join(prints, labels, ["fp"], "n_rows", spread=["doc_id", *(["_key"] if key else [])])
+    return out.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        *(["group", F.col("_key").alias(key)] if key else []))

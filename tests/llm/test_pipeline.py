@@ -47,13 +47,54 @@ def test_stages_against_brute_force(spark, checkpoints, tmp_path):
 def test_run_and_rows_without_ids(spark, checkpoints, tmp_path):
     text = " ".join(f"word{i} and{i} other{i}" for i in range(12))
     rows = [(None, text, "en", "s", len(text))] * 2 + [
-        (1, text + " one", "en", "s", 1), (1, text + " one", "en", "s", 1), (2, None, None, None, 0)]
+        (1, text + " one", "en", "s", 1), (1, text + " one", "en", "s", 1), (2, None, None, None, 0),
+        (None, A, "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
                                 "n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").write.parquet(
         str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # the near copy without an id goes, the other text without one stays
     assert sorted((str(r.doc_id), r.lossless) for r in got) == [("1", True), ("None", True)]
+    assert piece_sampling.decode_pieces(spark.createDataFrame(got).filter("doc_id is null"),
+                                        test_pieces.PATH).first().text == A
+
+
+SCHEMA = "doc_id long, text string, lang string"
+A, B = (" ".join(f"{p}{i * i % 89}" for i in range(60)) for p in "ab")
+
+
+def stage_rows(spark, stage, given, sf_dir=SF_SMALL):
+    docs = spark.createDataFrame(given, SCHEMA).repartition(3)
+    return sorted(map(tuple, stage(spark, docs, sf_dir).collect()), key=repr)
+
+
+def test_near_dedup_keeps_texts_that_share_an_id(spark, checkpoints):
+    stage = corpus_pipeline.near_dedup_stage
+    assert stage_rows(spark, stage, [(0, B, "x"), (1, A, "x"), (1, B, "x")]) == [
+        (0, B, "x"), (1, A, "x")]
+    # one of each group, be its ids missing, shared or repeated
+    assert stage_rows(spark, stage, [(None, A, "x"), (None, B, "x"), (4, B, "x"), (4, B, "x"),
+                                     (None, A, "y")]) in (
+        [(4, B, "x"), (None, A, "x")], [(4, B, "x"), (None, A, "y")])
+    assert stage_rows(spark, stage, [(0, A, "x"), (0, B, "x")]) == [(0, A, "x"), (0, B, "x")]
+
+
+def test_decontamination_judges_each_row(spark, checkpoints):
+    items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    leak = "x " + items.first().text
+    got = stage_rows(spark, corpus_pipeline.decontamination_stage, [
+        (1, A, "x"), (1, leak, "x"), (None, leak, "x"), (None, B, "x"), (2, leak, "x"), (3, A, "x"),
+        (3, A, "x")])
+    assert got == sorted([(1, A, "x"), (None, B, "x"), (3, A, "x"), (3, A, "x")], key=repr)
+
+
+def test_quality_judges_each_row(spark, checkpoints):
+    bad = "spam spam spam spam spam spam " * 5
+    got = stage_rows(spark, corpus_pipeline.quality_stage, [
+        (1, A, "x"), (1, bad, "x"), (None, bad, "x"), (None, B, "x"), (None, None, None),
+        (2, A, "x"), (2, A, None)])
+    assert got == sorted([(1, A, "x"), (None, B, "x"), (2, A, "x"), (2, A, None)], key=repr)
 
 
 def test_stages_on_edge_rows(edge_docs, no_docs, spark):
@@ -67,8 +108,8 @@ def test_stages_on_edge_rows(edge_docs, no_docs, spark):
         if name == "quality rules":
             assert set(ids) <= {5, 6}
         elif name == "SimHash near-dedup":
-            # one of each group, and rows without an id but for repeats
-            assert sorted(ids, key=repr) == sorted([-7, 1, 2, 5, None, None], key=repr)
+            # one of each group; an id that is missing comes last
+            assert sorted(ids, key=repr) == sorted([-7, 1, 2, 5, None], key=repr)
         else:
             assert len(ids) == edge_docs.count()
         assert stage(spark, no_docs, SF_SMALL).collect() == []
