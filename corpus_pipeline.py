@@ -4,9 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``.
 
-A row without doc_id cannot be named by a verdict: such rows share the best
-verdict that any of them gets, and near-dedup leaves them alone but for exact
-repeats.
+A verdict belongs to a row's doc_id and texts, not to its doc_id alone: rows
+that share an id, or have none, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -21,34 +20,46 @@ from cohortspark.llm.queries import PIECE_MODEL, SEED
 from cohortspark.session import ensure_checkpoint_dir
 
 
-def _named(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among the verdicts, each once."""
-    ids = verdicts.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+def _keyed(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str]:
+    """``docs`` with a digest of ``columns``, and the digest's free name."""
+    name = "_row_key"
+    while name in docs.columns:
+        name += "_"
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string").cast("binary"), 256), F.lit(""))
+             for c in columns]
+    return docs.withColumn(name, F.md5(F.concat_ws(" ", *parts))), name
+
+
+def _chosen(docs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and key are among the verdicts', each once."""
+    ids = verdicts.select(F.col("doc_id").alias("_chosen_id"), F.col(key).alias("_chosen_key"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_chosen_id"])
+                     & (docs[key] == ids["_chosen_key"]), "left_semi").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _named(docs, quality.quality_rules(docs).filter("kept"))
+    keyed, key = _keyed(docs, ["text", "lang"])
+    return _chosen(keyed, quality.quality_rules(keyed, key=key).filter("kept"), key)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id."""
-    groups = simhash.simhash_groups(docs, shingle=3, distance=3)
-    others = groups.filter("doc_id <> component_id").select("doc_id")
-    same_text = "_text_hash"
-    while same_text in docs.columns:
-        same_text += "_"
-    return (docs.join(others, "doc_id", "left_anti").select(docs.columns)
-            .withColumn(same_text, F.xxhash64("text"))
-            .dropDuplicates(["doc_id", same_text]).drop(same_text))
+    """One document of each SimHash group: the one with the smallest doc_id,
+    a missing one last; rows of one id and text are one document."""
+    keyed, key = _keyed(docs, ["text"])
+    groups = simhash.simhash_groups(keyed, shingle=3, distance=3, key=key)
+    first = groups.groupBy("group").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("no_id"), "doc_id", key)).alias("first"))
+    chosen = first.select("first.doc_id", F.col(f"first.{key}").alias(key))
+    return _chosen(keyed.dropDuplicates(["doc_id", key]), chosen, key)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(docs, benchmark, window=10)
-    return _named(docs, found.filter("n_hit = 0"))
+    keyed, key = _keyed(docs, ["text"])
+    found = decontaminate.find_contamination(keyed, benchmark, window=10, key=key)
+    return _chosen(keyed, found.filter("n_hit = 0"), key)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
