@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm.text import (find, gather, hash_table, mix, prefix_sums, span_hashes,
-                                  sums_hashes, text_chunks, worker_store)
+                                  sums_hashes, text_chunks, word_codes, worker_store)
 
 RANK_SHIFT = 100.0       # a ranked piece has weight 1 / (rank + RANK_SHIFT)
 BYTE_PENALTY = 10.0      # a byte piece costs so much more than the rarest piece
@@ -116,37 +116,56 @@ def _lattice(data: np.ndarray, offsets: np.ndarray, pieces):
     """Forward filtering over segments laid end to end.
 
     Nodes are the byte places of each segment and its end.  Returns, by node,
-    the range of its incoming edges, and by edge its cumulated probability,
-    probability, size and piece.
+    its first and last incoming edge, and by edge its probability, size and
+    piece.  A node's edges stand with the longest first; everything about them
+    follows from the node's own segment, whatever stands beside it.
     """
     table, weights, byte_ids = pieces[:3]
     sizes = np.diff(offsets)
     number = np.repeat(np.arange(len(sizes)), sizes)
     at, size, piece = _edges(data, np.repeat(offsets[1:], sizes), table, byte_ids)
+    n_nodes, longest = len(data) + len(sizes), int(size.max(initial=0))
+    depth = at - offsets[number[at]] + size  # of the target in its segment
+    # by depth, node and falling size, which no two edges share
+    order = np.argsort((depth * n_nodes + at + number[at] + size) * (longest + 1) + longest - size)
+    at, size, piece, depth = at[order], size[order], piece[order], depth[order]
     source = at + number[at]
     target = source + size
-    depth = at - offsets[number[at]] + size  # of the target in its segment
-    order = np.lexsort((target, depth))
-    source, target, depth, size, piece = (
-        x[order] for x in (source, target, depth, size, piece))
-    total = np.zeros(len(data) + len(sizes))  # log weight up to each node
+    total = np.zeros(n_nodes)  # log weight up to each node
     log_p = np.empty(len(source))
-    steps = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]])
-    for a, b in zip(steps[:-1], steps[1:]):
-        if a == b:
-            continue
-        here = target[a:b]
-        first = np.concatenate([[0], np.flatnonzero(np.diff(here)) + 1])
-        count = np.diff(np.append(first, b - a))
-        way = total[source[a:b]] + weights[piece[a:b]]
-        top = np.maximum.reduceat(way, first)
-        sums = top + np.log(np.add.reduceat(np.exp(way - np.repeat(top, count)), first))
-        total[here[first]] = sums
-        log_p[a:b] = way - np.repeat(sums, count)
-    order = np.argsort(target, kind="stable")
-    p = np.exp(log_p[order])
-    begin = np.searchsorted(target[order], np.arange(len(total) + 1))
-    return begin, np.cumsum(p), p, size[order], piece[order]
+    way = weights[piece]
+    new = np.ones(len(source), bool)
+    new[1:] = target[1:] != target[:-1]
+    heads = np.flatnonzero(new)
+    counts = np.diff(np.append(heads, len(source)))
+    first, last = np.zeros(n_nodes, np.int64), np.zeros(n_nodes, np.int64)
+    first[target[heads]], last[target[heads]] = heads, heads + counts - 1
+    steps = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1], [True]])) \
+        if len(depth) else np.zeros(1, np.int64)
+    groups = np.searchsorted(heads, steps)
+    for a, b, g, h in zip(steps[:-1], steps[1:], groups[:-1], groups[1:]):
+        count = counts[g:h]
+        ways = total[source[a:b]] + way[a:b]
+        top = np.maximum.reduceat(ways, heads[g:h] - a)
+        sums = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, count)), heads[g:h] - a))
+        total[target[heads[g:h]]] = sums
+        log_p[a:b] = ways - np.repeat(sums, count)
+    return first, last, np.exp(log_p), size, piece
+
+
+def _draw(u: np.ndarray, first: np.ndarray, last: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The edge, from ``first`` to ``last``, that each random number falls on.
+
+    Numbers step along their own node's few edges, so no other node's
+    probabilities come into it.
+    """
+    edge, rest = first.copy(), u.copy()
+    live = np.flatnonzero((rest >= p[edge]) & (edge < last))
+    while len(live):
+        rest[live] -= p[edge[live]]
+        edge[live] += 1
+        live = live[(rest[live] >= p[edge[live]]) & (edge[live] < last[live])]
+    return edge
 
 
 def _sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces):
@@ -154,11 +173,10 @@ def _sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces):
     starts, ends = _segments(data, offsets)
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    _, lead, back = np.unique(span_hashes(data, starts, ends), return_index=True,
-                              return_inverse=True)
+    back, lead = word_codes(data, starts, ends)
     sizes = (ends - starts)[lead]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    begin, cum, p, size, piece = _lattice(gather(data, starts[lead], sizes), bounds, pieces)
+    first, last, p, size, piece = _lattice(gather(data, starts[lead], sizes), bounds, pieces)
     doc = np.searchsorted(offsets, starts, "right") - 1
     place = ends - offsets[doc]                    # byte place in the text, from the end on
     node = (bounds[1:] + np.arange(len(lead)))[back]
@@ -169,9 +187,7 @@ def _sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces):
         # one number for each text and place
         u = (mix(keys[doc[live]] + place[live].astype(np.uint64) * _STEP)
              >> np.uint64(11)) * 2.0 ** -53
-        a, b = begin[node[live]], begin[node[live] + 1] - 1
-        low = cum[a] - p[a]
-        edge = np.clip(np.searchsorted(cum, low + u * (cum[b] - low), "right"), a, b)
+        edge = _draw(u, first[node[live]], last[node[live]], p)
         drawn.append((live, piece[edge]))
         node[live] -= size[edge]
         place[live] -= size[edge]
@@ -194,6 +210,17 @@ def _spaced(data: np.ndarray, offsets: np.ndarray):
     return np.insert(data, some, 32), offsets + more
 
 
+def _same(ids: np.ndarray, cuts: np.ndarray, spaced: np.ndarray, bounds: np.ndarray, pieces):
+    """Whether each text's ids spell the text again."""
+    raw, place, sizes = pieces[3:]
+    spelt = gather(raw, place[ids], sizes[ids])
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])[cuts]
+    if np.array_equal(ends, bounds) and np.array_equal(spelt, spaced):
+        return np.ones(len(cuts) - 1, bool)
+    return np.array([spelt[a:b].tobytes() == spaced[c:d].tobytes()
+                     for a, b, c, d in zip(ends, ends[1:], bounds, bounds[1:])], bool)
+
+
 def decode(ids: np.ndarray, cuts: np.ndarray, pieces) -> list[bytes]:
     """Texts of the runs of ids between ``cuts``."""
     raw, place, sizes = pieces[3:]
@@ -212,9 +239,7 @@ def _encode(path: str, seed: int):
             for i, j, data, offsets in text_chunks(batch.column("text")):
                 spaced, bounds = _spaced(data, offsets)
                 ids, cuts = _sample(spaced, bounds, row_keys[i:j], pieces)
-                raw = data.tobytes()
-                same = [raw[a:b] == t for a, b, t in zip(
-                    offsets.tolist(), offsets[1:].tolist(), decode(ids, cuts, pieces))]
+                same = _same(ids, cuts, spaced, bounds, pieces)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(cuts), pa.int64()),
                      pa.ListArray.from_arrays(pa.array(cuts, pa.int32()),

@@ -7,7 +7,7 @@ import sentencepiece
 from cohortspark.llm import piece_sampling
 from cohortspark.llm.text import mix
 from tests.conftest import SF_SMALL
-from tests.llm.conftest import rows
+from tests.llm.conftest import MORSE, rows
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -26,7 +26,7 @@ def sample(texts, keys):
 
 def test_decoding_is_lossless_and_the_librarys():
     texts = ["", "a", " ", "\n", "  x \n\n y  ", "the  cat", "日本語 テキスト\n\U0001F600 ok",
-             "é" * 2000, "a\x00b", "<0x0A><s>", "x" * 3000]
+             "é" * 2000, "a\x00b", "<0x0A><s>", "x" * 3000, *MORSE, " ".join(MORSE)]
     ids, decoded = sample(texts, range(len(texts)))
     assert decoded == texts
     assert [MODEL.decode(i) for i in ids if i] == [t for t in texts if t]
@@ -57,6 +57,36 @@ def test_draws_follow_the_lattice():
         assert max(abs(seen[w] / n - q) for w, q in zip(ways, p)) < 0.01
 
 
+def test_thresholds_follow_from_the_segment_alone():
+    """Bit for bit the same probabilities alone and among other texts."""
+    pieces = piece_sampling._pieces(PATH)
+
+    def lattice(words):
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        return piece_sampling._lattice(np.frombuffer(b"".join(words), np.uint8), offsets, pieces)
+
+    others = [f" w{i}ord{i % 71}".encode() for i in range(3000)]
+    for word in (" reading", " the", " internationalization", " 日本", "\n"):
+        word = word.encode()
+        firsts, lasts, *alone = lattice([word])
+        for before in (1, 7, 2999):
+            many = others[:before] + [word] + others[before:]
+            node = sum(map(len, many[:before])) + before
+            first, last, *among = lattice(many)
+            for k in range(1, len(word) + 1):
+                here, there = slice(firsts[k], lasts[k] + 1), slice(first[node + k], last[node + k] + 1)
+                for x, y in zip(alone, among):
+                    assert x[here].tobytes() == y[there].tobytes()
+
+
+def test_draws_step_to_the_edge():
+    p = np.array([1.0, 0.5, 0.3, 0.2, 0.7, 0.3])
+    u = np.array([0.999, 0.0, 0.49, 0.5, 0.79, 0.81, 1.0, 0.69, 0.71])
+    first = np.array([0, 1, 1, 1, 1, 1, 1, 4, 4])
+    last = np.array([0, 3, 3, 3, 3, 3, 3, 5, 5])
+    assert piece_sampling._draw(u, first, last, p).tolist() == [0, 1, 1, 2, 2, 3, 3, 4, 5]
+
+
 def test_reproducible_in_any_partitioning(spark, checkpoints):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     one = rows(piece_sampling.sample_pieces(docs.coalesce(1), PATH, 7))
