@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -131,21 +131,28 @@ def rank_sum(df: DataFrame, strata: Sequence[str], group: str, value: str,
 # --------------------------------------------------- p-values, I3, I4 -----
 
 def add_rank_pvalue(tests: DataFrame, n1: str = "n1", n2: str | None = "n2",
-                    name: str = "p") -> DataFrame:
+                    name: str = "p", few: bool = False) -> DataFrame:
     """Attach the two-sided p of each rank-test row (exact or normal);
-    without ``n2`` it is a signed-rank test."""
-    n2c = F.col(n2) if n2 else F.lit(None).cast("bigint")
-    return tests.withColumn(name, P.p_rank_test(F.col("exact"), F.col("statistic"),
-                                                F.col(n1), n2c, F.col("z")))
+    without ``n2`` it is a signed-rank test.  ``few`` tests, whose number a
+    parameter sets, are planned once; of many, each pair of sizes is counted
+    once."""
+    return P.add_rank_test_p(tests, "exact", "statistic", n1, n2, "z", name, few)
 
 
 def bonferroni(tests: DataFrame, p: str = "p", family: Sequence[str] = (),
-               name: str = "p_adj") -> DataFrame:
-    """min(1, p * m), m = number of non-NULL p in the family, counted apart and
-    joined back, so that no task holds all tests."""
-    sizes = tests.groupBy(*family).agg(F.count(p).alias("__m"))
-    counted = (join_null_safe(tests, sizes, family, "inner") if family
-               else tests.withColumn("__m", sizes.scalar()))
+               name: str = "p_adj", few: bool = False) -> DataFrame:
+    """min(1, p * m), m = number of non-NULL p in the family.
+
+    The family is counted apart and joined back, so that no task holds all
+    tests; a family of ``few`` tests, whose number a parameter sets, is counted
+    by a window, so that the tests are planned and run once.
+    """
+    if few:
+        counted = tests.withColumn("__m", F.count(p).over(Window.partitionBy(*family)))
+    else:
+        sizes = tests.groupBy(*family).agg(F.count(p).alias("__m"))
+        counted = (join_null_safe(tests, sizes, family, "inner") if family
+                   else tests.withColumn("__m", sizes.scalar()))
     # least() skips NULLs: guard so an undefined p stays undefined
     return counted.withColumn(name, F.when(
         F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.col("__m")))).drop("__m")
@@ -175,7 +182,7 @@ def chi_square_yates(counts: DataFrame, a: str, b: str, c: str, d: str,
 
 
 def add_chi2_pvalue(df: DataFrame, stat: str = "chi2", name: str = "p") -> DataFrame:
-    return df.withColumn(name, P.p_chi2_df1(F.col(stat)))
+    return P.add_chi2_df1_p(df, stat, name)
 
 
 # ------------------------------------------------- association (I6-I9) -----
@@ -202,40 +209,82 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str,
     return linear_association(df, keys, x, y, name).drop("slope", "intercept")
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str,
-             name: str = "rho") -> DataFrame:
+def _rho(sums: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys..., n, rho, tied) from n and the sums of products of mid-ranks,
+    centred on the mean rank (n + 1) / 2."""
+    n = F.col("n").cast("double")
+    centre = n * (n + 1) * (n + 1) / 4
+    # all ranks tied: undefined, not an error
+    rho = F.try_divide(F.col("__xy") - centre,
+                       F.sqrt((F.col("__xx") - centre) * (F.col("__yy") - centre)))
+    return sums.select(*keys, "n", rho.alias(name), "tied")
+
+
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, name: str = "rho",
+             levels: Sequence[float] | None = None) -> DataFrame:
     """Spearman's rho per group: Pearson on mid-ranks (ties averaged).
 
-    The points are first folded to (keys, x, y, number of points); everything
-    after works on those weights.  Each variable is ranked from the fold and
-    joined back to it once.
+    Returns (keys..., n, rho, tied); ``tied`` says whether any value of x or of
+    y stands twice in the group.
+
+    ``levels`` names the few values that x can have (such as a count of
+    analytes): then y is ranked once, with the points of each level counted
+    beside every value, and the mid-rank of a level follows from the levels'
+    totals.  Other values of x are not allowed and raise.
+
+    Without levels the points are first folded to (keys, x, y, number of
+    points); everything after works on those weights.  Each variable is ranked
+    from the fold and joined back to it once.
     """
     keys = list(keys)
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    if levels is not None:
+        levels = sorted(float(v) for v in levels)
+        known = F.col(x).cast("double").isin(levels)
+        pts = df.filter(both).select(*keys, F.when(known, F.col(x).cast("double")).otherwise(
+            F.raise_error(F.lit(f"a value of {x} is not among the levels"))).alias("__x"),
+            F.col(y).cast("double").alias("__y"))
+        ranked = ranked_histogram(pts, keys, "__y", counts={
+            f"__c{i}": F.col("__x") == v for i, v in enumerate(levels)})
+        c, r = F.col("c"), F.col("mid_rank")
+        sums = ranked.groupBy(*keys).agg(
+            F.sum(c).alias("n"), F.sum(c * r * r).alias("__yy"), F.max(c).alias("__most"),
+            *(F.sum(f"__c{i}").cast("double").alias(f"__n{i}") for i in range(len(levels))),
+            *(F.sum(F.col(f"__c{i}") * r).alias(f"__s{i}") for i in range(len(levels))))
+        before, xy, xx, most = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("__most")
+        for i in range(len(levels)):
+            size = F.col(f"__n{i}")
+            rank = before + (size + 1) / 2
+            xy, xx = xy + rank * F.col(f"__s{i}"), xx + size * rank * rank
+            before, most = before + size, F.greatest(most, size)
+        return _rho(sums.select(*keys, "n", "__yy", xy.alias("__xy"), xx.alias("__xx"),
+                                (most > 1).alias("tied")), keys, name)
     fold = (df.filter(both)
             .select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
             .groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__w")))
     ranks = [ranked_histogram(fold, keys, v, weight="__w")
-             .select(*keys, v, F.col("mid_rank").alias(f"__r{v}")) for v in ("__x", "__y")]
+             .select(*keys, v, F.col("mid_rank").alias(f"__r{v}"), F.col("c").alias(f"__c{v}"))
+             for v in ("__x", "__y")]
     j = join_null_safe(join_null_safe(fold, ranks[0], [*keys, "__x"], "inner"),
                        ranks[1], [*keys, "__y"], "inner")
-    # weighted sums of ranks, centred on the mean rank (n + 1) / 2 at the end
     w, rx, ry = F.col("__w"), F.col("__r__x"), F.col("__r__y")
-    out = j.groupBy(*keys).agg(F.sum(w).alias("n"), F.sum(w * rx * ry).alias("__xy"),
-                               F.sum(w * rx * rx).alias("__xx"), F.sum(w * ry * ry).alias("__yy"))
-    n = F.col("n").cast("double")
-    centre = n * (n + 1) * (n + 1) / 4
-    # all ranks tied: undefined, not an error
-    rho = F.try_divide(F.col("__xy") - centre,
-                       F.sqrt((F.col("__xx") - centre) * (F.col("__yy") - centre)))
-    return out.select(*keys, "n", rho.alias(name))
+    return _rho(j.groupBy(*keys).agg(
+        F.sum(w).alias("n"), F.sum(w * rx * ry).alias("__xy"), F.sum(w * rx * rx).alias("__xx"),
+        F.sum(w * ry * ry).alias("__yy"),
+        (F.max(F.greatest("__c__x", "__c__y")) > 1).alias("tied")), keys, name)
 
 
 def add_correlation_pvalue(df: DataFrame, r: str, n: str = "n",
                            name: str = "p") -> DataFrame:
-    """p from t = r sqrt((n-2)/(1-r^2)), df = n-2 (Pearson, and Spearman
-    with ties)."""
-    return df.withColumn(name, P.p_correlation(F.col(r), F.col(n)))
+    """p from t = r sqrt((n-2)/(1-r^2)), df = n-2 (Pearson)."""
+    return P.add_correlation_p(df, r, n, name)
+
+
+def add_spearman_pvalue(df: DataFrame, rho: str = "rho", n: str = "n", tied: str = "tied",
+                        name: str = "p") -> DataFrame:
+    """p of Spearman's rho: from the distribution of the sum of squared rank
+    differences without ties (below 1,290 points), else from t."""
+    return P.add_spearman_p(df, rho, n, tied, name)
 
 
 def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

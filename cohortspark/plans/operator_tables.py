@@ -285,7 +285,7 @@ def rank_sum_events(inp: Inputs, with_p: bool = False) -> DataFrame:
     t = S.rank_sum(ev, ["event_type"], "half", "value", ("even", "odd"))
     if with_p:
         t = S.add_rank_pvalue(t)
-        t = S.bonferroni(t, "p")
+        t = S.bonferroni(t, "p")  # event types come from the data: no window over all
         t = S.add_significance(t, "p_adj", "p_adj_signif")
         return t.select("event_type", "group1", "group2", "n1", "n2",
                         r6("statistic").alias("statistic"), r6("z").alias("z"), "exact",
@@ -321,5 +321,13 @@ def rank_sum_small_strata(inp: Inputs) -> DataFrame:
     """Rank-sum test of order values between two order states for every
     customer: many small samples, mostly without ties, so p is exact."""
     t = S.rank_sum(inp.table("orders"), ["o_custkey"], "o_orderstatus", "o_totalprice", ("F", "O"))
-    t = S.add_rank_pvalue(t)
+    t = S.add_rank_pvalue(t)  # sizes that occur are counted once each
     return t.select("o_custkey", "n1", "n2", "statistic", "exact", r6("p").alias("p"))
+
+
+def spearman_small_strata(inp: Inputs) -> DataFrame:
+    """Rank correlation of an order's value with its date for every customer:
+    many small samples, mostly without ties, so p comes from counted orders."""
+    orders = inp.table("orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01")))
+    t = S.add_spearman_pvalue(S.spearman(orders, ["o_custkey"], "o_totalprice", "day"))
+    return t.select("o_custkey", "n", r6("rho").alias("rho"), "tied", r6("p").alias("p"))

@@ -24,7 +24,7 @@ from . import operator_tables as T
 from . import reports as R
 from .context import Inputs, Tables
 from .sqltext import (adjusted_expr, case_map, col_name, erfc_expr, exact_ranksum_ctes, floor_expr, in_list,
-                      correlation_p_cte, log2_expr, mid_rank_expr, normal_p_expr, panel_cte,
+                      correlation_p_cte, erfc_expr, log2_expr, mid_rank_expr, normal_p_expr, panel_cte,
                       plot_label, ranksum_p_expr, signif_expr, size_label,
                       stat_label_expr)
 from .sqltext import q as sq
@@ -1128,3 +1128,60 @@ SELECT o_custkey, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, statistic,
 FROM zs LEFT JOIN tails ON exact AND m = n1 AND n = n2 AND w = statistic""")
 def q_rank_sum_small_strata(inp):
     return T.rank_sum_small_strata(inp)
+
+
+@register("spearman_small_strata", f"""
+WITH RECURSIVE
+src AS (
+  SELECT o_custkey, o_totalprice AS x, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS y
+  FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL),
+ranked AS (
+  SELECT o_custkey, {mid_rank_expr('o_custkey', 'x')} AS rx, {mid_rank_expr('o_custkey', 'y')} AS ry,
+         greatest(count(*) OVER (PARTITION BY o_custkey, x),
+                  count(*) OVER (PARTITION BY o_custkey, y)) AS c
+  FROM src),
+sums AS (
+  SELECT o_custkey, count(*) AS n, max(c) > 1 AS tied, sum((rx - ry) * (rx - ry)) AS s,
+         sum(rx * ry) - count(*) * avg(rx) * avg(ry) AS xy,
+         sum(rx * rx) - count(*) * avg(rx) * avg(rx) AS xx,
+         sum(ry * ry) - count(*) * avg(ry) * avg(ry) AS yy
+  FROM ranked GROUP BY o_custkey),
+rhos AS (
+  SELECT o_custkey, n, tied, s, CASE WHEN xx > 0 AND yy > 0 THEN xy / sqrt(xx * yy) END AS rho
+  FROM sums),
+orders_of(n, k, taken, s, ways) AS (
+  SELECT n, 0, 0, 0, CAST(1 AS DOUBLE) FROM range(2, 10) t(n)
+  UNION ALL
+  SELECT n, k + 1, taken | (1 << j), s + (k - j) * (k - j), sum(ways)
+  FROM orders_of, range(9) r(j)
+  WHERE k < n AND j < n AND taken & (1 << j) = 0
+  GROUP BY 1, 2, 3, 4),
+counted AS (SELECT n, s, sum(ways) AS ways FROM orders_of WHERE k = n GROUP BY n, s),
+tails AS (
+  SELECT n, s, sum(ways) OVER lo / sum(ways) OVER al AS low, sum(ways) OVER hi / sum(ways) OVER al AS high
+  FROM counted
+  WINDOW al AS (PARTITION BY n), lo AS (PARTITION BY n ORDER BY s),
+         hi AS (PARTITION BY n ORDER BY s DESC)),
+series AS (
+  SELECT *, 1.0 / n AS b, (6 * (least(s, mean * 2 - s) + 1) / (n * (n * n - 1.0)) - 1) * sqrt(n - 1.0) AS z,
+         z * z AS w
+  FROM (SELECT *, (n * n * n - n) / 6.0 AS mean FROM rhos WHERE n > 9 AND NOT tied)),
+edge AS (
+  SELECT o_custkey, least(1, greatest(0, 2 * (
+    CASE WHEN z <= 0 THEN {erfc_expr('(abs(z) / sqrt(2.0))')} / 2
+         ELSE 1 - {erfc_expr('(abs(z) / sqrt(2.0))')} / 2 END
+    - exp(-w / 2) * z * b * (
+        0.2274 + 0.2531 * b + 0.1745 * b * b
+        + w * (-0.0758 + 0.1033 * b + 0.3932 * b * b)
+        - w * w * b * (0.0879 + 0.0151 * b)
+        + w * w * w * b * (0.0072 - 0.0831 * b)
+        + w * w * w * w * b * b * (0.0131 - 0.00046 * w))))) AS p
+  FROM series){correlation_p_cte('rhos', 'rho', 'n')}
+SELECT cp.o_custkey, CAST(cp.n AS BIGINT) AS n, round(rho, 6) AS rho, tied,
+       round(CASE WHEN rho IS NULL OR cp.n < 2 THEN NULL
+                  WHEN tied OR cp.n >= 1290 THEN cp.p
+                  WHEN cp.n > 9 THEN edge.p
+                  ELSE least(1, 2 * least(low, high)) END, 6) AS p
+FROM cp LEFT JOIN edge USING (o_custkey) LEFT JOIN tails ON cp.n = tails.n AND cp.s = tails.s""")
+def q_spearman_small_strata(inp):
+    return T.spearman_small_strata(inp)

@@ -184,8 +184,9 @@ def signed_rank_pairs(inp: Tables, with_p: bool = False) -> DataFrame:
     if not with_p:
         return out.select("group1", "group2", "n", r6("statistic").alias("statistic"),
                           r6("z").alias("z"))
-    out = S.add_rank_pvalue(out, n1="n", n2=None)
-    out = S.add_significance(S.bonferroni(out, "p"), "p_adj", "p_adj_signif")
+    # as many tests as the panel has pairs
+    out = S.add_rank_pvalue(out, n1="n", n2=None, few=True)
+    out = S.add_significance(S.bonferroni(out, "p", few=True), "p_adj", "p_adj_signif")
     # all labels in one row of a map: both names of a pair are looked up in it
     sizes = a.filter(F.col("value").isNotNull()).groupBy("antigen").agg(F.count("*").alias("n_ind"))
     labels = sizes.agg(F.map_from_entries(F.collect_list(F.struct(
@@ -242,21 +243,24 @@ def spearman_table(inp: Tables, group: str = "group5", groups=SEROPOSITIVE3,
                    titre: str = "roche", pooled: bool = False) -> DataFrame:
     pts = detected_with_titre(inp, group, groups, titre)
     keys = [] if pooled else [group]
-    out = S.spearman(pts.select(group, "x", "titre"), keys, "x", "titre")
+    out = S.spearman(pts.select(group, "x", "titre"), keys, "x", "titre",
+                     levels=range(len(inp.parameters.panel4) + 1))
     return out.select(*keys, "n", r6("rho").alias("rho"))
 
 
 def fig4b_spearman(inp: Tables, group: str = "group5", groups=SEROPOSITIVE3,
                    titre: str = "roche") -> DataFrame:
     pts = detected_with_titre(inp, group, groups, titre).select(group, "x", "titre")
-    # per-group and pooled coefficients in one ranking pass: the pooled copy
-    # of the points is one more stratum (scope 'all', group NULL)
-    both = pts.select(F.lit("group").alias("scope"), F.col(group).alias("group"), "x", "titre") \
-        .unionByName(pts.select(F.lit("all").alias("scope"),
-                                F.lit(None).cast("string").alias("group"), "x", "titre"))
-    out = S.spearman(both, ["scope", "group"], "x", "titre")
+    # per-group and pooled coefficients in one ranking pass: every point stands
+    # in its group and in one more stratum (scope 'all', group NULL)
+    both = pts.select(F.explode(F.array(
+        F.struct(F.lit("group").alias("scope"), F.col(group).alias("group")),
+        F.struct(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("group")))).alias("s"),
+        "x", "titre").select("s.scope", "s.group", "x", "titre")
+    out = S.spearman(both, ["scope", "group"], "x", "titre",
+                     levels=range(len(inp.parameters.panel4) + 1))
     out = out.withColumn("group", F.coalesce("group", F.lit("all"))).drop("scope")
-    out = S.stat_label(S.add_correlation_pvalue(out, "rho"), "rho", "p", "rho")
+    out = S.stat_label(S.add_spearman_pvalue(out), "rho", "p", "rho")
     return out.select("group", "n", r6("rho").alias("rho"), r6("p").alias("p"), "label")
 
 
@@ -274,9 +278,9 @@ def rank_sum_points(inp: Tables) -> DataFrame:
 def rank_sum_by_stratum(inp: Tables, with_p: bool = False) -> DataFrame:
     t = S.rank_sum(rank_sum_points(inp), ["antigen"], "sero_igg", "value", (NEGATIVE, POSITIVE))
     if with_p:
-        t = S.add_rank_pvalue(t)
+        t = S.add_rank_pvalue(t, few=True)  # a test per analyte of the panel
         t = S.add_significance(t, "p", "p_signif")
-        t = S.bonferroni(t, "p")
+        t = S.bonferroni(t, "p", few=True)
         t = S.add_significance(t, "p_adj", "p_adj_signif")
         return t.select("antigen", "group1", "group2", "n1", "n2",
                         r6("statistic").alias("statistic"), r6("z").alias("z"), "exact",

@@ -146,19 +146,22 @@ def test_category_pairs(spark):
     assert got == [("M", "NC"), ("M", "SNT"), ("NC", "SNT")]
 
 
-def _evaluate(spark, expr, rows, schema):
-    return [r[0] for r in spark.createDataFrame(rows, schema).select(expr).collect()]
+def _evaluate(spark, add, rows, schema, *columns):
+    """The column p that ``add`` puts beside the given rows."""
+    df = add(spark.createDataFrame(rows, schema).coalesce(1), *columns, "p")
+    assert df.columns[-1] == "p" and not any(c.startswith("__") for c in df.columns)
+    return [r["p"] for r in df.collect()]
 
 
 def test_normal_and_chi_square_tails(spark):
     z = [0.0, 1e-9, 0.3, 1.959963985, 2.9, 3.0, 4.2425, 4.243, 6.0, 12.0, 30.0, -1.959963985]
-    got = _evaluate(spark, P.p_normal(F.col("z")), [(v,) for v in z], "z double")
+    got = _evaluate(spark, P.add_normal_p, [(v,) for v in z], "z double", "z")
     for v, p in zip(z, got):
         want = math.erfc(abs(v) / math.sqrt(2))
         assert abs(p - want) <= 1e-9 * max(want, 1e-300) + 1e-15, (v, p, want)
-    got = _evaluate(spark, P.p_chi2_df1(F.col("x")), [(3.841458821,), (0.0,), (None,)], "x double")
+    got = _evaluate(spark, P.add_chi2_df1_p, [(3.841458821,), (0.0,), (None,)], "x double", "x")
     assert abs(got[0] - 0.05) < 1e-9 and got[1:] == [1.0, None]
-    assert _evaluate(spark, P.p_normal(F.col("z")), [(None,)], "z double") == [None]
+    assert _evaluate(spark, P.add_normal_p, [(None,)], "z double", "z") == [None]
 
 
 def _student_by_integration(t, df):
@@ -174,38 +177,120 @@ def _student_by_integration(t, df):
 def test_student_tail(spark):
     rows = [(t, df) for df in (1, 2, 3, 4, 7, 8, 30, 31, 500, 1999, 2000, 2001, 5000)
             for t in (0.0, 0.5, 1.9, 2.306004135, 6.0)]
-    got = _evaluate(spark, P.p_student(F.col("t"), F.col("df")), rows, "t double, df long")
+    got = _evaluate(spark, P.add_student_p, rows, "t double, df long", "t", "df")
     for (t, df), p in zip(rows, got):
         assert abs(p - _student_by_integration(t, df)) < 1e-9, (t, df, p)
     # against the normal limit, which t misses by less than 1e-9 from here on
     rows = [(t, df) for df in (10 ** 10, 10 ** 12) for t in (0.1, 1.9, 5.0)]
-    got = _evaluate(spark, P.p_student(F.col("t"), F.col("df")), rows, "t double, df long")
+    got = _evaluate(spark, P.add_student_p, rows, "t double, df long", "t", "df")
     for (t, df), p in zip(rows, got):
         assert abs(p - math.erfc(t / math.sqrt(2))) < 1e-9, (t, df, p)
 
 
 def test_correlation_p(spark):
-    got = _evaluate(spark, P.p_correlation(F.col("r"), F.col("n")),
+    got = _evaluate(spark, P.add_correlation_p,
                     [(0.62, 16), (1.0, 5), (-1.0, 5), (0.5, 2), (None, 9), (0.0, 9)],
-                    "r double, n long")
+                    "r double, n long", "r", "n")
     # Figure 4B label: rho .62 with n 16 gives p ~ .011
     assert abs(got[0] - 0.0104) < 1e-3 and got[1:] == [0.0, 0.0, None, None, 1.0]
 
 
-def test_exact_wilcoxon_by_enumeration(spark):
+def _two_sided(counts, k):
+    """Twice the smaller tail of a list of equally likely statistics."""
+    low, high = sum(c <= k for c in counts), sum(c >= k for c in counts)
+    return min(1.0, 2 * min(low, high) / len(counts))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_wilcoxon_by_enumeration(spark, few):
     from itertools import combinations, product
-    for m, n in ((1, 1), (2, 5), (6, 4)):
-        sums = sorted(sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m))
-        cdf = P.ranksum_cdf(m, n)
-        assert np.allclose(cdf, [sum(s <= w for s in sums) / len(sums) for w in range(m * n + 1)])
-    for n in (1, 4, 7):
+    rows, want = [], []
+    for m, n in ((1, 1), (2, 5), (6, 4), (1, 9), (5, 5)):
+        sums = [sum(c) - m * (m - 1) // 2 for c in combinations(range(m + n), m)]
+        rows += [(True, float(w), m, n, None) for w in range(m * n + 1)]
+        want += [_two_sided(sums, w) for w in range(m * n + 1)]
+    schema = "exact boolean, w double, n1 long, n2 long, z double"
+    test = lambda df, n1, n2: P.add_rank_test_p(df, "exact", "w", n1, n2, "z", "p", few)
+    got = test(spark.createDataFrame(rows, schema), "n1", "n2").collect()
+    assert {(r.n1, r.n2, r.w): round(r.p, 12) for r in got} == {
+        (r[2], r[3], r[1]): round(w, 12) for r, w in zip(rows, want)}
+    rows, want = [], []
+    for n in (1, 4, 7, 10):
         sums = [sum(k for k, s in zip(range(1, n + 1), signs) if s)
                 for signs in product((0, 1), repeat=n)]
-        assert np.allclose(P.signrank_cdf(n), [sum(s <= v for s in sums) / 2 ** n
-                                               for v in range(n * (n + 1) // 2 + 1)])
-    big = P.ranksum_cdf(49, 49)
-    assert np.all(np.diff(big) >= 0) and big[-1] == 1.0
-    assert abs(big[1200] + big[2401 - 1200 - 1] - 1) < 1e-12  # symmetric
+        rows += [(True, float(v), n, None, None) for v in range(n * (n + 1) // 2 + 1)]
+        want += [_two_sided(sums, v) for v in range(n * (n + 1) // 2 + 1)]
+    got = test(spark.createDataFrame(rows, schema), "n1", None).collect()
+    assert {(r.n1, r.w): round(r.p, 12) for r in got} == {
+        (r[2], r[1]): round(w, 12) for r, w in zip(rows, want)}
+    # the largest sizes: symmetric, a whole distribution; normal and undefined rows beside them
+    rows = [(True, 1200.0, 49, 49, 9.0), (True, 1201.0, 49, 49, 9.0), (True, 0.0, 49, 49, 9.0),
+            (False, 5.0, 49, 49, 1.959963985), (True, 0.0, 0, 5, None), (False, 1.0, 3, 3, None)]
+    got = {(r.exact, r.w, r.n1): r.p for r in test(
+        spark.createDataFrame(rows, schema), "n1", "n2").collect()}
+    assert got[True, 1200.0, 49] == pytest.approx(got[True, 1201.0, 49], abs=1e-12)
+    assert got[True, 0.0, 49] == pytest.approx(2 / math.comb(98, 49), rel=1e-9)
+    assert got[False, 5.0, 49] == pytest.approx(0.05, abs=1e-9)
+    assert got[True, 0.0, 0] is None and got[False, 1.0, 3] is None
+
+
+def test_exact_p_needs_no_python(spark):
+    """Rank tests and rank correlations are planned without Python workers."""
+    df = spark.createDataFrame([("s", "a", 1.0, 2.0), ("s", "b", 2.0, 1.0)],
+                               "st string, g string, v double, w double")
+    for out in (S.add_rank_pvalue(S.rank_sum(df, ["st"], "g", "v", ("a", "b"))),
+                S.add_spearman_pvalue(S.spearman(df, ["st"], "v", "w"))):
+        plan = out._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+        assert out.count() == 1
+
+
+def test_spearman_p_by_enumeration(spark):
+    """Every possible sum of squared differences of 2 to 9 ranks, and of 10 to
+    12, where the series stands in for the orders."""
+    from itertools import permutations
+    rows, want = [], []
+    for n in range(2, 9):
+        sums = [sum((i - j) ** 2 for i, j in enumerate(o)) for o in permutations(range(n))]
+        for k in sorted(set(sums)):
+            rows.append((1 - 6 * k / (n ** 3 - n), n, False))
+            want.append(_two_sided(sums, k))
+    args = "r double, n long, tied boolean", "r", "n", "tied"
+    assert _evaluate(spark, P.add_spearman_p, rows, *args) == pytest.approx(want, abs=1e-12)
+    # the series itself is within these of the counted orders, twice its one-sided error
+    for n, near in ((9, 1e-12), (10, 1.2e-3), (11, 8e-4), (12, 4e-4)):
+        ways = P.spearman_ways(n)
+        assert sum(ways) == math.factorial(n)
+        rows = [(1 - 12 * k / (n ** 3 - n), n, False) for k in range(len(ways))]
+        want = [min(1.0, 2 * min(sum(ways[:k + 1]), sum(ways[k:])) / sum(ways))
+                for k in range(len(ways))]
+        assert _evaluate(spark, P.add_spearman_p, rows, *args) == pytest.approx(want, abs=near)
+    # ties, many points and undefined coefficients
+    rows = [(0.62, 16, True), (0.05, 1290, False), (None, 5, False), (None, 5, True),
+            (1.0, 5, False), (-1.0, 5, False), (0.3, 1, False)]
+    got = _evaluate(spark, P.add_spearman_p, rows, *args)
+    t = _evaluate(spark, P.add_correlation_p, [r[:2] for r in rows], "r double, n long", "r", "n")
+    assert got[:4] == t[:4] and got[4:] == [2 / 120, 2 / 120, None]
+    close = _evaluate(spark, P.add_spearman_p, [(0.05, 1289, False)], *args)
+    assert close[0] == pytest.approx(t[1], abs=2e-3)
+
+
+def test_spearman_of_few_levels_is_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", float(rng.integers(0, 5)),
+             None if i % 11 == 0 else float(rng.integers(0, 40))) for i in range(400)]
+    rows += [("one", 2.0, 1.0), ("flat", 1.0, 3.0), ("flat", 1.0, 4.0),
+             ("own", 0.0, 1.0), ("own", 3.0, 5.0), ("own", 4.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r.g: r for r in S.spearman(df, ["g"], "x", "y", levels=range(5)).collect()}
+    want = {r.g: r for r in S.spearman(df, ["g"], "x", "y").collect()}
+    assert set(got) == set(want)
+    for g, r in want.items():
+        assert (got[g].n, got[g].tied) == (r.n, r.tied)
+        assert got[g].rho == (None if r.rho is None else pytest.approx(r.rho, abs=1e-12))
+    assert got["one"].rho is None and got["flat"].rho is None and not got["own"].tied
+    with pytest.raises(Exception, match="not among the levels"):
+        S.spearman(df, ["g"], "x", "y", levels=range(3)).collect()
 
 
 def test_nan_is_missing_after_ingest(spark):
