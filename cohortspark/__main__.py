@@ -4,11 +4,12 @@
     python -m cohortspark run fig3a_distribution --data DIR --out DIR [--format csv|parquet]
     python -m cohortspark run fig3a_distribution --assay FILE --subjects FILE
         [--input-format csv|parquet] [--cutoff 40] [--plot-floor 0.01] [--test-floor 0.1]
-        [--panel3 NC,M,SCT] [--panel4 NC,M,SCT,SNT] --out DIR
+        [--panel3 NC,M,SCT] [--panel4 NC,M,SCT,SNT] [--quarantine DIR] --out DIR
 
 ``--data`` names a folder of test tables, ``--assay`` and ``--subjects`` real
 assay data.  The whole table is written to ``--out`` or, without it, printed
-row by row as tab-separated text.
+row by row as tab-separated text.  A CSV row that does not fit its table's
+schema fails the run, or goes to ``--quarantine`` and is left out.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ def main(argv=None) -> int:
     run.add_argument("--assay", help="assay table: lab_id, antigen, value, visit_date")
     run.add_argument("--subjects", help="subject table")
     run.add_argument("--input-format", default="parquet", choices=["csv", "parquet"])
+    run.add_argument("--quarantine", help="folder for CSV rows that do not fit the schema")
     for name in ("cutoff", "plot-floor", "test-floor"):
         run.add_argument(f"--{name}", type=float)
     for name in ("panel3", "panel4"):
@@ -60,7 +62,8 @@ def main(argv=None) -> int:
     spark = build_session(args.master, extra=scale_settings(args.shuffled_bytes, args.cores)
                           if args.shuffled_bytes else None)
     inp = (Inputs(spark, args.data) if args.data else
-           StudyInputs.read(spark, args.assay, args.subjects, args.input_format))
+           StudyInputs.read(spark, args.assay, args.subjects, args.input_format,
+                            quarantine=args.quarantine))
     inp.parameters = _parameters(inp.parameters, args)
     df = BUILDERS[args.key](inp)
     if args.out:

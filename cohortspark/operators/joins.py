@@ -40,7 +40,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
              spread: Sequence[str] | None = None, slots: int | None = None,
-             null_safe: bool = True) -> DataFrame:
+             null_safe: bool | Sequence[str] = True) -> DataFrame:
     """``left`` left-joined with ``right``, whatever share of ``left`` a key holds.
 
     ``right`` has one row per key and says in ``count`` how many rows of
@@ -53,9 +53,11 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
     meet ``right`` in the shuffle.  Only rows that are equal in all columns of
     ``spread`` stay together.
 
-    With ``null_safe`` NULL keys match NULL keys; without it they match none.
+    With ``null_safe`` NULL keys match NULL keys; without it they match none,
+    and their rows are spread too; it may name the keys that it holds for.
     """
     keys = list(keys)
+    safe = set(keys if null_safe is True else null_safe or ())
     slots = slots or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     payload = [c for c in right.columns if c not in keys and c != count]
     if clash := set(payload) & set(left.columns):
@@ -73,13 +75,13 @@ def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str,
         out = F.lit(True)
         for i, k in enumerate(keys):
             here, there = F.col(k), F.col(f"__{tag}_{i}")
-            out = out & (here.eqNullSafe(there) if null_safe else here == there)
+            out = out & (here.eqNullSafe(there) if k in safe else here == there)
         return out
 
     known = left.join(F.broadcast(side("hot", True)), meets("hot"), "left")
     apart = F.col("__hot")
-    if not null_safe:
-        for k in keys:
+    for k in keys:
+        if k not in safe:
             apart = apart | F.col(k).isNull()
     lane = F.when(apart, F.xxhash64(*(spread or left.columns))).otherwise(F.xxhash64(*keys))
     rest = side("rest", False).withColumn("__to", F.xxhash64(*[f"__rest_{i}" for i in range(len(keys))]))

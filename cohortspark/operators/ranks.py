@@ -30,7 +30,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_null_safe
+from .joins import hot_join
 
 
 def slice_number(value: Column, cuts: Column, slices: int) -> Column:
@@ -118,14 +118,13 @@ def mid_ranks(df: DataFrame, strata: Sequence[str], value: str,
     """Every row of ``df`` with the average rank of its value in its stratum.
 
     Rows with a NULL value get a NULL rank.  The join back is on
-    (strata, value); a value repeated by a third of all rows is a skewed key
-    on one side and a single row on the other, which AQE's skew-join handling
-    splits.
+    (strata, value) through ``hot_join``: a value repeated by a third of all
+    rows, or a third of all values missing, is spread over all tasks.
     """
     strata = list(strata)
     ranked = ranked_histogram(df, strata, value, slices=slices) \
-        .select(*strata, value, F.col("mid_rank").alias(out))
-    return join_null_safe(df, ranked, strata + [value], "left")
+        .select(*strata, value, "c", F.col("mid_rank").alias(out))
+    return hot_join(df, ranked, [*strata, value], "c", null_safe=strata)
 
 
 def row_positions(df: DataFrame, strata: Sequence[str], order: Sequence[str],

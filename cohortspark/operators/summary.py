@@ -1,8 +1,7 @@
 """Counts, medians, category order and per-facet sizes.
 
-Exact medians use the ranked value histogram (:mod:`.ranks`), so no group's
-values are ever buffered in one task: the two middle order statistics are
-picked out of the cumulative counts.
+Exact medians are found by selection: an approximate percentile brackets the
+middle of a large group, and only the bracket is put in order.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .ranks import ranked_histogram, row_positions
+from .ranks import row_positions
+
+MEDIAN_ACCURACY = 100_000  # of the percentiles that bracket a median
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -41,17 +42,44 @@ def n_per_panel(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def _middle_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys..., n, lo, hi): the two middle order statistics of ``value``."""
+    """(keys..., n, lo, hi): the two middle order statistics of ``value``.
+
+    A group above an even share of the shuffle partitions (there are at most as
+    many of them) is bracketed by two approximate percentiles around the
+    middle: where its rows are, values below the bracket become one NULL value
+    that stands first, those above go, and only the bracket, a few
+    hundred-thousandths of the group, is folded, shuffled and put in order.
+    The count below and the group's size place the bracket, so the result is
+    exact.  Smaller groups are put in order whole, each in its own task.
+    """
     keys = list(keys)
-    r = ranked_histogram(df, keys, value).withColumnRenamed("stratum_n", "__n")
-    k_lo = F.floor((F.col("__n") + 1) / 2)
-    k_hi = F.floor(F.col("__n") / 2) + 1
-    hit = lambda k: (F.col("cum_before") < k) & (k <= F.col("cum_before") + F.col("c"))
-    return (r.filter(hit(k_lo) | hit(k_hi))
-            .groupBy(*keys)
+    src = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    margin = 3 / MEDIAN_ACCURACY  # the percentiles are off by 1 / MEDIAN_ACCURACY at most
+    groups = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(
+        "__v", [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY).alias("__b"))
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = groups.agg(F.sum("__n")).scalar()
+    large = groups.filter(F.col("__n") * F.lit(slots) > total).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__n").alias("__of"),
+        F.get("__b", F.lit(0)).alias("__low"), F.get("__b", F.lit(1)).alias("__high"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    met = src.join(F.broadcast(large), same, "left")
+    inside = F.col("__of").isNull() | (F.col("__v") <= F.col("__high"))
+    below = F.col("__of").isNotNull() & (F.col("__v") < F.col("__low"))
+    hist = (met.filter(inside).withColumn("__v", F.when(~below, F.col("__v")))
+            .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__of").alias("__of")))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = hist.withColumns({
+        "__last": F.sum("__c").over(upto),
+        "__n": F.coalesce(F.max("__of").over(group), F.sum("__c").over(group))})
+    at = lambda k: F.min(F.when(F.col("__last") >= k, F.col("__v")))
+    return (ranked.filter(F.col("__v").isNotNull()).groupBy(*keys)
             .agg(F.max("__n").alias("n"),
-                 F.max(F.when(hit(k_lo), F.col(value))).alias("lo"),
-                 F.max(F.when(hit(k_hi), F.col(value))).alias("hi")))
+                 at(F.floor((F.col("__n") + 1) / 2)).alias("lo"),
+                 at(F.floor(F.col("__n") / 2) + 1).alias("hi")))
 
 
 def median_exact(df: DataFrame, keys: Sequence[str], value: str,

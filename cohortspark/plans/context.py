@@ -76,23 +76,45 @@ class StudyInputs(Tables):
     assays: DataFrame
     subjects: DataFrame
     parameters: Parameters = field(default_factory=Parameters)
+    clean: bool = False  # stored without NaN: filters on values reach the scan
 
     @classmethod
     def read(cls, spark: SparkSession, assay_path: str, subject_path: str, fmt: str = "parquet",
-             parameters: Parameters | None = None, **options) -> "StudyInputs":
-        return cls(io.read_assay(spark, assay_path, fmt, **options),
-                   io.read_subjects(spark, subject_path, fmt, **options),
+             parameters: Parameters | None = None, quarantine: str | None = None,
+             **options) -> "StudyInputs":
+        """Two files or folders.  CSV rows that do not fit the schemas, or have
+        no subject, fail the job that meets them, or go to ``quarantine``/assay
+        and ``quarantine``/subjects."""
+        aside = lambda name: quarantine and f"{quarantine.rstrip('/')}/{name}"
+        return cls(io.read_assay(spark, assay_path, fmt, quarantine=aside("assay"), **options),
+                   io.read_subjects(spark, subject_path, fmt, quarantine=aside("subjects"), **options),
                    parameters or Parameters())
 
+    @classmethod
+    def read_catalog(cls, spark: SparkSession, assay_table: str, subject_table: str,
+                     parameters: Parameters | None = None) -> "StudyInputs":
+        """Two catalog tables, such as ``write_catalog`` makes: bucketed by
+        subject, so joins and aggregations by subject need no exchange."""
+        return cls(spark.table(assay_table), spark.table(subject_table), parameters or Parameters(),
+                   clean=True)
+
+    def write_catalog(self, prefix: str, buckets: int, path: str | None = None) -> tuple[str, str]:
+        """Store both tables bucketed by subject, NaN as NULL, and return their
+        names, ``prefix``_assay and ``prefix``_subjects."""
+        names = f"{prefix}_assay", f"{prefix}_subjects"
+        for name, df in zip(names, (self.assay_long(), self.subject())):
+            io.write_bucketed(df, name, ["lab_id"], buckets, path and f"{path.rstrip('/')}/{name}")
+        return names
+
     def assay_raw(self) -> DataFrame:
         return self.assays.withColumnRenamed("antigen", "antigen_raw")
 
     def assay_long(self, mapping=None) -> DataFrame:
-        a = io.nan_to_null(self.assays)
+        a = self.assays if self.clean else io.nan_to_null(self.assays)
         return a.withColumn("antigen", C.recode("antigen", mapping)) if mapping else a
 
     def subject(self) -> DataFrame:
-        return io.nan_to_null(self.subjects)
+        return self.subjects if self.clean else io.nan_to_null(self.subjects)
 
 
 def r6(c) -> "F.Column":

@@ -73,3 +73,26 @@ def test_hot_join_balances_a_third_of_all_rows(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_mid_ranks_balance_a_hot_value_and_missing_values(spark):
+    """A third of the rows hold one value, a third none: both are spread."""
+    from cohortspark.operators.ranks import mid_ranks
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(24_000).select(
+            (F.col("id") % 2).alias("g"), "id", F.when(F.col("id") % 3 == 0, 0.0)
+            .when(F.col("id") % 3 == 1, F.col("id").cast("double")).alias("v"))
+        ranked = mid_ranks(df, ["g"], "v")
+        sizes = sorted(r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == 24_000 and sizes[-1] < 1.5 * sizes[len(sizes) // 2]
+        row = ranked.filter("v = 0").first()
+        assert row.mid_rank == (4_000 + 1) / 2
+        assert ranked.filter("v is null and mid_rank is null").count() == 8_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

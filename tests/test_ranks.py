@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators.ranks import mid_ranks, ranked_histogram, row_positions
@@ -145,3 +146,52 @@ def test_positions_and_sizes_by_name_and_place(spark):
     got = row_positions(df, [], ["b", "a", "c"], total="n", slices=4, slice_by="b").collect()
     ordered = sorted(got, key=lambda r: (r.b, r.a, r.c))
     assert [r.position for r in ordered] == list(range(1, 91)) and {r.n for r in got} == {90}
+
+
+@pytest.mark.parametrize("slots", ["1", "3", "64"])
+@pytest.mark.parametrize("accuracy", [7, 10, 100_000])
+def test_medians_are_exact_whatever_the_bracket(spark, monkeypatch, slots, accuracy):
+    """Hot, small, tied, single and missing groups; rough and exact brackets."""
+    from cohortspark.operators import summary
+    monkeypatch.setattr(summary, "MEDIAN_ACCURACY", accuracy)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slots)
+    try:
+        rng = np.random.default_rng(accuracy)
+        groups = {"hot": rng.normal(0, 9, 5001), "even": rng.normal(0, 1, 400),
+                  "ties": rng.integers(0, 3, 999), "one": [4.0], "two": [1.0, 2.0],
+                  None: rng.exponential(2, 750), "same": [7.0] * 50}
+        data = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("none", None)]
+        df = spark.createDataFrame(data, "s string, v double").repartition(5)
+        got = {r.s: r.median for r in median_exact(df, ["s"], "v").collect()}
+        assert got == {k: pytest.approx(float(np.median(v)), abs=1e-12) for k, v in groups.items()}
+        whole = median_exact(df, [], "v").collect()
+        assert [r.median for r in whole] == [pytest.approx(float(np.median(
+            np.concatenate([np.asarray(v, float) for v in groups.values()]))), abs=1e-12)]
+        assert median_exact(df.limit(0), ["s"], "v").collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_large_group_shuffles_its_bracket_only(spark):
+    """Of 200,000 different values a handful is shuffled besides the counts."""
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"),
+                                     (F.col("id") * 7919 % 200_003).cast("double").alias("v"))
+    out = median_exact(df, ["g"], "v")
+    execution = out._jdf.queryExecution()
+    assert len(out.collect()) == 2
+    sizes = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "ShuffleExchangeExec":
+            sizes.append(int(node.metrics().apply("shuffleRecordsWritten").value()))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(execution.executedPlan())
+    assert sizes and max(sizes) < 1000
