@@ -2,6 +2,7 @@
 
     python -m cohortspark list
     python -m cohortspark run fig3a_distribution --data DIR --out DIR [--format csv|parquet]
+    python -m cohortspark batch --assay FILE --subjects FILE --out DIR   (all tables of Figures 3, 4)
     python -m cohortspark run fig3a_distribution --assay FILE --subjects FILE
         [--input-format csv|parquet] [--cutoff 40] [--plot-floor 0.01] [--test-floor 0.1]
         [--panel3 NC,M,SCT] [--panel4 NC,M,SCT,SNT] [--quarantine DIR] --out DIR
@@ -18,6 +19,7 @@ import argparse
 import sys
 from dataclasses import replace
 
+from .plans.batch import write_tables
 from .plans.context import Inputs, StudyInputs
 from .plans.registry import BUILDERS, QUERIES
 from .session import build_session, scale_settings
@@ -32,12 +34,7 @@ def _parameters(base, args):
     return replace(base, **given)
 
 
-def main(argv=None) -> int:
-    ap = argparse.ArgumentParser(prog="cohortspark")
-    sub = ap.add_subparsers(dest="cmd", required=True)
-    sub.add_parser("list", help="list the registered result tables")
-    run = sub.add_parser("run", help="compute one result table")
-    run.add_argument("key", choices=sorted(QUERIES))
+def _input_arguments(run) -> None:
     run.add_argument("--data", help="folder of test tables")
     run.add_argument("--assay", help="assay table: lab_id, antigen, value, visit_date")
     run.add_argument("--subjects", help="subject table")
@@ -52,6 +49,17 @@ def main(argv=None) -> int:
     run.add_argument("--master")
     run.add_argument("--shuffled-bytes", type=int, help="size the session for this much data")
     run.add_argument("--cores", type=int, default=8, help="cores of the cluster, for sizing")
+
+
+def main(argv=None) -> int:
+    ap = argparse.ArgumentParser(prog="cohortspark")
+    sub = ap.add_subparsers(dest="cmd", required=True)
+    sub.add_parser("list", help="list the registered result tables")
+    one = sub.add_parser("run", help="compute one result table")
+    one.add_argument("key", choices=sorted(QUERIES))
+    many = sub.add_parser("batch", help="write all tables of Figures 3 and 4 from one read")
+    for run in (one, many):
+        _input_arguments(run)
     args = ap.parse_args(argv)
 
     if args.cmd == "list":
@@ -65,6 +73,12 @@ def main(argv=None) -> int:
            StudyInputs.read(spark, args.assay, args.subjects, args.input_format,
                             quarantine=args.quarantine))
     inp.parameters = _parameters(inp.parameters, args)
+    if args.cmd == "batch":
+        if not args.out:
+            ap.error("give --out")
+        for key, path in write_tables(spark, inp, args.out, fmt=args.format).items():
+            print(f"{key}\t{path}")
+        return 0
     df = BUILDERS[args.key](inp)
     if args.out:
         write_result(df, args.out, args.format)

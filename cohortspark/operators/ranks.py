@@ -24,7 +24,6 @@ corrections are plain sums; ``stratum_n`` is the size of the whole stratum.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,14 +32,20 @@ from pyspark.sql import functions as F
 from .joins import hot_join
 
 
-def slice_number(value: Column, cuts: Column, slices: int) -> Column:
-    """How many of the ascending ``cuts`` are at most ``value``, by looking at
-    every ``step``-th cut first and then at the cuts between two of those."""
-    step = max(1, math.isqrt(slices))
-    coarse = F.filter(cuts, lambda c, i: (i % step == step - 1) & (c <= value))
-    first = F.size(coarse) * step
-    fine = F.slice(cuts, first + 1, F.lit(step))
-    return first + F.size(F.filter(fine, lambda c: c <= value))
+def with_slice(df: DataFrame, value: str, cuts: str, slices: int, out: str) -> DataFrame:
+    """Add how many of the ``slices`` - 1 ascending values in the array column
+    ``cuts`` are at most ``value`` (none for NULL).
+
+    A binary search, one step a column: each step uses the one before it twice,
+    so the optimizer keeps them apart and all of them are generated code.
+    """
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    df = df.withColumn(out, F.lit(0))
+    for bit in range((slices - 1).bit_length() - 1, -1, -1):
+        df = df.withColumn(out, F.expr(
+            f"{name(out)} + CASE WHEN get({name(cuts)}, {name(out)} + {(1 << bit) - 1}) <= "
+            f"{name(value)} THEN {1 << bit} ELSE 0 END"))
+    return df
 
 
 def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str | Sequence[str],
@@ -67,8 +72,8 @@ def with_cumulative(hist: DataFrame, strata: Sequence[str], order: str | Sequenc
         inner[0], [i / slices for i in range(1, slices)] or [0.5],
         max(10_000, 10 * slices)).alias("cuts")).scalar()
     cell = [*lead, "__slice"]
-    sliced = hist.withColumn("__cuts", cuts).withColumn(
-        "__slice", slice_number(F.col(inner[0]), F.col("__cuts"), slices)).drop("__cuts")
+    sliced = with_slice(hist.withColumn("__cuts", cuts), inner[0], "__cuts", slices,
+                        "__slice").drop("__cuts")
     # NULL strata are values like any other: one struct, never NULL itself
     sliced = sliced.withColumn("__cell", F.struct(*strata, *cell))
     before = Window.partitionBy("__cell").orderBy(*inner).rowsBetween(

@@ -99,20 +99,23 @@ def median_log2(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def category_order(df: DataFrame, category: str, position: str | Sequence[str],
-                   reverse: bool = False, name: str = "level") -> DataFrame:
+                   reverse: bool = False, name: str = "level",
+                   slice_by: str | None = None) -> DataFrame:
     """Levels in order of first appearance (``fct_inorder``), optionally
     reversed (``fct_rev``): (category, first_position, level).
 
-    ``position`` is a numeric column, or several that together order the rows;
-    categories that first appear at the same place follow by name.
-    ``first_position`` is the first of the columns at that place.
+    ``position`` is a numeric column, or several that together order the rows,
+    such as the file and the row's number in it; categories that first appear
+    at the same place follow by name.  ``first_position`` is the column
+    ``slice_by`` at that place, which is numeric (by default the first one).
     """
     cols = [position] if isinstance(position, str) else list(position)
+    main = slice_by or cols[0]
     firsts = df.groupBy(category).agg(F.min(F.struct(*cols)).alias("__first"))
-    firsts = firsts.select(category, F.col("__first")[cols[0]].alias("first_position"),
+    firsts = firsts.select(category, F.col("__first")[main].alias("first_position"),
                            *[F.col("__first")[c].alias(f"__p{i}") for i, c in enumerate(cols)])
     ranked = row_positions(firsts, [], [*(f"__p{i}" for i in range(len(cols))), category],
-                           out=name, total="__size", slice_by="__p0")
+                           out=name, total="__size", slice_by=f"__p{cols.index(main)}")
     if reverse:
         ranked = ranked.withColumn(name, F.col("__size") + 1 - F.col(name))
     return ranked.select(category, "first_position", F.col(name).cast("bigint").alias(name))

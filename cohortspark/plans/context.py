@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.labels import (PANEL3, PANEL3_LOCALIZED, PANEL4, PLOT_FLOOR, STUDY_CUTOFF,
                                 TEST_FLOOR)
+from ..operators import cohort as K
 from ..sources import fixture, io
 
 
@@ -39,6 +40,16 @@ class Tables:
     def assay(self, mapping=None) -> DataFrame:
         return self.assay_long(mapping).join(self.subject(), "lab_id", "left")
 
+    def panel(self, group: str, required: Sequence[str], cutoff: float,
+              detected: str = "detected", mapping=None) -> DataFrame:
+        """(lab_id, group, detected) of the subjects with every required analyte."""
+        return K.subject_panel(self.assay(mapping), "lab_id", group, "antigen", "value", required,
+                               cutoff, detected)
+
+    def detected_any(self, group: str, analytes: Sequence[str], cutoff: float) -> DataFrame:
+        """(lab_id, group, detected) of the subjects with any of the analytes."""
+        return K.detected_any(self.assay(), "lab_id", group, "antigen", "value", analytes, cutoff)
+
     def titres(self) -> DataFrame:
         """(lab_id, roche, igg) with the text titre cast to a number."""
         return self.subject().select("lab_id", "roche", C.to_number("igg_raw").alias("igg"))

@@ -232,6 +232,24 @@ def category_order(inp: Inputs) -> DataFrame:
         back.drop("first_position"), "antigen")
 
 
+def category_order_by_file(inp: Inputs) -> DataFrame:
+    """Market segments in the order of their first row in the data, forward and
+    reversed: the place is the row's own, not a key's."""
+    rows = io.read_positioned(inp.spark, f"{inp.sf_dir.rstrip('/')}/customer.parquet",
+                              "c_mktsegment string")
+    place = dict(category="c_mktsegment", position=["file_path", "row_index"],
+                 slice_by="row_index")
+    back = M.category_order(rows, **place, reverse=True, name="level_rev")
+    return M.category_order(rows, **place).join(back.drop("first_position"), "c_mktsegment")
+
+
+def preview_by_file(inp: Inputs, n: int = 6) -> DataFrame:
+    """The first rows of the parts as they stand in the data (``head``)."""
+    rows = io.read_positioned(inp.spark, f"{inp.sf_dir.rstrip('/')}/part.parquet",
+                              "p_partkey long, p_brand string, p_size int")
+    return rows.orderBy("file_path", "row_index").limit(n).drop("file_path")
+
+
 def category_pairs(inp: Inputs) -> DataFrame:
     return S.category_pairs(inp.assay_long(), "antigen", inp.parameters.panel4)
 

@@ -20,6 +20,7 @@ from ..operators import stats as S
 from ..operators.stats import all_pairs
 from ..sources.fixture import FIXTURE_CUTOFF, LINE_TO_RAW_LABEL
 from ..sources.fixture_sql import with_fixture
+from . import batch
 from . import operator_tables as T
 from . import reports as R
 from .context import Inputs, Tables
@@ -411,7 +412,7 @@ _PICKED = [("M", "NC"), ("NC", "SCT"), ("M", "SNT")]
                                                 + " OR ".join(f"(group1 = {sq(a)} AND group2 = {sq(b)})"
                                                               for a, b in _PICKED)))
 def q_selected_comparisons(inp):
-    return S.select_pairs(R.signed_rank_pairs(inp), _PICKED)
+    return R.signed_rank_pairs(inp, pairs=_PICKED)  # the others are not tested at all
 
 
 @register("fig2b_tests", with_fixture(_pairs_cte() + f""", pv AS (
@@ -1185,3 +1186,30 @@ SELECT cp.o_custkey, CAST(cp.n AS BIGINT) AS n, round(rho, 6) AS rho, tied,
 FROM cp LEFT JOIN edge USING (o_custkey) LEFT JOIN tails ON cp.n = tails.n AND cp.s = tails.s""")
 def q_spearman_small_strata(inp):
     return T.spearman_small_strata(inp)
+
+
+@register("category_order_by_file", """
+WITH f AS (
+  SELECT c_mktsegment, min(p) AS first_position
+  FROM (SELECT c_mktsegment, row_number() OVER () - 1 AS p FROM customer) GROUP BY 1)
+SELECT c_mktsegment, first_position, row_number() OVER (ORDER BY first_position) AS level,
+       row_number() OVER (ORDER BY first_position DESC) AS level_rev
+FROM f""")
+def q_category_order_by_file(inp):
+    return T.category_order_by_file(inp)
+
+
+@register("preview_by_file", """
+SELECT p_partkey, p_brand, p_size, row_index
+FROM (SELECT *, row_number() OVER () - 1 AS row_index FROM part) WHERE row_index < 6""")
+def q_preview_by_file(inp):
+    return T.preview_by_file(inp)
+
+
+@register("study_distributions", " UNION ALL ".join(
+    f"SELECT {sq(name)} AS name, {group} AS cohort, detected, n, prop FROM ({ORACLES[name]})"
+    for name, group in (("fig3a_distribution", "group5"), ("fig3b_distribution", "group5"),
+                        ("regrouped_fig3a_distribution", "group5b"),
+                        ("regrouped_fig3b_distribution", "group5b"))))
+def q_study_distributions(inp):
+    return batch.distributions(inp.spark, inp)

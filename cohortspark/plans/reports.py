@@ -32,10 +32,9 @@ def detection_table(inp: Tables, group: str = "group5", panel: Sequence[str] | N
                     mapping=None, with_sizes: bool = True) -> DataFrame:
     """% of complete-case subjects by number of detected analytes (Fig. 3A/3B
     tables): (group, detected, n, prop[, n_ind, detected_level, group_label])."""
-    a = inp.assay(mapping)
     panel = inp.parameters.panel3 if panel is None else panel
     cutoff = inp.parameters.cutoff if cutoff is None else cutoff
-    panel_df = K.subject_panel(a, "lab_id", group, "antigen", "value", panel, cutoff)
+    panel_df = inp.panel(group, panel, cutoff, mapping=mapping)
     dist = K.percent_of_group(K.distribution(panel_df, group, "detected"), group,
                               total="n_ind" if with_sizes else None)
     dist = dist.withColumn("prop", r6("prop"))
@@ -65,8 +64,7 @@ def fig3b_distribution(inp: Tables, group: str = "group5") -> DataFrame:
 def fig3b_strip(inp: Tables, group: str = "group5") -> DataFrame:
     """Per complete subject: detected count, cohort size, facet label and the
     subject's position in its facet ordered by count (Fig. 3B strip)."""
-    per = K.subject_panel(inp.assay(), "lab_id", group, "antigen", "value",
-                          inp.parameters.panel4, inp.parameters.cutoff, detected="n")
+    per = inp.panel(group, inp.parameters.panel4, inp.parameters.cutoff, detected="n")
     out = M.rank_strip(per, group, "n", "lab_id", size="n_ind")
     return out.select(*per.columns, "position", "n_ind", C.size_label(
         C.relabel(group, COHORT_PLOT_LABELS), "n_ind", " ").alias("group_label"))
@@ -76,9 +74,7 @@ def contingency(inp: Tables, group: str = "group5",
                 groups: Sequence[str] = (CONTROLS, EXPOSED_SERONEGATIVE)) -> DataFrame:
     """Subjects per group x detection bin, no complete-case step (E11):
     (group, less_than_2, more_than_2)."""
-    a = inp.assay()
-    per = K.detected_any(a, "lab_id", group, "antigen", "value", inp.parameters.panel4,
-                         inp.parameters.cutoff)
+    per = inp.detected_any(group, inp.parameters.panel4, inp.parameters.cutoff)
     dist = K.distribution(per, group, "detected").filter(F.col(group).isin(list(groups)))
     binned = K.binned_sums(dist, group, "detected", DETECTION_BINS, name="n2")
     return binned.groupBy(group).agg(
@@ -107,9 +103,7 @@ def status_in_cohort(inp: Tables, group: str = "group5",
                      cohort: str | None = PCR_SERONEGATIVE) -> DataFrame:
     """Serostatus (titre 2) counts among complete-case subjects of one cohort
     (semi join back to the subject table)."""
-    a = inp.assay()
-    per = K.subject_panel(a, "lab_id", group, "antigen", "value", inp.parameters.panel4,
-                         inp.parameters.cutoff)
+    per = inp.panel(group, inp.parameters.panel4, inp.parameters.cutoff)
     if cohort is not None:
         per = per.filter(F.col(group) == cohort)
     subj = semi_join(inp.subject(), per, ["lab_id"])
@@ -172,15 +166,17 @@ def median_by_analyte(inp: Tables) -> DataFrame:
     return m.select("antigen", r6("median").alias("median"))
 
 
-def signed_rank_pairs(inp: Tables, with_p: bool = False) -> DataFrame:
-    """Paired signed-rank test of every analyte pair (Fig. 2B), on log2 of
-    values with zeros at the test floor.  With p-values, the pairs are named as
+def signed_rank_pairs(inp: Tables, with_p: bool = False,
+                      pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Paired signed-rank test of every analyte pair (Fig. 2B), or of the named
+    ``pairs`` alone, on log2 of values with zeros at the test floor.  With p-values, the pairs are named as
     on the figure's axis ("M\n(n=123)"), from one table of analyte sizes."""
     panel = inp.parameters.panel4
-    a = inp.assay().filter(F.col("group5").isin(SEROPOSITIVE3) & F.col("antigen").isin(list(panel)))
+    pairs = S.all_pairs(panel) if pairs is None else pairs
+    a = inp.assay().filter(F.col("group5").isin(SEROPOSITIVE3)
+                           & F.col("antigen").isin(sorted({x for p in pairs for x in p})))
     a = a.withColumn("lv", F.log2(C.floor_zeros("value", inp.parameters.test_floor)))
-    pairs = S.paired_differences(a, "lab_id", "antigen", "lv", S.all_pairs(panel))
-    out = S.signed_rank(pairs)
+    out = S.signed_rank(S.paired_differences(a, "lab_id", "antigen", "lv", pairs))
     if not with_p:
         return out.select("group1", "group2", "n", r6("statistic").alias("statistic"),
                           r6("z").alias("z"))

@@ -109,6 +109,14 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
     return nan_to_null(reader.options(**options).load(path))
 
 
+def read_positioned(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A Parquet table with each row's place: ``file_path`` and ``row_index``,
+    the row's number in its file.  Files follow each other by their paths, as
+    they do in a listing, so (file_path, row_index) is the order of the data."""
+    rows = spark.read.schema(schema).parquet(path)
+    return nan_to_null(rows.select("*", "_metadata.file_path", "_metadata.row_index"))
+
+
 def read_assay(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     return read_table(spark, path, ASSAY_LONG_SCHEMA, fmt, key="lab_id", **options)
 
