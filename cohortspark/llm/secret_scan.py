@@ -43,12 +43,11 @@ ACCOUNT_SIZES = {country: size for size, countries in {
     29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()
     for country in countries.encode().split()}
 
-# keyword -> kind; "iban" and "card" announce numbers that follow closely
+# keyword -> kind; "iban" and "card" announce the numbers of their line, see _announced
 KEYWORDS = {b"password": "assign", b"passwd": "assign", b"secret": "assign", b"token": "assign",
             b"apikey": "assign", b"api_key": "assign", b"akia": "access",
             b"ghp_": "forge", b"gho_": "forge", b"ghu_": "forge", b"ghs_": "forge",
             b"ghr_": "forge", b"npm_": "registry", b"iban": "account", b"card": "card"}
-NEAR = 32  # bytes after an announcing keyword in which its number may start
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -87,8 +86,8 @@ def _automaton():
 
 
 def _account_ends(text: bytes, at: int):
-    """Where an account number may end: at its country's length, then as far as
-    groups go (a number of an unknown country has no other end)."""
+    """Where an account number may end: at its country's length, or, of an
+    unknown country, as far as groups go."""
     size = ACCOUNT_SIZES.get(text[at:at + 2])
     if size:
         rest = ACCOUNT_REST.match(text, at + 4, at + 2 * size)  # a space at most before each
@@ -97,7 +96,7 @@ def _account_ends(text: bytes, at: int):
             end = places[size - 5] + 1
             if not text[end:end + 1].isalnum():
                 yield end
-    if m := ACCOUNT.match(text, at):
+    elif m := ACCOUNT.match(text, at):
         yield m.end()
 
 
@@ -110,15 +109,37 @@ def _card_ends(text: bytes, at: int):
                 yield p + 1
 
 
-def _announced(text: bytes, at: int, starts, ends, check) -> tuple[int, int] | None:
-    """The first number after a keyword, within reach, whose checksum holds."""
-    for m in starts.finditer(text, at, at + NEAR + 4):
-        if m.start() > at + NEAR:
-            return None
+def _numbers(text: bytes, begin: int, stop: int, starts, ends, check):
+    """The numbers between two places whose checksum holds, from left to right."""
+    last = begin
+    for m in starts.finditer(text, begin, stop):
+        if m.start() < last:
+            continue
         for end in ends(text, m.start()):
             if check(re.sub(rb"[\x20-]", b"", text[m.start():end]).decode()):
-                return m.start(), end
-    return None
+                last = end
+                yield m.start(), end
+                break
+
+
+def _announced(text: bytes, at: int, starts, ends, check):
+    """All numbers that a keyword before ``at`` announces, and the place up to
+    which no other keyword has to be looked at.
+
+    They stand in the rest of the keyword's line, and in the lines after it as
+    long as each holds one: a list below its heading is announced too.
+    """
+    found, begin = [], at
+    while True:
+        stop = text.find(b"\n", begin)
+        stop = len(text) if stop < 0 else stop
+        own = list(_numbers(text, begin, stop, starts, ends, check))
+        found += own
+        if not own and begin != at:
+            return found, begin  # a keyword in this line has its own next line
+        if stop == len(text):
+            return found, stop
+        begin = stop + 1
 
 
 def find_secrets(text: bytes) -> list[tuple[int, int, str]]:
@@ -129,7 +150,7 @@ def find_secrets(text: bytes) -> list[tuple[int, int, str]]:
     for last, (size, kind) in _automaton().iter(text.lower().decode("latin-1")):
         at = last + 1 - size
         if at < end[kind]:
-            continue  # inside the previous match of the kind
+            continue  # inside the previous match of the kind, or announced already
         if kind == "assign":
             if m := ASSIGN.match(text, at):
                 end[kind] = m.end()
@@ -146,12 +167,10 @@ def find_secrets(text: bytes) -> list[tuple[int, int, str]]:
                 end[kind] = m.end()
                 found.append((at, m.end(), kind))
         else:
-            span = (_announced(text, at + size, ACCOUNT_START, _account_ends, mod97)
-                    if kind == "account" else
-                    _announced(text, at + size, CARD_START, _card_ends, luhn))
-            if span and span[0] >= end[kind]:
-                end[kind] = span[1]
-                found.append((*span, kind))
+            spans, end[kind] = (_announced(text, at + size, ACCOUNT_START, _account_ends, mod97)
+                                if kind == "account" else
+                                _announced(text, at + size, CARD_START, _card_ends, luhn))
+            found += [(*span, kind) for span in spans]
     at = 0
     while m := HEX_RUN.search(text, at):  # a run of hex digits begins where its first 24 do
         at = HEX.match(text, m.start()).end()
@@ -190,7 +209,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     by first, then by kind in the order of KINDS.  Base kinds are leftmost and
     non-overlapping within their kind: ``assign`` (a keyword, ``:`` or ``=``
     and a value of 6 or more characters), ``access`` (``AKIA``, 20 or more),
-    ``hex`` (24 or more digits).  The other kinds need their checksum.
+    ``hex`` (24 or more digits).  The other kinds need their checksum; account
+    and card numbers also a keyword before them in their line, or in a line
+    above from which every line down to theirs holds such a number.
 
     Null and empty texts have no secrets; a null doc_id and repeated rows are
     each returned as they are; spans of several kinds may overlap; an empty

@@ -88,3 +88,66 @@ def test_edges_and_masking(spark, edge_docs, no_docs):
 
 def test_many_keywords_without_numbers():
     assert scanned("card " * 50_000) == []
+
+
+def account_ok(digits):
+    size = secret_scan.ACCOUNT_SIZES.get(digits[:2].encode())
+    return size in (None, len(digits)) and secret_scan.mod97(digits)
+
+
+def brute_numbers(text, kind):
+    """Numbers by trying every start and end in every announced line."""
+    word, out, above = ("card" if kind == "card" else "iban"), [], False
+    at = 0
+    for line in text.split("\n"):
+        places = [m.end() for m in re.finditer(word, line.lower())]
+        begin = 0 if above else min(places, default=None)
+        got, last = [], 0
+        for a in range(0 if begin is None else begin, len(line) if begin is not None else 0):
+            if a < last or (a and line[a - 1].isalnum() and line[a - 1].isascii()):
+                continue
+            for b in range(len(line), a, -1):
+                part = line[a:b]
+                digits = re.sub("[ -]" if kind == "card" else " ", "", part)
+                if kind == "card":
+                    fits = (re.fullmatch("[0-9]([ -]?[0-9]){12,18}", part)
+                            and not re.match("[0-9]", line[b:b + 1]) and secret_scan.luhn(digits))
+                else:
+                    fits = (re.fullmatch("[A-Z]{2}[0-9]{2}( ?[A-Z0-9])+", part)
+                            and not re.match("[A-Za-z0-9]", line[b:b + 1]) and 15 <= len(digits) <= 34
+                            and digits[:2].encode() in secret_scan.ACCOUNT_SIZES
+                            and account_ok(digits))
+                if fits:
+                    got.append((at + a, at + b, kind))
+                    last = b
+                    break
+        out += got
+        above = bool(got) and begin is not None or bool(places)
+        at += len(line) + 1
+    return out
+
+
+def test_every_announced_number_is_found():
+    one, two = "4111111111111111", "5500000000000004"
+    for text in (f"cards: {one} {two}", f"cards:\n{one}\n{two}\nno more\n{one}",
+                 f"card {'x ' * 200}{one}, then {two}", f"card\ncard\n{one}",
+                 f"{one} card {two} {one[:-1]}2 {one}", f"none\n{one}"):
+        got = [s for s in scanned(text) if s[2] == "card"]
+        assert got == brute_numbers(text, "card"), text
+    text = f"cards: {one} {two}"
+    assert [text[a:b] for a, b, _ in scanned(text)] == [one, two]
+    ibans = "IBAN DE89 3704 0044 0532 0130 00 and GB82 WEST 1234 5698 7654 32\nCH9300762011623852957"
+    assert [ibans[a:b] for a, b, _ in scanned(ibans)] == [
+        "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "CH9300762011623852957"]
+
+
+def test_announced_numbers_on_random_texts():
+    rnd = random.Random(8)
+    parts = ["card", "Card no.", "4111 1111 1111 1111", "5500000000000004", "4111111111111112",
+             "12", " ", " ", "\n", "x", "-", "iban", "DE89370400440532013000",
+             "CH93 0076 2011 6238 5295 7", "DE88370400440532013000", ",", "EUR", "é"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 16)))
+        for kind in ("card", "account"):
+            got = [s for s in scanned(text) if s[2] == kind]
+            assert got == brute_numbers(text, kind), (kind, text)
