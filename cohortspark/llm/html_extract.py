@@ -29,8 +29,8 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 REGIONS = frozenset("html body main article section div center td table details".split())
 VOID = frozenset("""area base br col embed hr img input link meta param source track
     wbr""".split())
-UNSEEN = frozenset("""script style noscript template head title iframe object svg math canvas
-    audio video map""".split())
+UNSEEN = frozenset("""script style noscript template head title iframe object svg canvas
+    audio video map annotation annotation-xml""".split())
 FURNITURE = frozenset("""nav header footer aside form button select textarea input menu dialog
     fieldset""".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "hgroup")
@@ -51,6 +51,14 @@ NAMES = _names(OTHERS + r"""|ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|me
     modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|
     complementary|contentinfo|navigation|toolbar|pager|pagination|tags|widget|skip|
     copyright""", "more|side|form")
+# Inside an article names name its own parts too (a section "discussion"): there
+# only these whole words mark furniture at once; what else NAMES finds must be
+# made of links.
+INNER = re.compile(r"""(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|
+    menu|breadcrumbs?|sidebar|cookies?|consent|newsletter|subscribe|signup|share|sharing|
+    share-\w+|social-(?:share|links|icons|media)|pager|pagination|toolbar|widget|comments?|
+    comment-?list|comments-area|respond|replies|related|related-\w+|recommended|disqus|notice|
+    alert|popup|modal|overlay|copyright|complementary|contentinfo)(?:$|\s)""", re.X | re.I)
 OTHERS = _names(OTHERS)  # the text of others, which may be longer than the article
 # what may stand in the head; all else ends it
 IN_HEAD = frozenset("""base basefont bgsound head link meta noframes noscript script style template
@@ -82,19 +90,23 @@ class Lines(HTMLParser):
         self.elements = 0
         self.mains: dict[int, tuple[bool, int]] = {}  # not just an article; named one around
         self.named: dict[int, tuple[int, bool]] = {}  # the named one around; others' text
+        self.inner: set[int] = set()  # of these, the ones in an article that must hold links
         self.roots: set[int] = set()
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.linked = 0  # characters of the line inside links
+        # text, tags, ancestors, furniture, (characters in links, whether a title)
+        self.lines: list[tuple[str, int, tuple[int, ...], int, tuple[int, bool]]] = []
 
     def cut(self):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
                 path = tuple([e for t, e, _, _ in self.open if t in REGIONS])
-                self.lines.append((text, self.tags, path, self.open[-1][3] if self.open else 0))
+                self.lines.append((text, self.tags, path, self.open[-1][3] if self.open else 0, (
+                    min(self.linked, len(text)), any(t == "h1" for t, _, _, _ in self.open[-4:]))))
             self.parts = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def updatepos(self, i, j):
         return j  # line numbers are not needed
@@ -127,6 +139,9 @@ class Lines(HTMLParser):
         if furniture != TAGGED and tag not in ("html", "body"):
             marked = tag == "form" or bool(label) and tag not in HEADINGS and bool(
                 NAMES.search(label)) and not (article and not self._commentary(label))
+            if marked and tag != "form" and not INNER.search(label) and any(
+                    e in self.mains for _, e, _, _ in self.open):
+                self.inner.add(self.elements)
             if tag in FURNITURE and tag not in ("header", "form"):
                 furniture = TAGGED
             elif tag == "header" or not marked and label and HEADER.search(label):
@@ -179,6 +194,8 @@ class Lines(HTMLParser):
             self._end_head()
         if not (self.open and self.open[-1][2]):
             self.parts.append(data)
+            if any(t == "a" for t, _, _, _ in self.open[-3:]):
+                self.linked += len(data)
 
 
 def content_clusters(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +211,36 @@ def content_clusters(ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _carrying(lines) -> tuple[np.ndarray, np.ndarray]:
     """Which lines lie in content clusters, and the lengths of those that carry them."""
-    ratios = np.array([len(t) / max(1, n) for t, n, _, _ in lines], float)
+    ratios = np.array([len(t) / max(1, n) for t, n, *_ in lines], float)
     content, carrying = content_clusters(ratios)
-    return content, np.array([len(t) for t, _, _, _ in lines]) * carrying
+    return content, np.array([len(t) for t, *_ in lines]) * carrying
+
+
+def _without_own_parts(parser: Lines, lines: list) -> list:
+    """The lines with the article's own parts, named like furniture but not
+    made of links, taken for no furniture."""
+    if not parser.inner:
+        return lines
+    size, linked = dict.fromkeys([0, *parser.named], 0), dict.fromkeys([0, *parser.named], 0)
+    for t, _, _, w, (in_links, _) in lines:
+        size[w] += len(t)
+        linked[w] += in_links
+    for w in sorted(parser.named, reverse=True):
+        around = parser.named[w][0]
+        size[around] += size[w]
+        linked[around] += linked[w]
+    own = {w for w in parser.inner if w in parser.named and 2 * linked[w] < size[w]}
+
+    def beyond(w):
+        while w in own:
+            w = parser.named[w][0]
+        return w
+
+    lines = [(t, n, path, beyond(w), more) for t, n, path, w, more in lines]
+    parser.mains = {m: (kind, beyond(w)) for m, (kind, w) in parser.mains.items()}
+    parser.named = {w: (beyond(around), others) for w, (around, others) in parser.named.items()
+                    if w not in own}
+    return lines
 
 
 def _unnamed(parser: Lines) -> list:
@@ -207,13 +251,13 @@ def _unnamed(parser: Lines) -> list:
     a ``main``, or an article with as much text as there is outside of such
     elements; unless an article apart from it carries text.
     """
-    lines = [line for line in parser.lines if line[3] != TAGGED]
+    lines = _without_own_parts(parser, [line for line in parser.lines if line[3] != TAGGED])
     named, cleared = parser.named, {0}
     if lines and named:
         text = dict.fromkeys([0, *named], 0)  # carrying text by innermost named element
         first: dict[int, tuple[int, ...]] = {}  # a path to it
         by_main = dict.fromkeys(parser.mains, 0)
-        for (_, _, path, w), size in zip(lines, _carrying(lines)[1].tolist()):
+        for (_, _, path, w, _), size in zip(lines, _carrying(lines)[1].tolist()):
             text[w] += size
             first.setdefault(w, path)
             for m in path:
@@ -255,9 +299,9 @@ def _unnamed(parser: Lines) -> list:
 
 def main_text(html: str) -> str:
     parser = Lines()
-    if html.find("-->", max(0, html.rfind("<!--"))) < 0 <= html.rfind("<!--"):
-        html += "-->"  # an open comment runs to the end
     parser.feed(html)
+    if parser.rawdata.startswith("<!--"):
+        parser.feed("-->")  # an open comment runs to the end
     parser.close()
     parser.cut()
     lines = _unnamed(parser)
@@ -267,27 +311,36 @@ def main_text(html: str) -> str:
     # the region: the deepest element that holds most of the clusters' text ...
     held: dict[int, int] = {}
     depth: dict[int, int] = {}
-    for (_, _, path, _), size in zip(lines, sizes.tolist()):
+    for (_, _, path, _, _), size in zip(lines, sizes.tolist()):
         for d, e in enumerate(path):
             held[e] = held.get(e, 0) + size
             depth[e] = d
     enough = [e for e, n in held.items() if n >= COVER * sizes.sum()]
     region = max(enough, key=lambda e: (depth[e], -e), default=None)
-    path = next((p for _, _, p, _ in lines if region in p), ())
+    path = next((line[2] for line in lines if region in line[2]), ())
     # ... widened to the article around it, if it lies in one
     inside = [e for e in path[:path.index(region) + 1] if e in parser.mains] if path else []
-    if not inside:  # or narrowed to the articles in it
-        articles = {e for _, _, p, _ in lines for e in p if e in parser.mains}
-        if articles:
-            return "\n".join(t for t, _, p, _ in lines if articles.intersection(p))
-        # or widened to all around it in the page's body, or, if it is the
-        # body itself, cut to the lines from the first cluster to the last
-        if region is None or region in parser.roots:
-            at = np.flatnonzero(content)
-            return "\n".join(t for t, _, _, _ in lines[at[0]:at[-1] + 1])
+    if inside:
+        return "\n".join(line[0] for line in lines if inside[0] in line[2])
+    # or narrowed to the articles in it
+    articles = {e for line in lines for e in line[2] if e in parser.mains}
+    if articles:
+        return "\n".join(line[0] for line in lines if articles.intersection(line[2]))
+    if region is None or region in parser.roots:
+        # the body itself: the lines from the first cluster to the last
+        at = np.flatnonzero(content)
+        first, last = at[0], at[-1] + 1
+        chosen = [first <= k < last for k in range(len(lines))]
+    else:
+        # or widened to all around it in the page's body
         outer = next(e for e in path if e not in parser.roots)
-        return "\n".join(t for t, _, p, _ in lines if outer in p)
-    return "\n".join(t for t, _, p, _ in lines if inside[0] in p)
+        chosen = [outer in line[2] for line in lines]
+    # what carries text beside it stays too, and the title
+    titled = any(c and line[4][1] for c, line in zip(chosen, lines))
+    for k, (text, _, _, _, (linked, title)) in enumerate(lines):
+        if not chosen[k] and 2 * linked < len(text) and (sizes[k] > 0 or title and not titled):
+            chosen[k] = True
+    return "\n".join(line[0] for c, line in zip(chosen, lines) if c)
 
 
 def _extract(batches):

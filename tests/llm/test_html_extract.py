@@ -71,6 +71,55 @@ def test_names_mark_no_wrapper_of_the_article():
     assert main_text("<div class=comment>" * 3000 + PARAGRAPH) == PARAGRAPH.strip()
 
 
+def test_an_article_keeps_its_own_parts():
+    """Names inside an article name its sections; lists of links still go."""
+    p = f"<p>{PARAGRAPH}</p>"
+    text = PARAGRAPH.strip()
+    for name in ("discussion", "side-by-side", "alert-box", "social-impact", "search",
+                 "foot-notes", "tags-explained", "more-results", "login-study"):
+        for attr in ("id", "class"):
+            page = f"<article><h1>T</h1>{p * 2}<section {attr}='{name}'><h2>S</h2>{p}</section>{p}"
+            assert main_text(f"<body><nav>M</nav>{page}</article></body>") == "\n".join(
+                ["T", text, text, "S", text, text]), name
+            links = "<a href=/x>one more page</a> <a href=/y>and another</a>"
+            page = f"<article><h1>T</h1>{p * 2}<div {attr}='{name}'>{links}</div>{p}</article>"
+            assert main_text(f"<body>{page}</body>") == "\n".join(["T", text, text, text]), name
+    for name in ("comments", "related", "newsletter", "ad", "share", "notice"):
+        page = f"<article><h1>T</h1>{p * 3}<div class='{name}'><p>short words</p></div></article>"
+        assert main_text(f"<body>{page}</body>") == "\n".join(["T", text, text, text]), name
+
+
+def test_formulas_and_comment_marks_in_scripts():
+    page = ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
+            " hold.</p><p>text <script>document.write('<!-- x')</script> last words</article>")
+    assert main_text(page) == "Let x=2 hold.\ntext last words"
+    assert main_text("<p>a<!-- x --><p>b<!-- open <p>c") == "a\nb"
+    assert main_text("<p>a --> b") == "a --> b"
+
+
+def test_pages_without_an_article_keep_title_and_text_beside_the_region():
+    p = f"<p>{PARAGRAPH}</p>"
+    text = PARAGRAPH.strip()
+    links = "<div>" + "".join(f"<a href=/{k}>Another page {k}</a> " for k in range(12)) + "</div>"
+    page = f"<body>{links}<h1>Title</h1><div class=post>{p * 12}</div><div>{PARAGRAPH}</div>{links}</body>"
+    assert main_text(page).split("\n") == ["Title", *[text] * 13]
+    columns = f"<body><nav>M</nav><div class=left>{p * 4}</div><div class=right>{p * 4}</div></body>"
+    assert main_text(columns).split("\n") == [text] * 8
+
+
+def test_the_clusters_decide(monkeypatch):
+    """Another clustering of the lines gives another text."""
+    import numpy as np
+    p = f"<p>{PARAGRAPH}</p>"
+    teaser = "<article><h2>Next</h2><p><a href=/n>Read <b>on</b> <i>here</i></a></p></article>"
+    two = f"<body><article><h1>T</h1>{p * 6}</article>{teaser * 2}</body>"
+    none = f"<body><div>Home <b>News</b></div><div class=post>{p * 6}</div><div>Up <b>top</b></div></body>"
+    want = ["\n".join(["T", *[PARAGRAPH.strip()] * 6]), "\n".join([PARAGRAPH.strip()] * 6)]
+    assert [main_text(two), main_text(none)] == want
+    monkeypatch.setattr(html_extract, "content_clusters", lambda r: (np.ones(len(r), bool), r < 20))
+    assert main_text(two) != want[0] and main_text(none) != want[1]
+
+
 def test_broken_and_plain_markup():
     assert main_text("plain text only") == "plain text only"
     assert main_text("<p>a<p>b") == "a\nb"
