@@ -1,9 +1,10 @@
 """Quality rules by distribution divergence from the document's language.
 
 Every document's character classes and common words are counted; the mean
-histograms of a language over the whole input are its reference.  A document
-whose Jensen-Shannon distance from its language is large, and which is long
-enough to tell, is rejected, besides those that fail the base rules.
+histograms of a language over the whole input, drawn towards those of all
+languages by a few documents' weight, are its reference.  A document whose
+Jensen-Shannon distance from its language is larger than chance makes it at
+its length is rejected, besides those that fail the base rules.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ from cohortspark.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 5         # words of a window that must not stand twice
-CLASS_DISTANCE = 0.30    # character classes: reject beyond this distance
-WORD_DISTANCE = 0.31     # common words: reject beyond this distance
-MIN_CHARS = 200          # guard: word characters for the class verdict
-MIN_WORDS = 150          # guard: words for the common-word verdict
-MIN_DOCS = 20            # guard: documents behind a language's reference
+# A distance is too large above a + b / sqrt(words): chance alone moves short
+# documents away from their language.  Chosen on the even half of the labels.
+CLASS_LIMIT = (0.12, 1.4)   # character classes
+WORD_LIMIT = (0.07, 2.4)     # common words
+MIN_CLASS_WORDS = 20     # guard: words for the class verdict
+MIN_WORDS = 30           # guard: words for the common-word verdict
+REF_CHARS = 200          # word characters and words of the documents that
+REF_WORDS = 150          # make the reference
+PRIOR_DOCS = 20          # weight, in documents, of all languages in a reference
 SHARE = 1_000_000        # histograms are shares of this, as integers: sums are exact
 
 # Frequent function words of four languages.
@@ -169,27 +174,30 @@ def _distance(p, q, of_p, of_q):
 
 
 def _sum(histogram):
-    return F.aggregate(histogram, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(histogram, F.lit(0.0), lambda s, x: s + x)
 
 
-def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
-                  word_distance: float = WORD_DISTANCE, key: str | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, class_limit: tuple[float, float] = CLASS_LIMIT,
+                  word_limit: tuple[float, float] = WORD_LIMIT,
+                  key: str | None = None) -> DataFrame:
     """Count the base rules and judge each document against its language.
 
     ``docs`` needs ``doc_id`` (integer), ``text`` and ``lang``; other columns
     are not read.  Words are ``[^\\x20\\x09-\\x0D]+``.  A language's reference
-    is the mean of the histograms of all its documents that pass the base
-    rules and the length guards.  ``kept`` is false if a base rule fails, or
-    if the character classes (at least MIN_CHARS characters) or the common
-    words (at least MIN_WORDS words) are further from the reference than
-    allowed; where a guard is not met there is no verdict and the document
-    stays.
+    is the sum of the histograms of its documents that pass the base rules and
+    have REF_CHARS characters and REF_WORDS words, and PRIOR_DOCS times the
+    mean over all languages (of common words by their place in the lists): a
+    language with few documents is judged by little more than that mean, and
+    nothing is switched off.  ``kept`` is false if a base rule fails, or if the
+    character classes (from MIN_CLASS_WORDS words on) or the common words (from
+    MIN_WORDS words on) are further from the reference than a + b / sqrt(words),
+    for the given limits (a, b).
 
     Defined results: a null or empty text has no words and fails the base
     rule; a null language is a language of its own, without common words, as
-    is any language without a list; a language with fewer than MIN_DOCS
-    documents behind its reference judges nobody; repeated rows count and are
-    returned each; an empty table gives no rows.
+    is any language without a list; without any document for a reference there
+    is no verdict besides the base rules; repeated rows count and are returned
+    each; an empty table gives no rows.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, class_distance, word_distance, kept, and the
@@ -206,29 +214,41 @@ def quality_rules(docs: DataFrame, class_distance: float = CLASS_DISTANCE,
                     "classes array<long>, common array<long>" + ", _key string" * len(carry))
         .withColumn("base_failed", (F.col("n_words") < 10)
                     | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
-    long_ = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
+    long_ = (F.col("word_chars") >= REF_CHARS) & (F.col("n_words") >= REF_WORDS)
     width = 1 + max(len(ws) for ws in COMMON_WORDS.values())
 
     def sums(name, n):
         return F.array(*(F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0).cast(LongType()))
                          for i in range(n)))
 
-    references = (rows.filter(~F.col("base_failed") & long_).groupBy("lang")
+    references = (rows.filter(~F.col("base_failed") & long_).groupBy(F.col("lang").alias("ref_lang"))
                   .agg(F.count("*").alias("n_docs"), sums("classes", CLASSES).alias("ref_classes"),
-                       sums("common", width).alias("ref_common"))
-                  .filter(F.col("n_docs") >= MIN_DOCS).withColumnRenamed("lang", "ref_lang"))
-    judged = rows.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+                       sums("common", width).alias("ref_common")))
+    # one row, however many documents there are
+    mean = references.agg(F.struct(F.sum("n_docs").alias("n"), sums("ref_classes", CLASSES).alias(
+        "classes"), sums("ref_common", width).alias("common"))).scalar()
+    judged = (rows.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
+              .withColumn("mean", mean))
+
+    def reference(name, n):
+        return F.array(*(
+            F.coalesce(F.get(f"ref_{name}", F.lit(i)), F.lit(0)).cast("double")
+            + PRIOR_DOCS * F.try_divide(F.get(F.col(f"mean.{name}"), F.lit(i)).cast("double"),
+                                        F.col("mean.n").cast("double")) for i in range(n)))
+
     judged = (judged
-              .withColumn("ref_common", F.slice("ref_common", 1, F.greatest(
-                  F.size("common"), F.lit(1))))
+              .withColumns({"ref_classes": reference("classes", CLASSES),
+                            "ref_common": F.slice(reference("common", width), 1, F.greatest(
+                                F.size("common"), F.lit(1)))})
               .withColumns({f"_{c}": _sum(F.col(c)) for c in (
                   "classes", "common", "ref_classes", "ref_common")}))
     by_class = _distance(*(F.col(c) for c in (
         "classes", "ref_classes", "_classes", "_ref_classes")))
     by_word = F.when(F.size("common") > 0, _distance(*(F.col(c) for c in (
         "common", "ref_common", "_common", "_ref_common"))))
-    strange = (((F.col("word_chars") >= MIN_CHARS) & (by_class > class_distance))
-               | ((F.col("n_words") >= MIN_WORDS) & (by_word > word_distance)))
+    limit = lambda ab: ab[0] + ab[1] / F.sqrt("n_words")
+    strange = (((F.col("n_words") >= MIN_CLASS_WORDS) & (by_class > limit(class_limit)))
+               | ((F.col("n_words") >= MIN_WORDS) & (by_word > limit(word_limit))))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", by_class.alias("class_distance"), by_word.alias("word_distance"),

@@ -144,6 +144,21 @@ def _distances(histogram: str) -> str:
   GROUP BY k"""
 
 
+def _reference(histogram: str) -> str:
+    """SELECT of a language's reference: its documents' sums and the weighted mean of all."""
+    return f"""
+  WITH own AS (SELECT lang, i, sum(x) AS x FROM {histogram} WHERE k IN (SELECT k FROM behind)
+               GROUP BY lang, i),
+  mean AS (SELECT i, CAST(sum(x) AS DOUBLE) / (SELECT count(*) FROM behind) AS m FROM own GROUP BY i)
+  SELECT cells.lang, cells.i, CAST(coalesce(x, 0) AS DOUBLE) + {quality.PRIOR_DOCS} * m AS x
+  FROM (SELECT DISTINCT lang, i FROM {histogram}) cells JOIN mean ON cells.i = mean.i
+  LEFT JOIN own ON cells.lang IS NOT DISTINCT FROM own.lang AND cells.i = own.i"""
+
+
+def _limit(ab: tuple[float, float]) -> str:
+    return f"CAST({ab[0]!r} AS DOUBLE) + CAST({ab[1]!r} AS DOUBLE) / sqrt(CAST(n_words AS DOUBLE))"
+
+
 _QUALITY = f"""
 WITH docs AS (
   SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS t, {_SPACED} AS w
@@ -191,16 +206,9 @@ common AS (
   FROM common_counts GROUP BY k, lang),
 behind AS (
   SELECT k, lang FROM base
-  WHERE NOT base_failed AND word_chars >= {quality.MIN_CHARS} AND n_words >= {quality.MIN_WORDS}),
-known AS (SELECT lang FROM behind GROUP BY lang HAVING count(*) >= {quality.MIN_DOCS}),
-ref_classes AS (
-  SELECT lang, i, sum(x) AS x FROM classes WHERE k IN (SELECT k FROM behind)
-    AND EXISTS (SELECT 1 FROM known WHERE known.lang IS NOT DISTINCT FROM classes.lang)
-  GROUP BY lang, i),
-ref_common AS (
-  SELECT lang, i, sum(x) AS x FROM common WHERE k IN (SELECT k FROM behind)
-    AND EXISTS (SELECT 1 FROM known WHERE known.lang IS NOT DISTINCT FROM common.lang)
-  GROUP BY lang, i),
+  WHERE NOT base_failed AND word_chars >= {quality.REF_CHARS} AND n_words >= {quality.REF_WORDS}),
+ref_classes AS ({_reference('classes')}),
+ref_common AS ({_reference('common')}),
 by_class AS ({_distances('classes')}),
 by_word AS ({_distances('common')})
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
@@ -208,10 +216,10 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        round(by_class.d, 6) AS class_distance, round(by_word.d, 6) AS word_distance,
        NOT base_failed
-       AND NOT coalesce(word_chars >= {quality.MIN_CHARS}
-                        AND by_class.d > {quality.CLASS_DISTANCE!r}, false)
+       AND NOT coalesce(n_words >= {quality.MIN_CLASS_WORDS}
+                        AND by_class.d > {_limit(quality.CLASS_LIMIT)}, false)
        AND NOT coalesce(n_words >= {quality.MIN_WORDS}
-                        AND by_word.d > {quality.WORD_DISTANCE!r}, false) AS kept
+                        AND by_word.d > {_limit(quality.WORD_LIMIT)}, false) AS kept
 FROM base LEFT JOIN by_class USING (k) LEFT JOIN by_word USING (k)"""
 
 ORACLES = {

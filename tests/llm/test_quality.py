@@ -42,7 +42,37 @@ def test_clean_documents_stay_and_junk_goes(spark, judged):
     clean = [r for r in clean if not r.base_failed]
     junk = [got[r.doc_id] for r in labels if r.quality == 0]
     assert all(r.kept for r in clean)
-    assert sum(not r.kept for r in junk) > len(junk) / 2
+    assert sum(not r.kept for r in junk) > 0.8 * len(junk)
+
+
+def test_the_half_of_the_labels_that_no_limit_was_chosen_on(spark, checkpoints):
+    """Limits come from documents of even number of the larger table; of the
+    odd ones no clean document goes, and from 150 words on all junk does."""
+    folder = SF_ORACLE.replace("0.01", "0.1")
+    got = quality.quality_rules(spark.read.parquet(f"{folder}/documents.parquet"))
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = got.join(labels, "doc_id").filter("doc_id % 2 = 1 and not base_failed").collect()
+    clean, junk = ([r for r in held if r.quality == q] for q in (1, 0))
+    assert len(clean) > 1500 and all(r.kept for r in clean)
+    assert sum(not r.kept for r in junk) > 0.9 * len(junk)
+    assert not any(r.kept for r in junk if r.n_words >= 150)
+
+
+def test_small_languages_are_judged_too(spark, checkpoints):
+    """No number of documents switches the verdict on: junk among 3 documents
+    of a language of its own goes, its other documents stay."""
+    docs = spark.read.parquet(f"{SF_ORACLE}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{SF_ORACLE}/labels.parquet")
+    good = (docs.join(labels.filter("quality = 1"), "doc_id").filter("lang = 'en'")
+            .filter("size(split(text, ' ')) > 200").orderBy("doc_id").limit(3))
+    junk = spark.createDataFrame([(10 ** 6, "$#%& " * 100 + " ".join(f"x{i}#{i * i}%" for i in range(200)))],
+                                 "doc_id long, text string")
+    few = good.select("doc_id", "text").unionByName(junk).selectExpr("doc_id", "text", "'xx' as lang")
+    for others in (docs, docs.limit(0)):
+        got = {r.doc_id: r.kept for r in quality.quality_rules(
+            others.filter("lang <> 'xx'").unionByName(few).repartition(3)).filter(
+            f"doc_id in ({', '.join(str(r.doc_id) for r in few.collect())})").collect()}
+        assert sum(got.values()) == 3 and got[10 ** 6] is False
 
 
 def test_distances_are_jensen_shannon(spark, checkpoints):
