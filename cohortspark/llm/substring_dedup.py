@@ -17,6 +17,7 @@ from cohortspark.llm.text import (NON_SPACE, SECOND_BASE, bytes_hashes, mix, spa
                                   text_chunks, window_hashes, word_hashes, word_spans)
 
 FLUSH_WINDOWS = 1_500_000  # windows a task gathers before it deals them out
+BUCKET_BYTES = 64 << 20    # text behind a bucket of windows, and of marks
 
 _NULL_ID = np.iinfo(np.int64).max  # a null id stands after all others
 
@@ -146,46 +147,64 @@ def _deal(buckets: int, window: int):
     return run
 
 
-def _count(parts: int):
-    """One bucket: the windows that occur before, as marks of documents, in one
-    row for each partition that they go to."""
+def _runs(batches, column: str):
+    """Rows of batches sorted by ``column``, as (value, rows) of each value."""
+    last, held = None, []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and values[a] != last:
+                yield last, held
+                held = []
+            last = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, held
+
+
+def _count(dests: int):
+    """Buckets, one after the other: the windows that occur before, as marks of
+    documents, in one row for each group of documents that they go to."""
+    kinds = (np.int64, np.uint32)
+
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
         pack = zstandard.ZstdCompressor(level=1).compress
-        kinds = (np.int64, np.uint32)
-        firsts, gone, hashes, more = [], [], [], []
-        for batch in batches:
-            for at, h, m, marks in zip(*(batch.column(c).to_pylist()
-                                         for c in ("at", "hashes", "more", "gone"))):
-                ids, texts, places = _unpack_places(at, kinds, open_)
-                firsts.append((ids, texts, places.astype(np.int32)))
-                hashes.append(np.frombuffer(h, np.uint64))
-                more.append(np.frombuffer(m, np.uint16))
-                if marks is not None:
-                    ids, texts, places = _unpack_places(marks, kinds, open_)
-                    gone.append((_row_keys(ids, texts), places.astype(np.int32)))
-        if not firsts:
-            return
-        ids, texts, places = (np.concatenate(x) for x in zip(*firsts))
-        hashes, more = np.concatenate(hashes), np.concatenate(more)
-        again = _later(ids, places, hashes, more, np.lexsort((places, ids, more, hashes)))
-        keys = np.concatenate([_row_keys(ids[again], texts[again]), *(x[0] for x in gone)])
-        places = np.concatenate([places[again], *(x[1] for x in gone)])
-        dest = (keys % np.uint64(parts)).astype(np.int32)
-        order = np.lexsort((places, keys, dest))
-        keys, places, dest = keys[order], places[order], dest[order]
-        cuts = np.searchsorted(dest, np.arange(parts + 1))
-        to = np.flatnonzero(np.diff(cuts))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(to, pa.int32()),
-             pa.array([_pack_places((keys[a:b],), places[a:b], pack)
-                       for a, b in zip(cuts[to], cuts[to + 1])], pa.binary())],
-            names=["dest", "marks"])
+        for _, rows in _runs(batches, "bucket"):
+            firsts, gone, hashes, more = [], [], [], []
+            for batch in rows:
+                for at, h, m, marks in zip(*(batch.column(c).to_pylist()
+                                             for c in ("at", "hashes", "more", "gone"))):
+                    ids, texts, places = _unpack_places(at, kinds, open_)
+                    firsts.append((ids, texts, places.astype(np.int32)))
+                    hashes.append(np.frombuffer(h, np.uint64))
+                    more.append(np.frombuffer(m, np.uint16))
+                    if marks is not None:
+                        ids, texts, places = _unpack_places(marks, kinds, open_)
+                        gone.append((_row_keys(ids, texts), places.astype(np.int32)))
+            ids, texts, places = (np.concatenate(x) for x in zip(*firsts))
+            hashes, more = np.concatenate(hashes), np.concatenate(more)
+            again = _later(ids, places, hashes, more, np.lexsort((places, ids, more, hashes)))
+            keys = np.concatenate([_row_keys(ids[again], texts[again]), *(x[0] for x in gone)])
+            places = np.concatenate([places[again], *(x[1] for x in gone)])
+            dest = (keys % np.uint64(dests)).astype(np.int32)
+            order = np.lexsort((places, keys, dest))
+            keys, places, dest = keys[order], places[order], dest[order]
+            to, first = np.unique(dest, return_index=True)
+            cuts = np.append(first, len(dest))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to, pa.int32()),
+                 pa.array([_pack_places((keys[a:b],), places[a:b], pack)
+                           for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                names=["dest", "marks"])
 
     return run
 
 
-def _shrink(parts: int):
+def _shrink(dests: int):
     """Texts compressed one by one, to be dealt to their marks."""
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -198,7 +217,7 @@ def _shrink(parts: int):
                 raw = data.tobytes()
                 bodies = [pack(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((keys % np.uint64(parts)).astype(np.int32)),
+                    [pa.array((keys % np.uint64(dests)).astype(np.int32)),
                      pa.array(keys.view(np.int64)), ids.slice(i, j - i),
                      pa.array(bodies, pa.binary())], names=["dest", "key", "doc_id", "body"])
 
@@ -206,14 +225,18 @@ def _shrink(parts: int):
 
 
 def _cut(window: int):
-    """A partition's marks and then its texts -> the texts without marked windows."""
+    """Groups of documents, one after the other, each with its marks and then its
+    texts -> the texts without marked windows."""
     def run(batches):
         open_ = zstandard.ZstdDecompressor().decompress
-        marks, keys, places = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        group, marks, keys, places = None, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             out = []
-            for key, doc_id, body, mark in zip(
-                    *(batch.column(c).to_pylist() for c in ("key", "doc_id", "body", "marks"))):
+            for dest, key, doc_id, body, mark in zip(*(batch.column(c).to_pylist() for c in (
+                    "dest", "key", "doc_id", "body", "marks"))):
+                if dest != group:
+                    group, marks = dest, []
+                    keys, places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 if body is None:
                     marks.append(_unpack_places(mark, (np.uint64,), open_))
                     continue
@@ -272,22 +295,31 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     Only the first occurrence of a window in a task's run of documents is
     dealt out, as 80-bit hash and place, so a window that a third of all rows
-    share costs a bucket one entry per run.
+    share costs a bucket one entry per run.  There are as many buckets as
+    BUCKET_BYTES of text each need; a partition sorts its buckets, which
+    spills, and a task holds one of them at a time, so its memory does not grow
+    with the input.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = parts * max(1, -(-size // (parts * BUCKET_BYTES)))
+
+    def to_parts(df, number):
+        return df.repartitionById(parts, F.expr(f"{number} % {parts}"))
+
     dealt = rows.mapInArrow(_deal(buckets, window),
                             "bucket int, at binary, hashes binary, more binary, gone binary")
-    marks = (dealt.repartitionById(buckets, "bucket")
+    marks = (to_parts(dealt, "bucket").sortWithinPartitions("bucket")
              .mapInArrow(_count(buckets), "dest int, marks binary")
              .select("dest", F.lit(None).cast("long").alias("key"),
                      F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("body"), "marks"))
     texts = (rows.mapInArrow(_shrink(buckets), "dest int, key long, doc_id long, body binary")
              .withColumn("marks", F.lit(None).cast("binary")))
-    return (marks.unionByName(texts)
-            .repartitionById(buckets, "dest").sortWithinPartitions(F.col("body").isNotNull())
+    return (to_parts(marks.unionByName(texts), "dest")
+            .sortWithinPartitions("dest", F.col("body").isNotNull())
             .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, "
                                       "removed array<struct<first: int, end: int>>"))
 

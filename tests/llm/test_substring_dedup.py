@@ -50,6 +50,16 @@ def test_random_texts(spark, checkpoints, monkeypatch, flush):
     assert run(df, 5) == brute(docs, 5)
 
 
+def test_many_small_buckets(spark, checkpoints, monkeypatch):
+    """Hundreds of buckets and groups of documents in each partition."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 40)
+    rnd = random.Random(1)
+    docs = [(rnd.choice([None, k, k, k]), " ".join(rnd.choice("abcd") for _ in range(rnd.randrange(60))))
+            for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert run(df, 4) == brute(docs, 4)
+
+
 def test_intervals_are_maximal(spark, checkpoints):
     words = [f"w{i}" for i in range(30)]
     docs = [(1, " ".join(words)), (2, "x " + " ".join(words[3:28]) + " y")]
