@@ -19,7 +19,8 @@ from cohortspark.llm.text import alnum_words, texts_of, worker_store
 PHRASES = {"mit license": "mit", "apache license": "apache",
            "general public license": "gpl"}
 
-# Wording of public licenses and notices.
+# Wording of public licenses, whole up to the end of what must
+# stand in them, and of the notices and statements that refer to one.
 TEMPLATES = {
     "mit-text": """
         Permission is hereby granted, free of charge, to any person obtaining a copy of
@@ -29,11 +30,22 @@ TEMPLATES = {
         and to permit persons to whom the Software is furnished to do so, subject to the
         following conditions: The above copyright notice and this permission notice
         <<optional>> (including the next paragraph) <<end>> shall be included in all copies
-        or substantial portions of the Software.""",
+        or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL <<var 20>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc-text": """
         Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software
         for any purpose with or without fee is hereby granted, provided that the above
-        copyright notice and this permission notice appear in all copies.""",
+        copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND <<var 20>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+        <<var 20>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+        DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+        OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+        WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd-text": """
         Redistribution and use in source and binary forms, with or without modification, are
         permitted provided that the following conditions are met: <<optional>> 1. <<end>>
@@ -41,11 +53,65 @@ TEMPLATES = {
         conditions and the following disclaimer. <<optional>> 2. <<end>> Redistributions in
         binary form must reproduce the above copyright notice, this list of conditions and
         the following disclaimer in the documentation and/or other materials provided with
-        the distribution.""",
+        the distribution. <<optional>> <<optional>> 3. <<end>> Neither the name of <<var 20>>
+        nor the names of <<optional>> its <<end>> <<var 3>> contributors may be used to endorse
+        or promote products derived from this software without specific prior written
+        permission. <<end>> THIS SOFTWARE IS PROVIDED BY <<var 20>> "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL
+        <<var 20>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+        CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+        SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON
+        ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+        NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+        ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "bsd-3-clause": """
-        <<optional>> 3. <<end>> Neither the name of <<var 12>> nor the names of
+        <<optional>> 3. <<end>> Neither the name of <<var 20>> nor the names of
         <<optional>> its <<end>> <<var 3>> contributors may be used to endorse or promote
         products derived from this software without specific prior written permission.""",
+    "zlib-text": """
+        This software is provided 'as-is', without any express or implied warranty. In no
+        event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject
+        to the following restrictions: <<optional>> 1. <<end>> The origin of this software must
+        not be misrepresented; you must not claim that you wrote the original software. If you
+        use this software in a product, an acknowledgment in the product documentation would
+        be appreciated but is not required. <<optional>> 2. <<end>> Altered source versions
+        must be plainly marked as such, and must not be misrepresented as being the original
+        software. <<optional>> 3. <<end>> This notice may not be removed or altered from any
+        source distribution.""",
+    "unlicense": """
+        This is free and unencumbered software released into the public domain. Anyone is free
+        to copy, modify, publish, use, compile, sell, or distribute this software, either in
+        source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the
+        author or authors of this software dedicate any and all copyright interest in the
+        software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be
+        an overt act of relinquishment in perpetuity of all present and future rights to this
+        software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY
+        KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+        LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    "apache-statement": """
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this
+        <<var 4>> except in compliance with the License. You may obtain a copy of the License at
+        <<var 12>> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "gpl-statement": """
+        This <<var 4>> is free software: you can redistribute it and/or modify it under the
+        terms of the GNU <<optional>> Lesser <<end>> <<optional>> Affero <<end>> General Public
+        License as published by the Free Software Foundation, either version <<var 2>> of the
+        License, <<optional>> or (at your option) any later version <<end>> This <<var 4>> is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        <<optional>> Lesser <<end>> <<optional>> Affero <<end>> General Public License for more
+        details.""",
     "apache-notice": """
         Licensed under the Apache License, Version 2.0 <<optional>> (the "License"); you may
         not use this <<var 4>> except in compliance with the License <<end>>""",
@@ -53,10 +119,6 @@ TEMPLATES = {
         licensed under the <<optional>> terms of the <<end>> GNU <<optional>> Lesser <<end>>
         <<optional>> Affero <<end>> General Public License <<optional>> version <<var 1>>
         <<end>>""",
-    "gpl-text": """
-        This <<var 4>> is free software: you can redistribute it and/or modify it under the
-        terms of the GNU <<optional>> Lesser <<end>> General Public License as published by
-        the Free Software Foundation""",
     "mit-notice": """
         <<optional>> is <<end>> released under the <<optional>> terms of the <<end>>
         MIT License""",
@@ -67,12 +129,6 @@ TEMPLATES = {
     "cc-long-notice": """
         licensed under <<optional>> a <<end>> <<optional>> the <<end>> Creative Commons
         Attribution <<var 4>> <<optional>> 4.0 <<end>> International License""",
-    "unlicense": """
-        This is free and unencumbered software released into the public domain.""",
-    "zlib-text": """
-        Permission is granted to anyone to use this software for any purpose, including
-        commercial applications, and to alter it and redistribute it freely, subject to the
-        following restrictions""",
 }
 
 MARK = re.compile(r"<<(optional|end|var (\d+))>>")

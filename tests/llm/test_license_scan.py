@@ -29,7 +29,10 @@ def test_automata_accept_what_the_templates_say():
     for label, template in license_scan.TEMPLATES.items():
         automaton, pattern = Automaton(template), as_regex(template)
         plain = words(license_scan.MARK.sub(" ", template))
-        bare = words(re.sub(r"<<optional>>[^<]*(?:<<var \d+>>[^<]*)?<<end>>", " ", template))
+        bare, last = template, None
+        while bare != last:  # optional regions may hold others
+            bare, last = re.sub(r"<<optional>>[^<]*(?:<<var \d+>>[^<]*)*<<end>>", " ", bare), bare
+        bare = words(bare)
         for base in (plain, bare):
             for _ in range(40):
                 text = list(base)
@@ -70,6 +73,32 @@ def test_mandatory_words_must_match():
         ("mit", 0, 2), ("mit", 2, 4), ("mit", 6, 8)]
 
 
+def test_texts_are_read_to_the_end_of_their_wording():
+    """An opening with other conditions after it is not the license."""
+    full = {k: " ".join(license_scan.MARK.sub(" ", t).split())
+            for k, t in license_scan.TEMPLATES.items()}
+    labels = lambda text: {k for k, _, _ in find_licenses(text.encode())[1]}
+    mit = full["mit-text"].replace("SHALL", "SHALL THE AUTHORS OR COPYRIGHT HOLDERS")
+    assert labels(f"MIT License Copyright (c) 2020 Jane Doe {mit} Yes.") == {"mit", "mit-text"}
+    opening = mit[:mit.index("THE SOFTWARE IS PROVIDED")]
+    assert labels(opening + " provided you pay the author a fee") == set()
+    assert labels(mit.replace("WITHOUT WARRANTY", "WITH A WARRANTY")) == set()
+    two = re.sub(r"<<optional>> <<optional>> 3.*?permission. <<end>>", " ",
+                 license_scan.TEMPLATES["bsd-text"], flags=re.S)
+    holder = "THE COPYRIGHT HOLDERS AND CONTRIBUTORS"
+    two = " ".join(license_scan.MARK.sub(" ", two).split()).replace("PROVIDED BY", f"PROVIDED BY {holder}")
+    assert labels(two) == {"bsd-text"}
+    assert labels(two[:two.index("THIS SOFTWARE IS PROVIDED")]) == set()
+    three = full["bsd-text"].replace("the name of", "the name of the University of California, "
+                                     "Berkeley, The Regents, Jane Doe and Company Limited")
+    assert labels(three) == {"bsd-text", "bsd-3-clause"}
+    apache = full["apache-statement"].replace("License at", "License at "
+                                              "http://www.apache.org/licenses/LICENSE-2.0")
+    assert labels(apache) == {"apache", "apache-notice", "apache-statement"}
+    assert "gpl-statement" in labels(full["gpl-statement"])
+    assert labels(full["zlib-text"]) == {"zlib-text"} and labels(full["unlicense"]) == {"unlicense"}
+
+
 def test_edges(edge_docs, no_docs):
     got = license_scan.license_digest(license_scan.scan_licenses(edge_docs))
     assert sorted(r.n_words for r in got.collect()) == sorted(
