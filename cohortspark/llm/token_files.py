@@ -3,7 +3,7 @@
 A file set is a folder with two Parquet tables.  ``dictionary`` holds one row:
 the zstandard dictionary, its SHA-256 and the width of an id in bytes.
 ``shards`` holds the documents in ascending order of id: a row is a shard, a
-run of documents whose frames lie end to end in ``payload``; ``offsets`` is the
+run of documents from ``first_id`` to ``last_id`` whose frames lie end to end in ``payload``; ``offsets`` is the
 index of the frames, ``dictionary`` the hash of the dictionary they need.  One
 document is read by decompressing its own frame.
 """
@@ -30,7 +30,8 @@ SHARD_BYTES = 1 << 20       # payload of a shard; a larger document is a shard o
 CACHE_WORDS = 250_000       # words of a generation whose ids a worker remembers
 LEVEL = 3
 
-SHARDS = ("part int, shard int, tokens_before long, tokens long, dictionary string, "
+SHARDS = ("part int, shard int, first_id long, last_id long, tokens_before long, tokens long, "
+          "dictionary string, "
           "doc_ids array<long>, lengths array<int>, offsets array<long>, payload binary")
 
 
@@ -161,8 +162,11 @@ def _write(path: str, end_id: int, width: int, dictionary: bytes):
         doc_ids, lengths, frames, held = [], [], [], 0
 
         def row():
+            least = next((i for i in doc_ids if i is not None), None)  # null ids come first
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()),
+                "first_id": pa.array([least], pa.int64()),
+                "last_id": pa.array([doc_ids[-1]], pa.int64()),
                 "tokens_before": pa.array([before], pa.int64()),
                 "tokens": pa.array([sum(lengths)], pa.int64()),
                 "dictionary": pa.array([name], pa.string()),
@@ -269,10 +273,14 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
-    """The ids of the documents with this id; only their frames are opened."""
+    """The ids of the documents with this id; only their frames are opened.
+
+    The shards' first and last ids are columns of their own with Parquet
+    statistics, so files and row groups without the id are not read."""
     name, dictionary, width = _opened(spark, folder)
     open_ = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary)).decompress
     rows = (spark.read.schema(SHARDS).parquet(f"{folder}/shards")
+            .filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
             .filter(F.array_contains("doc_ids", F.lit(doc_id)))
             .select("part", "shard", "dictionary", "payload",
                     F.posexplode("doc_ids").alias("at", "doc_id"), "offsets")
