@@ -27,6 +27,8 @@ def build_session(master: str | None = None, app: str = "cohortspark",
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+         # Python call sites in the errors of columns cost more than the plans themselves
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
     if master := master or os.environ.get("COHORTSPARK_MASTER"):
