@@ -34,14 +34,9 @@ def subject_panel(df: DataFrame, id_col: str, group: str | None, key: str,
     if group:
         src = src.filter(F.col(group).isNotNull())
     wide = src.groupBy(*ids).agg(*spread_columns(key, value, required, cols))
-    complete = None
-    hits = None
-    for c in cols:
-        nn = F.col(c).isNotNull()
-        complete = nn if complete is None else complete & nn
-        h = C.flag_above(c, cutoff)
-        hits = h if hits is None else hits + h
-    return wide.filter(complete).select(*ids, hits.cast("bigint").alias(detected))
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    hits = " + ".join(f"CAST({c} > {C.literal(float(cutoff))} AS INT)" for c in cols)
+    return wide.filter(complete).select(*ids, F.expr(f"CAST({hits} AS BIGINT)").alias(detected))
 
 
 def detected_any(df: DataFrame, id_col: str, group: str, key: str, value: str,

@@ -13,22 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 
 def spread_columns(key: str, value: str, keys: Sequence[str],
                    names: Sequence[str] | None = None,
                    check_unique: bool = True) -> list[Column]:
     """Aggregate expressions turning (key, value) rows into one column per key."""
-    names = list(names or keys)
     out = []
-    for k, name in zip(keys, names):
+    for k, name in zip(keys, names or keys):
+        own = f"{C.name(key)} = {C.literal(k)}"
+        cell = f"max(CASE WHEN {own} THEN {C.name(value)} END)"
         if check_unique:
-            n = F.count(F.when(F.col(key) == k, F.lit(1)))
-            expr = F.when(n > 1, F.raise_error(
-                F.lit(f"duplicate rows for key '{k}' within one id"))).otherwise(
-                F.max(F.when(F.col(key) == k, F.col(value))))
-        else:
-            expr = F.max(F.when(F.col(key) == k, F.col(value)))
-        out.append(expr.alias(name))
+            error = C.literal(f"duplicate rows for key '{k}' within one id")
+            cell = (f"CASE WHEN count(CASE WHEN {own} THEN 1 END) > 1 THEN raise_error({error}) "
+                    f"ELSE {cell} END")
+        out.append(F.expr(cell).alias(name))
     return out
 
 
@@ -62,11 +62,9 @@ def complete_cases(df: DataFrame, ids: Sequence[str], key: str, value: str,
     cols = [f"__k{i}" for i in range(len(required))]
     wide = (df.filter(F.col(key).isin(required))
             .groupBy(*ids).agg(*spread_columns(key, value, required, cols)))
-    keep = None
-    for c in cols:
-        keep = F.col(c).isNotNull() if keep is None else keep & F.col(c).isNotNull()
-    long = wide.filter(keep).select(
-        *ids, F.explode(F.array(*[F.struct(F.lit(k).alias(key), F.col(c).alias(value))
-                                  for k, c in zip(required, cols)])).alias("__kv"))
+    keep = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    cells = ", ".join(f"named_struct({C.literal(key)}, {C.literal(k)}, {C.literal(value)}, {c})"
+                      for k, c in zip(required, cols))
+    long = wide.filter(keep).select(*ids, F.expr(f"explode(array({cells}))").alias("__kv"))
     return long.select(*ids, F.col(f"__kv.{key}").alias(key),
                        F.col(f"__kv.{value}").alias(value))

@@ -57,12 +57,16 @@ class Tables:
 
 @dataclass
 class Inputs(Tables):
-    """The test tables of one folder."""
+    """The test tables of one folder.
+
+    The subject table is planned once for an input; a query makes its own
+    input, so it sees the files as they are when it is built."""
 
     spark: SparkSession
     sf_dir: str
     parameters: Parameters = field(
         default_factory=lambda: Parameters(cutoff=fixture.FIXTURE_CUTOFF))
+    _planned: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def table(self, name: str) -> DataFrame:
         return fixture.read_table(self.spark, self.sf_dir, name)
@@ -74,7 +78,9 @@ class Inputs(Tables):
         return fixture.assay_long(self.spark, self.sf_dir, mapping)
 
     def subject(self) -> DataFrame:
-        return fixture.subject(self.spark, self.sf_dir)
+        if "subject" not in self._planned:
+            self._planned["subject"] = fixture.subject(self.spark, self.sf_dir)
+        return self._planned["subject"]
 
 
 @dataclass

@@ -224,7 +224,7 @@ def category_order(inp: Inputs) -> DataFrame:
     and reversed."""
     li = inp.table("lineitem").select(
         F.col("l_orderkey").alias("lab_id"), "l_linenumber",
-        C.recode(_map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL), ANALYTE_SHORT_NAMES)
+        C.recode(_map_int("l_linenumber", LINE_TO_RAW_LABEL), ANALYTE_SHORT_NAMES)
         .alias("antigen")).filter(F.col("antigen").isNotNull())
     place = ["lab_id", "l_linenumber"]
     back = M.category_order(li, "antigen", place, reverse=True, name="level_rev")
@@ -267,7 +267,7 @@ def spread_duplicates(inp: Inputs) -> DataFrame:
     integer line number, labelled afterwards."""
     li = inp.table("lineitem").select(F.col("l_orderkey").alias("lab_id"), "l_linenumber")
     dup = H.duplicate_keys(li, ["lab_id", "l_linenumber"])
-    return dup.select("lab_id", _map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL)
+    return dup.select("lab_id", _map_int("l_linenumber", LINE_TO_RAW_LABEL)
                       .alias("antigen_raw"), "n")
 
 

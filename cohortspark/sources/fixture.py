@@ -66,6 +66,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _map_int(c, mapping):
+    if isinstance(c, str):
+        return C.recode(c, mapping)
     out = None
     for k, v in mapping.items():
         out = F.when(c == k, F.lit(v)) if out is None else out.when(c == k, F.lit(v))
@@ -87,11 +89,11 @@ def assay_raw_of(li: DataFrame) -> DataFrame:
     # filters on the label still reach below the aggregation, since they
     # only use a grouping column
     agg = (li.groupBy(F.col("l_orderkey").alias("lab_id"), "l_linenumber")
-           .agg(F.max(F.when(F.col("l_tax") < VALUE_TAX_LIMIT,
-                             F.col("l_extendedprice") * F.col("l_discount"))).alias("value"),
-                F.min("l_shipdate").cast("date").alias("visit_date")))
+           .agg(F.expr(f"max(CASE WHEN l_tax < {C.literal(VALUE_TAX_LIMIT)} "
+                       "THEN l_extendedprice * l_discount END) AS value"),
+                F.expr("CAST(min(l_shipdate) AS DATE) AS visit_date")))
     return agg.select("lab_id",
-                      _map_int(F.col("l_linenumber"), LINE_TO_RAW_LABEL).alias("antigen_raw"),
+                      _map_int("l_linenumber", LINE_TO_RAW_LABEL).alias("antigen_raw"),
                       "value", "visit_date")
 
 
@@ -108,23 +110,20 @@ def subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     j = o.join(c, o.o_custkey == c.c_custkey, "left")
-    prio = F.col("o_orderpriority")
-    sero_roche = (F.when(prio == ROCHE_MISSING_PRIORITY, F.lit(None).cast("string"))
-                  .when(F.col("o_totalprice") >= ROCHE_POSITIVE_FROM, F.lit(POSITIVE))
-                  .when(F.col("o_totalprice") < ROCHE_POSITIVE_FROM, F.lit(NEGATIVE)))
-    sero_igg = (F.when(prio == IGG_MISSING_PRIORITY, F.lit(None).cast("string"))
-                .when(F.col("c_acctbal") >= IGG_POSITIVE_FROM, F.lit(POSITIVE))
-                .when(F.col("c_acctbal") < IGG_POSITIVE_FROM, F.lit(NEGATIVE)))
-    igg_raw = (F.when(prio == IGG_MISSING_PRIORITY, F.lit("n/a"))
-               .otherwise(F.col("c_acctbal").cast("string")))
+    low, positive, negative = (C.literal(v) for v in (ROCHE_POSITIVE_FROM, POSITIVE, NEGATIVE))
+    missing = f"o_orderpriority = {C.literal(IGG_MISSING_PRIORITY)}"
     base = j.select(
         F.col("o_orderkey").alias("lab_id"),
         C.recode("o_orderstatus", STATUS_TO_GROUP3).alias("group3"),
         F.col("o_totalprice").alias("roche"),
-        igg_raw.alias("igg_raw"),
-        sero_roche.alias("sero_roche"),
-        sero_igg.alias("sero_igg"),
-        F.col("o_orderdate").cast("date").alias("test_date"),
+        F.expr(f"CASE WHEN {missing} THEN 'n/a' ELSE CAST(c_acctbal AS STRING) END AS igg_raw"),
+        F.expr(f"CASE WHEN o_orderpriority = {C.literal(ROCHE_MISSING_PRIORITY)} THEN NULL "
+               f"WHEN o_totalprice >= {low} THEN {positive} "
+               f"WHEN o_totalprice < {low} THEN {negative} END AS sero_roche"),
+        F.expr(f"CASE WHEN {missing} THEN NULL "
+               f"WHEN c_acctbal >= {C.literal(IGG_POSITIVE_FROM)} THEN {positive} "
+               f"WHEN c_acctbal < {C.literal(IGG_POSITIVE_FROM)} THEN {negative} END AS sero_igg"),
+        F.expr("CAST(o_orderdate AS DATE) AS test_date"),
     )
     return (base
             .withColumn("group5", C.assign_cohort("group3", "sero_roche", COHORT_RULES))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, FloatType, LongType, StringType,
                                StructField, StructType)
 
+from ..functions.columns import name
+
 ASSAY_LONG_SCHEMA = StructType([
     StructField("lab_id", LongType(), False),
     StructField("antigen", StringType(), True),
@@ -39,7 +41,8 @@ SUBJECT_SCHEMA = StructType([
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in a floating-point column is a missing value: NULL from here on."""
     floats = [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(df[c]), df[c]) for c in floats}) if floats else df
+    return df.withColumns({c: F.expr(f"CASE WHEN NOT isnan({name(c)}) THEN {name(c)} END")
+                           for c in floats}) if floats else df
 
 
 _RECORD = "_corrupt_record"
