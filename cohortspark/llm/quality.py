@@ -214,34 +214,37 @@ def quality_rules(docs: DataFrame, class_limit: tuple[float, float] = CLASS_LIMI
                     "classes array<long>, common array<long>" + ", _key string" * len(carry))
         .withColumn("base_failed", (F.col("n_words") < 10)
                     | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
-    long_ = (F.col("word_chars") >= REF_CHARS) & (F.col("n_words") >= REF_WORDS)
+    behind = ~F.col("base_failed") & (F.col("word_chars") >= REF_CHARS) & (
+        F.col("n_words") >= REF_WORDS)
     width = 1 + max(len(ws) for ws in COMMON_WORDS.values())
 
     def sums(name, n):
         return F.array(*(F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0).cast(LongType()))
                          for i in range(n)))
 
-    references = (rows.filter(~F.col("base_failed") & long_).groupBy(F.col("lang").alias("ref_lang"))
-                  .agg(F.count("*").alias("n_docs"), sums("classes", CLASSES).alias("ref_classes"),
-                       sums("common", width).alias("ref_common")))
-    # one row, however many documents there are
-    mean = references.agg(F.struct(F.sum("n_docs").alias("n"), sums("ref_classes", CLASSES).alias(
-        "classes"), sums("ref_common", width).alias("common"))).scalar()
+    # a row per language, those without a document behind their reference too
+    own = (rows.select(F.col("lang").alias("ref_lang"), F.size("common").alias("listed"),
+                       F.when(behind, F.col("classes")).alias("classes"),
+                       F.when(behind, F.col("common")).alias("common"))
+           .groupBy("ref_lang").agg(F.count("classes").alias("n"),
+                                    sums("classes", CLASSES).alias("classes"),
+                                    sums("common", width).alias("common"),
+                                    F.max("listed").alias("listed")))
+    # and one of all of them together
+    mean = own.agg(F.struct(F.sum("n").alias("n"), sums("classes", CLASSES).alias("classes"),
+                            sums("common", width).alias("common"))).scalar()
+
+    def reference(name):
+        return F.zip_with(name, f"mean.{name}", lambda x, m: x.cast("double")
+                          + PRIOR_DOCS * F.try_divide(m.cast("double"), F.col("mean.n").cast("double")))
+
+    references = (own.withColumn("mean", mean)
+                  .select("ref_lang", reference("classes").alias("ref_classes"),
+                          F.slice(reference("common"), 1, F.greatest("listed", F.lit(1)))
+                          .alias("ref_common"))
+                  .withColumns({f"_{c}": _sum(F.col(c)) for c in ("ref_classes", "ref_common")}))
     judged = (rows.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-              .withColumn("mean", mean))
-
-    def reference(name, n):
-        return F.array(*(
-            F.coalesce(F.get(f"ref_{name}", F.lit(i)), F.lit(0)).cast("double")
-            + PRIOR_DOCS * F.try_divide(F.get(F.col(f"mean.{name}"), F.lit(i)).cast("double"),
-                                        F.col("mean.n").cast("double")) for i in range(n)))
-
-    judged = (judged
-              .withColumns({"ref_classes": reference("classes", CLASSES),
-                            "ref_common": F.slice(reference("common", width), 1, F.greatest(
-                                F.size("common"), F.lit(1)))})
-              .withColumns({f"_{c}": _sum(F.col(c)) for c in (
-                  "classes", "common", "ref_classes", "ref_common")}))
+              .withColumns({f"_{c}": _sum(F.col(c)) for c in ("classes", "common")}))
     by_class = _distance(*(F.col(c) for c in (
         "classes", "ref_classes", "_classes", "_ref_classes")))
     by_word = F.when(F.size("common") > 0, _distance(*(F.col(c) for c in (
