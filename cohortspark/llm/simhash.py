@@ -195,8 +195,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3,
     roots = connected_components(near_links(nodes.select("fp"), distance, limit))
     roots = roots.withColumnRenamed("node", "fp")
     named = roots.join(nodes, "fp")
-    groups = named.groupBy("root").agg(F.min("least").alias("group_least"))
-    linked = named.join(groups, "root").select("fp", "root", "group_least")
+    groups = named.groupBy("root").agg(F.min("least").alias("group_least"), F.count("*").alias("n"))
+    linked = hot_join(named.select("fp", "root"), groups, ["root"], "n", spread=["fp"])
     # a group without links is its own fingerprint; one whose ids are all missing has no least
     labels = nodes.join(linked, "fp", "left").select(
         "fp", "n_rows", F.coalesce("root", "fp").alias("group"), F.when(
