@@ -2,9 +2,9 @@
 
 A piece of the model never holds a space behind another character, nor a line
 feed, so a text's tokens are those of its pre-tokens: words with the space
-before them.  The lengths of frequent pre-tokens are broadcast as a compact
-hash table; the others are encoded once per worker and cached.  No pre-token
-is shuffled.
+before them.  A first pass counts the pre-tokens of all texts; different ones
+and their counts are shuffled.  The lengths of the frequent ones are broadcast
+as a compact hash table; the others are encoded once per worker and cached.
 """
 
 from __future__ import annotations
@@ -12,15 +12,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortspark.llm.text import (find, hash_table, text_chunks, texts_of, word_codes,
+from cohortspark.llm.text import (find, gather, hash_table, text_chunks, texts_of, word_codes,
                                   word_spans, worker_store)
 
 TABLE_ENTRIES = 1 << 16   # frequent pre-tokens in the broadcast table
-SUMMARY_ENTRIES = 1 << 13 # pre-tokens in a task's summary
+SUMMARY_ENTRIES = 1 << 13 # counted pre-tokens that a task hands on at once
+LEVELS = 64               # levels of a doubling that counts of pre-tokens are told apart by
 CACHE_ENTRIES = 300_000   # pre-tokens a worker remembers, then it starts anew
-SAMPLE_DOCS = 2000        # texts that frequent pre-tokens are taken from (expected)
 
 IN_WORD = np.ones(256, bool)
 IN_WORD[[10, 32]] = False
@@ -67,45 +67,48 @@ def _distinct(data, starts, ends, spaced):
     return back, lead
 
 
-def _summaries(batches):
-    """Tasks: the most frequent pre-tokens of the sampled texts that a task
-    reads, at most SUMMARY_ENTRIES, as one row; no row without a text."""
-    counts: dict[bytes, int] = {}
+def _occurrences(batches):
+    """Tasks: the different pre-tokens of each run of texts and how often each
+    occurs there; none is left out."""
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column("text")):
             starts, ends, _, spaced = _pre_tokens(data, offsets)
             back, lead = _distinct(data, starts, ends, spaced)
-            n = np.bincount(back, minlength=len(lead))
-            top = np.argsort(-n, kind="stable")[:SUMMARY_ENTRIES]
-            raw = data.tobytes()
-            for i, c in zip(lead[top].tolist(), n[top].tolist()):
-                word = (b" " if spaced[i] else b"") + raw[starts[i]:ends[i]]
-                counts[word] = counts.get(word, 0) + c
-            if len(counts) > 4 * SUMMARY_ENTRIES:
-                counts = dict(sorted(counts.items(), key=lambda x: -x[1])[:2 * SUMMARY_ENTRIES])
-    if counts:
-        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SUMMARY_ENTRIES]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([[w for w, _ in best]], pa.list_(pa.binary())),
-             pa.array([[c for _, c in best]], pa.list_(pa.int64()))], names=["words", "counts"])
-
-
-def frequent_pre_tokens(texts: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[bytes]:
-    """Frequent pre-tokens of a sample of texts, at most TABLE_ENTRIES.
-
-    About ``sample_docs`` texts are drawn, whatever the size of the table.
+            sizes = ends[lead] - starts[lead]
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            words = pa.BinaryArray.from_buffers(
+                pa.binary(), len(lead),
+                [None, pa.py_buffer(bounds), pa.py_buffer(gather(data, starts[lead], sizes))])
+            found = pa.RecordBatch.from_arrays(
+                [words, pa.array(spaced[lead]),
+                 pa.array(np.bincount(back, minlength=len(lead)), pa.int64())],
+                names=["word", "spaced", "n"])
+            for at in range(0, len(lead), SUMMARY_ENTRIES):
+                yield found.slice(at, SUMMARY_ENTRIES)
+
+
+def frequent_pre_tokens(texts: DataFrame) -> list[bytes]:
+    """The frequent pre-tokens of all texts, at most TABLE_ENTRIES, a spaced
+    one with its space.
+
+    Every occurrence in every text is counted.  Counts are taken by levels of
+    1/LEVELS of a doubling, from the highest down as long as whole levels fit
+    the table: a pre-token is in the list just if it occurs at least as often
+    as the least of them.  Counts meet in one shuffle, which both the levels
+    and the list read; the window goes over at most 64 * LEVELS rows.
+
     The list decides which lengths are looked up in the broadcast table and
-    which in the workers' caches; counts of tokens never depend on it.  The
-    driver gets one summary from each task that met a sampled text.
+    which in the workers' caches; counts of tokens never depend on it.
     """
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    rows = (texts.sample(share, 42).mapInArrow(_summaries, "words array<binary>, counts array<long>")
-            .collect())
-    counts: dict[bytes, int] = {}
-    for row in rows:
-        for w, n in zip(row["words"], row["counts"]):
-            counts[bytes(w)] = counts.get(bytes(w), 0) + n
-    return [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]]
+    counts = (texts.mapInArrow(_occurrences, "word binary, spaced boolean, n long")
+              .groupBy("word", "spaced").agg(F.sum("n").alias("n")))
+    levels = (counts.groupBy(F.floor(F.log2("n") * LEVELS).alias("level"))
+              .agg(F.count("*").alias("words"), F.min("n").alias("least")))
+    fitting = (levels.withColumn("held", F.sum("words").over(Window.orderBy(F.desc("level"))))
+               .filter(F.col("held") <= TABLE_ENTRIES).agg(F.min("least").alias("least")))
+    found = counts.join(F.broadcast(fitting), counts["n"] >= fitting["least"])
+    return [(b" " if r["spaced"] else b"") + bytes(r["word"])
+            for r in found.select("word", "spaced").collect()]
 
 
 def length_table(model_path: str, words: list[bytes]):

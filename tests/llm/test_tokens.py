@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +45,22 @@ def test_cache_and_table_limits_change_nothing(docs, monkeypatch):
     assert rows(token_count.count_tokens(docs, PIECES)) == want
 
 
+def test_frequent_pre_tokens_are_counted_over_all_texts(spark, monkeypatch):
+    texts = [f"the own{i}\nof own{i % 7} the {MORSE[i % 2]}" for i in range(6000)] + [None, "", "\n"]
+    seen = Counter(w for t in texts for k, line in enumerate((t or "").split("\n"))
+                   for w in ((b" " if k == 0 or j else b"") + x.encode()
+                             for j, x in enumerate(line.split())))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    assert sorted(token_count.frequent_pre_tokens(df)) == sorted(seen)
+    monkeypatch.setattr(token_count, "TABLE_ENTRIES", 20)
+    assert sorted(token_count.frequent_pre_tokens(df)) == sorted(w for w, n in seen.items() if n > 1)
+    monkeypatch.setattr(token_count, "TABLE_ENTRIES", 3)
+    assert sorted(token_count.frequent_pre_tokens(df)) == [b" the", b"of"]
+    monkeypatch.setattr(token_count, "TABLE_ENTRIES", 0)
+    assert token_count.frequent_pre_tokens(df) == []
+    assert token_count.frequent_pre_tokens(df.limit(0)) == []
+
+
 def test_files_round_trip(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_BYTES", 5000)
     tokenizer = tokenizers.Tokenizer.from_file(WORDS)
