@@ -22,6 +22,7 @@ from cohortspark.llm.text import (find, gather, hash_table, mix, prefix_sums, sp
 
 RANK_SHIFT = 100.0       # a ranked piece has weight 1 / (rank + RANK_SHIFT)
 BYTE_PENALTY = 10.0      # a byte piece costs so much more than the rarest piece
+BLOCK_BYTES = 1 << 17    # different segments whose lattice is built at once, one at least
 _PREFIX = np.int32(1 << 30)  # table value of a span that only begins pieces
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,7 +151,24 @@ def _lattice(data: np.ndarray, offsets: np.ndarray, pieces):
         sums = top + np.log(np.add.reduceat(np.exp(ways - np.repeat(top, count)), heads[g:h] - a))
         total[target[heads[g:h]]] = sums
         log_p[a:b] = ways - np.repeat(sums, count)
-    return first, last, np.exp(log_p), size, piece
+    return first, last, np.exp(log_p), size.astype(np.int32), piece
+
+
+def _lattices(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pieces,
+              block_bytes: int = BLOCK_BYTES):
+    """``_lattice`` of the segments at ``starts``, built for blocks of about
+    ``block_bytes`` one after the other: a lattice takes several times as much
+    memory while it is built as afterwards."""
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    made, edges, i = [], 0, 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + block_bytes, "right")) - 1)
+        first, last, *found = _lattice(gather(data, starts[i:j], sizes[i:j]),
+                                       bounds[i:j + 1] - bounds[i], pieces)
+        made.append((first + edges, last + edges, *found))
+        edges += len(found[0])
+        i = j
+    return tuple(map(np.concatenate, zip(*made)))
 
 
 def _draw(u: np.ndarray, first: np.ndarray, last: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -176,7 +194,7 @@ def _sample(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, pieces):
     back, lead = word_codes(data, starts, ends)
     sizes = (ends - starts)[lead]
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    first, last, p, size, piece = _lattice(gather(data, starts[lead], sizes), bounds, pieces)
+    first, last, p, size, piece = _lattices(data, starts[lead], sizes, pieces)
     doc = np.searchsorted(offsets, starts, "right") - 1
     place = ends - offsets[doc]                    # byte place in the text, from the end on
     node = (bounds[1:] + np.arange(len(lead)))[back]

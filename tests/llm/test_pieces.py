@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -79,6 +80,39 @@ def test_thresholds_follow_from_the_segment_alone():
                     assert x[here].tobytes() == y[there].tobytes()
 
 
+def test_lattices_in_blocks_are_those_of_one():
+    pieces = piece_sampling._pieces(PATH)
+    words = [w.encode() for w in (" reading", "\U0001FAE8", "\n", "x" * 40, *MORSE, " the", "\x00")]
+    sizes = np.array([len(w) for w in words])
+    starts = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(words), np.uint8)
+    firsts, lasts, *whole = piece_sampling._lattices(data, starts, sizes, pieces, 1 << 30)
+    ends = np.cumsum(sizes + 1) - 1  # the nodes behind them begin segments and have no edges
+    nodes = sorted(set(range(len(firsts))) - {0, *(ends[:-1] + 1).tolist()})
+    for block in (1, 9, 100):
+        first, last, *found = piece_sampling._lattices(data, starts, sizes, pieces, block)
+        assert len(first) == len(firsts) and len(found[0]) == len(whole[0])
+        for n in nodes:
+            for x, y in zip(whole, found):
+                assert x[firsts[n]:lasts[n] + 1].tobytes() == y[first[n]:last[n] + 1].tobytes()
+
+
+def test_memory_for_many_different_words():
+    pieces = piece_sampling._pieces(PATH)
+    text = "".join(f" word{i * 7919 % 1_000_003}" for i in range(80_000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    keys = np.array([1], np.uint64)
+    piece_sampling._sample(data[:1000], np.array([0, 1000]), keys, pieces)  # what a worker keeps
+    tracemalloc.start()
+    try:
+        ids, cuts = piece_sampling._sample(data, offsets, keys, pieces)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert piece_sampling.decode(ids, cuts, pieces) == [text[1:]]
+    assert peak < 150 * len(text)
+
+
 def test_draws_step_to_the_edge():
     p = np.array([1.0, 0.5, 0.3, 0.2, 0.7, 0.3])
     u = np.array([0.999, 0.0, 0.49, 0.5, 0.79, 0.81, 1.0, 0.69, 0.71])
